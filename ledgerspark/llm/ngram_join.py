@@ -1,16 +1,18 @@
 """Exact Jaccard self-join over word n-grams, by token-combination prefixes, down to its components.
 
 Every document becomes the set of its distinct 64-bit shingle hashes; documents with equal sets form
-a class, and all further work is on classes. Tokens (shingles) are ordered by class of frequency and
-then by hash. If two sets reach the similarity, they share so many tokens that within a prefix of
+a class, and all further work is on classes. Tokens (shingles) are ordered by how many documents share
+their bucket of a counting table over all documents, then by hash: an order by estimated frequency. If two sets reach the similarity, they share so many tokens that within a prefix of
 each they share either one rare token or two frequent tokens of one of FREQUENT_GROUPS groups: the
 prefix is extended until the possible mismatches cannot explain less. So rare tokens are indexed
 alone and frequent ones only in pairs. Sets too small for pairs also index single frequent tokens.
 
 Candidates are not expanded into all pairs of a posting list. First every member is compared with
-two leaders of its list. Then only members of different components are compared: all of them in
-short lists, and in long lists member by member for those outside the largest component. That loses
-no link between components, which is what the result holds.
+two leaders of its list. Then only members of different components are compared: in short lists by a
+join, in long ones blockwise. Long lists with the same largest component are pooled, and the members
+outside it are compared with all members by matrix products over shared tokens, in groups of two
+blocks of bounded size that return links only. That loses no link between components, which is what
+the result holds.
 
 Defined results: a null or empty text has no shingles and is its own component; so is a row with a
 null doc_id (component null). Fewer words than n: the whole sequence is the one shingle. Rows that
@@ -20,6 +22,7 @@ share a doc_id are separate documents, equal texts are linked, further columns a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +33,17 @@ from ledgerspark.llm.bpe import small_batches
 from ledgerspark.llm.shared import materialize, release
 
 #: Size of the table that counts documents by shingle hash, whatever the corpus: fixed memory.
-BUCKETS = 1 << 16
-#: A token is frequent if its bucket holds this share of all documents more than buckets do on average.
-FREQUENT_SHARE = 1 / 500
+BUCKETS = 1 << 18
+#: A token is frequent if its bucket lies so many standard deviations and documents over the mean.
+FREQUENT_SD, FREQUENT_DOCS = 5, 8
 FREQUENT_GROUPS = 16
 #: Sets up to this size also index single frequent tokens. A set can lack pairs only if it has at
 #: most FREQUENT_GROUPS / similarity tokens, its partners at most that / similarity.
 SMALL_SET = 32
-#: Posting lists up to this size are compared in full where components differ.
-SHORT_LIST = 64
-LEADERS = 8
+#: Posting lists up to this size are compared by a join where components differ.
+SHORT_LIST = 16
+#: Sets to a block of members outside, and of all members, of pooled long lists.
+OUTSIDE_BLOCK, MEMBER_BLOCK = 512, 1024
 
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -104,11 +108,13 @@ def set_key(tokens: np.ndarray) -> int:
         return int(_mix(_mix(tokens + np.uint64(77)).sum(keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of a set. frequent: by bucket of the hash."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int) -> np.ndarray:
+    """The index keys of a set. counts: documents by bucket of the hash; over the limit is frequent."""
     size = len(tokens)
     need = size - -(-percent * size // 100) + 1
-    often = frequent[tokens % BUCKETS]
+    seen = counts[(tokens % BUCKETS).astype(np.int64)]
+    order = np.lexsort((tokens, seen))
+    tokens, often = tokens[order], seen[order] > limit
     rare, often = tokens[~often], tokens[often]
     if need <= len(rare):
         return rare[:need]
@@ -152,16 +158,16 @@ def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def _entries(docs: DataFrame, n: int, percent: int, counts: np.ndarray, limit: int) -> DataFrame:
     """Rows (sig, cls): the index."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # BUCKETS booleans
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
 
     def run(batches):
         for b in batches:
             sigs, keys = [], []
             for s in shingle_sets(b.column(0), n):
                 if len(s):
-                    sigs.append(signatures(s, shared.value, percent))
+                    sigs.append(signatures(s, shared.value, limit, percent))
                     keys.append(np.full(len(sigs[-1]), set_key(s), np.int64))
             if sigs:
                 yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "cls"])
@@ -221,7 +227,8 @@ class _Verifier:
         self.docs, self.classes, self.n, self.percent = docs, classes, n, percent
         self.tested = self.links = None
 
-    def add(self, pairs: DataFrame) -> None:
+    def add(self, pairs: DataFrame) -> bool:
+        """Whether there are new links."""
         pairs = pairs.where("a <> b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -239,6 +246,7 @@ class _Verifier:
         pairs = pairs.select("a", "b")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         self.links = links if self.links is None else self.links.union(links)
+        return not links.isEmpty()
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -248,15 +256,15 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(_fingerprints(docs, n))
     prints = seen.where("bucket IS NULL").drop("bucket")
-    counts = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toPandas()  # BUCKETS rows at most
-    mean = counts["n"].sum() / BUCKETS
-    limit = mean + 4 * mean**0.5 + max(2.0, prints.count() * FREQUENT_SHARE)
-    frequent = np.zeros(BUCKETS, bool)
-    frequent[counts["bucket"][counts["n"] > limit].to_numpy(dtype=np.int64)] = True
+    table = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toPandas()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
+    mean = counts.mean()
+    limit = int(mean + FREQUENT_SD * mean**0.5 + FREQUENT_DOCS)
     classes = materialize(prints.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
 
     # posting lists without repeats; lists of one are dropped at once
-    entries = _entries(docs, n, percent, frequent).withColumn("r", F.xxhash64("cls", "sig"))
+    entries = _entries(docs, n, percent, counts, limit).withColumn("r", F.xxhash64("cls", "sig"))
     run, whole = W.Window.partitionBy("sig").orderBy("r", "cls"), W.Window.partitionBy("sig").orderBy("r", "cls").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     entries = entries.withColumn("before", F.lag("cls").over(run)).where("before IS NULL OR before <> cls").drop("before")
     lists = entries.select("sig", "cls", F.count("*").over(whole).alias("m"), F.first("cls").over(whole).alias("l1"), F.nth_value("cls", 2).over(whole).alias("l2")).where("m > 1")
@@ -269,25 +277,11 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     labels = components(check.links)
     short = _open(rest.where(F.col("m") <= SHORT_LIST), labels)
     other = short.toDF("sig", "cls2", "m2", "c2")
-    check.add(short.join(other, "sig").where("cls < cls2 AND c <> c2").select(*_pairs(F.col("cls"), F.col("cls2"))))
-    long, done, salt = rest.where(F.col("m") > SHORT_LIST), None, 0
-    while True:
+    if check.add(short.join(other, "sig").where("cls < cls2 AND c <> c2").select(*_pairs(F.col("cls"), F.col("cls2")))):
         labels = components(check.links)
-        open_lists = materialize(_open(long, labels))
-        if open_lists.isEmpty():
-            break
-        by = open_lists.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        outside = open_lists.join(by, "sig").where("c <> main").select("sig", "cls", "c")
-        if done is not None:
-            outside = outside.join(done, ["sig", "cls"], "left_anti")
-        picks = [F.min_by(F.struct("cls", "c"), F.xxhash64("cls", F.lit(salt + i))).alias(f"p{i}") for i in range(LEADERS)]
-        leaders = outside.groupBy("sig").agg(*picks).select("sig", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(LEADERS)]))).alias("p")).select("sig", F.col("p.cls").alias("leader"), F.col("p.c").alias("lc"))
-        leaders = materialize(leaders)
-        if leaders.isEmpty():
-            break
-        check.add(open_lists.join(leaders, "sig").where("c <> lc").select(*_pairs(F.col("cls"), F.col("leader"))))
-        picked = leaders.select("sig", F.col("leader").alias("cls"))
-        done, salt = picked if done is None else done.union(picked), salt + LEADERS
+    long = materialize(_open(rest.where(F.col("m") > SHORT_LIST), labels))
+    if not long.isEmpty():
+        labels = components(check.links.union(_pooled_links(docs, long, classes, n, percent)))
     tags = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = tags.groupBy("component").agg(F.min("rep").alias("component_id"))
     names = materialize(tags.join(least, "component").select(F.col("cls").alias("k"), "component_id"))
@@ -302,6 +296,51 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return tagged.join(split, "sig", "left_semi")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, by products of 0/1 matrices over blocks of shared tokens."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(a, b)
+    rows = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.searchsorted(shared, y), np.isin(y, shared)) for x, y in ((left, a), (right, b))]
+    for start in range(0, len(shared), 4096):
+        parts = []
+        for (row, col, there), x in zip(rows, (left, right), strict=True):
+            here = there & (col >= start) & (col < start + 4096)
+            marks = np.zeros((len(x), min(4096, len(shared) - start)), np.float32)
+            marks[row[here], col[here] - start] = 1
+            parts.append(marks)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _pooled_links(docs: DataFrame, lists: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between members of lists that lie in different components."""
+    main = lists.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("pool"))
+    members = lists.join(main, "sig").select("pool", "cls", "c").distinct()
+    reps = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
+    sets = _sets(docs.join(reps, "doc_id", "left_semi"), n).dropDuplicates(["cls"])
+    members = materialize(members.join(sets, "cls"))
+    block = lambda count, size: F.ceil(count / size).cast("int")
+    outside = F.count_if(F.col("c") != F.col("pool"))
+    plan = materialize(members.groupBy("pool").agg(block(F.count("*"), MEMBER_BLOCK).alias("mbs"), block(outside, OUTSIDE_BLOCK).alias("obs")))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+    dealt = members.join(plan.where("obs > 0"), "pool")
+    left = dealt.where("c <> pool").withColumn("ob", F.pmod(F.xxhash64("cls", F.lit(1)), "obs")).withColumn("mb", every("mbs"))
+    right = dealt.withColumn("mb", F.pmod(F.xxhash64("cls", F.lit(2)), "mbs")).withColumn("ob", every("obs"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        same = overlaps(list(x["tokens"]), list(y["tokens"]))
+        size = x["tokens"].map(len).to_numpy()[:, None] + y["tokens"].map(len).to_numpy()[None, :]
+        i, j = np.nonzero((100 * same >= percent * (size - same)) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]))
+        a, b = x["cls"].to_numpy()[i], y["cls"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    columns, key = ["pool", "ob", "mb", "cls", "c", "tokens"], ["pool", "ob", "mb"]
+    return materialize(left.select(columns).groupBy(key).cogroup(right.select(columns).groupBy(key)).applyInPandas(run, "a long, b long").distinct())
+
+
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """The columns of docs for one document of each component: the one with the least doc_id.
 

@@ -45,6 +45,9 @@ SHORT_LIST = 16
 #: Sets to a block of members outside, and of all members, of pooled long lists.
 OUTSIDE_BLOCK, MEMBER_BLOCK = 512, 1024
 
+#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[[32, *range(9, 14)]] = 0
@@ -216,6 +219,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with these ids. A short list of ids is broadcast, which saves a shuffle of texts."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _pairs(left, right) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
@@ -237,7 +245,7 @@ class _Verifier:
         pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b"))
         close = pairs.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         reps = close.select(F.col("rep_a").alias("doc_id")).union(close.select("rep_b")).distinct()
-        sets = materialize(_sets(self.docs.join(reps, "doc_id", "left_semi"), self.n).dropDuplicates(["cls"]))
+        sets = materialize(_sets(_only(self.docs, materialize(reps)), self.n).dropDuplicates(["cls"]))
         of = lambda c: sets.toDF(c, f"t_{c}")
         both = close.select("a", "b", "n_a", "n_b").join(of("a"), "a").join(of("b"), "b")
         both = both.withColumn("same", F.size(F.array_intersect("t_a", "t_b")))
@@ -264,7 +272,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     classes = materialize(prints.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
 
     # posting lists without repeats; lists of one are dropped at once
-    entries = _entries(docs, n, percent, counts, limit).withColumn("r", F.xxhash64("cls", "sig"))
+    entries = _entries(docs, n, percent, counts, limit).withColumn("r", F.xxhash64("cls"))  # lists of one group of copies agree on their leaders
     run, whole = W.Window.partitionBy("sig").orderBy("r", "cls"), W.Window.partitionBy("sig").orderBy("r", "cls").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     entries = entries.withColumn("before", F.lag("cls").over(run)).where("before IS NULL OR before <> cls").drop("before")
     lists = entries.select("sig", "cls", F.count("*").over(whole).alias("m"), F.first("cls").over(whole).alias("l1"), F.nth_value("cls", 2).over(whole).alias("l2")).where("m > 1")
@@ -318,7 +326,7 @@ def _pooled_links(docs: DataFrame, lists: DataFrame, classes: DataFrame, n: int,
     main = lists.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("pool"))
     members = lists.join(main, "sig").select("pool", "cls", "c").distinct()
     reps = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
-    sets = _sets(docs.join(reps, "doc_id", "left_semi"), n).dropDuplicates(["cls"])
+    sets = _sets(_only(docs, materialize(reps)), n).dropDuplicates(["cls"])
     members = materialize(members.join(sets, "cls"))
     block = lambda count, size: F.ceil(count / size).cast("int")
     outside = F.count_if(F.col("c") != F.col("pool"))
@@ -338,7 +346,7 @@ def _pooled_links(docs: DataFrame, lists: DataFrame, classes: DataFrame, n: int,
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     columns, key = ["pool", "ob", "mb", "cls", "c", "tokens"], ["pool", "ob", "mb"]
-    return materialize(left.select(columns).groupBy(key).cogroup(right.select(columns).groupBy(key)).applyInPandas(run, "a long, b long").distinct())
+    return materialize(left.select(columns).groupBy(key).cogroup(right.select(columns).toDF(*columns).groupBy(key)).applyInPandas(run, "a long, b long").distinct())
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:

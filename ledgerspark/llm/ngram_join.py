@@ -10,9 +10,12 @@ alone and frequent ones only in pairs. Sets too small for pairs also index singl
 Candidates are not expanded into all pairs of a posting list. First every member is compared with
 two leaders of its list. Then only members of different components are compared: in short lists by a
 join, in long ones blockwise. Long lists with the same largest component are pooled, and the members
-outside it are compared with all members by matrix products over shared tokens, in groups of two
-blocks of bounded size that return links only. That loses no link between components, which is what
-the result holds.
+outside it are compared with all members by their sketches, in groups of two blocks of bounded size.
+That loses no link between components, which is what the result holds.
+
+A class carries a parity sketch: for each of some buckets, whether it holds an odd number of the
+class's tokens. Two sketches differ in no more buckets than the sets have tokens apart, so a pair
+whose sketches differ in too many is no link, for certain. Only the others' whole sets are compared.
 
 Defined results: a null or empty text has no shingles and is its own component; so is a row with a
 null doc_id (component null). Fewer words than n: the whole sequence is the one shingle. Rows that
@@ -139,8 +142,48 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int)
     return np.concatenate(keys)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parities of a set's buckets, two to four of them to a token and 64 at least."""
+    buckets = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(11) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer buckets, as rows of so many 64-bit words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with that sum of sizes and at least so many tokens apart can reach the similarity."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def close_sketches(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs that may link, by blocks of bounded memory."""
+    by_size = lambda sketches: {k: np.flatnonzero(np.array([len(x) for x in sketches]) == k) for k in {len(x) for x in sketches}}
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, a in by_size(left).items():
+        for m, b in by_size(right).items():
+            if max(k, m) > 2 * min(k, m):
+                continue  # one set has over twice the tokens of the other
+            words = min(k, m) // 8
+            x = _folded(np.frombuffer(b"".join(left[i] for i in a), np.uint64).reshape(len(a), -1), words)
+            y = _folded(np.frombuffer(b"".join(right[j] for j in b), np.uint64).reshape(len(b), -1), words)
+            step = max(1, (1 << 22) // (len(b) * words))
+            for start in range(0, len(a), step):
+                apart = np.bitwise_count(x[start : start + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                i, j = np.nonzero(may_link(apart, n_left[a[start : start + step], None] + n_right[None, b], percent))
+                out_i.append(a[start + i])
+                out_j.append(b[j])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, cls) and, with a bucket, of document counts by bucket."""
+    """Rows of documents (doc_id, n_shingles, cls, sketch) and, with a bucket, of document counts by bucket."""
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -152,26 +195,28 @@ def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
             if small:
                 counts += np.bincount(np.concatenate(small), minlength=BUCKETS)
             none = pa.nulls(len(sets), pa.int32())
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), none], names=["doc_id", "n_shingles", "cls", "bucket"])
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none], names=names)
         there = np.flatnonzero(counts)
-        yield pa.record_batch([pa.nulls(len(there), id_type), pa.array(counts[there]), pa.nulls(len(there), pa.int64()), pa.array(there, pa.int32())], names=["doc_id", "n_shingles", "cls", "bucket"])
+        yield pa.record_batch([pa.nulls(len(there), id_type), pa.array(counts[there]), pa.nulls(len(there), pa.int64()), pa.nulls(len(there), pa.binary()), pa.array(there, pa.int32())], names=names)
 
-    id_type = pa.int64()
-    schema = "doc_id long, n_shingles long, cls long, bucket int"
+    id_type, names = pa.int64(), ["doc_id", "n_shingles", "cls", "sketch", "bucket"]
+    schema = "doc_id long, n_shingles long, cls long, sketch binary, bucket int"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _entries(docs: DataFrame, n: int, percent: int, counts: np.ndarray, limit: int) -> DataFrame:
-    """Rows (sig, cls): the index."""
+    """Rows (sig, cls): the index. A task enters a class once, however many copies it has."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
 
     def run(batches):
+        known: set[int] = set()
         for b in batches:
             sigs, keys = [], []
             for s in shingle_sets(b.column(0), n):
-                if len(s):
+                if len(s) and (key := set_key(s)) not in known:
+                    known.add(key)
                     sigs.append(signatures(s, shared.value, limit, percent))
-                    keys.append(np.full(len(sigs[-1]), set_key(s), np.int64))
+                    keys.append(np.full(len(sigs[-1]), key, np.int64))
             if sigs:
                 yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "cls"])
 
@@ -229,30 +274,43 @@ def _pairs(left, right) -> list:
 
 
 class _Verifier:
-    """Tests candidate pairs of classes; remembers what was tested and the links found."""
+    """Tests candidate pairs of classes and remembers the links found."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, n: int, percent: int):
         self.docs, self.classes, self.n, self.percent = docs, classes, n, percent
-        self.tested = self.links = None
+        self.links = None
+
+    def _by_sketch(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may link, with sizes and representatives."""
+        percent = self.percent
+
+        def run(batches):
+            for b in batches:
+                size = np.add(b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
+                apart = np.zeros(b.num_rows, np.int64)
+                for i, (x, y) in enumerate(zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), strict=True)):
+                    words = min(len(x), len(y)) // 8
+                    x, y = (_folded(np.frombuffer(z, np.uint64)[None, :], words) for z in (x, y))
+                    apart[i] = np.bitwise_count(x ^ y).sum()
+                yield b.filter(pa.array(may_link(apart, size, percent))).select(names)
+
+        names = ["a", "b", "n_a", "n_b", "rep_a", "rep_b"]
+        side = lambda c: self.classes.select("cls", "n_shingles", "rep", "sketch").toDF(c, f"n_{c}", f"rep_{c}", f"sketch_{c}")
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
     def add(self, pairs: DataFrame) -> bool:
         """Whether there are new links."""
-        pairs = pairs.where("a <> b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        sizes = self.classes.select("cls", F.col("n_shingles").alias("n"), "rep")
-        side = lambda c: sizes.toDF(c, f"n_{c}", f"rep_{c}")
-        pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b"))
-        close = pairs.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        reps = close.select(F.col("rep_a").alias("doc_id")).union(close.select("rep_b")).distinct()
-        sets = materialize(_sets(_only(self.docs, materialize(reps)), self.n).dropDuplicates(["cls"]))
-        of = lambda c: sets.toDF(c, f"t_{c}")
-        both = close.select("a", "b", "n_a", "n_b").join(of("a"), "a").join(of("b"), "b")
+        close = materialize(self._by_sketch(pairs.where("a <> b").distinct()))
+        reps = materialize(close.select(F.col("rep_a").alias("doc_id")).union(close.select("rep_b")).distinct())
+        sets = materialize(_sets(_only(self.docs, reps), self.n))
+        of = lambda c: (sets if sets.count() == reps.count() else sets.dropDuplicates(["cls"])).toDF(c, f"t_{c}")  # noqa: E731  rows that share a doc_id repeat
+        keys = close.select("a", "b", "n_a", "n_b")
+        both = of("a").join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "a").join(of("b"), "b")
         both = both.withColumn("same", F.size(F.array_intersect("t_a", "t_b")))
         links = materialize(both.where(100 * F.col("same") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b"))
-        release(sets)
-        pairs = pairs.select("a", "b")
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        release(close, reps, sets)
         self.links = links if self.links is None else self.links.union(links)
         return not links.isEmpty()
 
@@ -269,7 +327,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
     mean = counts.mean()
     limit = int(mean + FREQUENT_SD * mean**0.5 + FREQUENT_DOCS)
-    classes = materialize(prints.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
+    classes = materialize(prints.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
 
     # posting lists without repeats; lists of one are dropped at once
     entries = _entries(docs, n, percent, counts, limit).withColumn("r", F.xxhash64("cls"))  # lists of one group of copies agree on their leaders
@@ -288,11 +346,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     if check.add(short.join(other, "sig").where("cls < cls2 AND c <> c2").select(*_pairs(F.col("cls"), F.col("cls2")))):
         labels = components(check.links)
     long = materialize(_open(rest.where(F.col("m") > SHORT_LIST), labels))
-    if not long.isEmpty():
-        labels = components(check.links.union(_pooled_links(docs, long, classes, n, percent)))
-    tags = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if not long.isEmpty() and check.add(_pooled_pairs(long, classes, percent)):
+        labels = components(check.links)
+    tags = classes.drop("sketch").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = tags.groupBy("component").agg(F.min("rep").alias("component_id"))
     names = materialize(tags.join(least, "component").select(F.col("cls").alias("k"), "component_id"))
+    prints = prints.drop("sketch")
     out = prints.join(names, prints["cls"] == names["k"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -304,30 +363,11 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return tagged.join(split, "sig", "left_semi")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections, by products of 0/1 matrices over blocks of shared tokens."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    a, b = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(a, b)
-    rows = [(np.repeat(np.arange(len(x)), [len(s) for s in x]), np.searchsorted(shared, y), np.isin(y, shared)) for x, y in ((left, a), (right, b))]
-    for start in range(0, len(shared), 4096):
-        parts = []
-        for (row, col, there), x in zip(rows, (left, right), strict=True):
-            here = there & (col >= start) & (col < start + 4096)
-            marks = np.zeros((len(x), min(4096, len(shared) - start)), np.float32)
-            marks[row[here], col[here] - start] = 1
-            parts.append(marks)
-        out += parts[0] @ parts[1].T
-    return out
-
-
-def _pooled_links(docs: DataFrame, lists: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between members of lists that lie in different components."""
+def _pooled_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link between members of lists that lie in different components."""
     main = lists.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("pool"))
     members = lists.join(main, "sig").select("pool", "cls", "c").distinct()
-    reps = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
-    sets = _sets(_only(docs, materialize(reps)), n).dropDuplicates(["cls"])
-    members = materialize(members.join(sets, "cls"))
+    members = materialize(members.join(classes.select("cls", "n_shingles", "sketch"), "cls"))
     block = lambda count, size: F.ceil(count / size).cast("int")
     outside = F.count_if(F.col("c") != F.col("pool"))
     plan = materialize(members.groupBy("pool").agg(block(F.count("*"), MEMBER_BLOCK).alias("mbs"), block(outside, OUTSIDE_BLOCK).alias("obs")))
@@ -337,16 +377,13 @@ def _pooled_links(docs: DataFrame, lists: DataFrame, classes: DataFrame, n: int,
     right = dealt.withColumn("mb", F.pmod(F.xxhash64("cls", F.lit(2)), "mbs")).withColumn("ob", every("obs"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        same = overlaps(list(x["tokens"]), list(y["tokens"]))
-        size = x["tokens"].map(len).to_numpy()[:, None] + y["tokens"].map(len).to_numpy()[None, :]
-        i, j = np.nonzero((100 * same >= percent * (size - same)) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]))
-        a, b = x["cls"].to_numpy()[i], y["cls"].to_numpy()[j]
+        i, j = close_sketches(list(x["sketch"]), list(y["sketch"]), x["n_shingles"].to_numpy(), y["n_shingles"].to_numpy(), percent)
+        apart = x["c"].to_numpy()[i] != y["c"].to_numpy()[j]
+        a, b = x["cls"].to_numpy()[i[apart]], y["cls"].to_numpy()[j[apart]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    columns, key = ["pool", "ob", "mb", "cls", "c", "tokens"], ["pool", "ob", "mb"]
-    return materialize(left.select(columns).groupBy(key).cogroup(right.select(columns).toDF(*columns).groupBy(key)).applyInPandas(run, "a long, b long").distinct())
+    columns, key = ["pool", "ob", "mb", "cls", "c", "n_shingles", "sketch"], ["pool", "ob", "mb"]
+    return left.select(columns).groupBy(key).cogroup(right.select(columns).toDF(*columns).groupBy(key)).applyInPandas(run, "a long, b long")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:

@@ -143,8 +143,8 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """The parities of a set's buckets, two to four of them to a token and 64 at least."""
-    buckets = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """The parities of a set's buckets, one to two of them to a token and 64 at least."""
+    buckets = 1 << max(6, int(len(tokens) - 1).bit_length())
     odd = np.bincount((tokens >> np.uint64(11) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -296,8 +296,7 @@ class _Verifier:
 
         names = ["a", "b", "n_a", "n_b", "rep_a", "rep_b"]
         side = lambda c: self.classes.select("cls", "n_shingles", "rep", "sketch").toDF(c, f"n_{c}", f"rep_{c}", f"sketch_{c}")
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
     def add(self, pairs: DataFrame) -> bool:

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words kept per Python worker between batches; beyond it the memory is emptied.
-CACHE_WORDS = 500_000
+#: Words kept per Python worker between batches and tasks; beyond it the memory is emptied.
+CACHE_WORDS = 1_000_000
 NO_PARENT = 1 << 40
 
 
@@ -76,6 +76,7 @@ class BpeModel:
     """Tables of one tokenizer file. Its size is bounded by the vocabulary, so it can be broadcast."""
 
     def __init__(self, path: str):
+        self.path = str(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
@@ -263,11 +264,24 @@ def plain_pattern(pattern: str) -> str:
     return pattern.replace("\\s", SPACES)
 
 
+#: What this Python worker remembers: of one vocabulary and one rendering at a time.
+_REMEMBERED: dict[tuple[str, str], dict] = {}
+
+
+def remembered(path: str, kind: str) -> dict:
+    if (path, kind) not in _REMEMBERED:
+        _REMEMBERED.clear()
+    return _REMEMBERED.setdefault((path, kind), {})
+
+
 class Encoder:
-    """Encodes batches of texts in one Python worker, remembering `render(ids)` of frequent chunks."""
+    """Encodes batches of texts, remembering `render(ids)` of chunks as long as the Python worker lives.
+
+    kind: a name for what render makes; equal names share their memory between tasks.
+    """
 
-    def __init__(self, model: BpeModel, render):
-        self.model, self.render, self.known = model, render, {}
+    def __init__(self, model: BpeModel, render, kind: str, most: int = CACHE_WORDS):
+        self.model, self.render, self.most, self.known = model, render, most, remembered(model.path, kind)
         self.find = re.compile(plain_pattern(model.pattern)).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, model.special)) + ")").split if model.special else None
 
@@ -285,7 +299,7 @@ class Encoder:
     def batch(self, texts: list) -> list[list]:
         """For each text the rendered chunks, in order."""
         split = [chunks_of(x) if x else [] for x in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.most:
             self.known.clear()
         new = list(set(chain.from_iterable(split)).difference(self.known))
         if new:
@@ -321,7 +335,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         names = model.value.names
         text_of = [str(i) for i in range(len(names))]
-        encoder = Encoder(model.value, lambda ids: (" ".join([text_of[i] for i in ids]), " ".join([names[i] for i in ids])))
+        encoder = Encoder(model.value, lambda ids: (" ".join([text_of[i] for i in ids]), " ".join([names[i] for i in ids])), "lines", CACHE_WORDS // 2)
         for b in batches:
             n, ids, decoded = [], [], []
             for parts in encoder.batch(b.column(1).to_pylist()):
@@ -342,7 +356,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     model = broadcast_model(spark, path)
 
     def run(batches):
-        encoder = Encoder(model.value, lambda ids: ids)
+        encoder = Encoder(model.value, lambda ids: ids, "lists")
         for b in batches:
             ids = [list(chain.from_iterable(parts)) for parts in encoder.batch(b.column(1).to_pylist())]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -40,7 +40,7 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     model = broadcast_model(docs.sparkSession, path)
 
     def run(batches):
-        encoder = Encoder(model.value, lambda ids: array("I", ids).tobytes())
+        encoder = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes")
         end = array("I", [end_id]).tobytes()
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []

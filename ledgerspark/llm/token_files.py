@@ -36,7 +36,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None) ->
     model = broadcast_model(spark, path)
 
     def run(batches):
-        encoder = Encoder(model.value, lambda ids: array("I", ids).tobytes())
+        encoder = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes")
         for b in batches:
             yield pa.record_batch([pa.array([b"".join(parts) for parts in encoder.batch(b.column(0).to_pylist())], pa.binary())], names=["ids"])
 

@@ -194,7 +194,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     @F.pandas_udf("struct<toxic_score: double, toxic_passages: array<struct<start: int, end: int, score: double, p: double>>>")
     def scored(series: pd.Series) -> pd.DataFrame:
         m, known = shared.value, _known
-        if len(known) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS // 2:
             known.clear()
         found = [m.passages(t, known) for t in series]
         x = np.array([np.log1p(sum(-np.log(p) for *_, p in f)) for f in found])

@@ -15,10 +15,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(text, y) of the sample; distinct texts, so that copies do not weigh more. Null labels are skipped."""
+    """(text, y) of the sample; distinct texts, so that copies do not weigh more. Null labels are
+    skipped; of different labels of one text or id the larger counts."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     share = rows / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").dropDuplicates(["text"])
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y"))

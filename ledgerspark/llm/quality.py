@@ -25,6 +25,8 @@ from ledgerspark.llm.bpe import small_batches
 from ledgerspark.llm.labelled import training_texts
 from ledgerspark.llm.shared import materialize
 
+#: Partitions of the bounded sample while the rules are fitted: every step of the lasso is a job over them.
+SAMPLE_PARTS = 2
 STATISTICS = ["chars", "words", "word_length", "upper", "digit", "space", "line_feed", "stop", "comma", "bang", "bar", "other_sign", "non_ascii", "top_sign", "distinct_words", "repeats", "distinct_lines", "line_words"]
 
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
@@ -90,7 +92,9 @@ def tree_rules(node, path: Rule = ()) -> list[Rule]:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", trees: int = 20, depth: int = 3, penalty: float = 0.002) -> RuleModel:
     small_batches(docs.sparkSession)
     sample = training_texts(docs, labels, label)
-    rows = materialize(sample.select(statistics_of("text").alias("stats"), F.col("y").cast("double").alias("label")))
+    stats = sample.select(statistics_of("text").alias("stats"), F.col("y").cast("double").alias("label"))
+    # bagging depends on the place of rows in partitions: the same sample must give the same trees
+    rows = materialize(stats.repartition(SAMPLE_PARTS, "stats").sortWithinPartitions("stats", "label"))
     total, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not total or ones in (0, total):
         share = min(1 - 1e-6, max(1e-6, ones / total if total else 0.5))

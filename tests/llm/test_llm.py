@@ -224,6 +224,13 @@ def test_toxicity_held_out(spark):
     assert accuracy >= 0.9 and not any(r["predicted"] for r in rows if not r["toxic"])
 
 
+def test_quality_rules_do_not_depend_on_row_order(spark):
+    docs, labels = queries.read(spark, SF, "documents"), queries.read(spark, SF, "labels")
+    fitted = [quality.fit_quality(d, labels, trees=3, depth=2) for d in (docs, docs.repartition(5, "source").orderBy(F.desc("doc_id")))]
+    assert fitted[0].rules == fitted[1].rules
+    assert np.allclose(fitted[0].weights, fitted[1].weights)
+
+
 def test_quality_held_out(spark):
     assert held_out_accuracy(spark, "op10_quality", "quality")[1] >= 0.85
 

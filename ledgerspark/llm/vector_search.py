@@ -29,6 +29,8 @@ CHUNK_ROWS, BLOCK_QUERIES = 4096, 1024
 MAX_CELLS = 512
 #: The index is fitted on at most so many vectors, chosen by hash of the id.
 SAMPLE = 20_000
+#: Queries scored at once in a group, pairs reranked at once, and what rounding may add to a score.
+RERANK_QUERIES, RERANK_PAIRS, ROUNDING = 64, 1 << 15, 1e-9
 
 
 def _as_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +232,50 @@ class IvfPq:
             scores += (queries[:, a:b] @ self.books[j].T)[:, codes[:, j]]
         return scores
 
+    def errors(self, rows: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Norms of what the codes leave out of rows of one list: no score of a unit query is further off."""
+        rest = rows - self.centres[cell]
+        for j, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+            rest[:, a:b] -= self.books[j][codes[:, j]]
+        return np.sqrt((rest**2).sum(1))
+
+
+def _edge(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row, as a column."""
+    return np.partition(scores, -k, axis=1)[:, -k][:, None] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
+
+
+def rerank(model: IvfPq, cell: int, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best exact scores of each unit query among rows of one list.
+
+    By the codes a score is known up to the row's error; only rows that cannot reach the k-th best
+    lower bound are left out, so near copies with equal codes are all scored exactly.
+    """
+    error, out = model.errors(rows, cell, codes), []
+    for start in range(0, len(queries), RERANK_QUERIES):
+        q, mine = queries[start : start + RERANK_QUERIES], own[start : start + RERANK_QUERIES]
+        guess = np.where(mine[:, None] == ids[None, :], -np.inf, model.approximate(q, cell, codes))
+        may = (guess + error >= _edge(guess - error, k) - ROUNDING) & (guess > -np.inf)
+        some = np.flatnonzero(may.any(axis=0))
+        near = np.where(may[:, some], q @ rows[some].T, -np.inf)
+        row, col = np.nonzero((near >= _edge(near, k) - ROUNDING) & (near > -np.inf))
+        col = some[col]
+        # A matrix product rounds by place: rows near the edge are summed alike, so that copies tie.
+        exact = np.concatenate([(q[row[i : i + RERANK_PAIRS]] * rows[col[i : i + RERANK_PAIRS]]).sum(1) for i in range(0, max(1, len(row)), RERANK_PAIRS)])
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((row[first] + start, col[first], exact[first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     size = np.sqrt((rows**2).sum(1))[:, None]
     return np.where(size > 0, rows / np.where(size > 0, size, 1), np.nan)
 
 
-def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, shortlist: int = 64, parts: int = 16) -> DataFrame:
-    """The k largest cosines found for each id divisible by `every`: probe, shortlist by codes, rerank exactly."""
+def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, parts: int = 16) -> DataFrame:
+    """The k largest cosines found for each id divisible by `every`: probe, rule out by codes, rerank exactly."""
     spark = vectors.sparkSession
     base = materialize(prepared(vectors, _unit))
     count = base.count()
@@ -266,12 +304,8 @@ def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, shortlist
         ids, own = chunk["id"].to_numpy(), block["query_id"].to_numpy()
         q, rows = _matrix(block["q"]), _matrix(chunk["v"])
         codes = np.frombuffer(b"".join(chunk["codes"]), np.uint8).reshape(len(chunk), -1)
-        row, col = best_k(shared.value.approximate(q, int(chunk["cell"].iloc[0]), codes), own, ids, shortlist)
-        exact = (q[row] * rows[col]).sum(1)
-        order = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pd.DataFrame({"query_id": own[row[first]], "id": ids[col[first]], "score": exact[first]})
+        row, col, exact = rerank(shared.value, int(chunk["cell"].iloc[0]), q, own, rows, ids, codes, k)
+        return pd.DataFrame({"query_id": own[row], "id": ids[col], "score": exact})
 
     wanted = materialize(queries.mapInArrow(probe, "query_id long, cell int"))
     return ranked(solve(data.select("cell", "id", "v", "codes"), wanted, queries, local), k)

@@ -211,6 +211,35 @@ def test_approximate_top_k_recall(spark):
     assert vector_search.approximate_top_k(odd.where(F.lit(False))).count() == 0
 
 
+def test_approximate_top_k_recall_in_a_group_of_near_copies(spark):
+    """Near copies share their codes, far more of them than any short list of candidates."""
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=64) + 0.02 * rng.normal(size=(2000, 64))
+    rows = np.concatenate([near, rng.normal(size=(1000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in vector_search.approximate_top_k(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -np.inf)
+    asked = range(0, 2000, 50)
+    assert np.mean([len(got[q] & {*np.argsort(-scores[q])[:5].tolist()}) / 5 for q in asked]) >= 0.9
+
+
+def test_rerank_is_exact_in_a_chunk():
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([rng.normal(size=16) + 0.01 * rng.normal(size=(700, 16)), rng.normal(size=(300, 16))])
+    rows = np.concatenate([rows, rows[:50]])
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    model, ids = vector_search.IvfPq(rows, 1, 4, 5), rng.permutation(len(rows))
+    codes = model.codes(rows, np.zeros(len(rows), int))
+    row, col, score = vector_search.rerank(model, 0, rows[::5], ids[::5], rows, ids, codes, 5)
+    for n, q in enumerate(rows[::5]):
+        want = sorted((-s, i) for s, i in zip((q * rows).sum(1).tolist(), ids.tolist()) if i != ids[5 * n])[:5]
+        assert [(-s, i) for s, i in zip(score[row == n].tolist(), ids[col[row == n]].tolist())] == want
+
+
 def held_out_accuracy(spark, name, label):
     out = queries.queries()[name](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

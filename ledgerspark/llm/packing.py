@@ -164,8 +164,11 @@ def _solve(pieces: DataFrame, size: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to materialized pieces; sequence ids are negative for full pieces."""
-    pieces = pieces.withColumn("pid", F.monotonically_increasing_id())
+    """Adds sequence_id and offset to pieces; sequence ids are negative for full pieces.
+
+    A piece's number is stored with it: a second plan of the same scan may number rows otherwise.
+    """
+    pieces = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()))
     open_pieces = pieces.where(F.col("length") < size).select("pid", "length")
     first = materialize(_solve(open_pieces, size))
     bins = first.groupBy("problem", "bin").agg(F.sum("length").alias("fill"))
@@ -180,4 +183,4 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces_of(docs, path, size, end_id)), size)
+    return pack(pieces_of(docs, path, size, end_id), size)

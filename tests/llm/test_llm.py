@@ -152,6 +152,37 @@ def test_packing_is_whole_and_dense(spark, awkward, tokenizer):
     assert packing.pack_documents(empty(awkward), queries.TOKENIZER).count() == 0
 
 
+def test_packing_does_not_depend_on_how_a_scan_is_split(spark, tmp_path, monkeypatch):
+    """As if executors were lost between two plans: the stored pieces are split otherwise after the first solve."""
+    rng = np.random.default_rng(9)
+    pieces = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(50, 4097, 4000))]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    for part in range(8):
+        spark.createDataFrame(pieces[part::8], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+    solve, keys = packing._solve, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(k) for k in keys]
+
+    def solved(*args):
+        out = solve(*args)
+        for k in keys:
+            spark.conf.set(k, "1000b")
+        return out
+
+    monkeypatch.setattr(packing, "_solve", solved)
+    try:
+        rows = packing.pack(spark.read.parquet(f"{tmp_path}/p")).collect()
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in rows) == list(range(4000))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 4096
+
+
 def brute_lines(rows):
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)

@@ -1,17 +1,24 @@
 """Licence scan: the Dice coefficient of word bigrams against licence templates.
 
-Units of a document are its lines, its paragraphs (runs of lines that are not blank) and the whole
-text, each in full. A template is compared only if the numbers of distinct bigrams allow the
-coefficient to reach the threshold.
-
-Defined results: a null or empty text has no unit and no licence; units of one word have no bigrams
-and match nothing; of equal coefficients the template first in TEMPLATES wins, of equal units the
-first; repeated rows are scanned each.
+Units of a document are its lines, its paragraphs (runs of lines that are not blank), the whole text,
+and for each template every window of as many words as the template has, anywhere in the text and
+across lines. A template is compared only with texts, and its windows only around places, that share
+enough bigrams for the coefficient to reach the threshold.
+
+Defined results: units that reach the threshold and overlap are one match, the one whose coefficient
+times shared bigrams is largest (so a notice is not taken for the shorter one inside it), then the
+kind in the order above, the first place, the template first in TEMPLATES; n_matches counts these. The
+best match is that of the largest coefficient, the first of equals. A null or empty text has no unit
+and no licence; units of one word have no bigrams and match nothing; repeated rows are scanned each.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
+from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +26,8 @@ from pyspark.sql import types as T
 
 from ledgerspark.llm.bpe import small_batches
 
-#: Public licence notices and short licence texts.
+#: Public licence notices, short licence texts and, from license_texts, full ones.
+#: AGPL-3.0 there is the GPL-3.0 with the AGPL's names and section 13; it was not compared with the official text.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -33,52 +41,104 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
+_TEXTS = sorted((f for f in (resources.files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+TEMPLATES += [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in _TEXTS]
 THRESHOLD = 0.8
 _WORDS = re.compile(r"[^\W_]+").findall
-
-
-def bigrams(text: str) -> set[tuple[str, str]]:
-    """The distinct neighbouring words of a normalised text: lower case, letters and digits only."""
-    words = _WORDS(text.lower())
-    return set(zip(words, words[1:], strict=False))
+KINDS = ["line", "paragraph", "text", "window"]
 
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
-        self.threshold, self.templates = threshold, [(name, bigrams(text)) for name, text in templates]
-        self.least = min(len(g) for _, g in self.templates) * threshold / (2 - threshold)
-        self.vocabulary = {w for _, g in self.templates for pair in g for w in pair}
-
-    def best(self, unit: str) -> tuple[float, str] | None:
-        """The best template that reaches the threshold."""
-        words = _WORDS(unit.lower())
-        if len(words) - 1 < self.least or len(self.vocabulary.intersection(words)) < 2:
-            return None
-        grams, out = set(zip(words, words[1:], strict=False)), None
-        for name, g in self.templates:
-            if 2 * min(len(g), len(grams)) < self.threshold * (len(g) + len(grams)):
+        self.threshold, self.names = threshold, [name for name, _ in templates]
+        words = [_WORDS(text.lower()) for _, text in templates]
+        self.sizes = [len(w) - 1 for w in words]
+        self.grams = [set(zip(w, w[1:], strict=False)) for w in words]
+        #: A unit has at least as many distinct bigrams as it shares, so it must share so many.
+        self.least = [max(1, int(-(-(threshold * len(g) / (2 - threshold) - 1e-9) // 1))) for g in self.grams]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for t, grams in enumerate(self.grams):
+            for g in grams:
+                self.holders.setdefault(g, []).append(t)
+        self.known = frozenset(self.holders)
+
+    def windows(self, grams: list[tuple[str, str]], t: int) -> Iterator[tuple[int, float, int]]:
+        """(shared bigrams, coefficient, start) of every window of the template's length that reaches the threshold."""
+        own, least, size = self.grams[t], self.least[t], self.sizes[t]
+        at = [i for i, g in enumerate(grams) if g in own]
+        ranges: list[list[int]] = []  # starts of windows with enough places that share a bigram
+        for first, last in zip(at, at[least - 1 :], strict=False):
+            a, b = max(0, last - size + 1), min(first, len(grams) - size)
+            if a > b:
                 continue
-            dice = 2 * len(g & grams) / (len(g) + len(grams))
-            if dice >= self.threshold and (out is None or dice > out[0]):
-                out = dice, name
-        return out
+            if ranges and a <= ranges[-1][1] + 1:
+                ranges[-1][1] = b
+            else:
+                ranges.append([a, b])
+        for a, b in ranges:
+            held = Counter(grams[a : a + size])
+            shared = len(own.intersection(held))
+            for start in range(a, b + 1):
+                dice = 2 * shared / (len(held) + len(own))
+                if dice >= self.threshold:
+                    yield shared, dice, start
+                if start < b:
+                    gone, new = grams[start], grams[start + size]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                        shared -= gone in own
+                    if new not in held:
+                        shared += new in own
+                    held[new] += 1
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, str]]:
-        """(unit, first line, coefficient, licence) of every matching unit."""
+        """(unit, first line, coefficient, licence) of every match, in the order of the text."""
         if not text:
             return []
-        lines = text.split("\n")
-        units = [("line", i, line) for i, line in enumerate(lines) if line]
+        lines, words, starts = text.split("\n"), [], [0]
+        for line in lines:
+            words += _WORDS(line.lower())
+            starts.append(len(words))
+        held = Counter(t for g in self.known.intersection(zip(words, words[1:], strict=False)) for t in self.holders[g])
+        live = [t for t, n in sorted(held.items()) if n >= self.least[t]]
+        if not live:
+            return []
+        units = [(0, i, i + 1) for i in range(len(lines))]
         start = 0
         for i in range(len(lines) + 1):
             if i == len(lines) or not lines[i].strip():
                 if i - start > 1:
-                    units.append(("paragraph", start, "\n".join(lines[start:i])))
+                    units.append((1, start, i))
                 start = i + 1
         if len(lines) > 1:
-            units.append(("text", 0, text))
-        return [(kind, i, *hit) for kind, i, unit in units if (hit := self.best(unit))]
+            units.append((2, 0, len(lines)))
+        grams, found = list(zip(words, words[1:], strict=False)), []  # (-weight, kind, first word, template, end, coefficient, line)
+        for kind, i, j in units:
+            a, b = starts[i], starts[j]
+            unit = set(grams[a : max(a, b - 1)])
+            for t in live:
+                shared = len(unit & self.grams[t])
+                dice = 2 * shared / (len(unit) + len(self.grams[t]))
+                if dice >= self.threshold:
+                    found.append((-shared * dice, kind, a, t, b, dice, i))
+        for t in live:
+            for shared, dice, a in self.windows(grams, t):
+                found.append((-shared * dice, 3, a, t, a + self.sizes[t] + 1, dice, bisect(starts, a) - 1))
+        begins, matches = [], []
+        for _, kind, a, t, b, dice, line in sorted(found):
+            at = bisect(begins, a)
+            if (at and matches[at - 1][1] > a) or (at < len(begins) and begins[at] < b):
+                continue
+            begins.insert(at, a)
+            matches.insert(at, (a, b, (KINDS[kind], line, dice, self.names[t])))
+        return [m for *_, m in matches]
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

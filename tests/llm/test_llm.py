@@ -327,6 +327,38 @@ def test_licenses(spark, awkward):
     assert licenses.scan_licenses(empty(awkward)).count() == 0
 
 
+def test_licenses_inside_longer_texts():
+    texts = {n: max((x for m, x in licenses.TEMPLATES if m == n), key=len) for n, _ in licenses.TEMPLATES}
+    other = " ".join(f"word{i}" for i in range(200))
+    gpl = next(x for n, x in licenses.TEMPLATES if n == "GPL-3.0" and x.startswith("This program"))
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    found = lambda text: [x[3] for x in scanner.scan(text)]
+    assert found("All the code here is Released under the MIT License, as far as anyone knows today.") == ["MIT"]
+    assert found(gpl.replace("This program is distributed", "\n\nThis program is distributed") + "\n\n" + other) == ["GPL-3.0"]
+    assert found("Copyright (c) 2020 A. Author\n\n" + texts["BSD-2-Clause"] + "\n" + other) == ["BSD-2-Clause"]
+    assert found(other + "\n" + texts["BSD-3-Clause"].replace("copyright holder nor", "University nor") + other) == ["BSD-3-Clause"]
+    for name in ("Apache-2.0", "MIT", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "AGPL-3.0"):
+        assert found(f"{other}\n{texts[name]}\n{other}") == [name], name
+    assert found(other) == []
+
+
+def test_license_windows_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        template = " ".join(rng.choice(list("abcd"), rng.integers(3, 8)))
+        scanner, own = licenses.Scanner([("x", template)], 0.8), len(template.split())
+        lines = [" ".join(rng.choice(list("abcdefg"), rng.integers(0, 7))) for _ in range(4)]
+        words = " ".join(lines).split()
+        sets = lambda w: set(zip(w, w[1:]))
+        dice = lambda w: 2 * len(sets(w) & sets(template.split())) / max(1, len(sets(w)) + len(sets(template.split())))
+        windows = [words[i : i + own] for i in range(len(words) - own + 1)]
+        got = scanner.scan("\n".join(lines))
+        blank = [i for i, x in enumerate(lines) if not x] + [4]
+        paragraphs = [" ".join(lines[a + 1 : b]).split() for a, b in zip([-1, *blank], blank)]
+        best = max([dice(w) for w in [*windows, words, *paragraphs, *[x.split() for x in lines]]])
+        assert bool(got) == (best >= 0.8) and all(0.8 <= x[2] <= best + 1e-12 for x in got)
+
+
 def test_token_counts(spark, awkward, tokenizer, tmp_path):
     awkward.coalesce(2).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")

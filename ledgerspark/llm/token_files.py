@@ -17,8 +17,9 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ledgerspark.llm.bpe import Encoder, broadcast_model, small_batches
@@ -27,23 +28,54 @@ from ledgerspark.llm.shared import shared_dir
 #: The end-of-document id: the first that no 16-bit vocabulary has. Its bytes are a valid text.
 END = 1 << 16
 BLOCK_TOKENS = 1 << 16
+_END_TEXT = array("I", [END]).tobytes().decode("latin-1")
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
-    """Encode every document and write flat files, one a task, with END behind each document."""
+    """Encode every document and write flat files, one a task, with END behind each document.
+
+    The same pass writes, under the folder's kind=rows, each document's place in the task's file and
+    its doc_id; the flat files are in the returned kind=ids. Both bear the task's number, so they
+    belong together however docs was planned.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     model = broadcast_model(spark, path)
 
     def run(batches):
-        encoder = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes")
+        encoder, place = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes"), 0
         for b in batches:
-            yield pa.record_batch([pa.array([b"".join(parts) for parts in encoder.batch(b.column(0).to_pylist())], pa.binary())], names=["ids"])
+            ids = [b"".join(parts) for parts in encoder.batch(b.column(0).to_pylist())]
+            rows = [f"{place + i} {row}".encode() for i, row in enumerate(b.column(1).to_pylist())]
+            place += len(ids)
+            yield pa.record_batch([pa.array(ids + rows, pa.binary()), pa.array(["ids"] * len(ids) + ["rows"] * len(rows))], names=["value", "kind"])
 
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    end = array("I", [END]).tobytes().decode("latin-1")
-    docs.select("text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end).text(folder)
-    return folder
+    named = docs.select("text", F.to_json(F.struct(F.col("doc_id").alias("id"))).alias("row"))
+    out = named.mapInArrow(run, "value binary, kind string").withColumn("value", F.col("value").cast("string"))
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8")  # both files open at once: rows are not sorted by kind, which could change their order
+    try:
+        out.write.partitionBy("kind").option("lineSep", _END_TEXT).option("maxRecordsPerFile", 0).text(folder)
+    finally:
+        spark.conf.set(key, before)
+    for kind in ("ids", "rows"):  # a table without rows writes neither
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/kind={kind}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    return f"{folder}/kind=ids"
+
+
+def rows_of(spark: SparkSession, folder: str, doc_id: T.DataType) -> DataFrame:
+    """(part, ordinal, doc_id) of the documents written with the flat files in this folder."""
+    rows = spark.read.schema("value string").option("lineSep", _END_TEXT).text(folder.removesuffix("kind=ids") + "kind=rows")
+    cut = F.split("value", " ", 2)
+    row = F.from_json(cut[1], T.StructType([T.StructField("id", doc_id)]))
+    return rows.select(_part(F.col("_metadata.file_name")).alias("part"), cut[0].cast("long").alias("ordinal"), row["id"].alias("doc_id"))
+
+
+def _part(name: Column) -> Column:
+    return F.regexp_extract(name, r"part-(\d+)[^/]*$", 1).cast("long")
 
 
 def block_report(ids: np.ndarray, first: int, end: int) -> tuple[int, int, list[int]]:
@@ -79,13 +111,14 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
 
 
 def count_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and n_tokens of every row of a stored table: written to flat files, counted from them.
+    """doc_id and n_tokens of every row of docs: written to flat files, counted from them.
 
-    A task's file keeps the order of its rows, so a row is known by its task and its place in it;
-    docs must be a plain scan, whose tasks are the same in both passes.
+    A row is known by its task's file and its place there, both stored by the pass that wrote the
+    file. A document without a count, or a count without its document, is an error.
     """
     folder = write_token_files(docs, path)
-    counts = count_tokens(docs.sparkSession, folder).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part"), "ordinal", "n_tokens")
-    place = F.monotonically_increasing_id()
-    rows = docs.select("doc_id", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return rows.join(counts, ["part", "ordinal"]).select("doc_id", "n_tokens", "part", "ordinal")
+    counts = count_tokens(docs.sparkSession, folder).select(_part(F.col("file")).alias("part"), "ordinal", "n_tokens", "finished")
+    rows = rows_of(docs.sparkSession, folder, docs.schema["doc_id"].dataType).withColumn("known", F.lit(True))
+    whole = F.coalesce(F.col("known") & F.col("finished"), F.lit(False))
+    n_tokens = F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document and its token count do not match")).cast("long"))
+    return rows.join(counts, ["part", "ordinal"], "full").select("doc_id", n_tokens.alias("n_tokens"), "part", "ordinal")

@@ -366,6 +366,39 @@ def test_token_counts(spark, awkward, tokenizer, tmp_path):
     assert got == sorted((r["doc_id"], len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
 
 
+def test_token_counts_do_not_depend_on_how_a_scan_is_split(spark, tokenizer, tmp_path, monkeypatch):
+    """As if executors were lost between two plans: the documents are split otherwise once the files are written."""
+    texts = {i: "word " * (i % 50) for i in range(400)}
+    for part in range(8):
+        spark.createDataFrame([(i, t) for i, t in texts.items() if i % 8 == part], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    write, keys = token_files.write_token_files, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(k) for k in keys]
+
+    def written(*args):
+        out = write(*args)
+        for k in keys:
+            spark.conf.set(k, "1000b")
+        return out
+
+    monkeypatch.setattr(token_files, "write_token_files", written)
+    try:
+        got = sorted((r["doc_id"], r["n_tokens"]) for r in token_files.count_documents(spark.read.parquet(f"{tmp_path}/d"), queries.TOKENIZER).collect())
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+    assert got == [(i, len(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in sorted(texts.items())]
+
+
+def test_token_counts_without_their_document_fail(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "a"), (2, "a b"), (3, None)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in token_files.count_documents(docs, queries.TOKENIZER).collect()} == {None, 2, 3}
+    assert token_files.count_documents(empty(docs), queries.TOKENIZER).count() == 0
+    count = token_files.count_tokens
+    monkeypatch.setattr(token_files, "count_tokens", lambda *args: count(*args).where("ordinal <> 1"))
+    with pytest.raises(Exception, match="do not match"):
+        token_files.count_documents(docs, queries.TOKENIZER).collect()
+
+
 def test_blocks_are_stitched(spark, tmp_path):
     ids = np.array([5, 6, 65536, 65536, 1, 2, 3, 4, 5, 65536, 9], "<u4")
     (tmp_path / "part-0").write_bytes(ids.tobytes())

@@ -1,8 +1,10 @@
 """Token counts of documents in flat token files that have no index.
 
-A flat file is a run of little-endian 32-bit ids in which END ends every document. Files are read
-whole by tasks (a file must stay below 2 GB; those written here hold one task's documents), cut into
-blocks, and every block is searched for END at once. A block knows nothing of its neighbours: it
+A flat file is a run of little-endian 32-bit ids in which END ends every document. Files are cut into
+blocks, and every block is searched for END at once. Small files are read whole; of larger ones Spark
+deals out byte ranges, read as records of one length, so a file of any size is many tasks. The length
+is the largest up to a block that divides all their sizes: those written here are padded to whole
+blocks, others may have short records (slower). A block knows nothing of its neighbours: it
 reports the place of its last END, its number of ENDs and the lengths between them. A prefix scan over
 the blocks' reports then gives each block the tokens that its first document has in earlier blocks.
 
@@ -12,8 +14,11 @@ null or empty text is a document of no tokens.
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,13 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ledgerspark.llm.bpe import Encoder, broadcast_model, small_batches
-from ledgerspark.llm.shared import shared_dir
+from ledgerspark.llm.shared import materialize, shared_dir
 
 #: The end-of-document id: the first that no 16-bit vocabulary has. Its bytes are a valid text.
 END = 1 << 16
 BLOCK_TOKENS = 1 << 16
+#: Larger files are read in ranges; where written here, PAD ids and an END fill their last block.
+WHOLE_BYTES, PAD = 1 << 25, END + 1
 _END_TEXT = array("I", [END]).tobytes().decode("latin-1")
 
 
@@ -43,12 +50,15 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None) ->
     model = broadcast_model(spark, path)
 
     def run(batches):
-        encoder, place = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes"), 0
+        encoder, place, size = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes"), 0, 0
         for b in batches:
             ids = [b"".join(parts) for parts in encoder.batch(b.column(0).to_pylist())]
             rows = [f"{place + i} {row}".encode() for i, row in enumerate(b.column(1).to_pylist())]
-            place += len(ids)
+            place, size = place + len(ids), size + sum(map(len, ids)) // 4 + len(ids)
             yield pa.record_batch([pa.array(ids + rows, pa.binary()), pa.array(["ids"] * len(ids) + ["rows"] * len(rows))], names=["value", "kind"])
+        if 4 * size > WHOLE_BYTES:
+            fill = array("I", [PAD] * (BLOCK_TOKENS - (size + 1) % BLOCK_TOKENS)).tobytes()
+            yield pa.record_batch([pa.array([fill], pa.binary()), pa.array(["ids"])], names=["value", "kind"])
 
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     named = docs.select("text", F.to_json(F.struct(F.col("doc_id").alias("id"))).alias("row"))
@@ -86,23 +96,66 @@ def block_report(ids: np.ndarray, first: int, end: int) -> tuple[int, int, list[
     return len(at), first + int(at[-1]), np.diff(at, prepend=-1).astype(np.int64).__sub__(1).tolist()
 
 
-def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, ordinal, n_tokens, finished) of every document in the folder's files."""
+def _record_tokens(sizes: list[int], block: int) -> int:
+    """The most tokens, a block at most, of which all these sizes in bytes are a multiple."""
+    tokens, rest = divmod(math.gcd(*sizes), 4)
+    if rest:
+        raise ValueError("a flat file is not a whole number of 32-bit ids")
+    return next(n for n in range(min(block, tokens), 0, -1) if tokens % n == 0)
+
+
+def _joined(records: Iterable[tuple[int, bytes]], size: int) -> Iterator[tuple[int, bytes]]:
+    """Neighbouring records (byte offset, bytes) put together up to this size."""
+    parts, first, held = [], 0, 0
+    for at, value in records:
+        if parts and (held + len(value) > size or at != first + held):
+            yield first, b"".join(parts)
+            parts, held = [], 0
+        first = first if parts else at
+        parts.append(bytes(value))
+        held += len(value)
+    if parts:
+        yield first, b"".join(parts)
+
+
+def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK_TOKENS, pad: int | None = None, whole: int = WHOLE_BYTES) -> DataFrame:
+    """(file, ordinal, n_tokens, finished) of every document in the folder's files.
+
+    Ids `pad` and an end behind one are no document. Files of more than `whole` bytes are read in ranges.
+    """
+
+    def report(ids: np.ndarray, first: int) -> tuple[int, int, int, int, list[int]]:
+        if pad is not None:
+            drop = ids == pad
+            drop[1:] |= (ids[1:] == end) & drop[:-1]
+            ids = ids[~drop]
+        return first, len(ids), *block_report(ids, first, end)
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(content.as_buffer(), "<u4") if content.is_valid and len(content.as_py()) else np.zeros(0, "<u4")
-                rows = [(k, len(ids[a : a + block]), *block_report(ids[a : a + block], a, end)) for k, a in enumerate(range(0, len(ids), block))]
-                if rows:
-                    k, n, ends, last, lengths = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array([name] * len(k)), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(ends, pa.int64()), pa.array(last, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["file", "block", "n", "ends", "last", "lengths"])
+                ids = np.frombuffer(content.as_buffer(), "<u4")
+                k, n, ends, last, lengths = zip(*[report(ids[a : a + block], a) for a in range(0, len(ids), block)], strict=True)
+                yield pa.record_batch([pa.array([name] * len(k)), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(ends, pa.int64()), pa.array(last, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["file", "block", "n", "ends", "last", "lengths"])
 
     small_batches(spark, 1000)
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    reports = files.mapInArrow(run, "file string, block long, n long, ends long, last long, lengths array<long>")
+    fields = "block long, n long, ends long, last long, lengths array<long>"
+    files = spark.read.format("binaryFile").load(folder)
+    reports = files.where((F.col("length") > 0) & (F.col("length") <= whole)).select("path", "content").mapInArrow(run, f"file string, {fields}")
+    large = files.where((F.col("length") > 0) & (F.col("length") > whole)).select("path", "length").collect()  # a name and a size a file
+    if large:
+        size = 4 * _record_tokens([r["length"] for r in large], block)
+        paths = ",".join(re.sub(r"([\\\[\]{}?*,])", r"\\\1", r["path"]) for r in large)
+        hadoop = [f"org.apache.hadoop.{x}" for x in ("mapreduce.lib.input.FixedLengthInputFormat", "io.LongWritable", "io.BytesWritable")]
+        records = spark.sparkContext.newAPIHadoopFile(paths, *hadoop, conf={"fixedlengthinputformat.record.length": str(size)}, batchSize=max(1, min(1000, (1 << 18) // size)))
+        found = records.mapPartitions(lambda it: (report(np.frombuffer(v, "<u4"), at // 4) for at, v in _joined(it, 4 * block)))
+        ranges = spark.createDataFrame(found, fields, verifySchema=False)
+        reports = reports.unionByName(ranges.select(F.input_file_name().alias("file"), *ranges.columns))
+    lengths = materialize(reports)
+    reports = lengths.drop("lengths")  # the scan passes a file's blocks through one task, but not its documents
     before = W.Window.partitionBy("file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
     reports = reports.withColumn("done", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("since", F.coalesce(F.max("last").over(before), F.lit(-1))).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    reports = reports.join(lengths.select("file", "block", "lengths"), ["file", "block"])
     carried = F.col("start") - F.col("since") - 1  # of the first document, in earlier blocks
     ended = reports.select("file", "done", carried.alias("carried"), F.posexplode("lengths").alias("at", "n"))
     ended = ended.select("file", (F.col("done") + F.col("at")).alias("ordinal"), (F.col("n") + F.when(F.col("at") == 0, F.col("carried")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("finished"))
@@ -117,7 +170,7 @@ def count_documents(docs: DataFrame, path: str) -> DataFrame:
     file. A document without a count, or a count without its document, is an error.
     """
     folder = write_token_files(docs, path)
-    counts = count_tokens(docs.sparkSession, folder).select(_part(F.col("file")).alias("part"), "ordinal", "n_tokens", "finished")
+    counts = count_tokens(docs.sparkSession, folder, pad=PAD).select(_part(F.col("file")).alias("part"), "ordinal", "n_tokens", "finished")
     rows = rows_of(docs.sparkSession, folder, docs.schema["doc_id"].dataType).withColumn("known", F.lit(True))
     whole = F.coalesce(F.col("known") & F.col("finished"), F.lit(False))
     n_tokens = F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document and its token count do not match")).cast("long"))

@@ -394,7 +394,7 @@ def test_token_counts_without_their_document_fail(spark, monkeypatch):
     assert {r["doc_id"] for r in token_files.count_documents(docs, queries.TOKENIZER).collect()} == {None, 2, 3}
     assert token_files.count_documents(empty(docs), queries.TOKENIZER).count() == 0
     count = token_files.count_tokens
-    monkeypatch.setattr(token_files, "count_tokens", lambda *args: count(*args).where("ordinal <> 1"))
+    monkeypatch.setattr(token_files, "count_tokens", lambda *args, **named: count(*args, **named).where("ordinal <> 1"))
     with pytest.raises(Exception, match="do not match"):
         token_files.count_documents(docs, queries.TOKENIZER).collect()
 
@@ -408,6 +408,38 @@ def test_blocks_are_stitched(spark, tmp_path):
         assert got == [(0, 2, True), (1, 0, True), (2, 5, True), (3, 1, False)]
 
 
+def test_large_flat_files_are_read_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    want = []
+    for name, n in (("a", 4000), ("b", 999), ("c", 0)):
+        ids = np.where(rng.random(n) < 0.01, 65536, rng.integers(0, 60000, n)).astype("<u4")
+        (tmp_path / name).write_bytes(ids.tobytes())
+        cut = np.flatnonzero(ids == 65536)
+        want += [(name, k, int(x), True) for k, x in enumerate(np.diff(cut, prepend=-1) - 1)]
+        if n and cut[-1] < n - 1:
+            want.append((name, len(cut), int(n - 1 - cut[-1]), False))
+    conf, key = spark._jsc.hadoopConfiguration(), "mapreduce.input.fileinputformat.split.maxsize"
+    conf.set(key, "1000")
+    try:
+        for block, whole in ((64, 0), (1, 0), (50, 4000)):
+            out = token_files.count_tokens(spark, str(tmp_path), block=block, whole=whole)
+            assert sorted((r["file"].rsplit("/", 1)[1], r["ordinal"], r["n_tokens"], r["finished"]) for r in out.collect()) == sorted(want)
+    finally:
+        conf.unset(key)
+
+
+def test_padded_token_files(spark, tokenizer, monkeypatch):
+    texts = {i: "word " * (i % 30) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(token_files, "WHOLE_BYTES", 0)
+    folder = token_files.write_token_files(docs, queries.TOKENIZER)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(folder).select("length").collect()]
+    counts = token_files.count_tokens(spark, folder, pad=token_files.PAD, whole=0).collect()
+    assert len(counts) == 300 and all(r["finished"] for r in counts)
+    assert sum(r["n_tokens"] for r in counts) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts.values())
+    assert len(sizes) == 2 and all(n % (4 * token_files.BLOCK_TOKENS) == 0 for n in sizes)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -240,6 +240,14 @@ class IvfPq:
         return np.sqrt((rest**2).sum(1))
 
 
+def probed(model: IvfPq, queries: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) of the nearest `probes` lists that hold rows, and of more until they hold `least` rows."""
+    order = np.argsort(np.where(sizes > 0, -queries @ model.centres.T, np.inf), axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]  # rows in the lists that are nearer
+    row, place = np.nonzero((sizes[order] > 0) & ((np.arange(len(sizes)) < model.probes) | (before < least[:, None])))
+    return row, order[row, place]
+
+
 def _edge(scores: np.ndarray, k: int) -> np.ndarray:
     """The k-th best score of each row, as a column."""
     return np.partition(scores, -k, axis=1)[:, -k][:, None] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
@@ -293,12 +301,16 @@ def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, parts: in
 
     data = materialize(base.mapInArrow(index, T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType())])))
     queries = data.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    own = data.where(F.col("id") % every == 0).groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("own"))
+    sizes = np.zeros(len(model.centres), np.int64)
+    for r in data.groupBy("cell").count().collect():  # MAX_CELLS rows at most
+        sizes[r["cell"]] = r["count"]
 
     def probe(batches):
         for b in batches:
             q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            cells = np.argsort(-q @ shared.value.centres.T, axis=1)[:, : shared.value.probes].astype(np.int32)
-            yield pa.record_batch([b.column(0).take(pa.array(np.repeat(np.arange(len(q)), cells.shape[1]))), pa.array(cells.reshape(-1))], names=["query_id", "cell"])
+            row, cell = probed(shared.value, q, sizes, k + b.column(2).to_numpy())
+            yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32))], names=["query_id", "cell"])
 
     def local(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         ids, own = chunk["id"].to_numpy(), block["query_id"].to_numpy()
@@ -307,5 +319,5 @@ def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, parts: in
         row, col, exact = rerank(shared.value, int(chunk["cell"].iloc[0]), q, own, rows, ids, codes, k)
         return pd.DataFrame({"query_id": own[row], "id": ids[col], "score": exact})
 
-    wanted = materialize(queries.mapInArrow(probe, "query_id long, cell int"))
+    wanted = materialize(queries.join(own, "query_id").select("query_id", "q", "own").mapInArrow(probe, "query_id long, cell int"))
     return ranked(solve(data.select("cell", "id", "v", "codes"), wanted, queries, local), k)

@@ -258,6 +258,29 @@ def test_approximate_top_k_recall_in_a_group_of_near_copies(spark):
     assert np.mean([len(got[q] & {*np.argsort(-scores[q])[:5].tolist()}) / 5 for q in asked]) >= 0.9
 
 
+def test_approximate_top_k_fills_small_lists(spark, monkeypatch):
+    """A list of one row and one that is empty: a query probes on until it has seen k other rows."""
+    rng = np.random.default_rng(3)
+    fit = vector_search.IvfPq.__init__
+
+    def fitted(self, *args):
+        fit(self, *args)
+        self.probes = 1
+
+    monkeypatch.setattr(vector_search.IvfPq, "__init__", fitted)
+    rows = [(0, [-1.0, *[0.0] * 7]), (50, [-1.0, *[0.1] * 7]), (50, [-1.0, *[0.1] * 7])]
+    rows += [(i, (np.eye(8)[i % 7 + 1] + 0.01 * rng.normal(size=8)).tolist()) for i in range(1, 3000) if i != 50]
+    got = vector_search.approximate_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).groupBy("query_id").count().collect()
+    assert len(got) == 60 and all(r["count"] == 5 for r in got)
+
+
+def test_empty_lists_use_up_no_probe():
+    model = vector_search.IvfPq(np.eye(8), 8, 2, 5)
+    model.probes = 2
+    row, cell = vector_search.probed(model, np.ones((1, 8)), np.array([0, 0, 1, 1, 9, 1, 0, 1]), np.array([6]))
+    assert (sorted(cell.tolist())) == [2, 3, 4]
+
+
 def test_rerank_is_exact_in_a_chunk():
     rng = np.random.default_rng(6)
     rows = np.concatenate([rng.normal(size=16) + 0.01 * rng.normal(size=(700, 16)), rng.normal(size=(300, 16))])

@@ -4,8 +4,11 @@ Trees grown on a bounded labelled sample give their paths as conjunctive rules;
 regression over the rules keeps few of them; the kept rules are compiled into one Spark column
 expression over the statistics. The statistics are counted over whole texts, one pass each.
 
-Defined results: a null or empty text has all statistics zero and gets a score like any other;
-without labelled rows of both kinds the score is the share of label 1 (0.5 without any).
+Defined results: a null or empty text has all statistics zero and gets a score like any other; rows
+that repeat get the same score each; a row with a null doc_id is scored but never learned from; of
+several labels of one document or text the larger counts; an input column of the score's name is replaced,
+all others are carried along whatever their names; an empty table gives no rows; without labelled
+rows of both kinds the score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +26,12 @@ from pyspark.sql import types as T
 
 from ledgerspark.llm.bpe import small_batches
 from ledgerspark.llm.labelled import training_texts
-from ledgerspark.llm.shared import materialize
+from ledgerspark.llm.shared import free_name, materialize, release
 
-#: Partitions of the bounded sample while the rules are fitted: every step of the lasso is a job over them.
+#: Partitions of the bounded sample while the trees are grown.
 SAMPLE_PARTS = 2
+#: Steps of the lasso, sweeps over its weights in a step, and the change at which it ends.
+LASSO_STEPS, LASSO_SWEEPS, LASSO_END = 50, 200, 1e-7
 STATISTICS = ["chars", "words", "word_length", "upper", "digit", "space", "line_feed", "stop", "comma", "bang", "bar", "other_sign", "non_ascii", "top_sign", "distinct_words", "repeats", "distinct_lines", "line_words"]
 
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
@@ -89,7 +94,55 @@ def tree_rules(node, path: Rule = ()) -> list[Rule]:
     return out
 
 
+def marks_of(rules: list[Rule], stats: np.ndarray) -> np.ndarray:
+    """Whether each rule holds, a row a text."""
+    out = np.ones((len(stats), len(rules)), bool)
+    for j, rule in enumerate(rules):
+        for place, at_most, threshold in rule:
+            out[:, j] &= (stats[:, place] <= threshold) == at_most
+    return out
+
+
+def lasso_logistic(marks: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least mean logistic loss plus penalty times the absolute weights, each
+    multiplied by its mark's standard deviation. Newton steps, each solved by coordinate descent."""
+    spread = marks.std(axis=0)
+    use = np.flatnonzero(spread > 0)
+    x = np.column_stack([(marks[:, use] - marks[:, use].mean(axis=0)) / spread[use], np.ones(len(y))])
+    cost = np.append(np.full(len(use), penalty), 0.0)
+    w = np.append(np.zeros(len(use)), np.log(y.mean() / (1 - y.mean())))
+    loss = lambda v: np.logaddexp(0, -(2 * y - 1) * (x @ v)).mean() + cost @ np.abs(v)
+    now = loss(w)
+    for _ in range(LASSO_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (p - y) / len(y)
+        bend = (x * np.maximum(p * (1 - p), 1e-5)[:, None]).T @ x / len(y)
+        new, pull = w.copy(), slope.copy()  # pull: the slope of the quadratic at `new`
+        for _ in range(LASSO_SWEEPS):
+            most = 0.0
+            for j in range(len(w)):
+                at = bend[j, j] * new[j] - pull[j]
+                change = np.sign(at) * max(0.0, abs(at) - cost[j]) / bend[j, j] - new[j]
+                if change:
+                    new[j] += change
+                    pull += bend[:, j] * change
+                    most = max(most, abs(change))
+            if most < LASSO_END:
+                break
+        step = 1.0
+        while step > 1e-6 and loss(w + step * (new - w)) > now:
+            step /= 2
+        after = loss(w + step * (new - w))
+        if now - after < LASSO_END * now:
+            break
+        w, now = w + step * (new - w), after
+    weights = np.zeros(marks.shape[1])
+    weights[use] = w[:-1] / spread[use]
+    return weights, float(w[-1] - weights @ marks.mean(axis=0))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", trees: int = 20, depth: int = 3, penalty: float = 0.002) -> RuleModel:
+    """Trees, then the lasso over their paths. The lasso is one task over the bounded sample's marks."""
     small_batches(docs.sparkSession)
     sample = training_texts(docs, labels, label)
     stats = sample.select(statistics_of("text").alias("stats"), F.col("y").cast("double").alias("label"))
@@ -97,20 +150,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tree
     rows = materialize(stats.repartition(SAMPLE_PARTS, "stats").sortWithinPartitions("stats", "label"))
     total, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not total or ones in (0, total):
+        release(rows)
         share = min(1 - 1e-6, max(1e-6, ones / total if total else 0.5))
         return RuleModel([], [], float(np.log(share / (1 - share))))
-    data = rows.select(array_to_vector("stats").alias("features"), "label", "stats").cache()
+    data = rows.select(array_to_vector("stats").alias("features"), "label")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.5, seed=7).fit(data)
     rules = list(dict.fromkeys(r for t in forest.trees for r in tree_rules(t._call_java("rootNode"))))
-    marks = data.select(array_to_vector(F.array(*[holds(r, F.col("stats")).cast("double") for r in rules])).alias("features"), "label")
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=100).fit(marks)
-    data.unpersist()
-    kept = [(r, w) for r, w in zip(rules, lasso.coefficients.toArray().tolist(), strict=True) if w]
-    return RuleModel([r for r, _ in kept], [w for _, w in kept], float(lasso.intercept))
+
+    def lasso(frames):
+        whole = pd.concat(list(frames), ignore_index=True)  # TRAINING_ROWS rows at most
+        weights, bias = lasso_logistic(marks_of(rules, np.stack(whole["stats"].to_numpy())), whole["label"].to_numpy(), penalty)
+        yield pd.DataFrame({"place": range(-1, len(rules)), "weight": [bias, *weights]})
+
+    found = rows.coalesce(1).mapInPandas(lasso, "place int, weight double").where("weight <> 0").collect()  # a row a rule
+    release(rows)
+    weight = {r["place"]: r["weight"] for r in found}
+    bias = weight.pop(-1, 0.0)
+    return RuleModel([rules[i] for i in sorted(weight)], [weight[i] for i in sorted(weight)], bias)
 
 
-def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All columns of docs with quality_score, between 0 and 1."""
+def score_quality(docs: DataFrame, model: RuleModel, into: str = "quality_score") -> DataFrame:
+    """All columns of docs and the score, between 0 and 1, in the column `into` (replaced if it is there)."""
     small_batches(docs.sparkSession)
-    scored = docs.withColumn("_stats", statistics_of("text"))
-    return scored.withColumn("quality_score", model.score(F.col("_stats"))).drop("_stats")
+    stats = free_name(docs, "stats")
+    scored = docs.withColumn(stats, statistics_of("text"))
+    keep = [c for c in docs.columns if c.lower() != into.lower()]
+    return scored.select(*keep, model.score(F.col(stats)).alias(into))

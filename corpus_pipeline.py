@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm import labelled, line_dedup, ngram_join, packing, quality, toxicity
 from ledgerspark.llm.queries import GOOD_FROM, TOKENIZER, TOXIC_FROM, read
-from ledgerspark.llm.shared import materialize
+from ledgerspark.llm.shared import free_name, materialize, release
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
     model = quality.fit_quality(docs, read(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where(F.col("quality_score") >= GOOD_FROM).select(*docs.columns)
+    score = free_name(docs, "quality")
+    return quality.score_quality(docs, model, score).where(F.col(score) >= GOOD_FROM).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxic passages do not reach the rejecting score."""
     model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where(F.col("toxic_score") < TOXIC_FROM).select(*docs.columns)
+    score = free_name(docs, "toxic")
+    return toxicity.score_toxicity(docs, model, score).where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, n_lines=free_name(docs, "lines"), n_dropped=free_name(docs, "dropped"))
     length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return out.select(*[length.alias(c) if c == "n_chars" else out[c] for c in docs.columns])
 
@@ -50,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The pieces of the last stage; each stage's table goes when the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return docs

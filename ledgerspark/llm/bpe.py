@@ -18,8 +18,6 @@ import heapq
 import json
 import re
 import sys
-import unicodedata
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 #: Words kept per Python worker between batches and tasks; beyond it the memory is emptied.
 CACHE_WORDS = 1_000_000
@@ -72,6 +72,13 @@ def byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
+
+
 class BpeModel:
     """Tables of one tokenizer file. Its size is bounded by the vocabulary, so it can be broadcast."""
 
@@ -81,7 +88,8 @@ class BpeModel:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
-        self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.normalizer = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).normalizer
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in (*vocab.items(), *self.special.items()):
@@ -249,18 +257,21 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
-@cache
 def _class_of(kind: str) -> str:
-    """The characters of one general category letter (L, N), as ranges for a character class."""
-    is_in = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], is_in, [False]]).astype(np.int8)))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+    """The characters of one general category letter (L, N) as ranges for a character class.
+
+    Python's own tables may be of another Unicode version than the tokenizer's, so that is asked.
+    """
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    runs = Split(Regex(f"[^\\p{{{kind}}}]+"), "removed").pre_tokenize_str("".join(map(chr, points)))
+    return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for _, (a, b) in runs)
 
 
 def plain_pattern(pattern: str) -> str:
     """A pattern with \\p{L} and \\p{N} for Python's own re module; \\s is white space as Unicode defines it."""
-    pattern = pattern.replace("[\\p{L}]", "[" + _class_of("L") + "]").replace("[\\p{N}]", "[" + _class_of("N") + "]")
-    pattern = pattern.replace("\\p{L}", _class_of("L")).replace("\\p{N}", _class_of("N"))
+    for kind in ("L", "N"):
+        named = _class_of(kind)
+        pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[{named}]").replace(f"\\p{{{kind}}}", named)
     return pattern.replace("\\s", SPACES)
 
 
@@ -282,7 +293,7 @@ class Encoder:
 
     def __init__(self, model: BpeModel, render, kind: str, most: int = CACHE_WORDS):
         self.model, self.render, self.most, self.known = model, render, most, remembered(model.path, kind)
-        self.find = re.compile(plain_pattern(model.pattern)).findall
+        self.find, self.normal = re.compile(model.pattern).findall, model.normalizer.normalize_str
         self.cut = re.compile("(" + "|".join(map(re.escape, model.special)) + ")").split if model.special else None
 
     def _words(self, chunk: str) -> list:
@@ -290,9 +301,7 @@ class Encoder:
         if self.cut and "<" in chunk and len(parts := self.cut(chunk)) > 1:
             return [y for x in parts if x for y in ([self.model.special[x]] if x in self.model.special else self._words(x))]
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-            chunk = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
-            return [x.encode() for x in self.find(chunk)]
+            return [x.encode() for x in self.find(self.normal(chunk))]  # composed and lower-cased
         chunk = chunk.lower()
         return [chunk.encode()] if chunk.isalpha() else [x.encode() for x in self.find(chunk)]
 

@@ -50,3 +50,32 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of old with equal keys; the others stay."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def semi(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """Rows whose key the other side has."""
+    return left.join(right.select(F.col(other).alias("_o")), F.col(key) == F.col("_o"), "left_semi")
+
+
+def anti(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """Rows whose key the other side lacks; nulls of the other side match nothing and hide nothing."""
+    return left.join(right.where(F.col(other).isNotNull()).select(F.col(other).alias("_o")), F.col(key) == F.col("_o"), "left_anti")
+
+
+def indexed_or_scanned(df: DataFrame, key: str, index: DataFrame, known: DataFrame, scan: Column) -> DataFrame:
+    """Rows that the index has, and of the keys it knows nothing of those that a scan finds."""
+    hits = semi(df, index, key, key).withColumn("found_by", F.lit("index"))
+    return hits.unionByName(anti(df, known, key, key).where(scan).withColumn("found_by", F.lit("scan")))
+
+
+def with_titles(texts: DataFrame, key: str, text: str, titles: DataFrame, title_key: str, title: str, words: int) -> DataFrame:
+    """(title key, text key) where the title's first words follow each other in the text.
+
+    Both sides become runs of so many words, which are joined by equality: no text meets every title.
+    """
+    run = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z]+)"), 1)
+    heads = titles.select(title_key, F.slice(run(F.col(title)), 1, words).alias("_w")).where(F.size("_w") == words)
+    places = F.sequence(F.lit(1), F.greatest(F.size("_w") - (words - 1), F.lit(1)))
+    runs = F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("_w", i, words), " ")))
+    shingles = texts.select(key, run(F.col(text)).alias("_w")).select(key, F.explode(runs).alias("_s"))
+    return shingles.join(heads.select(title_key, F.array_join("_w", " ").alias("_s")), "_s").select(title_key, key).distinct()

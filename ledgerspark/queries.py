@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerspark.functions import expressions as X
 from ledgerspark.operators import aggregates as A
@@ -14,39 +10,10 @@ from ledgerspark.operators import filters as L
 from ledgerspark.operators import quality_checks as Q
 from ledgerspark.operators import relations as R
 from ledgerspark.operators import search as S
-from ledgerspark.plans.facts import FACTS_SQL, facts, read
+from ledgerspark.registry import LATEST, ORACLES, PREVIOUS, QUERIES, YEARS, on_facts, on_table, ysum
 from ledgerspark.streaming.incremental import windowed_counts
 
-LATEST, PREVIOUS = "2001", "2000"
-YEARS = ["1998", "1999", "2000", "2001"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def on_facts(name: str, sql: str | None = None):
-    """Register a query of the fact view; its SQL continues after `WITH facts AS (...)`."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(facts(spark, sf_dir))
-        if sql:
-            ORACLES[name] = f"WITH {FACTS_SQL}{sql}"
-        return f
-
-    return add
-
-
-def on_table(name: str, table: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(read(spark, sf_dir, table))
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def ysum(year: str) -> str:
-    return f"sum(CASE WHEN fiscal_year = '{year}' THEN amount END)"
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # filters, pages, sets
@@ -355,3 +322,7 @@ def _(df):
 @on_table("ext_windowed_events", "events", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(df):
     return windowed_counts(df)
+
+
+# the rest of the catalog registers itself
+from ledgerspark import catalog  # noqa: E402, F401

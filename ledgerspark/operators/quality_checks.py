@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerspark.functions.expressions import fiscal_year_of_path
-from ledgerspark.operators.relations import first_by
+from ledgerspark.functions.expressions import all_of, fiscal_year_of_path
+from ledgerspark.operators.relations import anti, first_by
 
 #: What makes two fact rows the same line.
 LINE_KEY = ["fiscal_year", "pe_number", "line_item_title", "organization_name", "exhibit_type", "amount_type", "appropriation_code"]
 
 
-def missing_years(df: DataFrame, group: str) -> DataFrame:
-    """(group, year) pairs without rows; both sides are distinct values, a few hundred at most."""
-    there = df.select(group, "fiscal_year").distinct()
-    return there.select(group).distinct().join(there.select("fiscal_year").distinct(), how="cross").join(there, [group, "fiscal_year"], "left_anti")
-
-
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -40,9 +36,14 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def one_row_a_line(df: DataFrame) -> DataFrame:
-    """Of rows of the same line the one whose file is of its own year, then the last file, then the least key."""
+    """Of rows of the same line the one whose file is of its own year, then the last file, then the least key.
+
+    A minimum by group: rows are combined before the shuffle, and no group is sorted.
+    """
     own = F.when(fiscal_year_of_path(F.col("source_file")) == F.col("fiscal_year"), 0).otherwise(1)
-    return first_by(df, LINE_KEY, [own, F.desc("source_file"), F.asc("order_key"), F.asc("line_item"), F.asc("amount")])
+    files = df.groupBy(*LINE_KEY, "source_file").agg(F.min(F.struct("order_key", "line_item", "amount")).alias("_v"))
+    best = files.groupBy(*LINE_KEY).agg(F.min(own).alias("_own"), F.max(F.struct(-own, "source_file", "_v")).alias("_b"))
+    return best.select(*LINE_KEY, "_b.source_file", "_b._v.order_key", "_b._v.line_item", "_b._v.amount")
 
 
 def canonical_titles(df: DataFrame, key: str, title: str) -> DataFrame:
@@ -71,3 +72,55 @@ def text_audit(docs: DataFrame) -> DataFrame:
     blank = F.size(F.filter(lines, lambda x: F.trim(x) == ""))
     foreign = F.length(text) - F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
     return docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.length(F.trim(text)) < 20).alias("short"), F.count_if(blank * 2 > F.size(lines)).alias("blank"), F.count_if(foreign * 100 > F.length(text) * 15).alias("foreign"))
+
+
+def all_zero(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of which every amount is missing or zero."""
+    return df.where(all_of(F.coalesce(c, F.lit(0)) == 0 for c in columns))
+
+
+def cells(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, column_name, value) of every cell."""
+    return df.unpivot(keys, columns, "column_name", "value")
+
+
+def rollup_mismatches(df: DataFrame, keys: list[str], is_total, more_than: float) -> DataFrame:
+    """Keys whose total rows and detail rows differ by more than an amount; both in one pass."""
+    sums = df.groupBy(*keys).agg(F.sum(F.when(is_total, F.col("amount"))).alias("x"), F.sum(F.when(~is_total, F.col("amount"))).alias("y"))
+    return sums.where(F.abs(F.col("x") - F.col("y")) > more_than).select(*keys, F.col("x").cast("double").alias("total"), F.col("y").cast("double").alias("detail"))
+
+
+def unknown_values(df: DataFrame, column: str, known: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): values that no column of the known table has; every known name is one key of one equi join."""
+    names = known.select(F.explode(F.array(*columns)).alias(column)).distinct()
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).join(names, column, "left_anti")
+
+
+def null_rate(df: DataFrame, column: str, limit: float) -> DataFrame:
+    """The share of rows without a value and whether it is over the limit: one row."""
+    rate = F.avg(F.col(column).isNull().cast("double"))
+    return df.agg(F.round(rate, 4).alias("rate"), (rate > limit).alias("too_high"))
+
+
+def orphans(edges: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """(edge, n) of (name, table, its key, parent, its key): keys that the parent lacks."""
+    parts = [anti(child.select(key).distinct(), parent, key, other).agg(F.count("*").alias("n")).select(F.lit(name).alias("edge"), "n") for name, child, key, parent, other in edges]
+    return reduce(DataFrame.unionByName, parts)
+
+
+class Checks:
+    """Named checks with a severity; a check is the frame of the rows it objects to."""
+
+    def __init__(self):
+        self.checks: dict[str, tuple[str, DataFrame]] = {}
+
+    def add(self, name: str, severity: str, rows: DataFrame) -> Checks:
+        if severity not in ("info", "warning", "error"):
+            raise ValueError(f"no severity: {severity}")
+        self.checks[name] = (severity, rows)
+        return self
+
+    def report(self, skip: tuple[str, ...] = ()) -> DataFrame:
+        """(name, severity, n, failed), a row a check."""
+        one = lambda name, severity, rows: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), "n", (F.col("n") > 0).alias("failed"))
+        return reduce(DataFrame.unionByName, [one(n, s, r) for n, (s, r) in self.checks.items() if n not in skip])

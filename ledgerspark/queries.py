@@ -263,23 +263,6 @@ def _(df):
 
 # text and scalars
 
-_BM25 = ["the", "license", "error"]
-
-
-def _bm25_sql() -> str:
-    f = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(sorted(_BM25)))
-    n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(_BM25)))
-    idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
-    score = " - ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (1 - 0.75 + 0.75 * size / mean))" for i in range(len(_BM25)))
-    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents), h AS (SELECT doc_id, len(w) AS size, {f} FROM w),
-    t AS (SELECT count(*) AS n, avg(size) AS mean, {n} FROM h) SELECT doc_id, round(0 - {score}, 6) AS score FROM h, t WHERE f0 + f1 + f2 > 0"""
-
-
-@on_table("ft05_ranked_search", "documents", _bm25_sql())
-def _(df):
-    return S.bm25(df, "doc_id", "text", _BM25).select("doc_id", F.round("score", 6).alias("score"))
-
-
 @on_table("ft07_substring_search", "documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under')")
 def _(df):
     return df.where(X.contains_any(["text"], ["Licensed under"])).select("doc_id")

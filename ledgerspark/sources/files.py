@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ledgerspark.functions.expressions import change_percent
 
 
 def read_staged(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,12 +20,61 @@ def write_staged(df: DataFrame, folder: str, by: str = "fiscal_year") -> None:
     df.write.partitionBy(by).mode("overwrite").parquet(folder)
 
 
-def write_csv(df: DataFrame, folder: str) -> None:
-    df.write.option("header", True).mode("overwrite").csv(folder)
+def exported(df: DataFrame, columns: list[str] | None, sort: str | None, descending: bool, limit: int = 10_000, most: int = 100_000) -> DataFrame:
+    """The rows of an export: chosen columns that exist, a sort column that exists, and a limit of at most `most`."""
+    chosen = [c for c in columns or [] if c in df.columns] or df.columns
+    order = [F.desc(sort) if descending else F.asc(sort)] if sort in df.columns else []
+    return df.orderBy(*order, *[c for c in df.columns if c != sort]).limit(max(0, min(limit, most))).select(*chosen)
+
+
+def write_csv(df: DataFrame, folder: str, notes: list[str] = ()) -> None:
+    """One file with `#` lines of notes and a header before the rows; df is a bounded export."""
+    quoted = lambda c: F.when(F.col(c).cast("string").rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), '"', '""'), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    head = [f"# {n}" for n in notes] + [",".join(df.columns)]
+    _write_lines(df, F.concat_ws(",", *[quoted(c) for c in df.columns]), head, folder)
+
+
+def write_json_lines(df: DataFrame, folder: str, metadata: dict[str, str] | None = None) -> None:
+    """One file with a line of metadata, if any, before the rows; df is a bounded export."""
+    head = [json.dumps({"_metadata": metadata})] if metadata else []
+    _write_lines(df, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), head, folder)
+
+
+def _write_lines(df: DataFrame, line: Column, head: list[str], folder: str) -> None:
+    rows = df.coalesce(1).select(line.alias("value"))
+    first = df.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1)
+    first.unionByName(rows).coalesce(1).write.mode("overwrite").text(folder)
+
+
+def program_funding(years: DataFrame) -> DataFrame:
+    """(fiscal_year, amount) of one program with the change against the year before."""
+    before = F.lag("amount").over(Window.orderBy("fiscal_year"))  # a row a year
+    return years.withColumn("change_pct", change_percent(F.col("amount"), before))
+
+
+def page_files(pages: DataFrame, folder: Column, page: str, text: str) -> DataFrame:
+    """(file, text) of every page, null texts empty."""
+    return pages.select(F.concat(folder, F.lit("/page_"), F.col(page).cast("string"), F.lit(".txt")).alias("file"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def write_pages(files: DataFrame, target: str) -> None:
+    """One folder a file: page texts by name, written in parallel."""
+    files.write.partitionBy("file").mode("overwrite").text(target)
+
+
+def report_text(checks: DataFrame) -> str:
+    """A quality report: one line a check (name, severity, n, failed), the gravest first."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    rows = checks.orderBy(F.desc("failed"), rank, "name").collect()  # a row a check
+    return "\n".join(f"{'FAIL' if r['failed'] else 'ok':4} {r['severity']:7} {r['name']}: {r['n']}" for r in rows)
 
 
-def write_json_lines(df: DataFrame, folder: str) -> None:
-    df.write.mode("overwrite").json(folder)
+def dictionary_text(tables: dict[str, DataFrame]) -> str:
+    """A data dictionary in Markdown: the columns and types of every table."""
+    out = []
+    for name, df in tables.items():
+        out += [f"## {name}", "", "| column | type |", "|---|---|", *[f"| {f.name} | {f.dataType.simpleString()} |" for f in df.schema.fields], ""]
+    return "\n".join(out)
 
 
 def select_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -18,9 +18,16 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def changed_files(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Files that are new or differ in size or time (path, size, mtime)."""
-    return found.join(manifest, ["path", "size", "mtime"], "left_anti")
+def changed_files(manifest: DataFrame, found: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Files (path, size, mtime in seconds) that are new, or differ in size or by more than the tolerance in time."""
+    old = manifest.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    same = found.join(old, "path").where((F.col("size") == F.col("_size")) & (F.abs(F.col("mtime") - F.col("_mtime")) <= tolerance))
+    return found.join(same.select("path"), "path", "left_anti")
+
+
+def without_removed(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Rows of files that are still there."""
+    return rows.join(files.select(key).distinct(), key, "left_semi")
 
 
 def replace_by_source(old: DataFrame, new: DataFrame, source: str = "source_file") -> DataFrame:

@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-#: Words kept per Python worker between batches and tasks; beyond it the memory is emptied.
-CACHE_WORDS = 1_000_000
+#: Words kept per Python worker between batches and tasks, in each of two generations: when the younger
+#: is full the older goes, so words that keep coming stay. Some 200 bytes each.
+CACHE_WORDS = 150_000
 NO_PARENT = 1 << 40
 
 
@@ -275,14 +276,33 @@ def plain_pattern(pattern: str) -> str:
     return pattern.replace("\\s", SPACES)
 
 
+class Recent:
+    """What was computed for words lately, in two generations of bounded size."""
+
+    def __init__(self, most: int = CACHE_WORDS):
+        self.most, self.known, self.older = most, {}, {}
+
+    def missing(self, words: set) -> list:
+        """Those of the words that must be computed; the others are in `known` from now on."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        out, known, older = [], self.known, self.older
+        for w in words.difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                out.append(w)
+        return out
+
+
 #: What this Python worker remembers: of one vocabulary and one rendering at a time.
-_REMEMBERED: dict[tuple[str, str], dict] = {}
+_REMEMBERED: dict[tuple[str, str], Recent] = {}
 
 
-def remembered(path: str, kind: str) -> dict:
+def remembered(path: str, kind: str) -> Recent:
     if (path, kind) not in _REMEMBERED:
         _REMEMBERED.clear()
-    return _REMEMBERED.setdefault((path, kind), {})
+    return _REMEMBERED.setdefault((path, kind), Recent())
 
 
 class Encoder:
@@ -291,8 +311,8 @@ class Encoder:
     kind: a name for what render makes; equal names share their memory between tasks.
     """
 
-    def __init__(self, model: BpeModel, render, kind: str, most: int = CACHE_WORDS):
-        self.model, self.render, self.most, self.known = model, render, most, remembered(model.path, kind)
+    def __init__(self, model: BpeModel, render, kind: str):
+        self.model, self.render, self.recent = model, render, remembered(model.path, kind)
         self.find, self.normal = re.compile(model.pattern).findall, model.normalizer.normalize_str
         self.cut = re.compile("(" + "|".join(map(re.escape, model.special)) + ")").split if model.special else None
 
@@ -308,9 +328,8 @@ class Encoder:
     def batch(self, texts: list) -> list[list]:
         """For each text the rendered chunks, in order."""
         split = [chunks_of(x) if x else [] for x in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.known))
+        new = self.recent.missing(set(chain.from_iterable(split)))
+        known = self.recent.known
         if new:
             words = [self._words(c) for c in new]
             flat = list(dict.fromkeys(w for ws in words for w in ws if isinstance(w, bytes)))
@@ -318,8 +337,8 @@ class Encoder:
             if flat:
                 of = dict(zip(flat, self.model.encode_words(flat), strict=True))
             for c, ws in zip(new, words, strict=True):
-                self.known[c] = self.render([t for w in ws for t in (of[w] if isinstance(w, bytes) else [w])])
-        get = self.known.__getitem__
+                known[c] = self.render([t for w in ws for t in (of[w] if isinstance(w, bytes) else [w])])
+        get = known.__getitem__
         return [list(map(get, x)) for x in split]
 
 
@@ -344,7 +363,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         names = model.value.names
         text_of = [str(i) for i in range(len(names))]
-        encoder = Encoder(model.value, lambda ids: (" ".join([text_of[i] for i in ids]), " ".join([names[i] for i in ids])), "lines", CACHE_WORDS // 2)
+        encoder = Encoder(model.value, lambda ids: (" ".join([text_of[i] for i in ids]), " ".join([names[i] for i in ids])), "lines")
         for b in batches:
             n, ids, decoded = [], [], []
             for parts in encoder.batch(b.column(1).to_pylist()):

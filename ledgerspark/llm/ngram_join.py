@@ -48,6 +48,9 @@ SHORT_LIST = 16
 #: Sets to a block of members outside, and of all members, of pooled long lists.
 OUTSIDE_BLOCK, MEMBER_BLOCK = 512, 1024
 
+#: Texts hashed at once; that takes some 30 times their bytes.
+BATCH_ROWS = 200
+
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -317,7 +320,7 @@ class _Verifier:
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(_fingerprints(docs, n))
     prints = seen.where("bucket IS NULL").drop("bucket")

@@ -261,11 +261,18 @@ def chunks_of(text: str) -> list[str]:
 def _class_of(kind: str) -> str:
     """The characters of one general category letter (L, N) as ranges for a character class.
 
-    Python's own tables may be of another Unicode version than the tokenizer's, so that is asked.
+    Python's own tables may be of another Unicode version than the tokenizer's, so that is asked, in
+    blocks that keep the driver's memory small.
     """
-    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
-    runs = Split(Regex(f"[^\\p{{{kind}}}]+"), "removed").pre_tokenize_str("".join(map(chr, points)))
-    return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for _, (a, b) in runs)
+    cut, ranges = Split(Regex(f"[^\\p{{{kind}}}]+"), "removed"), []
+    for first in range(0, sys.maxunicode + 1, 1 << 12):
+        points = [c for c in range(first, first + (1 << 12)) if not 0xD800 <= c <= 0xDFFF]
+        for _, (a, b) in cut.pre_tokenize_str("".join(map(chr, points))) if points else []:
+            if ranges and ranges[-1][1] == points[a] - 1:
+                ranges[-1][1] = points[b - 1]
+            else:
+                ranges.append([points[a], points[b - 1]])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
 def plain_pattern(pattern: str) -> str:

@@ -206,7 +206,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> To
                 counts.update(round(model.weight(c), 1) for c in text.split())
         yield pd.DataFrame({"value": list(counts.keys()), "n": list(counts.values())})
 
-    clean = sample.where("y = 0").mapInPandas(clean_scores, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).toPandas()
+    clean = sample.where("y = 0").mapInPandas(clean_scores, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     size = float(clean["n"].sum())
     values = np.append(clean["value"].to_numpy(), max(words.values())) - DRIFT
     model.rate = _solve_rate(values, np.append(clean["n"].to_numpy(), 1.0) / (size + 1))
@@ -218,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> To
         found = [model.segments(t, known) for t in texts]
         return pd.DataFrame({"words": [n for n, _ in found], "best": [max((s for *_, s in x), default=0.0) for _, x in found]})
 
-    best = sample.where("y = 0").select(maxima("text").alias("m")).select("m.*").toPandas()  # TRAINING_ROWS rows at most
+    best = sample.where("y = 0").select(maxima("text").alias("m")).select("m.*").toArrow().to_pandas()  # TRAINING_ROWS rows at most
     model.scale = fit_scale(best["words"].to_numpy(dtype=float), best["best"].to_numpy(), model.rate, least)
 
     @F.pandas_udf("double")
@@ -226,7 +226,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> To
         known: dict[str, float] = {}
         return pd.Series([model.evidence(t, known) for t in texts])
 
-    seen = sample.select(evidence("text").alias("x"), "y").toPandas()  # TRAINING_ROWS rows at most
+    seen = sample.select(evidence("text").alias("x"), "y").toArrow().to_pandas()  # TRAINING_ROWS rows at most
     release(sample)
     model.slope, model.bias = _logistic(seen["x"].to_numpy(), seen["y"].to_numpy(dtype=float))
     return model

@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files that have no index.
 
-A flat file is a run of little-endian 32-bit ids in which END ends every document. Files are cut into
-blocks, and every block is searched for END at once. Small files are read whole; of larger ones Spark
+A flat file is a run of little-endian numbers of 16 bits (32 for large vocabularies), each an id plus
+one; END, zero, ends every document. Files are cut into blocks, and every block is searched for END at once. Small files are read whole; of larger ones Spark
 deals out byte ranges, read as records of one length, so a file of any size is many tasks. The length
 is the largest up to a block that divides all their sizes: those written here are padded to whole
 blocks, others may have short records (slower). A block knows nothing of its neighbours: it
@@ -9,7 +9,8 @@ reports the place of its last END, its number of ENDs and the lengths between th
 the blocks' reports then gives each block the tokens that its first document has in earlier blocks.
 
 Defined results: ids after a file's last END are an unfinished document; an empty file has none; a
-null or empty text is a document of no tokens.
+null or empty text is a document of no tokens; rows that repeat are counted each; a null doc_id is
+kept; columns other than doc_id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +28,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ledgerspark.llm.bpe import Encoder, broadcast_model, small_batches
+from ledgerspark.llm.bpe import Encoder, broadcast_model, small_batches, vocabulary_size
 from ledgerspark.llm.shared import materialize, shared_dir
 
-#: The end-of-document id: the first that no 16-bit vocabulary has. Its bytes are a valid text.
-END = 1 << 16
+#: The end-of-document number. Its bytes are a valid text.
+END = 0
 BLOCK_TOKENS = 1 << 16
-#: Larger files are read in ranges; where written here, PAD ids and an END fill their last block.
-WHOLE_BYTES, PAD = 1 << 25, END + 1
-_END_TEXT = array("I", [END]).tobytes().decode("latin-1")
+#: Larger files are read in ranges; where written here, pads (all bits set) and an END fill their last block.
+WHOLE_BYTES = 1 << 25
+
+
+def width_of(vocabulary: int) -> int:
+    """Bytes of a number in the flat files of a vocabulary of that size: ids plus one, END and the pad fit."""
+    return 2 if vocabulary < (1 << 16) - 1 else 4
+
+
+def pad_of(width: int) -> int:
+    return (1 << 8 * width) - 1
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str | None = None) -> str:
@@ -48,16 +57,18 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None) ->
     spark = docs.sparkSession
     small_batches(spark)
     model = broadcast_model(spark, path)
+    width = width_of(vocabulary_size(path))
+    code, end_text = {2: "H", 4: "I"}[width], "\0" * width
 
     def run(batches):
-        encoder, place, size = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes"), 0, 0
+        encoder, place, size = Encoder(model.value, lambda ids: array(code, [i + 1 for i in ids]).tobytes(), f"stored {code}"), 0, 0
         for b in batches:
             ids = [b"".join(parts) for parts in encoder.batch(b.column(0).to_pylist())]
             rows = [f"{place + i} {row}".encode() for i, row in enumerate(b.column(1).to_pylist())]
-            place, size = place + len(ids), size + sum(map(len, ids)) // 4 + len(ids)
+            place, size = place + len(ids), size + sum(map(len, ids)) // width + len(ids)
             yield pa.record_batch([pa.array(ids + rows, pa.binary()), pa.array(["ids"] * len(ids) + ["rows"] * len(rows))], names=["value", "kind"])
-        if 4 * size > WHOLE_BYTES:
-            fill = array("I", [PAD] * (BLOCK_TOKENS - (size + 1) % BLOCK_TOKENS)).tobytes()
+        if width * size > WHOLE_BYTES:
+            fill = array(code, [pad_of(width)] * (BLOCK_TOKENS - (size + 1) % BLOCK_TOKENS)).tobytes()
             yield pa.record_batch([pa.array([fill], pa.binary()), pa.array(["ids"])], names=["value", "kind"])
 
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -67,7 +78,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None) ->
     before = spark.conf.get(key)
     spark.conf.set(key, "8")  # both files open at once: rows are not sorted by kind, which could change their order
     try:
-        out.write.partitionBy("kind").option("lineSep", _END_TEXT).option("maxRecordsPerFile", 0).text(folder)
+        out.write.partitionBy("kind").option("lineSep", end_text).option("maxRecordsPerFile", 0).text(folder)
     finally:
         spark.conf.set(key, before)
     for kind in ("ids", "rows"):  # a table without rows writes neither
@@ -76,9 +87,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None) ->
     return f"{folder}/kind=ids"
 
 
-def rows_of(spark: SparkSession, folder: str, doc_id: T.DataType) -> DataFrame:
+def rows_of(spark: SparkSession, folder: str, doc_id: T.DataType, width: int) -> DataFrame:
     """(part, ordinal, doc_id) of the documents written with the flat files in this folder."""
-    rows = spark.read.schema("value string").option("lineSep", _END_TEXT).text(folder.removesuffix("kind=ids") + "kind=rows")
+    rows = spark.read.schema("value string").option("lineSep", "\0" * width).text(folder.removesuffix("kind=ids") + "kind=rows")
     cut = F.split("value", " ", 2)
     row = F.from_json(cut[1], T.StructType([T.StructField("id", doc_id)]))
     return rows.select(_part(F.col("_metadata.file_name")).alias("part"), cut[0].cast("long").alias("ordinal"), row["id"].alias("doc_id"))
@@ -96,11 +107,11 @@ def block_report(ids: np.ndarray, first: int, end: int) -> tuple[int, int, list[
     return len(at), first + int(at[-1]), np.diff(at, prepend=-1).astype(np.int64).__sub__(1).tolist()
 
 
-def _record_tokens(sizes: list[int], block: int) -> int:
+def _record_tokens(sizes: list[int], block: int, width: int) -> int:
     """The most tokens, a block at most, of which all these sizes in bytes are a multiple."""
-    tokens, rest = divmod(math.gcd(*sizes), 4)
+    tokens, rest = divmod(math.gcd(*sizes), width)
     if rest:
-        raise ValueError("a flat file is not a whole number of 32-bit ids")
+        raise ValueError("a flat file is not a whole number of ids")
     return next(n for n in range(min(block, tokens), 0, -1) if tokens % n == 0)
 
 
@@ -118,12 +129,14 @@ def _joined(records: Iterable[tuple[int, bytes]], size: int) -> Iterator[tuple[i
         yield first, b"".join(parts)
 
 
-def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK_TOKENS, pad: int | None = None, whole: int = WHOLE_BYTES) -> DataFrame:
-    """(file, ordinal, n_tokens, finished) of every document in the folder's files.
+def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int = BLOCK_TOKENS, pad: int | None = None, whole: int = WHOLE_BYTES, width: int = 2) -> DataFrame:
+    """(file, ordinal, n_tokens, finished) of every document in the folder's files of numbers of `width` bytes.
 
-    Ids `pad` and an end behind one are no document. Files of more than `whole` bytes are read in ranges.
+    Numbers `pad` and an end behind one are no document. Files of more than `whole` bytes are read in ranges.
     """
 
+    stored = f"<u{width}"
+
     def report(ids: np.ndarray, first: int) -> tuple[int, int, int, int, list[int]]:
         if pad is not None:
             drop = ids == pad
@@ -134,7 +147,7 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(content.as_buffer(), "<u4")
+                ids = np.frombuffer(content.as_buffer(), stored)
                 k, n, ends, last, lengths = zip(*[report(ids[a : a + block], a) for a in range(0, len(ids), block)], strict=True)
                 yield pa.record_batch([pa.array([name] * len(k)), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(ends, pa.int64()), pa.array(last, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["file", "block", "n", "ends", "last", "lengths"])
 
@@ -144,11 +157,11 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
     reports = files.where((F.col("length") > 0) & (F.col("length") <= whole)).select("path", "content").mapInArrow(run, f"file string, {fields}")
     large = files.where((F.col("length") > 0) & (F.col("length") > whole)).select("path", "length").collect()  # a name and a size a file
     if large:
-        size = 4 * _record_tokens([r["length"] for r in large], block)
+        size = width * _record_tokens([r["length"] for r in large], block, width)
         paths = ",".join(re.sub(r"([\\\[\]{}?*,])", r"\\\1", r["path"]) for r in large)
         hadoop = [f"org.apache.hadoop.{x}" for x in ("mapreduce.lib.input.FixedLengthInputFormat", "io.LongWritable", "io.BytesWritable")]
         records = spark.sparkContext.newAPIHadoopFile(paths, *hadoop, conf={"fixedlengthinputformat.record.length": str(size)}, batchSize=max(1, min(1000, (1 << 18) // size)))
-        found = records.mapPartitions(lambda it: (report(np.frombuffer(v, "<u4"), at // 4) for at, v in _joined(it, 4 * block)))
+        found = records.mapPartitions(lambda it: (report(np.frombuffer(v, stored), at // width) for at, v in _joined(it, width * block)))
         ranges = spark.createDataFrame(found, fields, verifySchema=False)
         reports = reports.unionByName(ranges.select(F.input_file_name().alias("file"), *ranges.columns))
     lengths = materialize(reports)
@@ -170,8 +183,9 @@ def count_documents(docs: DataFrame, path: str) -> DataFrame:
     file. A document without a count, or a count without its document, is an error.
     """
     folder = write_token_files(docs, path)
-    counts = count_tokens(docs.sparkSession, folder, pad=PAD).select(_part(F.col("file")).alias("part"), "ordinal", "n_tokens", "finished")
-    rows = rows_of(docs.sparkSession, folder, docs.schema["doc_id"].dataType).withColumn("known", F.lit(True))
+    width = width_of(vocabulary_size(path))
+    counts = count_tokens(docs.sparkSession, folder, pad=pad_of(width), width=width).select(_part(F.col("file")).alias("part"), "ordinal", "n_tokens", "finished")
+    rows = rows_of(docs.sparkSession, folder, docs.schema["doc_id"].dataType, width).withColumn("known", F.lit(True))
     whole = F.coalesce(F.col("known") & F.col("finished"), F.lit(False))
     n_tokens = F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document and its token count do not match")).cast("long"))
     return rows.join(counts, ["part", "ordinal"], "full").select("doc_id", n_tokens.alias("n_tokens"), "part", "ordinal")

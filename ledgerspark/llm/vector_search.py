@@ -5,8 +5,9 @@ to a chunk only the queries that may find something there, in blocks of bounded
 block) is one group; it is solved with matrix products and returns at most k rows per query.
 
 Defined results: vectors that are null, hold a null or non-finite component, or differ in length from
-most vectors take no part; a query never finds rows of its own id; repeated rows are separate
-candidates; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table none.
+most vectors take no part, nor do rows with a null id; a query never finds rows of its own id; of rows
+that share a query's id the least vector asks; repeated rows are separate candidates; ties go to the
+smaller id; fewer candidates than k give fewer rows; an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ledgerspark.llm.bpe import small_batches
-from ledgerspark.llm.shared import materialize
+from ledgerspark.llm.shared import materialize, release
 
 #: Rows to a chunk of data and queries to a block: a group's memory.
 CHUNK_ROWS, BLOCK_QUERIES = 4096, 1024
-MAX_CELLS = 512
-#: The index is fitted on at most so many vectors, chosen by hash of the id.
-SAMPLE = 20_000
+#: Cells grow with the square root of the rows up to this number (broadcast: 8 bytes a component each).
+MAX_CELLS = 4096
+#: Pivots and the index are fitted on at most so many vectors, or CELL_SAMPLE a cell, chosen by hash of the id.
+SAMPLE, CELL_SAMPLE = 20_000, 16
+#: Rows to a cell at least; bands of distance that a large cell is split into, and cells solved first, in the exact join.
+CELL_ROWS, BANDS, HOME_CELLS = 1024, 16, 3
 #: Queries scored at once in a group, pairs reranked at once, and what rounding may add to a score.
 RERANK_QUERIES, RERANK_PAIRS, ROUNDING = 64, 1 << 15, 1e-9
 
@@ -75,8 +79,29 @@ def prepared(vectors: DataFrame, change: Callable[[np.ndarray], np.ndarray]) ->
 
 def sample_of(vectors: DataFrame, rows: int) -> np.ndarray:
     """At most so many vectors, the same ones each time."""
-    got = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toPandas()["v"]
-    return _matrix(got) if len(got) else np.zeros((0, 1))
+    got = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").toArrow()["v"].combine_chunks()
+    return got.values.to_numpy(zero_copy_only=False).reshape(len(got), -1).copy() if len(got) else np.zeros((0, 1))
+
+
+def cells_of(count: int) -> int:
+    """Cells for so many rows."""
+    return max(1, min(MAX_CELLS, count // CELL_ROWS, int(count**0.5) // 2))
+
+
+def asking(data: DataFrame, every: int) -> DataFrame:
+    """(query_id, q): the rows that are queries, one an id."""
+    return data.where(F.col("id") % every == 0).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("q"))
+
+
+def kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    centres = rows[rng.permutation(len(rows))[: min(k, len(rows))]].copy()
+    for _ in range(rounds):
+        near = ((centres**2).sum(1)[None, :] - 2 * rows @ centres.T).argmin(axis=1)
+        sums, counts = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(sums, near, rows)
+        full = counts > 0
+        centres[full] = sums[full] / counts[full, None]
+    return centres
 
 
 def best_k(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,29 +155,39 @@ def _whole(rows: np.ndarray) -> np.ndarray:
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k largest inner products of floor(256 x) for each id divisible by `every`.
 
-    First each query is solved in its own cell; its k-th score there is a bound. By Cauchy-Schwarz no
-    score in a cell exceeds q.p + |q| r (pivot p, radius r), so only cells that reach the bound get
-    the query. A query without k rows in its own cell goes to every cell.
+    Cells around pivots are split into bands by the distance from the pivot. First each query is solved in
+    the HOME_CELLS cells of the largest q.p (pivot p); its k-th score there is a bound. By Cauchy-Schwarz no
+    row of a band exceeds q.p + |q| d (its largest distance d), so only bands that reach the bound get the
+    query. A query without k rows in its first cells goes to every band.
     """
     spark = vectors.sparkSession
     base = materialize(prepared(vectors, _whole))
-    pivots = sample_of(base, min(MAX_CELLS, max(1, base.count() // 1024)))
+    count = base.count()
+    if not count:
+        return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
+    cells = cells_of(count)
+    pivots = kmeans(sample_of(base, max(SAMPLE, CELL_SAMPLE * cells)), cells, np.random.default_rng(3))
     shared = spark.sparkContext.broadcast(pivots)  # MAX_CELLS vectors at most
 
     def assign(batches):
         p = shared.value
         for b in batches:
             rows = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            far = (rows**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * rows @ p.T
-            cell = far.argmin(axis=1)
+            cell = ((p**2).sum(1)[None, :] - 2 * rows @ p.T).argmin(axis=1)
             dist = np.sqrt(((rows - p[cell]) ** 2).sum(1))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["id", "v", "cell", "dist"])
-
-    data = materialize(base.mapInArrow(assign, T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())])))
-    radius = np.full(len(pivots), -np.inf)
-    for r in data.groupBy("cell").agg(F.max("dist").alias("r")).collect():  # MAX_CELLS rows at most
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["id", "v", "near", "dist"])
+
+    data = materialize(base.mapInArrow(assign, T.StructType([*base.schema.fields, T.StructField("near", T.IntegerType()), T.StructField("dist", T.DoubleType())])))
+    edges = F.percentile_approx("dist", F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)]), F.lit(1000))
+    wanted_bands = F.least(F.lit(BANDS), F.ceil(F.count("*") / CHUNK_ROWS).cast("int"))
+    bands = data.groupBy("near").agg(F.when(wanted_bands > 1, edges).otherwise(F.array().cast("array<double>")).alias("edges"))  # MAX_CELLS rows at most
+    data = data.join(F.broadcast(bands), "near").withColumn("cell", F.col("near") * BANDS + F.size(F.filter("edges", lambda x: x < F.col("dist")))).drop("edges")
+    data = materialize(data)
+    radius = np.full(len(pivots) * BANDS, -np.inf)
+    for r in data.groupBy("cell").agg(F.max("dist").alias("r")).collect():  # MAX_CELLS * BANDS rows at most
         radius[r["cell"]] = r["r"]
-    queries = data.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("cell").alias("home")).dropDuplicates(["query_id"])
+    queries = materialize(asking(data, every))
+    rows = data.select("cell", "id", "v")
 
     def local(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         ids, own = chunk["id"].to_numpy(), block["query_id"].to_numpy()
@@ -160,47 +195,41 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         row, col = best_k(scores, own, ids, k)
         return pd.DataFrame({"query_id": own[row], "id": ids[col], "score": scores[row, col]})
 
-    rows = data.select("cell", "id", "v")
-    home = materialize(solve(rows, queries.select("query_id", F.col("home").alias("cell")), queries.select("query_id", "q"), local))
-    bound = ranked(home, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-
     def reach(batches):
-        p, r = shared.value, radius
+        p, there = shared.value, np.flatnonzero(radius > -np.inf)
         for b in batches:
             q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            low = np.array([-np.inf if x is None else x for x in b.column(3).to_pylist()])
-            most = q @ p.T + np.sqrt((q**2).sum(1))[:, None] * r[None, :]
-            slack = 1e-9 * np.abs(most) + 1e-6  # rounding of the root and the radius
-            row, cell = np.nonzero((most + slack >= low[:, None]) & (np.arange(len(p))[None, :] != b.column(2).to_numpy()[:, None]) & (r > -np.inf)[None, :])
-            yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32))], names=["query_id", "cell"])
-
-    wanted = queries.join(bound, "query_id", "left").select("query_id", "q", "home", "bound").mapInArrow(reach, "query_id long, cell int")
-    away = solve(rows, materialize(wanted), queries.select("query_id", "q"), local)
-    return ranked(home.unionByName(away), k).withColumn("score", F.col("score").cast("long"))
+            to_pivot = q @ p.T
+            first = np.argsort(-to_pivot, axis=1, kind="stable")[:, :HOME_CELLS]
+            at_home = (there[None, :, None] // BANDS == first[:, None, :]).any(axis=2)
+            if b.num_columns == 2:
+                row, part = np.nonzero(at_home)
+            else:
+                low = np.array([-np.inf if x is None else x for x in b.column(2).to_pylist()])
+                most = to_pivot[:, there // BANDS] + np.sqrt((q**2).sum(1))[:, None] * radius[there][None, :]
+                slack = 1e-9 * np.abs(most) + 1e-6  # rounding of the root and the radius
+                row, part = np.nonzero((most + slack >= low[:, None]) & ~at_home)
+            yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(there[part].astype(np.int32))], names=["query_id", "cell"])
+
+    home = materialize(solve(rows, materialize(queries.mapInArrow(reach, "query_id long, cell int")), queries, local))
+    bound = ranked(home, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    wanted = materialize(queries.join(bound, "query_id", "left").select("query_id", "q", "bound").mapInArrow(reach, "query_id long, cell int"))
+    release(base)
+    return ranked(home.unionByName(solve(rows, wanted, queries, local)), k).withColumn("score", F.col("score").cast("long"))
 
 
 # --- approximate: inverted file, product quantisation ----------------------------------------------
 
 
-def kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    centres = rows[rng.permutation(len(rows))[: min(k, len(rows))]].copy()
-    for _ in range(rounds):
-        near = ((centres**2).sum(1)[None, :] - 2 * rows @ centres.T).argmin(axis=1)
-        sums, counts = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
-        np.add.at(sums, near, rows)
-        full = counts > 0
-        centres[full] = sums[full] / counts[full, None]
-    return centres
-
-
 class IvfPq:
-    """Coarse centroids, codebooks of the residuals' parts, and the number of lists to probe.
+    """Coarse centroids, codebooks of the residuals' parts, the number of lists to probe, and a margin of scores.
 
-    Fitted on a bounded sample. The probe count is the least at which queries from the sample find
-    `target` of their exact neighbours within the sample's probed lists.
+    Fitted on a bounded sample. The probe count is the least at which queries from the sample find `target`
+    of their exact neighbours within the sample's probed lists. The margin is how far below the k-th best
+    score by codes all but few (`missed`) of the exact neighbours score by codes.
     """
 
-    def __init__(self, sample: np.ndarray, lists: int, parts: int, k: int, target: float = 0.97):
+    def __init__(self, sample: np.ndarray, lists: int, parts: int, k: int, target: float = 0.95, missed: float = 0.02):
         rng = np.random.default_rng(5)
         self.centres = kmeans(sample, lists, rng)
         dim = sample.shape[1]
@@ -215,6 +244,12 @@ class IvfPq:
         order = np.argsort(np.argsort(-sample[ask] @ self.centres.T, axis=1), axis=1)  # place of each list
         place = np.take_along_axis(order, near[best], axis=1).reshape(-1)
         self.probes = int(np.sort(place)[min(len(place) - 1, int(np.ceil(target * len(place))))]) + 1 if len(place) else 1
+        self.margin = np.inf
+        if len(sample) > k + 1:
+            guess = sample[ask] @ self.decoded(near, self.codes(sample, near)).T
+            guess[np.arange(len(ask)), ask] = -np.inf
+            below = _edge(guess, k) - np.take_along_axis(guess, best, axis=1)
+            self.margin = max(0.0, float(np.quantile(below, 1 - missed))) + ROUNDING
 
     def lists_of(self, rows: np.ndarray) -> np.ndarray:
         return ((self.centres**2).sum(1)[None, :] - 2 * rows @ self.centres.T).argmin(axis=1)
@@ -225,6 +260,9 @@ class IvfPq:
             out.append(((book**2).sum(1)[None, :] - 2 * rest[:, a:b] @ book.T).argmin(axis=1).astype(np.uint8))
         return np.stack(out, axis=1)
 
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.centres[lists] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+
     def approximate(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric scores of all queries against all codes of one list."""
         scores = np.repeat((queries @ self.centres[cell])[:, None], len(codes), axis=1)
@@ -232,13 +270,6 @@ class IvfPq:
             scores += (queries[:, a:b] @ self.books[j].T)[:, codes[:, j]]
         return scores
 
-    def errors(self, rows: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Norms of what the codes leave out of rows of one list: no score of a unit query is further off."""
-        rest = rows - self.centres[cell]
-        for j, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
-            rest[:, a:b] -= self.books[j][codes[:, j]]
-        return np.sqrt((rest**2).sum(1))
-
 
 def probed(model: IvfPq, queries: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, list) of the nearest `probes` lists that hold rows, and of more until they hold `least` rows."""
@@ -253,17 +284,19 @@ def _edge(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, -k, axis=1)[:, -k][:, None] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
 
 
-def rerank(model: IvfPq, cell: int, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best exact scores of each unit query among rows of one list.
-
-    By the codes a score is known up to the row's error; only rows that cannot reach the k-th best
-    lower bound are left out, so near copies with equal codes are all scored exactly.
-    """
-    error, out = model.errors(rows, cell, codes), []
+def _blocks(model: IvfPq, cell: int, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, codes: np.ndarray):
+    """(start, queries, scores by codes) of some queries at a time, the query's own id at minus infinity."""
     for start in range(0, len(queries), RERANK_QUERIES):
         q, mine = queries[start : start + RERANK_QUERIES], own[start : start + RERANK_QUERIES]
-        guess = np.where(mine[:, None] == ids[None, :], -np.inf, model.approximate(q, cell, codes))
-        may = (guess + error >= _edge(guess - error, k) - ROUNDING) & (guess > -np.inf)
+        yield start, q, np.where(mine[:, None] == ids[None, :], -np.inf, model.approximate(q, cell, codes))
+
+
+def rerank(model: IvfPq, cell: int, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, edges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best exact scores of each unit query among the rows of one list whose score by
+    codes reaches the query's edge: however many those are, so near copies with equal codes are all scored exactly."""
+    out = []
+    for start, q, guess in _blocks(model, cell, queries, own, ids, codes):
+        may = (guess >= edges[start : start + len(q), None]) & (guess > -np.inf)
         some = np.flatnonzero(may.any(axis=0))
         near = np.where(may[:, some], q @ rows[some].T, -np.inf)
         row, col = np.nonzero((near >= _edge(near, k) - ROUNDING) & (near > -np.inf))
@@ -278,18 +311,26 @@ def rerank(model: IvfPq, cell: int, queries: np.ndarray, own: np.ndarray, rows:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    size = np.sqrt((rows**2).sum(1))[:, None]
-    return np.where(size > 0, rows / np.where(size > 0, size, 1), np.nan)
+    """Rows of length one; zero vectors become NaN. The largest component is scaled to one first: squares may underflow."""
+    most = np.abs(rows).max(axis=1, initial=0.0)[:, None]
+    rows = np.divide(rows, most, out=np.full_like(rows, np.nan), where=most > 0)
+    return rows / np.sqrt((rows**2).sum(1))[:, None]
 
 
 def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, parts: int = 16) -> DataFrame:
-    """The k largest cosines found for each id divisible by `every`: probe, rule out by codes, rerank exactly."""
+    """The k largest cosines found for each id divisible by `every`.
+
+    First only codes are shuffled: every probed list gives the query's k best scores by codes. The k-th best of
+    them all, less the index's margin, is the query's edge. Then vectors go only where a list has scores that
+    reach the edge of a query, and the rows that do are scored exactly.
+    """
     spark = vectors.sparkSession
     base = materialize(prepared(vectors, _unit))
     count = base.count()
     if not count:
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    model = IvfPq(sample_of(base, SAMPLE), min(MAX_CELLS, max(1, int(count**0.5) // 4)), parts, k)
+    lists = max(1, min(MAX_CELLS, int(count**0.5) // 4))
+    model = IvfPq(sample_of(base, max(SAMPLE, CELL_SAMPLE * lists)), lists, parts, k)
     shared = spark.sparkContext.broadcast(model)  # MAX_CELLS centroids and 256 codewords a part
 
     def index(batches):
@@ -300,8 +341,9 @@ def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, parts: in
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lists.astype(np.int32)), pa.array(codes, pa.binary())], names=["id", "v", "cell", "codes"])
 
     data = materialize(base.mapInArrow(index, T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType())])))
-    queries = data.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    release(base)
     own = data.where(F.col("id") % every == 0).groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("own"))
+    queries = materialize(asking(data, every).join(own, "query_id"))
     sizes = np.zeros(len(model.centres), np.int64)
     for r in data.groupBy("cell").count().collect():  # MAX_CELLS rows at most
         sizes[r["cell"]] = r["count"]
@@ -312,12 +354,27 @@ def approximate_top_k(vectors: DataFrame, k: int = 5, every: int = 50, parts: in
             row, cell = probed(shared.value, q, sizes, k + b.column(2).to_numpy())
             yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32))], names=["query_id", "cell"])
 
-    def local(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        ids, own = chunk["id"].to_numpy(), block["query_id"].to_numpy()
-        q, rows = _matrix(block["q"]), _matrix(chunk["v"])
-        codes = np.frombuffer(b"".join(chunk["codes"]), np.uint8).reshape(len(chunk), -1)
-        row, col, exact = rerank(shared.value, int(chunk["cell"].iloc[0]), q, own, rows, ids, codes, k)
-        return pd.DataFrame({"query_id": own[row], "id": ids[col], "score": exact})
-
-    wanted = materialize(queries.join(own, "query_id").select("query_id", "q", "own").mapInArrow(probe, "query_id long, cell int"))
-    return ranked(solve(data.select("cell", "id", "v", "codes"), wanted, queries, local), k)
+    def coded(chunk: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(chunk["codes"]), np.uint8).reshape(len(chunk), -1)
+
+    def by_codes(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        cell, ids, mine = int(chunk["cell"].iloc[0]), chunk["id"].to_numpy(), block["query_id"].to_numpy()
+        found = []
+        for start, _, guess in _blocks(shared.value, cell, _matrix(block["q"]), mine, ids, coded(chunk)):
+            top = np.sort(np.partition(guess, -k, axis=1)[:, -k:] if guess.shape[1] > k else guess, axis=1)
+            row, place = np.nonzero(top > -np.inf)
+            found.append(pd.DataFrame({"query_id": mine[start + row], "id": np.full(len(row), cell), "score": top[row, place]}))
+        return pd.concat(found, ignore_index=True)
+
+    def exactly(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        ids, mine = chunk["id"].to_numpy(), block["query_id"].to_numpy()
+        row, col, exact = rerank(shared.value, int(chunk["cell"].iloc[0]), _matrix(block["q"]), mine, _matrix(chunk["v"]), ids, coded(chunk), block["edge"].to_numpy(), k)
+        return pd.DataFrame({"query_id": mine[row], "id": ids[col], "score": exact})
+
+    wanted = materialize(queries.mapInArrow(probe, "query_id long, cell int"))
+    guesses = materialize(solve(data.select("cell", "id", "codes"), wanted, queries.select("query_id", "q"), by_codes))
+    kth = ranked(guesses, k).where(F.col("rank") == k).select("query_id", (F.col("score") - model.margin).alias("edge"))
+    edged = materialize(queries.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("edge", F.lit(float("-inf"))).alias("edge")))
+    best = guesses.groupBy("query_id", F.col("id").cast("int").alias("cell")).agg(F.max("score").alias("best"))
+    reached = materialize(best.join(edged.select("query_id", "edge"), "query_id").where("best >= edge").select("query_id", "cell"))
+    return ranked(solve(data.select("cell", "id", "v", "codes"), reached, edged, exactly), k)

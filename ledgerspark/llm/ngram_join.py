@@ -8,7 +8,8 @@ prefix is extended until the possible mismatches cannot explain less. So rare to
 alone and frequent ones only in pairs. Sets too small for pairs also index single frequent tokens.
 
 Candidates are not expanded into all pairs of a posting list. First every member is compared with
-two leaders of its list. Then only members of different components are compared: in short lists by a
+two leaders of its list. Lists that a bounded sample shows to be long are dealt into PARTS parts with
+leaders of their own, which are compared across parts, so that no task holds such a list. Then only members of different components are compared: in short lists by a
 join, in long ones blockwise. Long lists with the same largest component are pooled, and the members
 outside it are compared with all members by their sketches, in groups of two blocks of bounded size.
 That loses no link between components, which is what the result holds.
@@ -40,9 +41,9 @@ BUCKETS = 1 << 18
 #: A token is frequent if its bucket lies so many standard deviations and documents over the mean.
 FREQUENT_SD, FREQUENT_DOCS = 5, 8
 FREQUENT_GROUPS = 16
-#: Sets up to this size also index single frequent tokens. A set can lack pairs only if it has at
-#: most FREQUENT_GROUPS / similarity tokens, its partners at most that / similarity.
-SMALL_SET = 32
+#: Documents of the sample that shows long lists, sightings there that make a list long, members that one
+#: has at least, and its parts.
+LIST_SAMPLE, LONG_SIGHTINGS, LONG_LIST, PARTS = 20_000, 8, 512, 64
 #: Posting lists up to this size are compared by a join where components differ.
 SHORT_LIST = 16
 #: Sets to a block of members outside, and of all members, of pooled long lists.
@@ -117,6 +118,12 @@ def set_key(tokens: np.ndarray) -> int:
         return int(_mix(_mix(tokens + np.uint64(77)).sum(keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64))
 
 
+def small_set(percent: int) -> int:
+    """Sets up to this size also index single frequent tokens. A set can lack pairs only if it has at most
+    FREQUENT_GROUPS / similarity tokens, its partners at most that / similarity."""
+    return -(-FREQUENT_GROUPS * 10_000 // percent**2)
+
+
 def signatures(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int) -> np.ndarray:
     """The index keys of a set. counts: documents by bucket of the hash; over the limit is frequent."""
     size = len(tokens)
@@ -129,7 +136,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, limit: int, percent: int)
         return rare[:need]
     need -= len(rare)
     keys = [rare]
-    if size <= SMALL_SET:
+    if size <= small_set(percent):
         keys.append(_mix(often[:need] + np.uint64(1)))
     group = (often >> np.uint64(20)) % FREQUENT_GROUPS
     order = np.argsort(group, kind="stable")
@@ -171,8 +178,8 @@ def close_sketches(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k, a in by_size(left).items():
         for m, b in by_size(right).items():
-            if max(k, m) > 2 * min(k, m):
-                continue  # one set has over twice the tokens of the other
+            if percent * max(k, m) > 200 * min(k, m):
+                continue  # a sketch has one to two buckets to a token: the sets' sizes are too far apart
             words = min(k, m) // 8
             x = _folded(np.frombuffer(b"".join(left[i] for i in a), np.uint64).reshape(len(a), -1), words)
             y = _folded(np.frombuffer(b"".join(right[j] for j in b), np.uint64).reshape(len(b), -1), words)
@@ -207,23 +214,41 @@ def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _entries(docs: DataFrame, n: int, percent: int, counts: np.ndarray, limit: int) -> DataFrame:
-    """Rows (sig, cls): the index. A task enters a class once, however many copies it has."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
+def _entries(docs: DataFrame, n: int, percent: int, counts: np.ndarray, limit: int, long: np.ndarray) -> DataFrame:
+    """Rows (sig, part, cls): the index. A task enters a class once, however many copies it has.
+
+    long: the sorted signatures of long lists; their members are dealt into parts from 1 by class.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((counts, long))  # BUCKETS numbers, and a bounded list
 
     def run(batches):
         known: set[int] = set()
+        counts, long = shared.value
         for b in batches:
             sigs, keys = [], []
             for s in shingle_sets(b.column(0), n):
                 if len(s) and (key := set_key(s)) not in known:
                     known.add(key)
-                    sigs.append(signatures(s, shared.value, limit, percent))
+                    sigs.append(signatures(s, counts, limit, percent))
                     keys.append(np.full(len(sigs[-1]), key, np.int64))
             if sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "cls"])
+                sig, cls = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
+                part = np.zeros(len(sig), np.int32)
+                if len(long):
+                    at = np.minimum(np.searchsorted(long, sig), len(long) - 1)
+                    part = np.where(long[at] == sig, 1 + cls % PARTS, 0).astype(np.int32)
+                yield pa.record_batch([pa.array(sig), pa.array(part), pa.array(cls)], names=["sig", "part", "cls"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "sig long, part int, cls long")
+
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "sig long, cls long")
+def _long_lists(docs: DataFrame, rows: int, n: int, percent: int, counts: np.ndarray, limit: int) -> np.ndarray:
+    """The sorted signatures that many classes of a bounded sample share; what is missed only costs time."""
+    share = min(1.0, LIST_SAMPLE / max(1, rows))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    seen = _entries(some, n, percent, counts, limit, np.zeros(0, np.int64)).groupBy("sig").agg(F.count("*").alias("m"))
+    found = seen.where(F.col("m") >= max(LONG_SIGHTINGS, LONG_LIST * share)).select("sig").toArrow()["sig"]
+    return np.sort(found.to_numpy())
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -242,7 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component) for every node with a link, by repeated contraction.
 
     Every node moves to its least neighbour's least neighbour; links are renamed, loops and doubles go.
-    A hub costs no more than its links: least neighbours are aggregated before the shuffle.
+    Least neighbours are aggregated before the shuffle. In the joins the other side has one row a node, so
+    the links of a hub are one side's rows of one key, which adaptive execution splits.
     """
     labels, old = None, []
     edges = edges.select("a", "b")
@@ -324,31 +350,38 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(_fingerprints(docs, n))
     prints = seen.where("bucket IS NULL").drop("bucket")
-    table = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toPandas()  # BUCKETS rows at most
+    table = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
-    counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
+    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
     mean = counts.mean()
     limit = int(mean + FREQUENT_SD * mean**0.5 + FREQUENT_DOCS)
     classes = materialize(prints.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
 
     # posting lists without repeats; lists of one are dropped at once
-    entries = _entries(docs, n, percent, counts, limit).withColumn("r", F.xxhash64("cls"))  # lists of one group of copies agree on their leaders
-    run, whole = W.Window.partitionBy("sig").orderBy("r", "cls"), W.Window.partitionBy("sig").orderBy("r", "cls").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
+    long = _long_lists(docs, prints.count(), n, percent, counts, limit)
+    entries = _entries(docs, n, percent, counts, limit, long).withColumn("r", F.xxhash64("cls"))  # lists of one group of copies agree on their leaders
+    run = W.Window.partitionBy("sig", "part").orderBy("r", "cls")
+    whole = run.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     entries = entries.withColumn("before", F.lag("cls").over(run)).where("before IS NULL OR before <> cls").drop("before")
-    lists = entries.select("sig", "cls", F.count("*").over(whole).alias("m"), F.first("cls").over(whole).alias("l1"), F.nth_value("cls", 2).over(whole).alias("l2")).where("m > 1")
-    lists = materialize(lists)
+    lists = entries.select("sig", "part", "cls", F.count("*").over(whole).alias("m"), F.first("cls").over(whole).alias("l1"), F.nth_value("cls", 2).over(whole).alias("l2"))
+    lists = materialize(lists.where("m > 1 OR part > 0"))
     check = _Verifier(docs, classes, n, percent)
-    check.add(lists.select("cls", F.explode(F.array("l1", "l2")).alias("l")).select(*_pairs(F.col("cls"), F.col("l"))))
+    leaders = lists.where("m > 1").select("cls", F.explode(F.array("l1", "l2")).alias("l")).select(*_pairs(F.col("cls"), F.col("l")))
+    if len(long):
+        parts = lists.where("part > 0").groupBy("sig", "part").agg(F.first("l1").alias("l1"))  # PARTS rows a list at most
+        first = parts.groupBy("sig").agg(F.min("l1").alias("l"))
+        leaders = leaders.unionByName(parts.join(first, "sig").select(*_pairs(F.col("l1"), F.col("l"))))
+    check.add(leaders)
 
     # what leaders did not settle: lists of four and more with members in different components
-    rest = lists.where("m > 3").select("sig", "cls", "m")
+    rest = lists.where("m > 3 OR part > 0").select("sig", "cls", F.when(F.col("part") > 0, SHORT_LIST + 1).otherwise(F.col("m")).alias("m"))
     labels = components(check.links)
     short = _open(rest.where(F.col("m") <= SHORT_LIST), labels)
     other = short.toDF("sig", "cls2", "m2", "c2")
     if check.add(short.join(other, "sig").where("cls < cls2 AND c <> c2").select(*_pairs(F.col("cls"), F.col("cls2")))):
         labels = components(check.links)
-    long = materialize(_open(rest.where(F.col("m") > SHORT_LIST), labels))
-    if not long.isEmpty() and check.add(_pooled_pairs(long, classes, percent)):
+    open_lists = materialize(_open(rest.where(F.col("m") > SHORT_LIST), labels))
+    if not open_lists.isEmpty() and check.add(_pooled_pairs(open_lists, classes, percent)):
         labels = components(check.links)
     tags = classes.drop("sketch").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = tags.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -288,7 +288,7 @@ def test_rerank_is_exact_in_a_chunk():
     rows /= np.linalg.norm(rows, axis=1)[:, None]
     model, ids = vector_search.IvfPq(rows, 1, 4, 5), rng.permutation(len(rows))
     codes = model.codes(rows, np.zeros(len(rows), int))
-    row, col, score = vector_search.rerank(model, 0, rows[::5], ids[::5], rows, ids, codes, 5)
+    row, col, score = vector_search.rerank(model, 0, rows[::5], ids[::5], rows, ids, codes, np.full(len(rows[::5]), -np.inf), 5)
     for n, q in enumerate(rows[::5]):
         want = sorted((-s, i) for s, i in zip((q * rows).sum(1).tolist(), ids.tolist()) if i != ids[5 * n])[:5]
         assert [(-s, i) for s, i in zip(score[row == n].tolist(), ids[col[row == n]].tolist())] == want
@@ -427,7 +427,7 @@ def test_blocks_are_stitched(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(ids.tobytes())
     (tmp_path / "part-1").write_bytes(b"")
     for block in (1, 2, 3, 100):
-        got = sorted((r["ordinal"], r["n_tokens"], r["finished"]) for r in token_files.count_tokens(spark, str(tmp_path), block=block).collect())
+        got = sorted((r["ordinal"], r["n_tokens"], r["finished"]) for r in token_files.count_tokens(spark, str(tmp_path), end=65536, block=block, width=4).collect())
         assert got == [(0, 2, True), (1, 0, True), (2, 5, True), (3, 1, False)]
 
 
@@ -445,7 +445,7 @@ def test_large_flat_files_are_read_in_ranges(spark, tmp_path):
     conf.set(key, "1000")
     try:
         for block, whole in ((64, 0), (1, 0), (50, 4000)):
-            out = token_files.count_tokens(spark, str(tmp_path), block=block, whole=whole)
+            out = token_files.count_tokens(spark, str(tmp_path), end=65536, block=block, whole=whole, width=4)
             assert sorted((r["file"].rsplit("/", 1)[1], r["ordinal"], r["n_tokens"], r["finished"]) for r in out.collect()) == sorted(want)
     finally:
         conf.unset(key)
@@ -457,10 +457,10 @@ def test_padded_token_files(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "WHOLE_BYTES", 0)
     folder = token_files.write_token_files(docs, queries.TOKENIZER)
     sizes = [r["length"] for r in spark.read.format("binaryFile").load(folder).select("length").collect()]
-    counts = token_files.count_tokens(spark, folder, pad=token_files.PAD, whole=0).collect()
+    counts = token_files.count_tokens(spark, folder, pad=token_files.pad_of(2), whole=0).collect()
     assert len(counts) == 300 and all(r["finished"] for r in counts)
     assert sum(r["n_tokens"] for r in counts) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts.values())
-    assert len(sizes) == 2 and all(n % (4 * token_files.BLOCK_TOKENS) == 0 for n in sizes)
+    assert len(sizes) == 2 and all(n % (2 * token_files.BLOCK_TOKENS) == 0 for n in sizes)
 
 
 def test_pipeline(spark):

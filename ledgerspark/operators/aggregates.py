@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerspark.functions.expressions import change_percent
 
@@ -20,15 +19,19 @@ def money(c: Column) -> Column:
 def totals_by(df: DataFrame, column: str, latest: str, previous: str) -> DataFrame:
     """Rows, the two years' sums, each group's share of the latest year and its change."""
     g = df.groupBy(F.col(column).alias("group_value")).agg(F.count("*").alias("row_count"), money(year_sum(latest)).alias("latest"), money(year_sum(previous)).alias("previous"))
-    share = F.round(F.col("latest") / F.sum("latest").over(Window.partitionBy()) * 100, 2)  # over groups, not rows
-    return g.select("group_value", "row_count", "latest", "previous", share.alias("pct_of_total"), change_percent(F.col("latest"), F.col("previous")).alias("yoy_change_pct"))
+    total = g.agg(F.sum("latest").alias("_all"))  # one row, of the groups
+    share = F.round(F.col("latest") / F.col("_all") * 100, 2)
+    change = change_percent(F.col("latest"), F.col("previous"))
+    return g.join(F.broadcast(total)).select("group_value", "row_count", "latest", "previous", share.alias("pct_of_total"), change.alias("yoy_change_pct"))
 
 
 def hierarchy(df: DataFrame, latest: str, previous: str) -> DataFrame:
     """Organization, appropriation, program: both years' sums of programs with money in the latest."""
-    g = df.groupBy("organization_name", "appropriation_code", "line_item_title").agg(F.min("pe_number").alias("pe_number"), year_sum(latest).alias("l"), year_sum(previous).alias("p")).where("l > 0")
-    total = F.sum("l").over(Window.partitionBy())
-    return g.select("organization_name", "appropriation_code", "line_item_title", "pe_number", money(F.col("l")).alias("latest"), money(F.coalesce("p", F.lit(0))).alias("previous"), F.round(money(F.col("l")) / money(total) * 100, 4).alias("pct_of_total"))
+    keys = ["organization_name", "appropriation_code", "line_item_title"]
+    g = df.groupBy(*keys).agg(F.min("pe_number").alias("pe_number"), year_sum(latest).alias("l"), year_sum(previous).alias("p")).where("l > 0")
+    total = g.agg(F.sum("l").alias("_all"))  # one row, of the groups
+    share = F.round(money(F.col("l")) / money(F.col("_all")) * 100, 4)
+    return g.join(F.broadcast(total)).select(*keys, "pe_number", money(F.col("l")).alias("latest"), money(F.coalesce("p", F.lit(0))).alias("previous"), share.alias("pct_of_total"))
 
 
 def facets(df: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:
@@ -75,10 +78,10 @@ def best_by_year(df: DataFrame, key: str, years: list[str], ranks: list[str]) ->
 
 
 def most_frequent(df: DataFrame, key: str, column: str) -> DataFrame:
-    """The mode of a column, of equally frequent values the least. Counts are made before the window."""
+    """The mode of a column, of equally frequent values the least: two aggregations, no sort."""
     counts = df.groupBy(key, column).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), column)
-    return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, column, "n")
+    best = F.min(F.struct((-F.col("n")).alias("m"), column))
+    return counts.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b")[column].alias(column), (-F.col("_b.m")).alias("n"))
 
 
 def distinct_lists(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -15,6 +15,13 @@ from ledgerspark.operators.relations import anti, first_by
 LINE_KEY = ["fiscal_year", "pe_number", "line_item_title", "organization_name", "exhibit_type", "amount_type", "appropriation_code"]
 
 
+def missing_years(df: DataFrame, group: str, year: str = "fiscal_year") -> DataFrame:
+    """(group, year) pairs without rows: of every group's set of years against the set of all, a few values."""
+    there = df.groupBy(group).agg(F.collect_set(year).alias("_has"))
+    every = df.agg(F.collect_set(year).alias("_every"))  # one row
+    return there.join(F.broadcast(every)).select(group, F.explode(F.array_except("_every", "_has")).alias(year))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -14,6 +14,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+COLUMNS = (
+    "order_key fiscal_year organization_name office source_file exhibit_type appropriation_code budget_activity_title account "
+    "line_item_title pe_number line_item amount quantity amount_type"
+).split()
 #: Which tables a column needs besides lineitem; a line has one order, customer, nation, region and part.
 NEEDS = {
     "organization_name": {"customer", "nation", "region"},
@@ -47,7 +51,7 @@ def facts(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
         "quantity": F.col("l_quantity").cast("decimal(18,2)"),
         "amount_type": F.col("l_linestatus"),
     }
-    columns = columns or list(every)
+    columns = columns or COLUMNS
     needed = set().union(*(NEEDS.get(c, set()) for c in columns))
     rows = t("lineitem")
     if "customer" in needed:

@@ -211,10 +211,7 @@ def _(df):
 
 @on_facts("dq01_missing_years", ", t AS (SELECT DISTINCT pe_number, fiscal_year FROM facts) SELECT a.pe_number, b.fiscal_year FROM (SELECT DISTINCT pe_number FROM t) a, (SELECT DISTINCT fiscal_year FROM t) b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.pe_number = a.pe_number AND t.fiscal_year = b.fiscal_year)")
 def _(df):
-    years = F.collect_set("fiscal_year")  # a few values
-    there = df.groupBy("pe_number").agg(years.alias("has"))
-    every = df.agg(years.alias("every"))  # one row
-    return there.join(F.broadcast(every)).select("pe_number", F.explode(F.array_except("every", "has")).alias("fiscal_year"))
+    return Q.missing_years(df, "pe_number")
 
 
 @on_table("dq02_duplicate_keys", "lineitem", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

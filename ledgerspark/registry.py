@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.plans.facts import FACTS_SQL, facts, read
+from ledgerspark.plans.facts import COLUMNS, FACTS_SQL, facts, read
 
 LATEST, PREVIOUS = "2001", "2000"
 YEARS = ["1998", "1999", "2000", "2001"]
@@ -17,8 +18,10 @@ ORACLES: dict[str, str] = {}
 def on_facts(name: str, sql: str | None = None, columns: list[str] | None = None):
     """Register a query of the fact view; its SQL continues after `WITH facts AS (...)`.
 
-    columns: those it uses, so that only their tables are joined.
+    columns: those it uses, so that only their tables are joined; by default those that its SQL names.
     """
+    if columns is None and sql:
+        columns = [c for c in COLUMNS if re.search(rf"\b{c}\b", sql)]
 
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(facts(spark, sf_dir, columns))

@@ -87,3 +87,87 @@ def test_changed_files(spark):
     have = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "path string, size int, mtime int")
     found = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("c", 1, 1)], "path string, size int, mtime int")
     assert sorted(values(changed_files(have, found), "path")) == ["b", "c"]
+
+
+def test_normalized_names_and_codes(spark):
+    from ledgerspark.functions import text as T
+
+    rows = [("AF", "Air Force", "Air Force"), ("usn", "usn", "Navy"), ("DSS", "DSS", "DCSA"), ("Unknown Org", "Unknown Org", "Unknown Org"), (None, None, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "c string")
+    assert [tuple(r) for r in df.select("c", T.organization(F.col("c")), T.organization_loose(F.col("c"))).collect()] == rows
+    titles = {
+        "RDT&E, Army": ("RDTE", "RDT&E, Army"),
+        "2035 Aircraft Procurement, Army": ("2035", "Aircraft Procurement, Army"),
+        "Shipbuilding & Conversion": ("SCN", "Shipbuilding & Conversion"),
+        "Odd title": (None, "Odd title"),
+        " ": None,
+    }
+    got = spark.createDataFrame([(t,) for t in titles], "c string").select("c", T.appropriation(F.col("c")).alias("a")).collect()
+    assert {r["c"]: tuple(r["a"]) if r["a"] else None for r in got} == titles
+
+
+def test_project_titles(spark):
+    from ledgerspark.functions import text as T
+
+    titles = {
+        "1662: F/A-18 Improvement 4,439.845 101.694 -": ("1662", "F/A-18 Improvement"),
+        "E1662 F/A-18 Improvements": ("1662", "F/A-18 Improvements"),
+        "Total PE": None,
+        "D549 2.75 Inch Anti-Air TD": ("D549", "2.75 Inch Anti-Air TD"),
+        "No code (GDI)": (None, "No code"),
+    }
+    got = spark.createDataFrame([(t,) for t in titles], "c string").select("c", T.project_title(F.col("c")).alias("t")).collect()
+    assert {r["c"]: tuple(r["t"]) if r["t"] else None for r in got} == titles
+    codes = spark.createDataFrame([("J0951",), ("0004C",), ("MED-01",), ("S0004",), ("AB1",)], "c string")
+    assert values(codes.select(T.project_code(F.col("c")).alias("p")), "p") == ["951", "4", "MED01", "4", "AB1"]
+
+
+def test_fuzzy_and_whole_word_matches(spark):
+    from ledgerspark.functions import text as T
+
+    df = spark.createDataFrame([("hypersonic glide",), ("hypersonik glide",), ("nothing",)], "c string")
+    assert values(df.select(T.fuzzy_match(F.col("c"), "Hypersonic").alias("m")), "m") == ["exact", "fuzzy", None]
+    words = spark.createDataFrame([("a machine",), ("at Mach 5",)], "c string").select(T.keywords_in([F.col("c")], ["mach"]).alias("w"))
+    assert [r["w"] for r in words.collect()] == [[], ["mach"]]
+    assert T.query_terms('army "R&D" (NOT)') == ["army", "R&D"]
+
+
+def test_same_titles_joins_in_order(spark):
+    from ledgerspark.operators.explorer import same_titles
+
+    rows = [("p", 1, "Advanced Radar"), ("p", 2, "Advanced Radar System"), ("p", 3, "Advanced Rador Systen"), ("p", 4, "Mk4A"), ("p", 5, "Other thing")]
+    out = same_titles(spark.createDataFrame(rows, "pe string, n int, title string"), ["pe"], "title", ["n"]).orderBy("n")
+    assert values(out, "cluster") == ["Advanced Radar System"] * 3 + ["Mk4A", "Other thing"]
+
+
+def test_keyword_sets_are_checked():
+    from ledgerspark.operators.explorer import validated
+
+    assert validated(["a b", " A B ", "cc"]) == ["a b", "cc"]
+    for bad in ([], ["x"], ["semi;colon"], ["w"] * 3):
+        with pytest.raises(ValueError):
+            validated(bad)
+
+
+def test_exports(spark, tmp_path):
+    from ledgerspark.sources import files
+
+    df = spark.createDataFrame([(2, 'say "x"', None), (1, "a,b", 3.0)], "k int, t string, v double")
+    out = files.exported(df, ["t", "k", "none"], "k", False, limit=5)
+    assert out.columns == ["t", "k"]
+    files.write_csv(out, f"{tmp_path}/csv", ["source: test"])
+    files.write_json_lines(df, f"{tmp_path}/json", {"rows": "2"})
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/csv").collect()]
+    assert lines == ["# source: test", "t,k", '"a,b",1', '"say ""x""",2']
+    assert spark.read.text(f"{tmp_path}/json").first()["value"] == '{"_metadata": {"rows": "2"}}'
+    checks = spark.createDataFrame([("a", "warning", 2, True), ("b", "error", 0, False)], "name string, severity string, n long, failed boolean")
+    assert files.report_text(checks).splitlines()[0] == "FAIL warning a: 2"
+    assert "| k | int |" in files.dictionary_text({"t": df})
+
+
+def test_select_files(spark, tmp_path):
+    from ledgerspark.sources.files import select_files
+
+    for name in ("p1.xlsx", "p1_display.xlsx", "r1a.xlsx", "r2_display.xlsx"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(p.rsplit("/", 1)[1] for p in values(select_files(spark, str(tmp_path)), "path")) == ["p1.xlsx", "r2_display.xlsx"]

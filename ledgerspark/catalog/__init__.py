@@ -1,3 +1,3 @@
 """Registered queries by theme; importing them fills the registry."""
 
-from ledgerspark.catalog import enrichment, explorer, quality, relational, scalars  # noqa: F401
+from ledgerspark.catalog import enrichment, explorer, files, quality, relational, scalars  # noqa: F401

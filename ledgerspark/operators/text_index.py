@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.expressions import words_of
 from ledgerspark.operators.search import K1, B
+from ledgerspark.plans.stored import shared_folder
 
 #: Files of postings, by a hash of the term: a query opens those of its terms only.
 BUCKETS = 32
@@ -28,12 +28,10 @@ def build_index(docs: DataFrame, key: str, columns: list[str], folder: str) -> N
 
 
 def stored_index(spark: SparkSession, name: str, make: Callable[[str], None]) -> str:
-    """The folder of an index that this application built before, or builds now."""
+    """The folder of an index that this application built before, or builds now. Documents that changed need another name."""
     known = (spark.sparkContext.applicationId, name)
     if known not in _KNOWN:
-        sc = spark.sparkContext
-        base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        folder = f"{base}/text-index-{uuid.uuid4().hex}"
+        folder = shared_folder(spark, "text-index")
         make(folder)
         _KNOWN[known] = folder
     return _KNOWN[known]

@@ -17,7 +17,14 @@ def read_staged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_staged(df: DataFrame, folder: str, by: str = "fiscal_year") -> None:
+    """Files by year, and beside them how many rows each year has."""
     df.write.partitionBy(by).mode("overwrite").parquet(folder)
+    df.groupBy(F.col(by).alias("source_fy")).agg(F.count("*").alias("n")).coalesce(1).write.json(f"{folder}/_sidecar")
+
+
+def write_staged_year(df: DataFrame, folder: str, year: str) -> None:
+    """One year's files; years may differ in their columns."""
+    df.write.mode("overwrite").parquet(f"{folder}/fiscal_year={year}")
 
 
 def exported(df: DataFrame, columns: list[str] | None, sort: str | None, descending: bool, limit: int = 10_000, most: int = 100_000) -> DataFrame:
@@ -80,6 +87,11 @@ def dictionary_text(tables: dict[str, DataFrame]) -> str:
 def select_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Paths below a folder, without `_display` twins of a file that is there and without `*a.xlsx` alternates."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return without_twins(found)
+
+
+def without_twins(found: DataFrame) -> DataFrame:
+    """Files (path, ...) without `_display` twins of a file that is there and without `*a.xlsx` alternates."""
     base = found.select(F.col("path").alias("base"))
     twins = found.withColumn("base", F.regexp_replace("path", r"_display(\.\w+)$", "$1")).where("base <> path").join(base, "base", "left_semi").select("path")
     return found.join(twins, "path", "left_anti").where(~F.lower("path").rlike(r"\da\.xlsx$"))

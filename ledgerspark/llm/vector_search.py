@@ -229,7 +229,7 @@ class IvfPq:
     score by codes all but few (`missed`) of the exact neighbours score by codes.
     """
 
-    def __init__(self, sample: np.ndarray, lists: int, parts: int, k: int, target: float = 0.95, missed: float = 0.02):
+    def __init__(self, sample: np.ndarray, lists: int, parts: int, k: int, target: float = 0.965, missed: float = 0.015):
         rng = np.random.default_rng(5)
         self.centres = kmeans(sample, lists, rng)
         dim = sample.shape[1]

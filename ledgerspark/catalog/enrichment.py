@@ -26,20 +26,26 @@ def _mode(table: str, key: str, c: str) -> str:
     return f"(SELECT {key}, {c}, count(*) AS k FROM {table} WHERE {c} IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {c}) = 1)"
 
 
-@on_tables("en01_program_index", "facts documents", f""", {_PAGES}, f AS (SELECT * FROM facts WHERE fiscal_year = '2001'), k AS (SELECT pe_number, max(line_item_title) AS title, string_agg(DISTINCT fiscal_year, ',' ORDER BY fiscal_year) AS years, string_agg(DISTINCT exhibit_type, ',' ORDER BY exhibit_type) AS exhibits FROM f GROUP BY 1)
-SELECT pe_number, title, years, exhibits, organization_name, 'lines' AS found_in FROM k LEFT JOIN {_mode('f', 'pe_number', 'organization_name')} USING (pe_number)
+@on_tables("en01_program_index", "facts documents", f""", {_PAGES}, f AS (SELECT * FROM facts
+WHERE fiscal_year = '2001'), k AS (SELECT pe_number, max(line_item_title) AS title, string_agg(DISTINCT fiscal_year, ','
+ORDER BY fiscal_year) AS years, string_agg(DISTINCT exhibit_type, ',' ORDER BY exhibit_type) AS exhibits FROM f GROUP BY 1)
+SELECT pe_number, title, years, exhibits, organization_name, 'lines' AS found_in FROM k
+LEFT JOIN {_mode('f', 'pe_number', 'organization_name')} USING (pe_number)
 UNION ALL SELECT pe_number, min(title), NULL, NULL, min(source), 'pages' FROM n WHERE pe_number NOT IN (SELECT pe_number FROM k) GROUP BY 1""")
 def _(df, docs):
     return E.program_index(df.where("fiscal_year = '2001'"), _pages(docs))
 
 
-@on_table("en02_narratives", "conversations", "SELECT conv_id, role, min(turn) AS page_start, max(turn) AS page_end, CAST(NULL AS VARCHAR) AS header, md5(substring(string_agg(text, chr(10) ORDER BY turn), 1, 4000)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2")
+@on_table("en02_narratives", "conversations", """SELECT conv_id, role, min(turn) AS page_start, max(turn) AS page_end, CAST(NULL AS VARCHAR) AS header, md5(substring(string_agg(text, chr(10)
+ORDER BY turn), 1, 4000)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2""")
 def _(df):
     return E.narratives(df, ["conv_id", "role"], "turn", "text", ["No such header"]).select("conv_id", "role", "page_start", "page_end", "header", F.md5("text").alias("digest"))
 
 
 @on_tables("en02_fallback_narratives", "facts documents", f""", {_PAGES}, k AS (SELECT DISTINCT pe_number FROM n WHERE text IS NOT NULL)
-SELECT pe_number, line_item_title || ' — ' || budget_activity_title || ' — ' || appropriation_code AS text FROM facts WHERE pe_number NOT IN (SELECT pe_number FROM k) QUALIFY row_number() OVER (PARTITION BY pe_number ORDER BY fiscal_year DESC, order_key, line_item) = 1""")
+SELECT pe_number, line_item_title || ' — ' || budget_activity_title || ' — ' || appropriation_code AS text FROM facts
+WHERE pe_number NOT IN (SELECT pe_number FROM k) QUALIFY row_number() OVER (PARTITION BY pe_number
+ORDER BY fiscal_year DESC, order_key, line_item) = 1""")
 def _(df, docs):
     known = _pages(docs).where("text IS NOT NULL").select("pe_number", "text")
     return E.with_fallback(known, df, "pe_number").join(known.select("pe_number").distinct(), "pe_number", "left_anti")
@@ -49,8 +55,11 @@ _TAXONOMY = [("round", r"\bring\b", 0.9), ("round", r"circle", 0.9), ("tool", r"
 _FIELDS = [("economy", "cheap"), ("standard", "plain"), ("o", "other")]
 
 
-@on_table("en03_tags", "part", """WITH t AS (SELECT p_brand, 'round' AS tag, 'keyword' AS tag_source, 0.9 AS confidence FROM part WHERE contains(' ' || p_name || ' ', ' ring ') UNION SELECT p_brand, 'tool', 'keyword', 0.9 FROM part WHERE contains(p_name, 'widget')
-UNION SELECT p_brand, 'small', 'keyword', 0.7 FROM part WHERE contains(' ' || p_name || ' ', ' small ') UNION SELECT p_brand, CASE WHEN contains(lower(p_type), 'economy') THEN 'cheap' WHEN contains(lower(p_type), 'standard') THEN 'plain' WHEN contains(lower(p_type), 'o') THEN 'other' END, 'structured', 1.0 FROM part)
+@on_table("en03_tags", "part", """WITH t AS (SELECT p_brand, 'round' AS tag, 'keyword' AS tag_source, 0.9 AS confidence FROM part WHERE contains(' ' || p_name || ' ', ' ring ') UNION
+SELECT p_brand, 'tool', 'keyword', 0.9 FROM part WHERE contains(p_name, 'widget')
+UNION SELECT p_brand, 'small', 'keyword', 0.7 FROM part WHERE contains(' ' || p_name || ' ', ' small ') UNION
+SELECT p_brand, CASE WHEN contains(lower(p_type), 'economy') THEN 'cheap' WHEN contains(lower(p_type), 'standard') THEN 'plain' WHEN contains(lower(p_type), 'o') THEN 'other' END, 'structured', 1.0
+FROM part)
 SELECT p_brand, tag, tag_source, CAST(max(confidence) AS DOUBLE) AS confidence FROM t WHERE tag IS NOT NULL GROUP BY 1, 2, 3""")
 def _(df):
     return E.merged_tags([E.keyword_tags(df, "p_brand", F.col("p_name"), _TAXONOMY, "keyword"), E.field_tags(df, "p_brand", "p_type", _FIELDS)], "p_brand")
@@ -63,14 +72,19 @@ def _texts(parts):
     return parts.select(_pe("p_partkey").alias("pe_number"), F.concat("p_name", F.lit(" follows "), F.concat(F.lpad((F.col("p_partkey") + 1).cast("string"), 7, "0"), F.lit("A")), F.lit(" and "), _pe("p_partkey"), F.lit(" not 9999999ZZ")).alias("text"))
 
 
-@on_table("en04_references", "part", f"WITH {_REFS} SELECT a.pe_number AS source, b.pe_number AS referenced, 'explicit_pe_ref' AS link_type, 0.95 AS confidence FROM t a JOIN t b ON contains(a.text, b.pe_number || ' and') WHERE a.pe_number <> b.pe_number AND CAST(substring(b.pe_number, 1, 7) AS INT) = CAST(substring(a.pe_number, 1, 7) AS INT) + 1")
+@on_table("en04_references", "part", f"""WITH {_REFS} SELECT a.pe_number AS source, b.pe_number AS referenced, 'explicit_pe_ref' AS link_type, 0.95 AS confidence
+FROM t a JOIN t b ON contains(a.text, b.pe_number || ' and')
+WHERE a.pe_number <> b.pe_number AND CAST(substring(b.pe_number, 1, 7) AS INT) = CAST(substring(a.pe_number, 1, 7) AS INT) + 1""")
 def _(df):
     t = _texts(df)
     return E.references(t, "pe_number", "text", t).select("source", "referenced", "link_type", "confidence")
 
 
-@on_tables("en04_title_links", "documents benchmark", r"""WITH b AS (SELECT 'B' || item_id AS k, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:5], ' ') AS title FROM benchmark), d AS (SELECT 'D' || doc_id AS k, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents WHERE length(text) >= 200)
-SELECT d.k AS source, b.k AS referenced, 'name_match' AS link_type, 0.6 AS confidence FROM b, d WHERE contains(t, ' ' || title || ' ') QUALIFY row_number() OVER (PARTITION BY d.k ORDER BY b.k) <= 3""")
+@on_tables("en04_title_links", "documents benchmark", r"""WITH b AS (SELECT 'B' || item_id AS k, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:5], ' ') AS title
+FROM benchmark), d AS (SELECT 'D' || doc_id AS k, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents
+WHERE length(text) >= 200)
+SELECT d.k AS source, b.k AS referenced, 'name_match' AS link_type, 0.6 AS confidence FROM b, d WHERE contains(t, ' ' || title || ' ')
+QUALIFY row_number() OVER (PARTITION BY d.k ORDER BY b.k) <= 3""")
 def _(docs, items):
     texts = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("pe_number"), "text")
     titles = items.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("pe_number"), F.col("text").alias("title"))
@@ -82,12 +96,14 @@ def _project_text():
     return F.concat(F.lit("x\nProject AB"), key, F.lit(": "), "p_name", F.lit("\nbody\nProject 7: no\nPROJECT "), (F.col("p_partkey") + 1000).cast("string"), F.lit(" / "), "p_type", F.lit("\nProject AB"), key, F.lit(": again"))
 
 
-@on_table("en05_projects", "part", "SELECT p_partkey, 'AB' || p_partkey AS number, p_name AS title, 1 AS place FROM part UNION ALL SELECT p_partkey, CAST(p_partkey + 1000 AS VARCHAR), p_type, 4 FROM part")
+@on_table("en05_projects", "part", """SELECT p_partkey, 'AB' || p_partkey AS number, p_name AS title, 1 AS place FROM part UNION ALL
+SELECT p_partkey, CAST(p_partkey + 1000 AS VARCHAR), p_type, 4 FROM part""")
 def _(df):
     return E.projects(df.select("p_partkey", _project_text().alias("text")), "p_partkey", "text")
 
 
-@on_table("en06_project_tags", "part", "SELECT p_brand, 'round' AS tag, 'project' AS tag_source, 0.85 AS confidence FROM part GROUP BY 1 HAVING bool_or(contains(' ' || p_name || ' ', ' ring '))")
+@on_table("en06_project_tags", "part", """SELECT p_brand, 'round' AS tag, 'project' AS tag_source, 0.85 AS confidence FROM part GROUP BY 1
+HAVING bool_or(contains(' ' || p_name || ' ', ' ring '))""")
 def _(df):
     found = E.projects(df.select("p_brand", _project_text().alias("text")).where("text IS NOT NULL"), "p_brand", "text")
     texts = df.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text")).join(found.select("p_brand").distinct(), "p_brand", "left_semi")
@@ -109,7 +125,8 @@ def _(df):
     return E.keyword_tags(E.line_item_index(df), "bli_key", F.col("line_item_title"), [("round", r"\bring\b", 0.9)], "keyword")
 
 
-@on_tables("en09_line_item_narratives", "facts documents", ", i AS (SELECT DISTINCT account || ':' || line_item AS bli_key FROM facts WHERE exhibit_type = 'p1' AND account = 'Brand#7') SELECT doc_id, bli_key FROM documents JOIN i ON bli_key = 'Brand#7:' || (doc_id % 11) WHERE text IS NOT NULL")
+@on_tables("en09_line_item_narratives", "facts documents", """, i AS (SELECT DISTINCT account || ':' || line_item AS bli_key FROM facts WHERE exhibit_type = 'p1' AND account = 'Brand#7') SELECT doc_id, bli_key
+FROM documents JOIN i ON bli_key = 'Brand#7:' || (doc_id % 11) WHERE text IS NOT NULL""")
 def _(df, docs):
     known = df.where("exhibit_type = 'p1' AND account = 'Brand#7'").select(E.line_item_key(F.col("account"), F.col("line_item")).alias("bli_key")).distinct()
     page = docs.where("text IS NOT NULL").select("doc_id", F.concat(F.lit("P-1 Line Item "), F.lit("Brand#7 / "), (F.col("doc_id") % 11).cast("string"), F.lit("\n"), "text").alias("t"))
@@ -121,8 +138,11 @@ def _(df, docs):
 _BA = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ACTIVITIES.items())
 
 
-@on_table("en10_filled_activities", "part", f"""WITH r AS (SELECT p_partkey, p_partkey % 4 AS k, '06' || lpad(CAST(p_size % 9 AS VARCHAR), 2, '0') || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || 'A' AS pe FROM part),
-s AS (SELECT pe, max(k) AS x FROM r WHERE k = 1 GROUP BY 1) SELECT p_partkey, CASE WHEN k = 0 THEN 'own' WHEN s.pe IS NOT NULL THEN 'summary' WHEN k = 2 THEN 'BA 3: Advanced Technology Development' ELSE CASE substring(r.pe, 3, 2) {_BA} END END AS activity FROM r LEFT JOIN s ON s.pe = r.pe""")
+@on_table("en10_filled_activities", "part", f"""WITH r AS (SELECT p_partkey, p_partkey % 4 AS k, '06' || lpad(CAST(p_size % 9 AS VARCHAR), 2, '0') || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || 'A' AS pe
+FROM part),
+s AS (SELECT pe, max(k) AS x FROM r WHERE k = 1 GROUP BY 1)
+SELECT p_partkey, CASE WHEN k = 0 THEN 'own' WHEN s.pe IS NOT NULL THEN 'summary' WHEN k = 2 THEN 'BA 3: Advanced Technology Development' ELSE CASE substring(r.pe, 3, 2) {_BA} END END AS activity
+FROM r LEFT JOIN s ON s.pe = r.pe""")
 def _(df):
     k = F.col("p_partkey") % 4
     pe = F.concat(F.lit("06"), F.lpad((F.col("p_size") % 9).cast("string"), 2, "0"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit("A"))
@@ -141,12 +161,15 @@ def _mined(df):
     return E.mined_programs(pages, "p_partkey", "text", items)
 
 
-@on_table("en11_mined_programs", "part", f"WITH {_MINED_PAGES} SELECT bli_key, pe AS pe_number, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM g UNION SELECT bli_key, '1234567B', CAST(0.6 AS DOUBLE) FROM g WHERE p_partkey % 2 = 0")
+@on_table("en11_mined_programs", "part", f"""WITH {_MINED_PAGES} SELECT bli_key, pe AS pe_number, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM g UNION
+SELECT bli_key, '1234567B', CAST(0.6 AS DOUBLE) FROM g WHERE p_partkey % 2 = 0""")
 def _(df):
     return _mined(df)
 
 
-@on_tables("en11_filled_programs", "part lineitem", f"WITH {_MINED_PAGES}, b AS (SELECT bli_key, min(pe) AS pe FROM g WHERE p_partkey % 2 = 1 GROUP BY 1) SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN b.pe ELSE '' END AS pe_number FROM lineitem JOIN part p ON p.p_partkey = l_partkey LEFT JOIN b ON bli_key = p_brand || ':L' || p_size WHERE l_partkey < 100")
+@on_tables("en11_filled_programs", "part lineitem", f"""WITH {_MINED_PAGES}, b AS (SELECT bli_key, min(pe) AS pe FROM g WHERE p_partkey % 2 = 1 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN b.pe ELSE '' END AS pe_number FROM lineitem JOIN part p ON p.p_partkey = l_partkey
+LEFT JOIN b ON bli_key = p_brand || ':L' || p_size WHERE l_partkey < 100""")
 def _(parts, lines):
     rows = lines.where("l_partkey < 100").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     flag = F.col("l_returnflag") == "A"
@@ -154,7 +177,8 @@ def _(parts, lines):
     return E.filled_programs(rows, _mined(parts)).select("l_orderkey", "l_linenumber", "pe_number")
 
 
-@on_table("en13_page_facts", "part", "SELECT p_partkey, '16' || p_partkey AS code, p_retailprice * 1000 AS amount_fy1998, CAST(NULL AS DOUBLE) AS amount_fy1999, 2500.0 AS amount_fy2000 FROM part WHERE p_partkey < 9000 UNION ALL SELECT p_partkey, 'DD7', NULL, 4000.0, NULL FROM part WHERE p_partkey < 9000")
+@on_table("en13_page_facts", "part", """SELECT p_partkey, '16' || p_partkey AS code, p_retailprice * 1000 AS amount_fy1998, CAST(NULL AS DOUBLE) AS amount_fy1999, 2500.0 AS amount_fy2000
+FROM part WHERE p_partkey < 9000 UNION ALL SELECT p_partkey, 'DD7', NULL, 4000.0, NULL FROM part WHERE p_partkey < 9000""")
 def _(df):
     from ledgerspark.catalog.explorer import _pages as cost_pages
     from ledgerspark.operators.explorer import mined
@@ -163,14 +187,16 @@ def _(df):
     return E.wide_costs(rows, ["p_partkey", "code"], ["1998", "1999", "2000"])
 
 
-@on_table("en14_project_blocks", "conversations", """WITH m AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations), r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
+@on_table("en14_project_blocks", "conversations", """WITH m AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c
+FROM conversations), r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT conv_id, role, min(run) AS run FROM r GROUP BY 1, 2""")
 def _(df):
     blocks = R.runs(df.select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
     return blocks.groupBy("conv_id", "role").agg(F.min("run").alias("run"))  # of blocks of one project the first counts
 
 
-@on_table("en15_missions", "conversations", "SELECT conv_id, md5(string_agg(substring(text, 1, 50), chr(10) ORDER BY turn)) AS digest FROM conversations WHERE role = 'user' AND length(text) > 0 AND substring(text, 1, 50) NOT LIKE '%B. X%' GROUP BY 1")
+@on_table("en15_missions", "conversations", """SELECT conv_id, md5(string_agg(substring(text, 1, 50), chr(10) ORDER BY turn)) AS digest FROM conversations
+WHERE role = 'user' AND length(text) > 0 AND substring(text, 1, 50) NOT LIKE '%B. X%' GROUP BY 1""")
 def _(df):
     text = F.concat(F.lit("A. Mission: "), F.substring("text", 1, 50), F.lit("\nB. X"))
     found = T.mission_description(text, r"A\. Mission", [r"\nB\. X"])

@@ -22,8 +22,10 @@ def _(df):
     return df.select(T.set_key(F.array(*map(F.lit, words))).alias("id"), F.lit(len(words)).alias("n")).distinct()
 
 
-@on_tables("kx03_discovered_programs", "facts documents", f""", {_NARRATIVES}, b AS (SELECT DISTINCT pe_number FROM facts WHERE pe_number = '0000004A' OR contains(lower(line_item_title), 'small') OR contains(lower(account), 'small') OR contains(lower(line_item_title), '0000004a') OR contains(lower(account), '0000004a'))
-SELECT pe_number, 'line' AS found_in FROM b UNION ALL SELECT DISTINCT pe_number, 'narrative' FROM n WHERE contains(lower(text), 'license') AND pe_number NOT IN (SELECT pe_number FROM b)""")
+@on_tables("kx03_discovered_programs", "facts documents", f""", {_NARRATIVES}, b AS (SELECT DISTINCT pe_number FROM facts
+WHERE pe_number = '0000004A' OR contains(lower(line_item_title), 'small') OR contains(lower(account), 'small') OR contains(lower(line_item_title), '0000004a') OR contains(lower(account), '0000004a'))
+SELECT pe_number, 'line' AS found_in FROM b UNION ALL SELECT DISTINCT pe_number, 'narrative' FROM n
+WHERE contains(lower(text), 'license') AND pe_number NOT IN (SELECT pe_number FROM b)""")
 def _(df, docs):
     return K.discovered(df, _narratives(docs), ["small", "0000004a"], ["line_item_title", "account"], ["License"])
 
@@ -38,7 +40,8 @@ def _year_sql(y: str) -> str:
     return f"CAST(coalesce({best('amount')}, 0) AS DOUBLE) AS fy{y}, coalesce({best('source_file')}) AS fy{y}_ref"
 
 
-@on_facts("kx05_years_of_lines", f" SELECT pe_number, line_item_title, {', '.join(_year_sql(y) for y in YEARS[:2])} FROM facts WHERE CAST(fiscal_year AS INTEGER) >= {YEARS[0]} GROUP BY 1, 2", ["pe_number", "line_item_title", "fiscal_year", "exhibit_type", "amount", "source_file"])
+@on_facts("kx05_years_of_lines", f""" SELECT pe_number, line_item_title, {', '.join(_year_sql(y) for y in YEARS[:2])} FROM facts WHERE CAST(fiscal_year AS INTEGER) >= {YEARS[0]}
+GROUP BY 1, 2""", ["pe_number", "line_item_title", "fiscal_year", "exhibit_type", "amount", "source_file"])
 def _(df):
     return K.by_year(df, ["pe_number", "line_item_title"], YEARS[:2], ["r2", "p1"])
 
@@ -59,7 +62,8 @@ def _(df):
     return K.mined(_pages(df.where("p_partkey < 9000")), "text", ["ring"])
 
 
-@on_table("kx07_cost_tables", "part", "SELECT p_partkey, '16' || p_partkey || ': ' || p_name AS label, 3 AS n FROM part WHERE p_partkey < 9000 UNION ALL SELECT p_partkey, 'DD7 ' || p_type, 2 FROM part WHERE p_partkey < 9000")
+@on_table("kx07_cost_tables", "part", """SELECT p_partkey, '16' || p_partkey || ': ' || p_name AS label, 3 AS n FROM part WHERE p_partkey < 9000 UNION ALL
+SELECT p_partkey, 'DD7 ' || p_type, 2 FROM part WHERE p_partkey < 9000""")
 def _(df):
     pages = _pages(df.where("p_partkey < 9000"))
     return pages.select("p_partkey", F.explode(K.cost_table(F.col("text"))).alias("r")).select("p_partkey", "r.label", F.size("r.amounts").alias("n"))
@@ -75,13 +79,15 @@ _MINED = ["pe_number", "line_item_title", "fiscal_year", "source_file", "amount"
 
 
 @on_facts("kx09_consolidated_series", """, s AS (SELECT pe_number, line_item_title, fiscal_year, source_file, max(CASE WHEN quantity > 25 THEN amount END) AS a FROM facts GROUP BY 1, 2, 3, 4)
-SELECT pe_number, line_item_title, CAST(a AS DOUBLE) AS amount, source_file FROM s WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pe_number, line_item_title ORDER BY fiscal_year DESC, source_file DESC) = 1""", _MINED)
+SELECT pe_number, line_item_title, CAST(a AS DOUBLE) AS amount, source_file FROM s WHERE a IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY pe_number, line_item_title ORDER BY fiscal_year DESC, source_file DESC) = 1""", _MINED)
 def _(df):
     submissions = df.groupBy(*_MINED[:4]).agg(F.max(F.when(F.col("quantity") > 25, F.col("amount"))).alias("amount"))
     return S.first_filled(submissions, ["pe_number", "line_item_title"], "fiscal_year", "amount", "source_file").withColumn("amount", S.money(F.col("amount")))
 
 
-@on_table("kx10_same_titles", "part", """WITH t AS (SELECT p_brand AS pe, p_type AS code, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN ' of the second long series' ELSE ' of the second long seriez' END AS title FROM part), w AS (SELECT pe, code, min(title) AS t, count(*) AS n FROM t GROUP BY 1, 2)
+@on_table("kx10_same_titles", "part", """WITH t AS (SELECT p_brand AS pe, p_type AS code, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN ' of the second long series' ELSE ' of the second long seriez' END AS title
+FROM part), w AS (SELECT pe, code, min(title) AS t, count(*) AS n FROM t GROUP BY 1, 2)
 SELECT pe, code, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY 1, 2""")
 def _(df):
     tail = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, " of the second long series").otherwise(" of the second long seriez")
@@ -90,8 +96,10 @@ def _(df):
     return clustered.groupBy("pe", "code").agg(F.count("cluster").alias("n"))
 
 
-@on_facts("kx11_inherited_labels", """, p AS (SELECT pe_number, max(CASE WHEN budget_activity_title <> 'Unknown' THEN budget_activity_title END) AS b FROM facts WHERE exhibit_type = 'r1' GROUP BY 1)
-SELECT DISTINCT f.pe_number, f.line_item, coalesce(CASE WHEN line_item = '1' THEN budget_activity_title END, p.b, 'Unknown') AS budget_activity_title FROM facts f LEFT JOIN p ON p.pe_number = f.pe_number WHERE exhibit_type = 'r2'""", ["pe_number", "line_item", "budget_activity_title", "exhibit_type"])
+@on_facts("kx11_inherited_labels", """, p AS (SELECT pe_number, max(CASE WHEN budget_activity_title <> 'Unknown' THEN budget_activity_title END) AS b FROM facts WHERE exhibit_type = 'r1'
+GROUP BY 1)
+SELECT DISTINCT f.pe_number, f.line_item, coalesce(CASE WHEN line_item = '1' THEN budget_activity_title END, p.b, 'Unknown') AS budget_activity_title
+FROM facts f LEFT JOIN p ON p.pe_number = f.pe_number WHERE exhibit_type = 'r2'""", ["pe_number", "line_item", "budget_activity_title", "exhibit_type"])
 def _(df):
     rows = df.where("exhibit_type = 'r2'").select("pe_number", "line_item", F.when(F.col("line_item") == "1", F.col("budget_activity_title")).otherwise("Unknown").alias("budget_activity_title"))
     return K.inherited(rows, df.where("exhibit_type = 'r1'"), "pe_number", ["budget_activity_title"]).distinct()
@@ -100,29 +108,37 @@ def _(df):
 _WORDS = "array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])license([^a-z0-9_]|$)') THEN 'license' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])error([^a-z0-9_]|$)') THEN 'error' END], lambda x: x IS NOT NULL), ',')"
 
 
-@on_table("kx12_first_narratives", "documents", f"WITH h AS (SELECT source, doc_id, {_WORDS} AS words FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT source, words FROM h WHERE words <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1")
+@on_table("kx12_first_narratives", "documents", f"""WITH h AS (SELECT source, doc_id, {_WORDS} AS words FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT source, words FROM h
+WHERE words <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""")
 def _(df):
     plain = df.where(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
     return K.narrative_keywords(plain, "source", "text", "doc_id", ["license", "error"]).select("source", F.array_join("words", ",").alias("words"))
 
 
-@on_facts("kx13_longest_titles", """, g AS (SELECT account, line_item_title, max(CASE WHEN fiscal_year = '2000' AND quantity > 40 THEN amount END) AS fy2000, max(CASE WHEN fiscal_year = '2001' AND quantity > 49 THEN amount END) AS fy2001 FROM facts GROUP BY 1, 2)
-SELECT account, first(line_item_title ORDER BY length(line_item_title) DESC, line_item_title) AS line_item_title, CAST(first(fy2000 ORDER BY line_item_title) FILTER (fy2000 IS NOT NULL) AS DOUBLE) AS fy2000, CAST(first(fy2001 ORDER BY line_item_title) FILTER (fy2001 IS NOT NULL) AS DOUBLE) AS fy2001 FROM g GROUP BY 1""", ["account", "line_item_title", "fiscal_year", "quantity", "amount"])
+@on_facts("kx13_longest_titles", """, g AS (SELECT account, line_item_title, max(CASE WHEN fiscal_year = '2000' AND quantity > 40 THEN amount END) AS fy2000, max(CASE WHEN fiscal_year = '2001' AND quantity > 49 THEN amount END) AS fy2001
+FROM facts GROUP BY 1, 2)
+SELECT account, first(line_item_title ORDER BY length(line_item_title) DESC, line_item_title) AS line_item_title, CAST(first(fy2000
+ORDER BY line_item_title) FILTER (fy2000 IS NOT NULL) AS DOUBLE) AS fy2000, CAST(first(fy2001
+ORDER BY line_item_title) FILTER (fy2001 IS NOT NULL) AS DOUBLE) AS fy2001 FROM g GROUP BY 1""", ["account", "line_item_title", "fiscal_year", "quantity", "amount"])
 def _(df):
     year = lambda y, q: S.money(F.max(F.when((F.col("fiscal_year") == y) & (F.col("quantity") > q), F.col("amount")))).alias(f"fy{y}")
     rows = df.groupBy("account", "line_item_title").agg(year("2000", 40), year("2001", 49))
     return K.longest_title(rows, "account", "line_item_title", ["fy2000", "fy2001"])
 
 
-@on_tables("kx14_with_stubs", "facts documents", f""", {_NARRATIVES}, r AS (SELECT pe_number, max(line_item_title) AS title, count(*) AS n FROM facts WHERE fiscal_year = '2001' AND exhibit_type = 'r1' GROUP BY 1)
-SELECT * FROM r UNION ALL SELECT DISTINCT pe_number, coalesce(CASE WHEN source = 'src1' THEN source END, pe_number), NULL FROM n WHERE pe_number NOT IN (SELECT pe_number FROM r)""")
+@on_tables("kx14_with_stubs", "facts documents", f""", {_NARRATIVES}, r AS (SELECT pe_number, max(line_item_title) AS title, count(*) AS n FROM facts WHERE fiscal_year = '2001' AND exhibit_type = 'r1'
+GROUP BY 1)
+SELECT * FROM r UNION ALL SELECT DISTINCT pe_number, coalesce(CASE WHEN source = 'src1' THEN source END, pe_number), NULL FROM n
+WHERE pe_number NOT IN (SELECT pe_number FROM r)""")
 def _(df, docs):
     rows = df.where("fiscal_year = '2001' AND exhibit_type = 'r1'").groupBy("pe_number").agg(F.max("line_item_title").alias("title"), F.count("*").alias("n"))
     n = _narratives(docs)
     return K.with_stubs(rows, n.select("pe_number").distinct(), "pe_number", n.where("source = 'src1'").select("pe_number", F.col("source").alias("title")).distinct())
 
 
-@on_table("kx15_lineage_notes", "part", """WITH t AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS pe, lower(p_name || ' ' || p_size) AS n FROM part WHERE p_brand = 'Brand#7'), g AS (SELECT a.pe, string_agg(DISTINCT b.pe, ', ' ORDER BY b.pe) AS o FROM t a JOIN t b ON a.n = b.n AND a.pe <> b.pe GROUP BY 1)
+@on_table("kx15_lineage_notes", "part", """WITH t AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS pe, lower(p_name || ' ' || p_size) AS n FROM part
+WHERE p_brand = 'Brand#7'), g AS (SELECT a.pe, string_agg(DISTINCT b.pe, ', ' ORDER BY b.pe) AS o FROM t a JOIN t b ON a.n = b.n AND a.pe <> b.pe
+GROUP BY 1)
 SELECT pe, 'Also in PE ' || o AS note FROM g""")
 def _(df):
     rows = df.where("p_brand = 'Brand#7'").select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("A")).alias("pe"), F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")).alias("title"))
@@ -132,9 +148,11 @@ def _(df):
 _CODED = "CASE WHEN fy{0} IS NULL THEN '' WHEN NOT (m OR {1}) THEN 'N' WHEN s AND d THEN 'P' ELSE 'Y' END"
 
 
-@on_facts("kx16_match_codes", f""", w AS (SELECT pe_number, exhibit_type, contains(max(line_item_title), 'ring') AS m, exhibit_type = 'r1' AS s, max(account) = 'Brand#7' AS d, sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS fy2000, sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS fy2001 FROM facts GROUP BY 1, 2),
+@on_facts("kx16_match_codes", f""", w AS (SELECT pe_number, exhibit_type, contains(max(line_item_title), 'ring') AS m, exhibit_type = 'r1' AS s, max(account) = 'Brand#7' AS d, sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS fy2000, sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS fy2001
+FROM facts GROUP BY 1, 2),
 c AS (SELECT pe_number, exhibit_type, {_CODED.format(2000, "s")} AS a, {_CODED.format(2001, "false")} AS b FROM w)
-SELECT pe_number, exhibit_type, CASE WHEN (a = 'Y' OR b = 'Y') AND a = 'N' THEN 'P' ELSE a END || ',' || CASE WHEN (a = 'Y' OR b = 'Y') AND b = 'N' THEN 'P' ELSE b END AS codes FROM c""", ["pe_number", "exhibit_type", "line_item_title", "account", "fiscal_year", "amount"])
+SELECT pe_number, exhibit_type, CASE WHEN (a = 'Y' OR b = 'Y') AND a = 'N' THEN 'P' ELSE a END || ',' || CASE WHEN (a = 'Y' OR b = 'Y') AND b = 'N' THEN 'P' ELSE b END AS codes
+FROM c""", ["pe_number", "exhibit_type", "line_item_title", "account", "fiscal_year", "amount"])
 def _(df):
     wide = df.groupBy("pe_number", "exhibit_type").agg(F.max("line_item_title").alias("t"), F.max("account").alias("a"), S.money(S.of_year("2000")).alias("fy2000"), S.money(S.of_year("2001")).alias("fy2001"))
     summary = F.col("exhibit_type") == "r1"
@@ -142,20 +160,23 @@ def _(df):
     return wide.select("pe_number", "exhibit_type", F.array_join(codes, ",").alias("codes"))
 
 
-@on_tables("kx17_included_rows", "facts documents", f""", {_NARRATIVES} SELECT DISTINCT pe_number FROM facts WHERE contains(line_item_title, 'ring') OR pe_number IN (SELECT pe_number FROM n WHERE contains(lower(text), 'license')) OR pe_number IN ('0000002A')""")
+@on_tables("kx17_included_rows", "facts documents", f""", {_NARRATIVES} SELECT DISTINCT pe_number FROM facts WHERE contains(line_item_title, 'ring') OR pe_number IN (SELECT pe_number FROM n
+WHERE contains(lower(text), 'license')) OR pe_number IN ('0000002A')""")
 def _(df, docs):
     hits = _narratives(docs).where(F.contains(F.lower("text"), F.lit("license")))
     return K.included(df.select("pe_number", "line_item_title"), "pe_number", F.contains("line_item_title", F.lit("ring")), hits, ["0000002A"]).select("pe_number").distinct()
 
 
-@on_facts("kx18_totals", " SELECT exhibit_type, fiscal_year, CAST(sum(amount) AS DOUBLE) AS total, grouping(exhibit_type) AS is_total FROM facts WHERE contains(line_item_title, 'ring') AND fiscal_year IN ('2000', '2001') GROUP BY GROUPING SETS ((exhibit_type, fiscal_year), (fiscal_year))", ["exhibit_type", "fiscal_year", "amount", "line_item_title"])
+@on_facts("kx18_totals", """ SELECT exhibit_type, fiscal_year, CAST(sum(amount) AS DOUBLE) AS total, grouping(exhibit_type) AS is_total FROM facts
+WHERE contains(line_item_title, 'ring') AND fiscal_year IN ('2000', '2001') GROUP BY GROUPING SETS ((exhibit_type, fiscal_year), (fiscal_year))""", ["exhibit_type", "fiscal_year", "amount", "line_item_title"])
 def _(df):
     rows = df.where(F.contains("line_item_title", F.lit("ring")) & F.col("fiscal_year").isin("2000", "2001"))
     both = rows.groupingSets([["exhibit_type", "fiscal_year"], ["fiscal_year"]], "exhibit_type", "fiscal_year")
     return both.agg(S.money(F.sum("amount")).alias("total"), F.grouping("exhibit_type").cast("long").alias("is_total"))
 
 
-@on_table("kx19_described", "documents", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND length(trim(text)) >= 80 AND NOT contains(substring(trim(text), 1, 300), 'Exhibit R-1') ORDER BY CASE source WHEN 'src2' THEN 1 WHEN 'src1' THEN 2 ELSE 99 END, length(text) DESC, text LIMIT 1")
+@on_table("kx19_described", "documents", """SELECT doc_id, source FROM documents WHERE lang = 'en' AND length(trim(text)) >= 80 AND NOT contains(substring(trim(text), 1, 300), 'Exhibit R-1')
+ORDER BY CASE source WHEN 'src2' THEN 1 WHEN 'src1' THEN 2 ELSE 99 END, length(text) DESC, text LIMIT 1""")
 def _(df):
     return K.described(df, "lang", "en", ["src2", "src1"], "source", "text").select("doc_id", "source")
 

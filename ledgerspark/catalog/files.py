@@ -35,7 +35,8 @@ def _staged(df):
     return spark, folder
 
 
-@on_facts("sc09_staged_tables", " SELECT pe_number, CAST(sum(amount) AS DOUBLE) AS amount_fy2000, NULL AS amount_fy2001 FROM facts WHERE fiscal_year = '2000' GROUP BY 1 UNION ALL SELECT pe_number, NULL, CAST(sum(amount) AS DOUBLE) FROM facts WHERE fiscal_year = '2001' GROUP BY 1", _STAGED)
+@on_facts("sc09_staged_tables", """ SELECT pe_number, CAST(sum(amount) AS DOUBLE) AS amount_fy2000, NULL AS amount_fy2001 FROM facts WHERE fiscal_year = '2000' GROUP BY 1 UNION ALL
+SELECT pe_number, NULL, CAST(sum(amount) AS DOUBLE) FROM facts WHERE fiscal_year = '2001' GROUP BY 1""", _STAGED)
 def _(df):
     spark, folder = _staged(df)
     return files.read_staged(spark, folder).select("pe_number", "amount_fy2000", "amount_fy2001")
@@ -82,7 +83,8 @@ def _(df):
     return df.sparkSession.read.schema("p_partkey long, p_type string").json(folder)
 
 
-@on_tables("sk10_quality_report", "documents labels", "SELECT 'ok   error   orphans: 0' AS line UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'ok  ' END || ' warning short_texts: ' || count(*) FROM documents WHERE length(text) < 20")
+@on_tables("sk10_quality_report", "documents labels", """SELECT 'ok   error   orphans: 0' AS line UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'ok  ' END || ' warning short_texts: ' || count(*)
+FROM documents WHERE length(text) < 20""")
 def _(docs, labels):
     checks = Q.Checks().add("short_texts", "warning", docs.where(F.length("text") < 20)).add("orphans", "error", R.anti(labels, docs, "doc_id", "doc_id"))
     return docs.sparkSession.createDataFrame([(x,) for x in files.report_text(checks.report()).splitlines()], "line string")
@@ -130,7 +132,8 @@ def _(df):
     return df.groupBy("fiscal_year").agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total"))
 
 
-@on_facts("wi01_mode_of_programs", ", c AS (SELECT pe_number, account, exhibit_type, count(*) AS n FROM facts GROUP BY 1, 2, 3) SELECT pe_number, exhibit_type, n FROM c QUALIFY row_number() OVER (PARTITION BY pe_number ORDER BY n DESC, exhibit_type) = 1")
+@on_facts("wi01_mode_of_programs", """, c AS (SELECT pe_number, account, exhibit_type, count(*) AS n FROM facts GROUP BY 1, 2, 3) SELECT pe_number, exhibit_type, n FROM c
+QUALIFY row_number() OVER (PARTITION BY pe_number ORDER BY n DESC, exhibit_type) = 1""")
 def _(df):
     return A.most_frequent(df, "pe_number", "exhibit_type")
 
@@ -166,7 +169,8 @@ def _(df):
     return df.select("r_name", (F.current_timestamp() > F.lit("2020-01-01").cast("timestamp")).alias("stamped"))  # the stamp itself differs each time
 
 
-@on_facts("ma01_changes", f", g AS (SELECT account, CAST({ysum('2001')} AS DOUBLE) AS c, CASE WHEN account = 'Brand#3' THEN 0 ELSE CAST({ysum('2000')} AS DOUBLE) END AS p FROM facts GROUP BY 1) SELECT account, CASE WHEN p <> 0 THEN round((c - p) / abs(p) * 100, 1) END AS pct FROM g")
+@on_facts("ma01_changes", f""", g AS (SELECT account, CAST({ysum('2001')} AS DOUBLE) AS c, CASE WHEN account = 'Brand#3' THEN 0 ELSE CAST({ysum('2000')} AS DOUBLE) END AS p
+FROM facts GROUP BY 1) SELECT account, CASE WHEN p <> 0 THEN round((c - p) / abs(p) * 100, 1) END AS pct FROM g""")
 def _(df):
     g = df.groupBy("account").agg(S.money(S.of_year("2001")).alias("c"), S.money(S.of_year("2000")).alias("p"))
     before = F.when(F.col("account") == "Brand#3", 0.0).otherwise(F.col("p"))

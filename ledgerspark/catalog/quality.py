@@ -24,7 +24,8 @@ def _(df):
     return Q.duplicate_keys(df, [c for c in df.columns if c not in ("p_partkey", "p_retailprice")])
 
 
-@on_facts("dq03_all_zero", """, w AS (SELECT pe_number, sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS a, sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS b FROM facts WHERE quantity > 48 GROUP BY 1)
+@on_facts("dq03_all_zero", """, w AS (SELECT pe_number, sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS a, sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS b
+FROM facts WHERE quantity > 48 GROUP BY 1)
 SELECT pe_number FROM w WHERE coalesce(a, 0) = 0 AND coalesce(b, 0) = 0""", ["pe_number", "fiscal_year", "amount", "quantity"])
 def _(df):
     wide = df.where("quantity > 48").groupBy("pe_number").agg(S.of_year("2000").alias("a"), S.of_year("2001").alias("b"))
@@ -66,18 +67,22 @@ def _(df):
     return df.where(~T.is_program(pe)).select("p_partkey")
 
 
-@on_tables("dq10_negative_amounts", "customer", "SELECT column_name, count(*) AS n FROM (SELECT 'c_acctbal' AS column_name, c_acctbal AS v FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey FROM customer) WHERE v < 100 GROUP BY 1")
+@on_tables("dq10_negative_amounts", "customer", """SELECT column_name, count(*) AS n FROM (SELECT 'c_acctbal' AS column_name, c_acctbal AS v FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey
+FROM customer) WHERE v < 100 GROUP BY 1""")
 def _(df):
     return Q.cells(df.withColumn("c_nationkey", F.col("c_nationkey").cast("double")), [], ["c_acctbal", "c_nationkey"]).where("value < 100").groupBy("column_name").agg(F.count("*").alias("n"))
 
 
-@on_facts("dq13_rollups", """, t AS (SELECT account, fiscal_year, sum(amount) AS x FROM facts WHERE exhibit_type = 'p1' GROUP BY 1, 2), d AS (SELECT account, fiscal_year, sum(amount) AS y FROM facts WHERE exhibit_type <> 'p1' GROUP BY 1, 2)
-SELECT account, fiscal_year, CAST(x AS DOUBLE) AS total, CAST(y AS DOUBLE) AS detail FROM t JOIN d USING (account, fiscal_year) WHERE abs(x - y) > 100000""", ["account", "fiscal_year", "amount", "exhibit_type"])
+@on_facts("dq13_rollups", """, t AS (SELECT account, fiscal_year, sum(amount) AS x FROM facts WHERE exhibit_type = 'p1'
+GROUP BY 1, 2), d AS (SELECT account, fiscal_year, sum(amount) AS y FROM facts WHERE exhibit_type <> 'p1' GROUP BY 1, 2)
+SELECT account, fiscal_year, CAST(x AS DOUBLE) AS total, CAST(y AS DOUBLE) AS detail FROM t JOIN d USING (account, fiscal_year)
+WHERE abs(x - y) > 100000""", ["account", "fiscal_year", "amount", "exhibit_type"])
 def _(df):
     return Q.rollup_mismatches(df, ["account", "fiscal_year"], F.col("exhibit_type") == "p1", 100000)
 
 
-@on_tables("dq14_unknown_organizations", "customer nation", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment NOT IN (SELECT n_name FROM nation) AND c_mktsegment NOT IN (SELECT CASE WHEN n_nationkey = 1 THEN 'BUILDING' ELSE n_name END FROM nation) GROUP BY 1")
+@on_tables("dq14_unknown_organizations", "customer nation", """SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment NOT IN (SELECT n_name
+FROM nation) AND c_mktsegment NOT IN (SELECT CASE WHEN n_nationkey = 1 THEN 'BUILDING' ELSE n_name END FROM nation) GROUP BY 1""")
 def _(customers, nation):
     names = nation.select(F.col("n_name").alias("code"), F.when(F.col("n_nationkey") == 1, "BUILDING").otherwise(F.col("n_name")).alias("full_name"))
     return Q.unknown_values(customers, "c_mktsegment", names, ["code", "full_name"])
@@ -90,7 +95,8 @@ def _(df):
 
 
 @on_table("dq16_extraction_scores", "documents", r"""SELECT source, count(*) AS n, count(*) FILTER (length(trim(coalesce(text, ''))) < 20) AS short, count(*) FILTER (contains(text, '�')) AS broken,
-round(100 - 100.0 * (count(*) FILTER (length(trim(coalesce(text, ''))) < 20) + count(*) FILTER (contains(text, '�'))) / count(*), 1) AS score FROM documents GROUP BY 1""")
+round(100 - 100.0 * (count(*) FILTER (length(trim(coalesce(text, ''))) < 20) + count(*) FILTER (contains(text, '�'))) / count(*), 1) AS score
+FROM documents GROUP BY 1""")
 def _(df):
     short, broken = F.count_if(F.length(F.trim(F.coalesce("text", F.lit("")))) < 20), F.count_if(F.contains("text", F.lit("�")))
     return df.groupBy("source").agg(F.count("*").alias("n"), short.alias("short"), broken.alias("broken"), F.round(100 - 100.0 * (short + broken) / F.count("*"), 1).alias("score"))
@@ -110,7 +116,8 @@ def _(df):
     return Q.unknown_values(df.withColumnRenamed("c_mktsegment", "value"), "value", domain, ["value"])
 
 
-@on_table("dq19_missing_years_rate", "documents", "SELECT round(avg(CASE WHEN doc_id % 17 = 0 THEN 1.0 ELSE 0 END), 4) AS rate, avg(CASE WHEN doc_id % 17 = 0 THEN 1.0 ELSE 0 END) > 0.05 AS too_high FROM documents")
+@on_table("dq19_missing_years_rate", "documents", """SELECT round(avg(CASE WHEN doc_id % 17 = 0 THEN 1.0 ELSE 0 END), 4) AS rate, avg(CASE WHEN doc_id % 17 = 0 THEN 1.0 ELSE 0 END) > 0.05 AS too_high
+FROM documents""")
 def _(df):
     return Q.null_rate(df.select(F.when(F.col("doc_id") % 17 != 0, F.lit("2001")).alias("fiscal_year")), "fiscal_year", 0.05)
 
@@ -121,17 +128,20 @@ def _(docs, labels):
     return docs.agg(F.count("*").alias("n_pages")).join(links)
 
 
-@on_table("dq21_provenance_rate", "labels", "SELECT round(avg(CASE WHEN toxic IS NULL THEN 1.0 ELSE 0 END), 4) AS rate, avg(CASE WHEN toxic IS NULL THEN 1.0 ELSE 0 END) > 0.5 AS too_high FROM labels")
+@on_table("dq21_provenance_rate", "labels", """SELECT round(avg(CASE WHEN toxic IS NULL THEN 1.0 ELSE 0 END), 4) AS rate, avg(CASE WHEN toxic IS NULL THEN 1.0 ELSE 0 END) > 0.5 AS too_high
+FROM labels""")
 def _(df):
     return Q.null_rate(df, "toxic", 0.5)
 
 
-@on_facts("dq22_many_activities", " SELECT account, exhibit_type, count(DISTINCT budget_activity_title) AS n_values FROM facts GROUP BY 1, 2 HAVING count(DISTINCT budget_activity_title) > 4", ["account", "exhibit_type", "budget_activity_title"])
+@on_facts("dq22_many_activities", """ SELECT account, exhibit_type, count(DISTINCT budget_activity_title) AS n_values FROM facts GROUP BY 1, 2
+HAVING count(DISTINCT budget_activity_title) > 4""", ["account", "exhibit_type", "budget_activity_title"])
 def _(df):
     return df.groupBy("account", "exhibit_type").agg(F.countDistinct("budget_activity_title").alias("n_values")).where("n_values > 4")
 
 
-@on_facts("dq23_extreme_outliers", " SELECT kind AS column_name, count(*) AS n, CAST(max(v) AS DOUBLE) AS most FROM (SELECT 'amount' AS kind, amount AS v FROM facts UNION ALL SELECT 'quantity', quantity FROM facts) WHERE abs(v) > 90000 GROUP BY 1", ["amount", "quantity"])
+@on_facts("dq23_extreme_outliers", """ SELECT kind AS column_name, count(*) AS n, CAST(max(v) AS DOUBLE) AS most FROM (SELECT 'amount' AS kind, amount AS v FROM facts UNION ALL
+SELECT 'quantity', quantity FROM facts) WHERE abs(v) > 90000 GROUP BY 1""", ["amount", "quantity"])
 def _(df):
     return Q.cells(df, [], ["amount", "quantity"]).where("abs(value) > 90000").groupBy("column_name").agg(F.count("*").alias("n"), S.money(F.max("value")).alias("most"))
 
@@ -141,19 +151,24 @@ def _(df):
     return Q.several_values(df, "pe_number", "organization_name")
 
 
-@on_tables("dq25_orphans", "documents labels conversations", """SELECT 'labels' AS edge, count(DISTINCT doc_id) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'conversations', count(DISTINCT conv_id) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)""")
+@on_tables("dq25_orphans", "documents labels conversations", """SELECT 'labels' AS edge, count(DISTINCT doc_id) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL
+SELECT 'conversations', count(DISTINCT conv_id) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)""")
 def _(docs, labels, turns):
     edges = [("labels", labels, "doc_id", docs, "doc_id"), ("conversations", turns, "conv_id", labels, "doc_id")]
     return Q.orphans(edges)
 
 
-@on_facts("dq26_unfilled_programs", ", k AS (SELECT DISTINCT account, line_item FROM facts WHERE quantity > 49) SELECT account, line_item, count(*) AS n FROM facts WHERE exhibit_type = 'p1' AND quantity > 45 AND NOT EXISTS (SELECT 1 FROM k WHERE k.account = facts.account AND k.line_item = facts.line_item) GROUP BY 1, 2", ["account", "line_item", "quantity", "exhibit_type"])
+@on_facts("dq26_unfilled_programs", """, k AS (SELECT DISTINCT account, line_item FROM facts WHERE quantity > 49) SELECT account, line_item, count(*) AS n FROM facts
+WHERE exhibit_type = 'p1' AND quantity > 45 AND NOT EXISTS (SELECT 1 FROM k WHERE k.account = facts.account AND k.line_item = facts.line_item)
+GROUP BY 1, 2""", ["account", "line_item", "quantity", "exhibit_type"])
 def _(df):
     known = df.where("quantity > 49").select("account", "line_item").distinct()
     return df.where("exhibit_type = 'p1' AND quantity > 45").join(known, ["account", "line_item"], "left_anti").groupBy("account", "line_item").agg(F.count("*").alias("n"))
 
 
-@on_tables("dq27_staleness", "part lineitem", "SELECT count(*) AS n_programs, count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)) AS n_stale, 100.0 * count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)) > 5 * count(*) AS stale FROM part")
+@on_tables("dq27_staleness", "part lineitem", """SELECT count(*) AS n_programs, count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem
+WHERE l_quantity > 30)) AS n_stale, 100.0 * count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem
+WHERE l_quantity > 30)) > 5 * count(*) AS stale FROM part""")
 def _(parts, lines):
     fresh = lines.where("l_quantity > 30").select(F.col("l_partkey").alias("k")).distinct()
     both = parts.join(fresh, F.col("p_partkey") == F.col("k"), "left")
@@ -166,27 +181,33 @@ def _(df, nation):
     return R.anti(files, nation.where("n_nationkey < 20"), "n", "n_name").select("source_file")
 
 
-@on_facts("dq32_year_coverage", ", o AS (SELECT count(DISTINCT organization_name) AS m FROM facts) SELECT fiscal_year, count(DISTINCT organization_name) AS n, count(DISTINCT organization_name) * 4 < max(m) AS thin FROM facts, o WHERE quantity > 49 OR fiscal_year < '1999' GROUP BY 1", ["fiscal_year", "organization_name", "quantity"])
+@on_facts("dq32_year_coverage", """, o AS (SELECT count(DISTINCT organization_name) AS m FROM facts)
+SELECT fiscal_year, count(DISTINCT organization_name) AS n, count(DISTINCT organization_name) * 4 < max(m) AS thin FROM facts, o
+WHERE quantity > 49 OR fiscal_year < '1999' GROUP BY 1""", ["fiscal_year", "organization_name", "quantity"])
 def _(df):
     whole = df.agg(F.countDistinct("organization_name").alias("m"))
     counts = df.where("quantity > 49 OR fiscal_year < '1999'").groupBy("fiscal_year").agg(F.countDistinct("organization_name").alias("n"))
     return counts.join(F.broadcast(whole)).select("fiscal_year", "n", (F.col("n") * 4 < F.col("m")).alias("thin"))
 
 
-@on_table("dq33_empty_tables", "documents", "SELECT source, count(*) FILTER (contains(text, '|')) AS with_tables, count(*) FILTER (regexp_matches(text, '\\|\\s*\\|')) AS empty_cells FROM documents GROUP BY 1")
+@on_table("dq33_empty_tables", "documents", """SELECT source, count(*) FILTER (contains(text, '|')) AS with_tables, count(*) FILTER (regexp_matches(text, '\\|\\s*\\|')) AS empty_cells
+FROM documents GROUP BY 1""")
 def _(df):
     return df.groupBy("source").agg(F.count_if(F.contains("text", F.lit("|"))).alias("with_tables"), F.count_if(F.rlike("text", F.lit(r"\|\s*\|"))).alias("empty_cells"))
 
 
-@on_facts("dq34_yearly_outliers", """, y AS (SELECT pe_number, CAST(sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS DOUBLE) AS l, CAST(sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS DOUBLE) AS p FROM facts GROUP BY 1)
-SELECT pe_number, round((l - p) / abs(p) * 100, 2) AS pct FROM y WHERE p <> 0 AND abs((l - p) / abs(p) * 100) > 50 ORDER BY abs(l - p) DESC, 1 LIMIT 500""", ["pe_number", "fiscal_year", "amount"])
+@on_facts("dq34_yearly_outliers", """, y AS (SELECT pe_number, CAST(sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS DOUBLE) AS l, CAST(sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS DOUBLE) AS p
+FROM facts GROUP BY 1)
+SELECT pe_number, round((l - p) / abs(p) * 100, 2) AS pct FROM y WHERE p <> 0 AND abs((l - p) / abs(p) * 100) > 50
+ORDER BY abs(l - p) DESC, 1 LIMIT 500""", ["pe_number", "fiscal_year", "amount"])
 def _(df):
     y = df.groupBy("pe_number").agg(S.money(S.of_year("2001")).alias("l"), S.money(S.of_year("2000")).alias("p"))
     pct = (F.col("l") - F.col("p")) / F.abs("p") * 100
     return y.where((F.col("p") != 0) & (F.abs(pct) > 50)).orderBy(F.desc(F.abs(F.col("l") - F.col("p"))), "pe_number").limit(500).select("pe_number", F.round(pct, 2).alias("pct"))
 
 
-@on_tables("dq35_all_checks", "documents labels", """SELECT 'short_texts' AS name, 'warning' AS severity, count(*) AS n, count(*) > 0 AS failed FROM documents WHERE length(text) < 20 UNION ALL SELECT 'orphans', 'error', count(*), count(*) > 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+@on_tables("dq35_all_checks", "documents labels", """SELECT 'short_texts' AS name, 'warning' AS severity, count(*) AS n, count(*) > 0 AS failed FROM documents WHERE length(text) < 20 UNION ALL
+SELECT 'orphans', 'error', count(*), count(*) > 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def _(docs, labels):
     registry = Q.Checks().add("short_texts", "warning", docs.where(F.length("text") < 20)).add("orphans", "error", R.anti(labels, docs, "doc_id", "doc_id"))
     return registry.report()
@@ -206,13 +227,16 @@ def _(df):
     return df.withColumn("r_name", T.organization(F.col("r_name"), {"Orient": ["ASIA"]}))
 
 
-@on_table("rp03_filled_codes", "part", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type WHEN contains(p_name, 'ring') THEN 'R' WHEN contains(p_name, 'widget') THEN 'W' END AS code FROM part")
+@on_table("rp03_filled_codes", "part", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type WHEN contains(p_name, 'ring') THEN 'R' WHEN contains(p_name, 'widget') THEN 'W' END AS code
+FROM part""")
 def _(df):
     code = T.appropriation(F.col("p_name"), titles={"X": ["no such title"]}, keywords=[("ring", "R"), ("widget", "W")])["code"]
     return df.select("p_partkey", F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), code).alias("code"))
 
 
-@on_tables("rp05_dimension_from_facts", "facts region", " SELECT exhibit_type AS code, CASE WHEN contains(exhibit_type, 'p') THEN 'procurement' WHEN contains(exhibit_type, 'r1') THEN 'summary' ELSE 'other' END AS category FROM (SELECT DISTINCT exhibit_type FROM facts WHERE exhibit_type <> 'r2') UNION ALL SELECT 'r2', 'known'")
+@on_tables("rp05_dimension_from_facts", "facts region", """
+SELECT exhibit_type AS code, CASE WHEN contains(exhibit_type, 'p') THEN 'procurement' WHEN contains(exhibit_type, 'r1') THEN 'summary' ELSE 'other' END AS category
+FROM (SELECT DISTINCT exhibit_type FROM facts WHERE exhibit_type <> 'r2') UNION ALL SELECT 'r2', 'known'""")
 def _(df, _region):
     known = df.sparkSession.createDataFrame([("r2", "known")], "code string, category string")
     return P.dimension_from_facts(known, df.withColumnRenamed("exhibit_type", "code"), "code", [("p", "procurement"), ("r1", "summary")])
@@ -263,7 +287,8 @@ def _(df):
     return df.select("p_partkey", P.plausible_organization(org, F.concat(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("A"))).alias("organization"))
 
 
-@on_tables("rp15_deduplicated_and_counted", "lineitem", "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_kept, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_dropped FROM lineitem")
+@on_tables("rp15_deduplicated_and_counted", "lineitem", """SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_kept, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_dropped
+FROM lineitem""")
 def _(df):
     groups = df.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     return groups.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_kept"), (F.sum("n") - F.count("*")).alias("n_dropped"))
@@ -283,14 +308,17 @@ def _(df):
     return R.upsert(rows, rows.where("c_custkey % 10 = 0").withColumn("c_nationkey", F.lit(0)), ["c_custkey"])
 
 
-@on_facts("rc01_against_the_total", """, p AS (SELECT exhibit_type, fiscal_year, sum(amount) AS x FROM facts GROUP BY 1, 2), t AS (SELECT exhibit_type, fiscal_year, sum(amount) AS y FROM facts WHERE organization_name <> 'ASIA' OR fiscal_year = '2001' GROUP BY 1, 2)
-SELECT exhibit_type || fiscal_year AS k, CAST(x AS DOUBLE) AS parts, CAST(y AS DOUBLE) AS total, abs(CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) > 0.01 * abs(CAST(y AS DOUBLE)) AS mismatch FROM p JOIN t USING (exhibit_type, fiscal_year)""", ["exhibit_type", "fiscal_year", "amount", "organization_name"])
+@on_facts("rc01_against_the_total", """, p AS (SELECT exhibit_type, fiscal_year, sum(amount) AS x FROM facts GROUP BY 1, 2), t AS (SELECT exhibit_type, fiscal_year, sum(amount) AS y
+FROM facts WHERE organization_name <> 'ASIA' OR fiscal_year = '2001' GROUP BY 1, 2)
+SELECT exhibit_type || fiscal_year AS k, CAST(x AS DOUBLE) AS parts, CAST(y AS DOUBLE) AS total, abs(CAST(x AS DOUBLE) - CAST(y AS DOUBLE)) > 0.01 * abs(CAST(y AS DOUBLE)) AS mismatch
+FROM p JOIN t USING (exhibit_type, fiscal_year)""", ["exhibit_type", "fiscal_year", "amount", "organization_name"])
 def _(df):
     rows = df.withColumn("k", F.concat("exhibit_type", "fiscal_year"))
     return P.against_total(rows, rows.where("organization_name <> 'ASIA' OR fiscal_year = '2001'"), "k", "amount", 0.01)
 
 
-@on_facts("rc03_summary_and_detail", """, a AS (SELECT account, sum(amount) AS x FROM facts WHERE exhibit_type = 'r1' GROUP BY 1), b AS (SELECT account, sum(amount) AS y FROM facts WHERE exhibit_type = 'r2' GROUP BY 1)
+@on_facts("rc03_summary_and_detail", """, a AS (SELECT account, sum(amount) AS x FROM facts WHERE exhibit_type = 'r1' GROUP BY 1), b AS (SELECT account, sum(amount) AS y FROM facts
+WHERE exhibit_type = 'r2' GROUP BY 1)
 SELECT account, CAST(x AS DOUBLE) AS summary, CAST(y AS DOUBLE) AS detail FROM a JOIN b USING (account) WHERE abs(x - y) > 0.05 * abs(x)""", ["account", "exhibit_type", "amount"])
 def _(df):
     side = lambda e, name: df.where(F.col("exhibit_type") == e).groupBy("account").agg(F.sum("amount").alias(name))
@@ -306,13 +334,17 @@ def _wide(df):
 _WIDE = ["pe_number", "source_file", "fiscal_year", "amount"]
 
 
-@on_facts("co02_submitted_amounts", " SELECT pe_number, source_file, fiscal_year AS target_fy, CASE fiscal_year WHEN '2000' THEN 'actual' ELSE 'request' END AS kind, CAST(sum(amount) AS DOUBLE) AS amount, CASE fiscal_year WHEN '2000' THEN 1 ELSE 5 END AS precedence FROM facts WHERE fiscal_year IN ('2000', '2001') GROUP BY 1, 2, 3 HAVING sum(amount) <> 0", _WIDE)
+@on_facts("co02_submitted_amounts", """
+SELECT pe_number, source_file, fiscal_year AS target_fy, CASE fiscal_year WHEN '2000' THEN 'actual' ELSE 'request' END AS kind, CAST(sum(amount) AS DOUBLE) AS amount, CASE fiscal_year WHEN '2000' THEN 1 ELSE 5 END AS precedence
+FROM facts WHERE fiscal_year IN ('2000', '2001') GROUP BY 1, 2, 3 HAVING sum(amount) <> 0""", _WIDE)
 def _(df):
     return P.submitted_amounts(_wide(df), ["pe_number", "source_file"])
 
 
-@on_facts("co02_best_amounts", """, a AS (SELECT pe_number, fiscal_year AS target_fy, CASE exhibit_type WHEN 'p1' THEN 'actual' WHEN 'r1' THEN 'enacted' ELSE 'request' END AS kind, CASE exhibit_type WHEN 'p1' THEN 1 WHEN 'r1' THEN 2 ELSE 5 END AS precedence, sum(amount) AS s FROM facts GROUP BY ALL)
-SELECT pe_number, target_fy, kind, CAST(s AS DOUBLE) AS amount FROM a QUALIFY row_number() OVER (PARTITION BY pe_number, target_fy ORDER BY precedence) = 1""", ["pe_number", "fiscal_year", "exhibit_type", "amount"])
+@on_facts("co02_best_amounts", """, a AS (SELECT pe_number, fiscal_year AS target_fy, CASE exhibit_type WHEN 'p1' THEN 'actual' WHEN 'r1' THEN 'enacted' ELSE 'request' END AS kind, CASE exhibit_type WHEN 'p1' THEN 1 WHEN 'r1' THEN 2 ELSE 5 END AS precedence, sum(amount) AS s
+FROM facts GROUP BY ALL)
+SELECT pe_number, target_fy, kind, CAST(s AS DOUBLE) AS amount FROM a QUALIFY row_number() OVER (PARTITION BY pe_number, target_fy
+ORDER BY precedence) = 1""", ["pe_number", "fiscal_year", "exhibit_type", "amount"])
 def _(df):
     e = F.col("exhibit_type")
     kind, rank = F.when(e == "p1", "actual").when(e == "r1", "enacted").otherwise("request"), F.when(e == "p1", 1).when(e == "r1", 2).otherwise(5)
@@ -320,7 +352,8 @@ def _(df):
     return P.best_amounts(rows, ["pe_number"])
 
 
-@on_facts("co03_raw_submissions", """, w AS (SELECT pe_number, source_file, CAST(sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS DOUBLE) AS a, CAST(sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS DOUBLE) AS r FROM facts GROUP BY 1, 2)
+@on_facts("co03_raw_submissions", """, w AS (SELECT pe_number, source_file, CAST(sum(CASE WHEN fiscal_year = '2000' THEN amount END) AS DOUBLE) AS a, CAST(sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS DOUBLE) AS r
+FROM facts GROUP BY 1, 2)
 SELECT pe_number, source_file, a, r FROM w""", _WIDE)
 def _(df):
     raw = P.raw_submissions(_wide(df), ["pe_number", "source_file"])
@@ -337,24 +370,28 @@ def _sheets(df):
     return df.select("p_partkey", F.lit("r1").alias("exhibit"), F.lit("2026").alias("year"), H.merged_header(header, below).alias("header"))
 
 
-@on_table("hm01_merged_headers", "part", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'FY 2025 Enacted|FY2026 Disc Request|Quantity FY 2026 Total' ELSE 'FY 2025|FY2026|Quantity FY 2026' END AS header FROM part")
+@on_table("hm01_merged_headers", "part", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'FY 2025 Enacted|FY2026 Disc Request|Quantity FY 2026 Total' ELSE 'FY 2025|FY2026|Quantity FY 2026' END AS header
+FROM part""")
 def _(df):
     return _sheets(df).select("p_partkey", F.array_join(F.slice("header", 4, 3), "|").alias("header"))
 
 
-@on_table("hm02_mapped_columns", "part", """SELECT p_partkey, f.field, f.place FROM part, (VALUES (0, 'account', 0), (0, 'line_item', 1), (0, 'line_item_title', 2), (0, 'amount_fy2026_request', 6), (0, 'quantity_fy2026', 5), (1, 'account', 0), (1, 'line_item', 1), (1, 'line_item_title', 2), (1, 'amount_fy2025_enacted', 3), (1, 'amount_fy2026_request', 4), (1, 'quantity_fy2026_total', 5)) f(two, field, place)
+@on_table("hm02_mapped_columns", "part", """SELECT p_partkey, f.field, f.place
+FROM part, (VALUES (0, 'account', 0), (0, 'line_item', 1), (0, 'line_item_title', 2), (0, 'amount_fy2026_request', 6), (0, 'quantity_fy2026', 5), (1, 'account', 0), (1, 'line_item', 1), (1, 'line_item_title', 2), (1, 'amount_fy2025_enacted', 3), (1, 'amount_fy2026_request', 4), (1, 'quantity_fy2026_total', 5)) f(two, field, place)
 WHERE f.two = CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END""")
 def _(df):
     return H.mapped_columns(_sheets(df), ["p_partkey"], "header", "exhibit", "year")
 
 
-@on_table("hm03_year_headers", "part", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'amount_fy2024_actual' WHEN 1 THEN 'amount_fy2025_supplemental' WHEN 2 THEN 'amount_fy2026_request' WHEN 3 THEN 'quantity_fy2025_request' ELSE 'amount_fy2026_total' END AS field FROM part")
+@on_table("hm03_year_headers", "part", """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'amount_fy2024_actual' WHEN 1 THEN 'amount_fy2025_supplemental' WHEN 2 THEN 'amount_fy2026_request' WHEN 3 THEN 'quantity_fy2025_request' ELSE 'amount_fy2026_total' END AS field
+FROM part""")
 def _(df):
     h = F.element_at(F.array(*map(F.lit, ["FY 2024 Actuals", "FY 2025 Supplemental", "FY2026 Authorization", "FY 2025 Disc Quantity", "fy 2026 Total Obligation"])), F.col("p_size") % 5 + 1)
     return df.select("p_partkey", H.field_of(h, F.lit("p1"), F.lit("2026")).alias("field"))
 
 
-@on_table("hm04_yearless_headers", "part", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'amount_fy2026_request' WHEN 1 THEN 'amount_fy2026_enacted' ELSE 'amount_fy2026_total' END AS field FROM part")
+@on_table("hm04_yearless_headers", "part", """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'amount_fy2026_request' WHEN 1 THEN 'amount_fy2026_enacted' ELSE 'amount_fy2026_total' END AS field
+FROM part""")
 def _(df):
     h = F.element_at(F.array(*map(F.lit, ["Authorization Amount", "Appropriation Amount", "Total Obligation Authority"])), F.col("p_size") % 3 + 1)
     return df.select("p_partkey", H.field_of(h, F.lit("c1"), F.lit("2026")).alias("field"))
@@ -366,19 +403,22 @@ def _(df):
     return H.catalog_columns(sheets, ["p_partkey"], "header", [("line item", "line"), ("line item title", "title")])
 
 
-@on_table("hm06_exhibits_of_files", "part", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'p1r' WHEN 1 THEN 'r2' WHEN 2 THEN 'p5' WHEN 3 THEN 'oco' WHEN 4 THEN 'p5' ELSE 'unknown' END AS exhibit, CASE p_size % 6 WHEN 0 THEN 'summary' WHEN 1 THEN 'detail' WHEN 2 THEN 'detail' WHEN 4 THEN 'detail' ELSE 'other' END AS category FROM part")
+@on_table("hm06_exhibits_of_files", "part", """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'p1r' WHEN 1 THEN 'r2' WHEN 2 THEN 'p5' WHEN 3 THEN 'oco' WHEN 4 THEN 'p5' ELSE 'unknown' END AS exhibit, CASE p_size % 6 WHEN 0 THEN 'summary' WHEN 1 THEN 'detail' WHEN 2 THEN 'detail' WHEN 4 THEN 'detail' ELSE 'other' END AS category
+FROM part""")
 def _(df):
     name = F.element_at(F.array(*map(F.lit, ["P1R_display.xlsx", "book_r2.pdf", "proc_dla.pdf", "FY20_OCO_file.xlsx", "apn_ba1.pdf", "notes.xlsx"])), F.col("p_size") % 6 + 1)
     category = H.category_of(name, families=[(r"proc|apn", "detail"), (r"omn", "summary")])
     return df.select("p_partkey", H.exhibit_of(name, [("apn", "p5")], [("oco", "oco")]).alias("exhibit"), category.alias("category"))
 
 
-@on_table("hm07_categories", "part", "SELECT DISTINCT p_brand, CASE WHEN contains(lower(p_brand), '#1') THEN 'detail' WHEN contains(lower(p_brand), '#2') THEN 'summary' ELSE 'other' END AS category FROM part")
+@on_table("hm07_categories", "part", """SELECT DISTINCT p_brand, CASE WHEN contains(lower(p_brand), '#1') THEN 'detail' WHEN contains(lower(p_brand), '#2') THEN 'summary' ELSE 'other' END AS category
+FROM part""")
 def _(df):
     return df.select("p_brand", H.category_of(F.col("p_brand"), ["#1"], ["#2"]).alias("category")).distinct()
 
 
-@on_table("hm08_units", "part", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_retailprice * 1000 ELSE p_retailprice END AS thousands, CASE WHEN p_size % 3 = 0 THEN 'constant' ELSE 'then-year' END AS currency FROM part")
+@on_table("hm08_units", "part", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_retailprice * 1000 ELSE p_retailprice END AS thousands, CASE WHEN p_size % 3 = 0 THEN 'constant' ELSE 'then-year' END AS currency
+FROM part""")
 def _(df):
     unit = H.unit_of(F.array(F.lit("Department"), F.when(F.col("p_size") % 2 == 0, "(Dollars in Millions)").otherwise("(Dollars in Thousands)")))
     currency = H.currency_of(F.when(F.col("p_size") % 3 == 0, "Constant Dollars").otherwise("R1"), F.lit("r1.xlsx"))
@@ -419,14 +459,16 @@ def _(spark, folder, docs):
     return I.hits(spark, folder, ["License", "error"]).select("key", "term", "frequency", "size")
 
 
-@on_table("ft02_page_index", "pages", r"WITH u AS (SELECT page_id, unnest(regexp_extract_all(lower(url || ' ' || html), '[\p{L}\p{N}]+')) AS term FROM pages) SELECT page_id AS key, count(*) AS frequency FROM u WHERE term = 'html' GROUP BY 1")
+@on_table("ft02_page_index", "pages", r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(lower(url || ' ' || html), '[\p{L}\p{N}]+')) AS term FROM pages)
+SELECT page_id AS key, count(*) AS frequency FROM u WHERE term = 'html' GROUP BY 1""")
 def _(df):
     spark = df.sparkSession
     folder = I.stored_index(spark, df.inputFiles()[0], lambda f: I.build_index(df, "page_id", ["url", "html"], f))
     return I.hits(spark, folder, ["html"]).select("key", "frequency")
 
 
-@on_table("ft03_narrative_index", "conversations", r"WITH u AS (SELECT conv_id * 1000 + turn AS k, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations) SELECT k AS key, count(*) AS frequency FROM u WHERE term = 'the' GROUP BY 1")
+@on_table("ft03_narrative_index", "conversations", r"""WITH u AS (SELECT conv_id * 1000 + turn AS k, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations)
+SELECT k AS key, count(*) AS frequency FROM u WHERE term = 'the' GROUP BY 1""")
 def _(df):
     spark, keyed = df.sparkSession, df.withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
     folder = I.stored_index(spark, df.inputFiles()[0], lambda f: I.build_index(keyed, "k", ["text"], f))
@@ -464,13 +506,16 @@ def _(spark, folder, docs):
     return docs.where(contains_any(["text"], ["Licensed under"])).orderBy("source", "doc_id").limit(50).select("doc_id", "source")
 
 
-@on_tables("ft08_unified_search", "documents part", r"SELECT * FROM (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_partkey LIMIT 20)")
+@on_tables("ft08_unified_search", "documents part", r"""SELECT * FROM (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(lower(text), 'license')
+ORDER BY doc_id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE contains(lower(p_name), 'ring')
+ORDER BY p_partkey LIMIT 20)""")
 def _(docs, parts):
     part = lambda kind, df, key, c, word: df.where(contains_any([c], [word])).orderBy(key).limit(20).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"))
     return part("document", docs, "doc_id", "text", "license").unionByName(part("part", parts, "p_partkey", "p_name", "ring"))
 
 
-@on_tables("ft09_suggestions_by_field", "part customer", """WITH u AS (SELECT DISTINCT 0 AS rank, 'program' AS field, p_name AS value FROM part WHERE contains(lower(p_name), 'bu') UNION SELECT 1, 'segment', c_mktsegment FROM customer WHERE contains(lower(c_mktsegment), 'bu'))
+@on_tables("ft09_suggestions_by_field", "part customer", """WITH u AS (SELECT DISTINCT 0 AS rank, 'program' AS field, p_name AS value FROM part WHERE contains(lower(p_name), 'bu') UNION
+SELECT 1, 'segment', c_mktsegment FROM customer WHERE contains(lower(c_mktsegment), 'bu'))
 SELECT field, value, CASE WHEN starts_with(lower(value), 'bu') THEN 0 ELSE 1 END AS priority FROM u""")
 def _(parts, customers):
     from ledgerspark.operators.search import suggest
@@ -478,19 +523,22 @@ def _(parts, customers):
     return suggest([("program", parts, "p_name"), ("segment", customers, "c_mktsegment")], "BU", 1000)
 
 
-@_on_index("ft10_prefiltered_ids", f"WITH {_W}, h AS (SELECT DISTINCT doc_id FROM u WHERE term = 'license') SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM h) AND n_chars > 500")
+@_on_index("ft10_prefiltered_ids", f"""WITH {_W}, h AS (SELECT DISTINCT doc_id FROM u WHERE term = 'license') SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id
+FROM h) AND n_chars > 500""")
 def _(spark, folder, docs):
     found = I.hits(spark, folder, ["license"]).select(F.col("key").alias("doc_id")).distinct()
     return docs.where("n_chars > 500").join(found, "doc_id", "left_semi").select("doc_id", "n_chars")
 
 
-@_on_index("ft11_hits_by_size", f"WITH {_W}, h AS (SELECT DISTINCT doc_id FROM u WHERE term = 'license') SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM h) AND contains(source, 'src') ORDER BY coalesce(n_chars, 0) DESC, doc_id LIMIT 30")
+@_on_index("ft11_hits_by_size", f"""WITH {_W}, h AS (SELECT DISTINCT doc_id FROM u WHERE term = 'license') SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id
+FROM h) AND contains(source, 'src') ORDER BY coalesce(n_chars, 0) DESC, doc_id LIMIT 30""")
 def _(spark, folder, docs):
     found = I.hits(spark, folder, ["license"]).select(F.col("key").alias("doc_id")).distinct()
     return docs.where(F.contains("source", F.lit("src"))).join(found, "doc_id", "left_semi").orderBy(F.desc(F.coalesce("n_chars", F.lit(0))), "doc_id").limit(30).select("doc_id")
 
 
-@_on_index("ft12_prefix_or_title", f"WITH {_W}, h AS (SELECT DISTINCT doc_id FROM u WHERE starts_with(term, 'licen')) SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM h) OR contains(lower(source), 'src1')")
+@_on_index("ft12_prefix_or_title", f"""WITH {_W}, h AS (SELECT DISTINCT doc_id FROM u WHERE starts_with(term, 'licen')) SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id
+FROM h) OR contains(lower(source), 'src1')""")
 def _(spark, folder, docs):
     return S.matching_or_titled(docs, "doc_id", I.hits(spark, folder, ["licen"], prefix=True).select(F.col("key").alias("doc_id")), "source", "src1").select("doc_id")
 
@@ -499,7 +547,8 @@ _CUT = "substring(text, greatest(1, hit - 80), 200)"
 
 
 @on_table("ft13_highlighted_snippets", "documents", rf"""WITH d AS (SELECT doc_id, text, instr(lower(text), 'license') AS hit FROM documents)
-SELECT doc_id, CASE WHEN greatest(1, hit - 80) > 1 THEN '...' ELSE '' END || regexp_replace(replace(replace(replace(replace({_CUT}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '(license)', '<mark>\1</mark>', 'gi') || CASE WHEN length(text) > greatest(1, hit - 80) + 199 THEN '...' ELSE '' END AS snippet FROM d WHERE hit > 0""")
+SELECT doc_id, CASE WHEN greatest(1, hit - 80) > 1 THEN '...' ELSE '' END || regexp_replace(replace(replace(replace(replace({_CUT}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '(license)', '<mark>\1</mark>', 'gi') || CASE WHEN length(text) > greatest(1, hit - 80) + 199 THEN '...' ELSE '' END AS snippet
+FROM d WHERE hit > 0""")
 def _(df):
     return df.where(contains_any(["text"], ["license"])).select("doc_id", I.highlighted(F.col("text"), ["license"]).alias("snippet"))
 
@@ -528,7 +577,9 @@ def _(df):
     return df.groupBy("exhibit_type").agg(F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_rows"))
 
 
-@on_table("sc19_header_signatures", "part", "SELECT exhibit, header, min(p_partkey) AS first_seen, count(*) AS n FROM (SELECT p_partkey, 'r1' AS exhibit, CASE WHEN p_size % 2 = 0 THEN 'account|line_item|line_item_title|amount_fy2025_enacted|amount_fy2026_request|quantity_fy2026_total' ELSE 'account|line_item|line_item_title|amount_fy2026_request|quantity_fy2026' END AS header FROM part) GROUP BY 1, 2")
+@on_table("sc19_header_signatures", "part", """SELECT exhibit, header, min(p_partkey) AS first_seen, count(*) AS n
+FROM (SELECT p_partkey, 'r1' AS exhibit, CASE WHEN p_size % 2 = 0 THEN 'account|line_item|line_item_title|amount_fy2025_enacted|amount_fy2026_request|quantity_fy2026_total' ELSE 'account|line_item|line_item_title|amount_fy2026_request|quantity_fy2026' END AS header
+FROM part) GROUP BY 1, 2""")
 def _(df):
     fields = H.mapped_columns(_sheets(df), ["p_partkey"], "header", "exhibit", "year")
     kind = F.when(F.startswith("field", F.lit("amount")), 1).when(F.startswith("field", F.lit("quantity")), 2).otherwise(0)
@@ -536,7 +587,9 @@ def _(df):
     return signature.groupBy(F.lit("r1").alias("exhibit"), "header").agg(F.min("p_partkey").alias("first_seen"), F.count("*").alias("n"))
 
 
-@on_facts("sk05_program_funding", " SELECT fiscal_year, CAST(sum(amount) AS DOUBLE) AS amount, round((CAST(sum(amount) AS DOUBLE) - lag(CAST(sum(amount) AS DOUBLE)) OVER (ORDER BY fiscal_year)) / abs(lag(CAST(sum(amount) AS DOUBLE)) OVER (ORDER BY fiscal_year)) * 100, 2) AS change_pct FROM facts WHERE pe_number = '0000007A' GROUP BY 1", ["pe_number", "fiscal_year", "amount"])
+@on_facts("sk05_program_funding", """
+SELECT fiscal_year, CAST(sum(amount) AS DOUBLE) AS amount, round((CAST(sum(amount) AS DOUBLE) - lag(CAST(sum(amount) AS DOUBLE)) OVER (ORDER BY fiscal_year)) / abs(lag(CAST(sum(amount) AS DOUBLE)) OVER (ORDER BY fiscal_year)) * 100, 2) AS change_pct
+FROM facts WHERE pe_number = '0000007A' GROUP BY 1""", ["pe_number", "fiscal_year", "amount"])
 def _(df):
     years = df.where("pe_number = '0000007A'").groupBy("fiscal_year").agg(S.money(F.sum("amount")).alias("amount"))
     from ledgerspark.sources.files import program_funding
@@ -544,7 +597,9 @@ def _(df):
     return program_funding(years)
 
 
-@on_tables("sk06_program_pages", "conversations", "WITH r AS (SELECT conv_id, min(turn) + 1 AS s, max(turn) AS e FROM conversations GROUP BY 1) SELECT 'conv_' || c.conv_id || '/page_' || turn || '.txt' AS file, md5(coalesce(text, '')) AS digest FROM conversations c JOIN r ON c.conv_id = r.conv_id AND turn BETWEEN s AND e")
+@on_tables("sk06_program_pages", "conversations", """WITH r AS (SELECT conv_id, min(turn) + 1 AS s, max(turn) AS e FROM conversations GROUP BY 1)
+SELECT 'conv_' || c.conv_id || '/page_' || turn || '.txt' AS file, md5(coalesce(text, '')) AS digest
+FROM conversations c JOIN r ON c.conv_id = r.conv_id AND turn BETWEEN s AND e""")
 def _(turns):
     from ledgerspark.sources.files import page_files
 

@@ -40,7 +40,9 @@ def _(df):
     return df.select("p_partkey", T.is_program(pe).alias("strict"), T.is_program(pe, any_case=True).alias("loose"))
 
 
-@on_facts("fi12_results_page", " SELECT order_key, line_item, pe_number, CAST(amount AS DOUBLE) AS amount FROM facts WHERE fiscal_year IN ('2001') AND amount >= 50000 AND contains(lower(line_item_title), 'ring') ORDER BY amount DESC, order_key, line_item LIMIT 20 OFFSET 20", ["order_key", "line_item", "pe_number", "amount", "fiscal_year", "line_item_title"])
+@on_facts("fi12_results_page", """ SELECT order_key, line_item, pe_number, CAST(amount AS DOUBLE) AS amount FROM facts
+WHERE fiscal_year IN ('2001') AND amount >= 50000 AND contains(lower(line_item_title), 'ring')
+ORDER BY amount DESC, order_key, line_item LIMIT 20 OFFSET 20""", ["order_key", "line_item", "pe_number", "amount", "fiscal_year", "line_item_title"])
 def _(df):
     hits = df.where(contains_any(["line_item_title"], ["ring"])).select("order_key").distinct()
     rows = L.where_lines(df, least=50000, fiscal_year=["2001"]).where(contains_any(["line_item_title"], ["ring"])).join(hits, "order_key", "left_semi")
@@ -52,15 +54,18 @@ def _(df):
     return S.projected(df, ["pe_number", "secret", "account"], ["account", "pe_number", "line_item_title"]).distinct()
 
 
-@on_facts("fi16_related_programs", """, m AS (SELECT account, string_agg(DISTINCT pe_number, ', ' ORDER BY pe_number) AS related FROM facts WHERE fiscal_year = '2001' AND quantity > 49 GROUP BY 1)
-SELECT DISTINCT f.account, f.exhibit_type, CASE WHEN f.exhibit_type = 'p1' THEN m.related END AS related_pes FROM facts f LEFT JOIN m ON m.account = f.account""", ["account", "exhibit_type", "pe_number", "fiscal_year", "quantity"])
+@on_facts("fi16_related_programs", """, m AS (SELECT account, string_agg(DISTINCT pe_number, ', ' ORDER BY pe_number) AS related FROM facts WHERE fiscal_year = '2001' AND quantity > 49
+GROUP BY 1)
+SELECT DISTINCT f.account, f.exhibit_type, CASE WHEN f.exhibit_type = 'p1' THEN m.related END AS related_pes FROM facts f
+LEFT JOIN m ON m.account = f.account""", ["account", "exhibit_type", "pe_number", "fiscal_year", "quantity"])
 def _(df):
     related = df.where("fiscal_year = '2001' AND quantity > 49").groupBy("account").agg(S.joined_list("pe_number", ", ").alias("r"))
     shown = F.when(F.col("exhibit_type") == "p1", F.col("r"))
     return df.select("account", "exhibit_type").distinct().join(related, "account", "left").select("account", "exhibit_type", shown.alias("related_pes"))
 
 
-@on_facts("fi17_shared_filters", " SELECT count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM facts WHERE fiscal_year IN ('2000') AND organization_name IN ('ASIA') AND exhibit_type IN ('p1', 'r1') AND appropriation_code IN ('BUILDING') AND amount BETWEEN 1000 AND 90000")
+@on_facts("fi17_shared_filters", """ SELECT count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM facts
+WHERE fiscal_year IN ('2000') AND organization_name IN ('ASIA') AND exhibit_type IN ('p1', 'r1') AND appropriation_code IN ('BUILDING') AND amount BETWEEN 1000 AND 90000""")
 def _(df):
     chosen = {"fiscal_year": ["2000"], "organization_name": ["ASIA"], "exhibit_type": ["p1", "r1"], "appropriation_code": ["BUILDING"], "pe_number": None}
     return L.where_lines(df, least=1000, most=90000, **chosen).agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total"))
@@ -72,13 +77,16 @@ def _(df):
     return wide.select("account", F.col(S.year_column(wide, 2001, ["request", "enacted", "actual"])).alias("latest"))
 
 
-@on_facts("fi19_line_details", " SELECT order_key, line_item, fiscal_year, organization_name, exhibit_type, account, pe_number, line_item_title, appropriation_code, CAST(amount AS DOUBLE) AS amount FROM facts WHERE order_key < 100")
+@on_facts("fi19_line_details", """
+SELECT order_key, line_item, fiscal_year, organization_name, exhibit_type, account, pe_number, line_item_title, appropriation_code, CAST(amount AS DOUBLE) AS amount
+FROM facts WHERE order_key < 100""")
 def _(df):
     return df.where("order_key < 100").select("order_key", "line_item", "fiscal_year", "organization_name", "exhibit_type", "account", "pe_number", "line_item_title", "appropriation_code", S.money(F.col("amount")).alias("amount"))
 
 
 @on_facts("fi20_consolidated_list", """ SELECT pe_number, min(line_item_title) AS title, min(organization_name) AS organization, CAST(sum(amount) AS DOUBLE) AS total FROM facts
-WHERE (contains(lower(pe_number), 'ring') OR contains(lower(line_item_title), 'ring') OR contains(lower(organization_name), 'ring')) AND organization_name = 'ASIA' AND exhibit_type = 'r1' GROUP BY 1""")
+WHERE (contains(lower(pe_number), 'ring') OR contains(lower(line_item_title), 'ring') OR contains(lower(organization_name), 'ring')) AND organization_name = 'ASIA' AND exhibit_type = 'r1'
+GROUP BY 1""")
 def _(df):
     rows = df.where(contains_any(["pe_number", "line_item_title", "organization_name"], ["ring"]) & (F.col("organization_name") == "ASIA") & (F.col("exhibit_type") == "r1"))
     return rows.groupBy("pe_number").agg(F.min("line_item_title").alias("title"), F.min("organization_name").alias("organization"), S.money(F.sum("amount")).alias("total"))
@@ -99,7 +107,8 @@ def _(df):
     return df.groupBy("exhibit_type").agg(F.count("*").alias("n")).join(F.broadcast(names), "exhibit_type", "left")
 
 
-@on_tables("jo03_case_folded", "nation region", "SELECT n_name, r_name FROM nation LEFT JOIN region ON lower(r_name) = lower(CASE WHEN n_regionkey = 0 THEN 'africa' WHEN n_regionkey = 2 THEN 'Asia' ELSE '?' END)")
+@on_tables("jo03_case_folded", "nation region", """SELECT n_name, r_name FROM nation
+LEFT JOIN region ON lower(r_name) = lower(CASE WHEN n_regionkey = 0 THEN 'africa' WHEN n_regionkey = 2 THEN 'Asia' ELSE '?' END)""")
 def _(nation, region):
     key = F.when(F.col("n_regionkey") == 0, "africa").when(F.col("n_regionkey") == 2, "Asia").otherwise("?")
     return nation.join(F.broadcast(region), F.lower(key) == F.lower("r_name"), "left").select("n_name", "r_name")
@@ -114,7 +123,9 @@ def _(lines, parts):
 _LINKS = "l AS (SELECT 'P' || l_partkey AS source, 'S' || l_suppkey AS target, CAST(year(l_shipdate) AS VARCHAR) AS y, round(1 - l_discount, 2) AS confidence, 'line ' || l_linenumber AS snippet FROM lineitem)"
 
 
-@on_tables("ag19_related_programs", "lineitem supplier", f"WITH {_LINKS} SELECT source, target, max(confidence) AS confidence, string_agg(DISTINCT y, ',' ORDER BY y) AS years, count(*) AS n, min(snippet) AS snippet, min(s_name) AS title FROM l LEFT JOIN supplier ON target = 'S' || s_suppkey AND s_suppkey % 2 = 0 WHERE confidence >= 0.95 GROUP BY 1, 2")
+@on_tables("ag19_related_programs", "lineitem supplier", f"""WITH {_LINKS} SELECT source, target, max(confidence) AS confidence, string_agg(DISTINCT y, ','
+ORDER BY y) AS years, count(*) AS n, min(snippet) AS snippet, min(s_name) AS title FROM l
+LEFT JOIN supplier ON target = 'S' || s_suppkey AND s_suppkey % 2 = 0 WHERE confidence >= 0.95 GROUP BY 1, 2""")
 def _(lines, suppliers):
     links = lines.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target"), F.year("l_shipdate").cast("string").alias("year"), F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("snippet"))
     titles = suppliers.where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("pe_number"), F.col("s_name").alias("title"))
@@ -127,7 +138,8 @@ def _(lines, suppliers):
     return counts.join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name")), "l_suppkey", "left")
 
 
-@on_tables("jo08_sorted_by_funding", "part lineitem", "SELECT p_partkey, p_name, CAST(f AS DOUBLE) AS funding FROM part LEFT JOIN (SELECT l_partkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS f FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_partkey = p_partkey ORDER BY f DESC NULLS LAST, p_partkey LIMIT 50")
+@on_tables("jo08_sorted_by_funding", "part lineitem", """SELECT p_partkey, p_name, CAST(f AS DOUBLE) AS funding FROM part LEFT JOIN (SELECT l_partkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS f
+FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_partkey = p_partkey ORDER BY f DESC NULLS LAST, p_partkey LIMIT 50""")
 def _(parts, lines):
     sums = lines.where("l_returnflag = 'A'").groupBy("l_partkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("f"))
     out = parts.join(sums, F.col("p_partkey") == F.col("l_partkey"), "left").orderBy(F.col("f").desc_nulls_last(), "p_partkey").limit(50)
@@ -154,14 +166,16 @@ def _(docs, labels):
     return R.anti(docs, labels, "doc_id", "doc_id").select("doc_id")
 
 
-@on_tables("jo14_either_key", "customer nation", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM nation WHERE c_mktsegment = n_name OR CASE WHEN c_nationkey < 5 THEN 'NATION_' || c_nationkey ELSE c_mktsegment END = n_name)")
+@on_tables("jo14_either_key", "customer nation", """SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM nation
+WHERE c_mktsegment = n_name OR CASE WHEN c_nationkey < 5 THEN 'NATION_' || c_nationkey ELSE c_mktsegment END = n_name)""")
 def _(customers, nation):
     keyed = customers.withColumn("org", F.when(F.col("c_nationkey") < 5, F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).otherwise(F.col("c_mktsegment")))
     names = nation.select(F.col("n_name").alias("code"), F.concat(F.lit("the "), "n_name").alias("full_name"))
     return R.matching_either(keyed, names, "org", "code", "full_name").select("c_custkey")
 
 
-@on_tables("jo15_union_of_counts", "customer supplier nation", "WITH u AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, count(*) FROM supplier GROUP BY 1) SELECT n_name, CAST(sum(n) AS BIGINT) AS n FROM nation JOIN u ON k = n_nationkey GROUP BY 1")
+@on_tables("jo15_union_of_counts", "customer supplier nation", """WITH u AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, count(*) FROM supplier GROUP BY 1)
+SELECT n_name, CAST(sum(n) AS BIGINT) AS n FROM nation JOIN u ON k = n_nationkey GROUP BY 1""")
 def _(customers, suppliers, nation):
     both = customers.groupBy(F.col("c_nationkey").alias("k")).count().unionByName(suppliers.groupBy(F.col("s_nationkey").alias("k")).count())
     return both.groupBy("k").agg(F.sum("count").alias("n")).join(F.broadcast(nation), F.col("k") == F.col("n_nationkey")).select("n_name", "n")
@@ -181,7 +195,8 @@ def _tags(parts):
     return parts.select("p_partkey", F.explode(F.split("p_name", " ")).alias("tag"))
 
 
-@on_table("jo19_shared_tags", "part", f"WITH {_TAGS} SELECT p_partkey, count(DISTINCT tag) AS n_shared, string_agg(DISTINCT tag, ',' ORDER BY tag) AS shared FROM t WHERE p_partkey <> 7 AND tag IN (SELECT tag FROM t WHERE p_partkey = 7) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@on_table("jo19_shared_tags", "part", f"""WITH {_TAGS} SELECT p_partkey, count(DISTINCT tag) AS n_shared, string_agg(DISTINCT tag, ',' ORDER BY tag) AS shared FROM t
+WHERE p_partkey <> 7 AND tag IN (SELECT tag FROM t WHERE p_partkey = 7) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(df):
     return S.shared_tags(_tags(df), "p_partkey", 7, 10)
 
@@ -193,25 +208,30 @@ def _(df):
 
 
 @on_tables("jo21_titles_in_narratives", "benchmark documents", r"""WITH b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:5], ' ') AS title FROM benchmark),
-d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents) SELECT item_id, doc_id FROM b, d WHERE contains(t, ' ' || title || ' ')""")
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents) SELECT item_id, doc_id
+FROM b, d WHERE contains(t, ' ' || title || ' ')""")
 def _(items, docs):
     return R.with_titles(docs, "doc_id", "text", items, "item_id", "text", 5)
 
 
 @on_facts("jo22_batch_lookups", """, k AS (SELECT DISTINCT pe_number FROM facts WHERE fiscal_year = '2001' ORDER BY 1 LIMIT 25)
-SELECT pe_number, string_agg(DISTINCT exhibit_type, ',' ORDER BY exhibit_type) AS tags, count(DISTINCT source_file) AS n_files, CAST(sum(amount) AS DOUBLE) AS funding FROM facts JOIN k USING (pe_number) GROUP BY 1""")
+SELECT pe_number, string_agg(DISTINCT exhibit_type, ','
+ORDER BY exhibit_type) AS tags, count(DISTINCT source_file) AS n_files, CAST(sum(amount) AS DOUBLE) AS funding FROM facts JOIN k USING (pe_number)
+GROUP BY 1""")
 def _(df):
     keys = df.where("fiscal_year = '2001'").select("pe_number").distinct().orderBy("pe_number").limit(25)
     return df.join(F.broadcast(keys), "pe_number").groupBy("pe_number").agg(S.joined_list("exhibit_type").alias("tags"), F.countDistinct("source_file").alias("n_files"), S.money(F.sum("amount")).alias("funding"))
 
 
-@on_tables("jo23_page_ids", "conversations", "SELECT a.conv_id, a.turn, b.turn AS reply FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'")
+@on_tables("jo23_page_ids", "conversations", """SELECT a.conv_id, a.turn, b.turn AS reply FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+WHERE a.role = 'user'""")
 def _(turns):
     replies = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("reply"))
     return turns.where("role = 'user'").select("conv_id", "turn").join(replies, ["conv_id", "turn"])
 
 
-@on_tables("jo24_pages_or_scan", "labels documents", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'index' ELSE 'scan' END AS found_by FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) OR (contains(lower(text), 'license') AND doc_id NOT IN (SELECT doc_id FROM labels))")
+@on_tables("jo24_pages_or_scan", "labels documents", """SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'index' ELSE 'scan' END AS found_by FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) OR (contains(lower(text), 'license') AND doc_id NOT IN (SELECT doc_id FROM labels))""")
 def _(labels, docs):
     return R.indexed_or_scanned(docs, "doc_id", labels.where("toxic = 1"), labels, contains_any(["text"], ["license"])).select("doc_id", "found_by")
 
@@ -219,13 +239,16 @@ def _(labels, docs):
 _ASKED = ["0000007A", "0000003A", "9999999Z"]
 
 
-@on_facts("ag17_compared_programs", f""" SELECT position, q.pe_number, latest, previous, CASE WHEN previous <> 0 THEN round((latest - previous) / abs(previous) * 100, 2) END AS change_pct FROM (VALUES (0, '0000007A'), (1, '0000003A'), (2, '9999999Z')) q(position, pe_number)
-LEFT JOIN (SELECT pe_number, CAST({ysum(LATEST)} AS DOUBLE) AS latest, CAST({ysum(PREVIOUS)} AS DOUBLE) AS previous FROM facts GROUP BY 1) f ON f.pe_number = q.pe_number""", ["pe_number", "fiscal_year", "amount"])
+@on_facts("ag17_compared_programs", f""" SELECT position, q.pe_number, latest, previous, CASE WHEN previous <> 0 THEN round((latest - previous) / abs(previous) * 100, 2) END AS change_pct
+FROM (VALUES (0, '0000007A'), (1, '0000003A'), (2, '9999999Z')) q(position, pe_number)
+LEFT JOIN (SELECT pe_number, CAST({ysum(LATEST)} AS DOUBLE) AS latest, CAST({ysum(PREVIOUS)} AS DOUBLE) AS previous FROM facts
+GROUP BY 1) f ON f.pe_number = q.pe_number""", ["pe_number", "fiscal_year", "amount"])
 def _(df):
     return S.compared(df, _ASKED, LATEST, PREVIOUS)
 
 
-@on_facts("jo25_order_asked_for", " SELECT position, q.pe_number, n FROM (VALUES (0, '0000007A'), (1, '0000003A'), (2, '9999999Z')) q(position, pe_number) LEFT JOIN (SELECT pe_number, count(*) AS n FROM facts GROUP BY 1) f ON f.pe_number = q.pe_number ORDER BY position", ["pe_number"])
+@on_facts("jo25_order_asked_for", """ SELECT position, q.pe_number, n FROM (VALUES (0, '0000007A'), (1, '0000003A'), (2, '9999999Z')) q(position, pe_number)
+LEFT JOIN (SELECT pe_number, count(*) AS n FROM facts GROUP BY 1) f ON f.pe_number = q.pe_number ORDER BY position""", ["pe_number"])
 def _(df):
     asked = df.sparkSession.createDataFrame(list(enumerate(_ASKED)), "position int, pe_number string")
     counts = df.where(F.col("pe_number").isin(_ASKED)).groupBy("pe_number").agg(F.count("*").alias("n"))
@@ -233,7 +256,8 @@ def _(df):
 
 
 @on_tables("jo26_items_with_amounts", "orders lineitem", """SELECT o_orderkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS "A",
-CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS "N" FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS "N" FROM orders
+LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(orders, lines):
     flags = lines.groupBy("l_orderkey").pivot("l_returnflag", ["A", "N"]).agg(S.money(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))))
     return orders.select("o_orderkey").join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "A", "N")
@@ -255,7 +279,8 @@ def _(df):
 
 
 @on_facts("ag08_packed_sections", """, y AS (SELECT fiscal_year, count(*) AS n FROM facts GROUP BY 1), e AS (SELECT exhibit_type, count(*) AS n FROM facts GROUP BY 1)
-SELECT 'years' AS section, '[' || string_agg('{"value":"' || fiscal_year || '","n":' || n || '}', ',' ORDER BY fiscal_year) || ']' AS body FROM y UNION ALL SELECT 'exhibits', '[' || string_agg('{"value":"' || exhibit_type || '","n":' || n || '}', ',' ORDER BY exhibit_type) || ']' FROM e""", ["fiscal_year", "exhibit_type"])
+SELECT 'years' AS section, '[' || string_agg('{"value":"' || fiscal_year || '","n":' || n || '}', ',' ORDER BY fiscal_year) || ']' AS body FROM y
+UNION ALL SELECT 'exhibits', '[' || string_agg('{"value":"' || exhibit_type || '","n":' || n || '}', ',' ORDER BY exhibit_type) || ']' FROM e""", ["fiscal_year", "exhibit_type"])
 def _(df):
     one = lambda name, c: df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("body")).select(F.lit(name).alias("section"), "body")
     return one("years", "fiscal_year").unionByName(one("exhibits", "exhibit_type"))
@@ -271,8 +296,10 @@ def _(df):
     return df.groupBy(F.coalesce(F.when(F.col("exhibit_type") != "r2", F.col("exhibit_type")), F.lit("Unknown")).alias("exhibit")).agg(F.count("*").alias("n"))
 
 
-@on_tables("ag11_coverage", "documents labels conversations", """WITH c AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) AS labelled,
-(SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents)) AS talked) SELECT *, round(100.0 * labelled / total, 1) AS labelled_pct, round(100.0 * talked / total, 1) AS talked_pct FROM c""")
+@on_tables("ag11_coverage", "documents labels conversations", """WITH c AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id
+FROM documents)) AS labelled,
+(SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents)) AS talked)
+SELECT *, round(100.0 * labelled / total, 1) AS labelled_pct, round(100.0 * talked / total, 1) AS talked_pct FROM c""")
 def _(docs, labels, turns):
     return S.coverage(docs, "doc_id", {"labelled": labels, "talked": turns.select(F.col("conv_id").alias("doc_id"))})
 
@@ -282,19 +309,22 @@ def _(df):
     return df.groupBy("pe_number", "exhibit_type").agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total"), S.money(F.min("amount")).alias("least"))
 
 
-@on_table("ag20_tag_counts", "part", f"WITH {_TAGS} SELECT tag, count(DISTINCT p_partkey) AS n FROM t JOIN part USING (p_partkey) WHERE p_size >= 10 GROUP BY 1 HAVING count(DISTINCT p_partkey) <= floor((SELECT count(DISTINCT p_partkey) FROM t) * 0.5)")
+@on_table("ag20_tag_counts", "part", f"""WITH {_TAGS} SELECT tag, count(DISTINCT p_partkey) AS n FROM t JOIN part USING (p_partkey) WHERE p_size >= 10 GROUP BY 1
+HAVING count(DISTINCT p_partkey) <= floor((SELECT count(DISTINCT p_partkey) FROM t) * 0.5)""")
 def _(df):
     tags = df.select("p_partkey", (F.col("p_size") / 50).alias("confidence"), F.explode(F.split("p_name", " ")).alias("tag"))
     return S.tag_counts(tags, "p_partkey", 0.2, 0.5)
 
 
-@on_facts("ag22_dropdowns", " SELECT lower(trim(organization_name)) AS value, count(*) AS n FROM facts WHERE trim(organization_name) <> '' AND organization_name <> 'AFRICA' GROUP BY 1", ["organization_name"])
+@on_facts("ag22_dropdowns", """ SELECT lower(trim(organization_name)) AS value, count(*) AS n FROM facts WHERE trim(organization_name) <> '' AND organization_name <> 'AFRICA'
+GROUP BY 1""", ["organization_name"])
 def _(df):
     value = F.lower(F.trim("organization_name"))
     return df.where((F.trim("organization_name") != "") & (F.col("organization_name") != "AFRICA")).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
 
 
-@on_facts("ag24_program_summaries", " SELECT pe_number, max(CASE WHEN exhibit_type = 'r1' THEN line_item_title END) AS title, count(*) FILTER (exhibit_type = 'p1') AS n_p1, count(*) AS n FROM facts GROUP BY 1", ["pe_number", "exhibit_type", "line_item_title"])
+@on_facts("ag24_program_summaries", """ SELECT pe_number, max(CASE WHEN exhibit_type = 'r1' THEN line_item_title END) AS title, count(*) FILTER (exhibit_type = 'p1') AS n_p1, count(*) AS n
+FROM facts GROUP BY 1""", ["pe_number", "exhibit_type", "line_item_title"])
 def _(df):
     return df.groupBy("pe_number").agg(F.max(F.when(F.col("exhibit_type") == "r1", F.col("line_item_title"))).alias("title"), F.count_if(F.col("exhibit_type") == "p1").alias("n_p1"), F.count("*").alias("n"))
 
@@ -306,8 +336,11 @@ def _(df):
     return one.unpivot([], years, "fiscal_year", "active").where("active").select("fiscal_year")
 
 
-@on_table("ag28_modes", "lineitem", """WITH c AS (SELECT l_partkey, l_shipdate, l_suppkey, l_returnflag FROM lineitem), f AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM c GROUP BY 1, 2), s AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM c GROUP BY 1, 2)
-SELECT a.l_partkey, a.l_returnflag AS flag, b.l_suppkey AS supplier FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_returnflag) = 1) a JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) = 1) b USING (l_partkey)""")
+@on_table("ag28_modes", "lineitem", """WITH c AS (SELECT l_partkey, l_shipdate, l_suppkey, l_returnflag FROM lineitem), f AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM c
+GROUP BY 1, 2), s AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT a.l_partkey, a.l_returnflag AS flag, b.l_suppkey AS supplier FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY l_partkey
+ORDER BY n DESC, l_returnflag) = 1) a JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l_partkey
+ORDER BY n DESC, l_suppkey) = 1) b USING (l_partkey)""")
 def _(df):
     mode = lambda c: df.groupBy("l_partkey", c).agg(F.count("*").alias("n")).groupBy("l_partkey").agg(F.min_by(c, F.struct(-F.col("n"), c)).alias("m"))
     return mode("l_returnflag").withColumnRenamed("m", "flag").join(mode("l_suppkey").withColumnRenamed("m", "supplier"), "l_partkey")
@@ -323,19 +356,22 @@ def _(df):
     return df.groupBy("pe_number").agg(S.money(F.sum("amount")).alias("total"), F.min("fiscal_year").alias("first_fy"), F.max("fiscal_year").alias("last_fy"))
 
 
-@on_facts("ag31_top_accounts", " SELECT account, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM facts WHERE fiscal_year = '2001' GROUP BY 1 ORDER BY sum(amount) DESC, 1 LIMIT 15", ["account", "amount", "fiscal_year"])
+@on_facts("ag31_top_accounts", """ SELECT account, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM facts WHERE fiscal_year = '2001' GROUP BY 1
+ORDER BY sum(amount) DESC, 1 LIMIT 15""", ["account", "amount", "fiscal_year"])
 def _(df):
     sums = df.where("fiscal_year = '2001'").groupBy("account").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
     return sums.orderBy(F.desc("total"), "account").limit(15).withColumn("total", S.money(F.col("total")))
 
 
-@on_tables("ag32_metadata", "documents labels pages", "SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages")
+@on_tables("ag32_metadata", "documents labels pages", """SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*)
+FROM pages""")
 def _(docs, labels, pages):
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
     return one("documents", docs).unionByName(one("labels", labels)).unionByName(one("pages", pages))
 
 
-@on_facts("ag34_service_totals", f" SELECT organization_name, CAST({ysum(LATEST)} AS DOUBLE) AS total FROM facts WHERE organization_name IS NOT NULL AND organization_name <> '' GROUP BY 1 HAVING {ysum(LATEST)} IS NOT NULL", ["organization_name", "amount", "fiscal_year"])
+@on_facts("ag34_service_totals", f""" SELECT organization_name, CAST({ysum(LATEST)} AS DOUBLE) AS total FROM facts WHERE organization_name IS NOT NULL AND organization_name <> ''
+GROUP BY 1 HAVING {ysum(LATEST)} IS NOT NULL""", ["organization_name", "amount", "fiscal_year"])
 def _(df):
     return df.where("organization_name <> ''").groupBy("organization_name").agg(S.money(S.of_year(LATEST)).alias("total")).where("total IS NOT NULL")
 
@@ -350,7 +386,9 @@ def _(df):
     return df.withColumn("code", code).groupBy("account").agg(*[S.money(F.sum(F.when(F.col("code") == k, F.col("amount")).otherwise(0))).alias(k.lower()) for k in "YPN"])
 
 
-@on_facts("ag37_chart_by_office", f", t AS (SELECT office FROM facts GROUP BY 1 ORDER BY sum(amount) DESC, 1 LIMIT 8) SELECT office, fiscal_year, round(CAST(sum(amount) AS DOUBLE) / 1000, 3) AS thousands FROM facts WHERE office IN (SELECT office FROM t) AND fiscal_year IN ({', '.join(map(repr, YEARS))}) GROUP BY 1, 2", ["office", "fiscal_year", "amount"])
+@on_facts("ag37_chart_by_office", f""", t AS (SELECT office FROM facts GROUP BY 1 ORDER BY sum(amount) DESC, 1 LIMIT 8)
+SELECT office, fiscal_year, round(CAST(sum(amount) AS DOUBLE) / 1000, 3) AS thousands FROM facts WHERE office IN (SELECT office
+FROM t) AND fiscal_year IN ({', '.join(map(repr, YEARS))}) GROUP BY 1, 2""", ["office", "fiscal_year", "amount"])
 def _(df):
     top = df.groupBy("office").agg(F.sum("amount").alias("s")).orderBy(F.desc("s"), "office").limit(8).select("office")
     rows = df.where(F.col("fiscal_year").isin(YEARS)).join(F.broadcast(top), "office")
@@ -364,7 +402,9 @@ def _(df):
     return top.groupBy("line_item_title").agg(F.max("amount").alias("a")).orderBy(F.desc("a"), "line_item_title").limit(10).select("line_item_title", S.money(F.col("a")).alias("amount"))
 
 
-@on_facts("ag39_treemap", " SELECT organization_name, appropriation_code, CAST(sum(amount) AS DOUBLE) AS total, round(100 * CAST(sum(amount) AS DOUBLE) / (SELECT CAST(sum(amount) AS DOUBLE) FROM facts), 2) AS pct FROM facts GROUP BY 1, 2 ORDER BY sum(amount) DESC, 1, 2 LIMIT 200", ["organization_name", "appropriation_code", "amount"])
+@on_facts("ag39_treemap", """
+SELECT organization_name, appropriation_code, CAST(sum(amount) AS DOUBLE) AS total, round(100 * CAST(sum(amount) AS DOUBLE) / (SELECT CAST(sum(amount) AS DOUBLE)
+FROM facts), 2) AS pct FROM facts GROUP BY 1, 2 ORDER BY sum(amount) DESC, 1, 2 LIMIT 200""", ["organization_name", "appropriation_code", "amount"])
 def _(df):
     parts = df.groupBy("organization_name", "appropriation_code").agg(F.sum("amount").alias("s"))
     whole = parts.agg(S.money(F.sum("s")).alias("w"))  # one row
@@ -382,8 +422,10 @@ def _(df):
     return df.groupBy("pe_number").agg(S.money(best).alias("best"), S.money(F.sum("amount")).alias("total"), F.countDistinct("fiscal_year").alias("n_years"))
 
 
-@on_facts("ag41_unaccounted_funding", """, t AS (SELECT pe_number, fiscal_year, sum(amount) AS amount FROM facts GROUP BY 1, 2), p AS (SELECT pe_number, fiscal_year, sum(amount) AS s FROM facts WHERE exhibit_type <> 'p1' GROUP BY 1, 2)
-SELECT pe_number, fiscal_year, CAST(amount AS DOUBLE) AS amount, round(CAST(amount - coalesce(s, 0) AS DOUBLE), 1) AS unaccounted FROM t LEFT JOIN p USING (pe_number, fiscal_year) WHERE round(CAST(amount - coalesce(s, 0) AS DOUBLE), 1) > 0.5""", ["pe_number", "fiscal_year", "amount", "exhibit_type"])
+@on_facts("ag41_unaccounted_funding", """, t AS (SELECT pe_number, fiscal_year, sum(amount) AS amount FROM facts GROUP BY 1, 2), p AS (SELECT pe_number, fiscal_year, sum(amount) AS s
+FROM facts WHERE exhibit_type <> 'p1' GROUP BY 1, 2)
+SELECT pe_number, fiscal_year, CAST(amount AS DOUBLE) AS amount, round(CAST(amount - coalesce(s, 0) AS DOUBLE), 1) AS unaccounted FROM t
+LEFT JOIN p USING (pe_number, fiscal_year) WHERE round(CAST(amount - coalesce(s, 0) AS DOUBLE), 1) > 0.5""", ["pe_number", "fiscal_year", "amount", "exhibit_type"])
 def _(df):
     totals = df.groupBy("pe_number", "fiscal_year").agg(F.sum("amount").alias("amount"))
     return S.unaccounted(totals, df.where("exhibit_type <> 'p1'"), ["pe_number", "fiscal_year"]).withColumn("amount", S.money(F.col("amount")))
@@ -396,8 +438,11 @@ def _(df):
     return recent.groupBy("event_type").agg(F.round(F.least(F.lit(12.0), F.greatest(F.lit(5.0), F.percentile("value", 0.95) * 1.5)), 4).alias("timeout"))
 
 
-@on_facts("ag16_top_changes", f""", g AS (SELECT pe_number, coalesce({ysum(LATEST)}, 0) AS l, coalesce({ysum(PREVIOUS)}, 0) AS p FROM facts GROUP BY 1), c AS (SELECT pe_number, CAST(l - p AS DOUBLE) AS delta, CASE WHEN p = 0 THEN 'new' WHEN l = 0 THEN 'terminated' WHEN l > p THEN 'increase' WHEN l < p THEN 'decrease' ELSE 'flat' END AS kind FROM g WHERE l <> 0 OR p <> 0)
-SELECT * FROM (SELECT 'row' AS part, pe_number AS name, kind, delta FROM c WHERE delta <= -1000 ORDER BY delta, pe_number LIMIT 20) UNION ALL SELECT 'count', kind, kind, CAST(count(*) AS DOUBLE) FROM c GROUP BY 2""", ["pe_number", "fiscal_year", "amount"])
+@on_facts("ag16_top_changes", f""", g AS (SELECT pe_number, coalesce({ysum(LATEST)}, 0) AS l, coalesce({ysum(PREVIOUS)}, 0) AS p FROM facts
+GROUP BY 1), c AS (SELECT pe_number, CAST(l - p AS DOUBLE) AS delta, CASE WHEN p = 0 THEN 'new' WHEN l = 0 THEN 'terminated' WHEN l > p THEN 'increase' WHEN l < p THEN 'decrease' ELSE 'flat' END AS kind
+FROM g WHERE l <> 0 OR p <> 0)
+SELECT * FROM (SELECT 'row' AS part, pe_number AS name, kind, delta FROM c WHERE delta <= -1000 ORDER BY delta, pe_number LIMIT 20) UNION ALL
+SELECT 'count', kind, kind, CAST(count(*) AS DOUBLE) FROM c GROUP BY 2""", ["pe_number", "fiscal_year", "amount"])
 def _(df):
     from ledgerspark.operators.aggregates import changes
 
@@ -410,7 +455,8 @@ def _(df):
 # windows
 
 
-@on_facts("wi02_latest_rows", " SELECT pe_number, fiscal_year, order_key, line_item FROM facts QUALIFY row_number() OVER (PARTITION BY pe_number ORDER BY fiscal_year DESC, order_key, line_item) = 1", ["pe_number", "fiscal_year", "order_key", "line_item"])
+@on_facts("wi02_latest_rows", """ SELECT pe_number, fiscal_year, order_key, line_item FROM facts QUALIFY row_number() OVER (PARTITION BY pe_number
+ORDER BY fiscal_year DESC, order_key, line_item) = 1""", ["pe_number", "fiscal_year", "order_key", "line_item"])
 def _(df):
     best = F.min_by(F.struct("fiscal_year", "order_key", "line_item"), F.struct(-F.col("fiscal_year").cast("int"), "order_key", "line_item"))
     return df.groupBy("pe_number").agg(best.alias("x")).select("pe_number", "x.*")
@@ -434,25 +480,30 @@ _SUBMITTED = ["pe_number", "exhibit_type", "fiscal_year", "source_file", "amount
 
 
 @on_facts("wi06_first_filled", """, s AS (SELECT pe_number, exhibit_type, fiscal_year, source_file, max(CASE WHEN amount > 30000 THEN amount END) AS a FROM facts GROUP BY 1, 2, 3, 4)
-SELECT pe_number, exhibit_type, CAST(a AS DOUBLE) AS amount, source_file FROM s WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pe_number, exhibit_type ORDER BY fiscal_year DESC, source_file DESC) = 1""", _SUBMITTED)
+SELECT pe_number, exhibit_type, CAST(a AS DOUBLE) AS amount, source_file FROM s WHERE a IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY pe_number, exhibit_type ORDER BY fiscal_year DESC, source_file DESC) = 1""", _SUBMITTED)
 def _(df):
     submissions = df.groupBy("pe_number", "exhibit_type", "fiscal_year", "source_file").agg(F.max(F.when(F.col("amount") > 30000, F.col("amount"))).alias("amount"))
     return S.first_filled(submissions, ["pe_number", "exhibit_type"], "fiscal_year", "amount", "source_file").withColumn("amount", S.money(F.col("amount")))
 
 
 @on_facts("wi07_latest_submissions", """, s AS (SELECT pe_number, exhibit_type, fiscal_year, source_file, sum(amount) AS a FROM facts GROUP BY 1, 2, 3, 4)
-SELECT pe_number, exhibit_type, fiscal_year, CAST(a AS DOUBLE) AS amount FROM s QUALIFY row_number() OVER (PARTITION BY pe_number, exhibit_type, fiscal_year ORDER BY source_file DESC) = 1""", _SUBMITTED)
+SELECT pe_number, exhibit_type, fiscal_year, CAST(a AS DOUBLE) AS amount FROM s
+QUALIFY row_number() OVER (PARTITION BY pe_number, exhibit_type, fiscal_year ORDER BY source_file DESC) = 1""", _SUBMITTED)
 def _(df):
     submissions = df.groupBy(*_SUBMITTED[:4]).agg(F.sum("amount").alias("amount"))
     return submissions.groupBy("pe_number", "exhibit_type", "fiscal_year").agg(S.money(F.max_by("amount", "source_file")).alias("amount"))
 
 
-@on_table("wi08_page_runs", "conversations", "SELECT conv_id, role, min(turn) AS page_start, max(turn) AS page_end, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1, 2")
+@on_table("wi08_page_runs", "conversations", """SELECT conv_id, role, min(turn) AS page_start, max(turn) AS page_end, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations
+GROUP BY 1, 2""")
 def _(df):
     return S.page_runs(df.where("text IS NOT NULL"), ["conv_id", "role"], "turn", "text").select("conv_id", "role", "page_start", "page_end", F.md5("text").alias("digest"))
 
 
-@on_facts("wi10_adjacent_changes", f" SELECT account, CAST({ysum(LATEST)} AS DOUBLE) AS latest, CAST({ysum(PREVIOUS)} AS DOUBLE) AS previous, CASE WHEN {ysum(PREVIOUS)} <> 0 THEN round((CAST({ysum(LATEST)} AS DOUBLE) - CAST({ysum(PREVIOUS)} AS DOUBLE)) / abs(CAST({ysum(PREVIOUS)} AS DOUBLE)) * 100, 2) END AS pct FROM facts GROUP BY 1", ["account", "fiscal_year", "amount"])
+@on_facts("wi10_adjacent_changes", f"""
+SELECT account, CAST({ysum(LATEST)} AS DOUBLE) AS latest, CAST({ysum(PREVIOUS)} AS DOUBLE) AS previous, CASE WHEN {ysum(PREVIOUS)} <> 0 THEN round((CAST({ysum(LATEST)} AS DOUBLE) - CAST({ysum(PREVIOUS)} AS DOUBLE)) / abs(CAST({ysum(PREVIOUS)} AS DOUBLE)) * 100, 2) END AS pct
+FROM facts GROUP BY 1""", ["account", "fiscal_year", "amount"])
 def _(df):
     wide = df.groupBy("account").agg(S.money(S.of_year(LATEST)).alias("latest"), S.money(S.of_year(PREVIOUS)).alias("previous"))
     return wide.withColumn("pct", change_percent(F.col("latest"), F.col("previous")))
@@ -467,7 +518,8 @@ def _(df):
     return S.ordered(df, "priority", True, allowed, ["o_orderkey"]).limit(40).select("o_orderkey", "o_orderpriority")
 
 
-@on_table("so02_page_with_total", "orders", "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, 2 AS page, CAST(ceil((SELECT count(*) FROM orders) / 50.0) AS INTEGER) AS page_count, (SELECT count(*) FROM orders) > 150 AS has_next FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+@on_table("so02_page_with_total", "orders", """SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, 2 AS page, CAST(ceil((SELECT count(*)
+FROM orders) / 50.0) AS INTEGER) AS page_count, (SELECT count(*) FROM orders) > 150 AS has_next FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100""")
 def _(df):
     return S.page_of(df.select("o_orderkey"), [F.asc("o_orderkey")], 100, 50)
 
@@ -482,7 +534,8 @@ def _(df):
     return df.where(contains_any(["text"], ["the"])).orderBy(F.desc("n_chars"), "doc_id").limit(40).select("doc_id")  # no cap before the order
 
 
-@on_facts("so06_by_best_amount", """, w AS (SELECT account, sum(CASE WHEN fiscal_year = '2001' AND exhibit_type = 'r1' THEN amount END) AS request, sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS enacted FROM facts GROUP BY 1)
+@on_facts("so06_by_best_amount", """, w AS (SELECT account, sum(CASE WHEN fiscal_year = '2001' AND exhibit_type = 'r1' THEN amount END) AS request, sum(CASE WHEN fiscal_year = '2001' THEN amount END) AS enacted
+FROM facts GROUP BY 1)
 SELECT account, CAST(coalesce(request, enacted, 0) AS DOUBLE) AS amount FROM w ORDER BY coalesce(request, enacted, 0) DESC, 1 LIMIT 12""", ["account", "fiscal_year", "exhibit_type", "amount"])
 def _(df):
     year = F.col("fiscal_year") == "2001"
@@ -497,7 +550,8 @@ def _(df):
     return S.ordered(sums, "name", False, {"funding": F.col("funding"), "name": F.col("line_item_title")}, ["pe_number"]).limit(30)
 
 
-@on_table("so08_prioritized", "part", """WITH u AS (SELECT 0 AS priority, 'brand' AS field, p_brand AS value FROM part WHERE starts_with(lower(p_brand), 'brand#2') UNION SELECT 1, 'name', p_name FROM part WHERE contains(lower(p_name), 'blue'))
+@on_table("so08_prioritized", "part", """WITH u AS (SELECT 0 AS priority, 'brand' AS field, p_brand AS value FROM part WHERE starts_with(lower(p_brand), 'brand#2') UNION
+SELECT 1, 'name', p_name FROM part WHERE contains(lower(p_name), 'blue'))
 SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY field, value ORDER BY priority) = 1 ORDER BY priority, field, value LIMIT 15""")
 def _(df):
     brands = df.where(F.startswith(F.lower("p_brand"), F.lit("brand#2"))).select(F.lit(0).alias("priority"), F.lit("brand").alias("field"), F.col("p_brand").alias("value"))
@@ -516,27 +570,32 @@ def _(df):
 # sets and subqueries
 
 
-@on_table("se01_suggestions_of_four", "part", """SELECT DISTINCT field, value FROM (SELECT 'name' AS field, p_name AS value FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'type', p_type FROM part UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part) WHERE contains(lower(value), '2')""")
+@on_table("se01_suggestions_of_four", "part", """SELECT DISTINCT field, value FROM (SELECT 'name' AS field, p_name AS value FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL
+SELECT 'type', p_type FROM part UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part) WHERE contains(lower(value), '2')""")
 def _(df):
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("value")) for f, c in (("name", "p_name"), ("brand", "p_brand"), ("type", "p_type"), ("size", "p_size"))]))
     return df.select(each).where(contains_any(["value"], ["2"])).distinct()  # one scan for the four branches
 
 
-@on_tables("se03_union_of_aggregates", "customer supplier", "SELECT 'customer' AS kind, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer UNION ALL SELECT 'supplier', count(*), round(sum(s_acctbal), 2) FROM supplier")
+@on_tables("se03_union_of_aggregates", "customer supplier", """SELECT 'customer' AS kind, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer UNION ALL
+SELECT 'supplier', count(*), round(sum(s_acctbal), 2) FROM supplier""")
 def _(customers, suppliers):
     one = lambda kind, df, c: df.agg(F.count("*").alias("n"), F.round(F.sum(c), 2).alias("balance")).select(F.lit(kind).alias("kind"), "n", "balance")
     return one("customer", customers, "c_acctbal").unionByName(one("supplier", suppliers, "s_acctbal"))
 
 
-@on_facts("se04_set_algebra", """, a AS (SELECT DISTINCT pe_number FROM facts WHERE fiscal_year = '2001' AND quantity > 45), b AS (SELECT DISTINCT pe_number FROM facts WHERE contains(line_item_title, 'ring'))
-SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""", ["pe_number", "fiscal_year", "quantity", "line_item_title"])
+@on_facts("se04_set_algebra", """, a AS (SELECT DISTINCT pe_number FROM facts WHERE fiscal_year = '2001' AND quantity > 45), b AS (SELECT DISTINCT pe_number FROM facts
+WHERE contains(line_item_title, 'ring'))
+SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION
+SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""", ["pe_number", "fiscal_year", "quantity", "line_item_title"])
 def _(df):
     tests = df.groupBy("pe_number").agg(F.bool_or((F.col("fiscal_year") == "2001") & (F.col("quantity") > 45)).alias("a"), F.bool_or(F.contains("line_item_title", F.lit("ring"))).alias("b"))
     sizes = tests.agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") | F.col("b")).alias("either"), F.count_if(F.col("a") & ~F.col("b")).alias("first only"))
     return sizes.unpivot([], ["both", "either", "first only"], "part", "n")
 
 
-@on_facts("se06_key_union", """, a AS (SELECT account, sum(amount) AS x FROM facts WHERE exhibit_type = 'p1' GROUP BY 1), b AS (SELECT account, sum(amount) AS y FROM facts WHERE exhibit_type = 'r1' AND account <> 'Brand#3' GROUP BY 1)
+@on_facts("se06_key_union", """, a AS (SELECT account, sum(amount) AS x FROM facts WHERE exhibit_type = 'p1' GROUP BY 1), b AS (SELECT account, sum(amount) AS y FROM facts
+WHERE exhibit_type = 'r1' AND account <> 'Brand#3' GROUP BY 1)
 SELECT coalesce(a.account, b.account) AS account, CAST(coalesce(x, 0) - coalesce(y, 0) AS DOUBLE) AS apart FROM a FULL JOIN b ON a.account = b.account""", ["account", "exhibit_type", "amount"])
 def _(df):
     side = lambda name, rows: rows.groupBy("account").agg(F.sum("amount").alias(name))
@@ -544,7 +603,8 @@ def _(df):
     return both.select("account", S.money(F.coalesce("x", F.lit(0)) - F.coalesce("y", F.lit(0))).alias("apart"))
 
 
-@on_facts("sb01_common_table", """, b AS (SELECT * FROM facts WHERE fiscal_year = '2001') SELECT 'total' AS part, 'all' AS value, count(*) AS n FROM b UNION ALL SELECT 'exhibit', exhibit_type, count(*) FROM b GROUP BY 2""", ["fiscal_year", "exhibit_type"])
+@on_facts("sb01_common_table", """, b AS (SELECT * FROM facts WHERE fiscal_year = '2001') SELECT 'total' AS part, 'all' AS value, count(*) AS n FROM b UNION ALL
+SELECT 'exhibit', exhibit_type, count(*) FROM b GROUP BY 2""", ["fiscal_year", "exhibit_type"])
 def _(df):
     rows = df.where("fiscal_year = '2001'").groupBy("exhibit_type").agg(F.count("*").alias("n"))  # the total follows from the parts
     return rows.rollup("exhibit_type").agg(F.sum("n").alias("n"), F.grouping("exhibit_type").alias("g")).select(F.when(F.col("g") == 1, "total").otherwise("exhibit").alias("part"), F.when(F.col("g") == 1, "all").otherwise(F.col("exhibit_type")).alias("value"), "n")
@@ -555,7 +615,8 @@ def _(docs, labels):
     return docs.agg(F.count("*").alias("n_documents"), F.max("n_chars").alias("longest")).join(labels.agg(F.count("*").alias("n_labels")))  # two one-row frames
 
 
-@on_facts("sb03_top_one_each", """ SELECT pe_number, CAST(first(amount ORDER BY exhibit_type, fiscal_year DESC, order_key, line_item) AS DOUBLE) AS best, first(fiscal_year ORDER BY exhibit_type, fiscal_year DESC, order_key, line_item) AS best_year, CAST(sum(amount) AS DOUBLE) AS total FROM facts GROUP BY 1""", ["pe_number", "amount", "exhibit_type", "fiscal_year", "order_key", "line_item"])
+@on_facts("sb03_top_one_each", """ SELECT pe_number, CAST(first(amount ORDER BY exhibit_type, fiscal_year DESC, order_key, line_item) AS DOUBLE) AS best, first(fiscal_year
+ORDER BY exhibit_type, fiscal_year DESC, order_key, line_item) AS best_year, CAST(sum(amount) AS DOUBLE) AS total FROM facts GROUP BY 1""", ["pe_number", "amount", "exhibit_type", "fiscal_year", "order_key", "line_item"])
 def _(df):
     best = F.min_by(F.struct("amount", "fiscal_year"), F.struct("exhibit_type", -F.col("fiscal_year").cast("int"), "order_key", "line_item"))
     out = df.groupBy("pe_number").agg(best.alias("b"), S.money(F.sum("amount")).alias("total"))

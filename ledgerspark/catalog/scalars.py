@@ -21,8 +21,11 @@ def _case(expression: str, table: list[tuple[str, str]]) -> str:
 @on_table(
     "st02_program_numbers",
     "part",
-    r"""WITH t AS (SELECT p_partkey, 'see ' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A and ' || lpad(CAST(p_size AS VARCHAR), 7, '0') || 'D8Z, ' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS t FROM part)
-    SELECT p_partkey, regexp_extract(t, '[0-9]{7}(?:[A-Z]{1,2}|[A-Z][0-9][A-Z])\b') AS pe_number, lpad(CAST(p_size AS VARCHAR), 7, '0') || 'D8Z' AS others FROM t JOIN part USING (p_partkey)""",
+    r"""WITH t AS (SELECT p_partkey, 'see ' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A and ' || lpad(CAST(p_size AS VARCHAR), 7, '0') || 'D8Z, ' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS t
+FROM part)
+   
+SELECT p_partkey, regexp_extract(t, '[0-9]{7}(?:[A-Z]{1,2}|[A-Z][0-9][A-Z])\b') AS pe_number, lpad(CAST(p_size AS VARCHAR), 7, '0') || 'D8Z' AS others
+FROM t JOIN part USING (p_partkey)""",
 )
 def _(df):
     pe = F.concat(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("A"))
@@ -50,7 +53,8 @@ def _(df):
     return df.select("p_partkey", found["code"].alias("code"), found["title"].alias("title"))
 
 
-@on_table("st05_resolved_codes", "part", f"SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'RDTE' WHEN 1 THEN '2035' WHEN 2 THEN 'MILCON' WHEN 5 THEN '0400' END AS code FROM (SELECT *, {_TITLE_OF} FROM part)")
+@on_table("st05_resolved_codes", "part", f"""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'RDTE' WHEN 1 THEN '2035' WHEN 2 THEN 'MILCON' WHEN 5 THEN '0400' END AS code
+FROM (SELECT *, {_TITLE_OF} FROM part)""")
 def _(df):
     return df.select("p_partkey", T.resolved_code(F.element_at(F.array(*map(F.lit, _TITLES)), F.col("p_size") % 6 + 1)).alias("code"))
 
@@ -59,14 +63,16 @@ _REGIONS = {"Africa": ["AFRICA", "AF"], "Orient": ["ASIA", "MIDDLE EAST"]}
 
 
 @on_table("st06_organizations", "region", """SELECT r_name, CASE r_name WHEN 'AFRICA' THEN 'Africa' WHEN 'ASIA' THEN 'Orient' WHEN 'MIDDLE EAST' THEN 'Orient' ELSE r_name END AS exact,
-CASE r_name WHEN 'AFRICA' THEN 'Africa' WHEN 'ASIA' THEN 'Orient' WHEN 'MIDDLE EAST' THEN 'Orient' WHEN 'EUROPE' THEN 'EU' ELSE ' ' || lower(r_name) END AS loose FROM region""")
+CASE r_name WHEN 'AFRICA' THEN 'Africa' WHEN 'ASIA' THEN 'Orient' WHEN 'MIDDLE EAST' THEN 'Orient' WHEN 'EUROPE' THEN 'EU' ELSE ' ' || lower(r_name) END AS loose
+FROM region""")
 def _(df):
     loose = T.organization_loose(F.concat(F.lit(" "), F.lower("r_name")), _REGIONS, {"europe": "EU"})
     return df.select("r_name", T.organization(F.col("r_name"), _REGIONS).alias("exact"), loose.alias("loose"))
 
 
 @on_table("st07_organizations_of_sources", "documents", """SELECT doc_id, CASE WHEN contains(source, 'rc1') THEN 'One' WHEN contains(source, 'rc2') THEN 'Two'
-WHEN contains(upper(substring(text, 1, 500)), 'THE ') THEN 'The' WHEN contains(upper(substring(text, 1, 500)), 'EAUX') THEN 'Eaux' END AS organization FROM documents""")
+WHEN contains(upper(substring(text, 1, 500)), 'THE ') THEN 'The' WHEN contains(upper(substring(text, 1, 500)), 'EAUX') THEN 'Eaux' END AS organization
+FROM documents""")
 def _(df):
     return df.select("doc_id", T.organization_of_source(F.col("source"), F.col("text"), [("RC1", "One"), ("rc2", "Two")], [("the ", "The"), ("eaux", "Eaux")]).alias("organization"))
 
@@ -82,8 +88,10 @@ def _(df):
     return df.where("p_partkey < 900000").select("p_partkey", found["code"].alias("code"), found["title"].alias("title"))
 
 
-@on_table("st09_project_codes", "part", r"""WITH t AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'E' || p_partkey WHEN 1 THEN '000' || p_partkey || 'C' WHEN 2 THEN 'MED-' || p_partkey WHEN 3 THEN 'DX' || p_partkey ELSE '' END AS t, p_size % 5 AS k FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN CASE WHEN p_partkey = 0 THEN '0000' ELSE CAST(p_partkey AS VARCHAR) END WHEN 2 THEN 'MED' || p_partkey WHEN 3 THEN t END AS code FROM t""")
+@on_table("st09_project_codes", "part", r"""WITH t AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'E' || p_partkey WHEN 1 THEN '000' || p_partkey || 'C' WHEN 2 THEN 'MED-' || p_partkey WHEN 3 THEN 'DX' || p_partkey ELSE '' END AS t, p_size % 5 AS k
+FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN CASE WHEN p_partkey = 0 THEN '0000' ELSE CAST(p_partkey AS VARCHAR) END WHEN 2 THEN 'MED' || p_partkey WHEN 3 THEN t END AS code
+FROM t""")
 def _(df):
     key = F.col("p_partkey").cast("string")
     raw = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("E"), key)).when(F.col("p_size") % 5 == 1, F.concat(F.lit("000"), key, F.lit("C")))
@@ -94,7 +102,8 @@ def _(df):
 _BA = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ACTIVITIES.items())
 
 
-@on_table("st10_activities_of_programs", "part", f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '06' ELSE '03' END || lpad(CAST(p_size % 10 AS VARCHAR), 2, '0') || '123A' AS pe FROM part)
+@on_table("st10_activities_of_programs", "part", f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '06' ELSE '03' END || lpad(CAST(p_size % 10 AS VARCHAR), 2, '0') || '123A' AS pe
+FROM part)
 SELECT p_partkey, CASE WHEN starts_with(pe, '06') THEN CASE substring(pe, 3, 2) {_BA} END END AS title FROM t""")
 def _(df):
     pe = F.concat(F.when(F.col("p_partkey") % 2 == 0, "06").otherwise("03"), F.lpad((F.col("p_size") % 10).cast("string"), 2, "0"), F.lit("123A"))
@@ -112,7 +121,8 @@ def _(df):
 _ACRONYMS = {"sr": "small ring", "rw": "red widget"}
 
 
-@on_table("st15_expanded_keywords", "part", "SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 'sr') OR contains(lower(p_name), 'small ring') OR contains(lower(p_name), 'red widget') OR contains(lower(p_name), 'rw')")
+@on_table("st15_expanded_keywords", "part", """SELECT DISTINCT p_name FROM part
+WHERE contains(lower(p_name), 'sr') OR contains(lower(p_name), 'small ring') OR contains(lower(p_name), 'red widget') OR contains(lower(p_name), 'rw')""")
 def _(df):
     return df.where(X.contains_any(["p_name"], T.expanded(["SR", "red widget"], _ACRONYMS))).select("p_name").distinct()
 
@@ -125,7 +135,8 @@ def _(df):
     return ascii_only.select("doc_id", F.array_join(T.keywords_in([F.col("text")], ["License", "the", "error"]), ",").alias("words"))
 
 
-@on_table("st17_clean_narratives", "documents", r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(13) || chr(10))) AS digest FROM documents""")
+@on_table("st17_clean_narratives", "documents", r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(13) || chr(10))) AS digest
+FROM documents""")
 def _(df):
     marked = F.concat(F.lit("\nUNCLASSIFIED\n"), F.coalesce("text", F.lit("")), F.lit("\nUNCLASSIFIED\nVolume 3 - 355"))
     return df.select("doc_id", F.md5(T.clean_narrative(marked)).alias("digest"))
@@ -152,7 +163,8 @@ def _(df):
     return each.select("doc_id", "word", F.instr("text", F.concat("word", F.lit("."))).cast("long").alias("place"))
 
 
-@on_table("st21_project_numbers", "part", """WITH t AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'TITLE' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN 'funds' WHEN 3 THEN 'x' WHEN 4 THEN 'P' || p_partkey ELSE CAST(1000 + p_partkey AS VARCHAR) END AS t, p_size FROM part)
+@on_table("st21_project_numbers", "part", """WITH t AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'TITLE' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN 'funds' WHEN 3 THEN 'x' WHEN 4 THEN 'P' || p_partkey ELSE CAST(1000 + p_partkey AS VARCHAR) END AS t, p_size
+FROM part)
 SELECT p_partkey, p_size % 6 IN (4, 5) AS valid FROM t""")
 def _(df):
     key, k = F.col("p_partkey"), F.col("p_size") % 6
@@ -165,7 +177,8 @@ def _(df):
     return df.select("doc_id", T.is_garbage_description(F.col("text")).alias("garbage"))
 
 
-@on_table("st23_program_names", "part", r"SELECT DISTINCT p_brand, trim(regexp_replace(regexp_replace(lower(p_brand || ' (' || p_name || ')'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM part")
+@on_table("st23_program_names", "part", r"""SELECT DISTINCT p_brand, trim(regexp_replace(regexp_replace(lower(p_brand || ' (' || p_name || ')'), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS name
+FROM part""")
 def _(df):
     return df.select("p_brand", T.program_name(F.concat("p_brand", F.lit(" ("), "p_name", F.lit(")"))).alias("name")).distinct()
 
@@ -188,17 +201,20 @@ def _(df):
     return df.select("p_partkey", T.mission_description(text, r"A\. Mission Description", [r"B\. Program"]).alias("mission"))
 
 
-@on_table("st27_formats", "part", "SELECT p_partkey, CASE WHEN length(p_name || p_type) <= 12 THEN p_name || p_type ELSE substring(p_name || p_type, 1, 9) || '...' END AS short, format('{:.1f}%', p_size::DOUBLE) AS share FROM part")
+@on_table("st27_formats", "part", """SELECT p_partkey, CASE WHEN length(p_name || p_type) <= 12 THEN p_name || p_type ELSE substring(p_name || p_type, 1, 9) || '...' END AS short, format('{:.1f}%', p_size::DOUBLE) AS share
+FROM part""")
 def _(df):
     return df.select("p_partkey", T.truncated(F.concat("p_name", "p_type"), 12).alias("short"), T.percent_text(F.col("p_size") / 100).alias("share"))
 
 
-@on_table("st28_file_names", "pages", r"""SELECT page_id, substring(regexp_replace(url, '[<>:"/\\|?*\s]+', '_', 'g'), 1, 200) AS name, CASE WHEN strlen(html) >= 1024 THEN format('{:.1f} KB', strlen(html) / 1024.0) ELSE format('{:.1f} B', strlen(html) * 1.0) END AS size FROM pages WHERE strlen(html) < 900000""")
+@on_table("st28_file_names", "pages", r"""SELECT page_id, substring(regexp_replace(url, '[<>:"/\\|?*\s]+', '_', 'g'), 1, 200) AS name, CASE WHEN strlen(html) >= 1024 THEN format('{:.1f} KB', strlen(html) / 1024.0) ELSE format('{:.1f} B', strlen(html) * 1.0) END AS size
+FROM pages WHERE strlen(html) < 900000""")
 def _(df):
     return df.where(F.octet_length("html") < 900000).select("page_id", T.file_name(F.col("url")).alias("name"), T.bytes_text(F.octet_length("html")).alias("size"))
 
 
-@on_table("st29_set_keys", "part", "SELECT DISTINCT p_brand, sha256(CASE WHEN lower(p_brand) < 'z ring' THEN lower(p_brand) || ',z ring' ELSE 'z ring,' || lower(p_brand) END) AS id FROM part")
+@on_table("st29_set_keys", "part", """SELECT DISTINCT p_brand, sha256(CASE WHEN lower(p_brand) < 'z ring' THEN lower(p_brand) || ',z ring' ELSE 'z ring,' || lower(p_brand) END) AS id
+FROM part""")
 def _(df):
     return df.select("p_brand", T.set_key(F.array(F.lit("Z Ring"), "p_brand", F.lower("p_brand"))).alias("id")).distinct()
 
@@ -252,14 +268,16 @@ def _(df):
     return df.select("p_partkey", F.aggregate(found, F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(found).alias("n"))
 
 
-@on_table("ma05_numbers", "part", "SELECT p_partkey, abs(p_size - 25) AS apart, CASE WHEN p_size > 25 THEN NULL ELSE greatest(p_size, 10) END AS most, round(p_retailprice, 0) AS rounded FROM part")
+@on_table("ma05_numbers", "part", """SELECT p_partkey, abs(p_size - 25) AS apart, CASE WHEN p_size > 25 THEN NULL ELSE greatest(p_size, 10) END AS most, round(p_retailprice, 0) AS rounded
+FROM part""")
 def _(df):
     least = F.when(F.col("p_size") <= 25, F.lit(10))
     most = F.when(F.col("p_size").isNotNull() & least.isNotNull(), F.greatest("p_size", least))  # null if any is
     return df.select("p_partkey", F.abs(F.col("p_size") - 25).alias("apart"), most.alias("most"), F.round("p_retailprice", 0).alias("rounded"))
 
 
-@on_table("ma06_validity", "part", """SELECT p_partkey, p_size % 6 IN (0, 1, 2) AS year, p_retailprice <= 1500 AS amount, length(p_name) BETWEEN 1 AND 200 AS name, p_brand IN ('Brand#1', 'Brand#2') AS exhibit FROM part""")
+@on_table("ma06_validity", "part", """SELECT p_partkey, p_size % 6 IN (0, 1, 2) AS year, p_retailprice <= 1500 AS amount, length(p_name) BETWEEN 1 AND 200 AS name, p_brand IN ('Brand#1', 'Brand#2') AS exhibit
+FROM part""")
 def _(df):
     return df.select("p_partkey", T.is_year(_year_text()).alias("year"), T.is_amount(F.col("p_retailprice"), 1500).alias("amount"), T.is_text(F.col("p_name")).alias("name"), F.col("p_brand").isin("Brand#1", "Brand#2").alias("exhibit"))
 
@@ -282,13 +300,15 @@ def _(df):
     return df.select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.array("p_brand", "p_type").alias("tags"))).alias("json"))
 
 
-@on_table("ar01_paired_lists", "part", "SELECT p_partkey, x.label, x.amount FROM (SELECT p_partkey, unnest([{'label': '1998', 'amount': p_size::DOUBLE}, {'label': '1999', 'amount': p_retailprice}]) AS x FROM part)")
+@on_table("ar01_paired_lists", "part", """SELECT p_partkey, x.label, x.amount
+FROM (SELECT p_partkey, unnest([{'label': '1998', 'amount': p_size::DOUBLE}, {'label': '1999', 'amount': p_retailprice}]) AS x FROM part)""")
 def _(df):
     pairs = T.paired(F.array(F.lit("1998"), F.lit("1999"), F.lit("2000")), F.array(F.col("p_size").cast("double"), "p_retailprice"))
     return df.select("p_partkey", F.inline(pairs))
 
 
-@on_facts("ar02_amount_columns", " SELECT pe_number, fiscal_year, 'request' AS kind, CAST(sum(amount) AS DOUBLE) AS amount FROM facts WHERE fiscal_year IN ('2000', '2001') GROUP BY 1, 2", ["pe_number", "fiscal_year", "amount"])
+@on_facts("ar02_amount_columns", """ SELECT pe_number, fiscal_year, 'request' AS kind, CAST(sum(amount) AS DOUBLE) AS amount FROM facts WHERE fiscal_year IN ('2000', '2001')
+GROUP BY 1, 2""", ["pe_number", "fiscal_year", "amount"])
 def _(df):
     wide = df.groupBy("pe_number").pivot("fiscal_year", ["2000", "2001"]).agg(F.sum("amount").cast("double")).withColumnsRenamed({y: f"amount_fy{y}_request" for y in ("2000", "2001")})
     named = {c: T.amount_column(c) for c in wide.columns if T.amount_column(c)}

@@ -18,6 +18,8 @@ import heapq
 import json
 import re
 import sys
+import unicodedata
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -30,7 +32,7 @@ from tokenizers.pre_tokenizers import Split
 
 #: Words kept per Python worker between batches and tasks, in each of two generations: when the younger
 #: is full the older goes, so words that keep coming stay. Some 200 bytes each.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 NO_PARENT = 1 << 40
 
 
@@ -89,7 +91,8 @@ class BpeModel:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
-        self.pattern = plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern, self.ascii_pattern = plain_pattern(pattern, _class_of), plain_pattern(pattern, {"L": "a-z", "N": "0-9"}.get)
         self.normalizer = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).normalizer
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
@@ -275,10 +278,10 @@ def _class_of(kind: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-def plain_pattern(pattern: str) -> str:
+def plain_pattern(pattern: str, class_of: Callable[[str], str]) -> str:
     """A pattern with \\p{L} and \\p{N} for Python's own re module; \\s is white space as Unicode defines it."""
     for kind in ("L", "N"):
-        named = _class_of(kind)
+        named = class_of(kind)
         pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[{named}]").replace(f"\\p{{{kind}}}", named)
     return pattern.replace("\\s", SPACES)
 
@@ -293,13 +296,10 @@ class Recent:
         """Those of the words that must be computed; the others are in `known` from now on."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        out, known, older = [], self.known, self.older
-        for w in words.difference(known):
-            if w in older:
-                known[w] = older[w]
-            else:
-                out.append(w)
-        return out
+        fresh = words.difference(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        return list(fresh.difference(again))
 
 
 #: What this Python worker remembers: of one vocabulary and one rendering at a time.
@@ -320,17 +320,23 @@ class Encoder:
 
     def __init__(self, model: BpeModel, render, kind: str):
         self.model, self.render, self.recent = model, render, remembered(model.path, kind)
-        self.find, self.normal = re.compile(model.pattern).findall, model.normalizer.normalize_str
+        self.find, self.find_ascii = re.compile(model.pattern).findall, re.compile(model.ascii_pattern).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, model.special)) + ")").split if model.special else None
+        self.mark = {text: b"\xff%d" % i for text, i in model.special.items()}  # no word has this byte
+        self.marked = {self.mark[text]: [i] for text, i in model.special.items()}
+
+    def _normal(self, chunk: str) -> str:
+        """Composed and lower-cased. Below Greek, Python's tables are those of any later Unicode version."""
+        return unicodedata.normalize("NFC", chunk).lower() if max(chunk) < "\u0370" else self.model.normalizer.normalize_str(chunk)
 
-    def _words(self, chunk: str) -> list:
-        """The words of a chunk as bytes, and special tokens as their ids."""
+    def _words(self, chunk: str) -> list[bytes]:
+        """The words of a chunk; special tokens are marks."""
         if self.cut and "<" in chunk and len(parts := self.cut(chunk)) > 1:
-            return [y for x in parts if x for y in ([self.model.special[x]] if x in self.model.special else self._words(x))]
+            return [y for x in parts if x for y in ([self.mark[x]] if x in self.mark else self._words(x))]
         if not chunk.isascii():
-            return [x.encode() for x in self.find(self.normal(chunk))]  # composed and lower-cased
+            return [x.encode() for x in self.find(self._normal(chunk))]
         chunk = chunk.lower()
-        return [chunk.encode()] if chunk.isalpha() else [x.encode() for x in self.find(chunk)]
+        return [chunk.encode()] if chunk.isalpha() else [x.encode() for x in self.find_ascii(chunk)]
 
     def batch(self, texts: list) -> list[list]:
         """For each text the rendered chunks, in order."""
@@ -339,12 +345,10 @@ class Encoder:
         known = self.recent.known
         if new:
             words = [self._words(c) for c in new]
-            flat = list(dict.fromkeys(w for ws in words for w in ws if isinstance(w, bytes)))
-            of = {}
-            if flat:
-                of = dict(zip(flat, self.model.encode_words(flat), strict=True))
+            flat = list(dict.fromkeys(chain.from_iterable(words)).keys() - self.marked.keys())
+            of = self.marked | (dict(zip(flat, self.model.encode_words(flat), strict=True)) if flat else {})
             for c, ws in zip(new, words, strict=True):
-                known[c] = self.render([t for w in ws for t in (of[w] if isinstance(w, bytes) else [w])])
+                known[c] = self.render(of[ws[0]] if len(ws) == 1 else [t for w in ws for t in of[w]])
         get = known.__getitem__
         return [list(map(get, x)) for x in split]
 

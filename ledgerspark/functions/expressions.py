@@ -9,7 +9,9 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PE_NUMBER = r"([0-9]{7}[A-Z]{1,2})"
+from ledgerspark.functions.fixed_values import PE_LETTERS
+
+PE_NUMBER = rf"\b([0-9]{{7}}{PE_LETTERS})\b"
 
 
 def all_of(conditions: Iterable[Column]) -> Column:

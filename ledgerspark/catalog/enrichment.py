@@ -72,7 +72,7 @@ def _texts(parts):
     return parts.select(_pe("p_partkey").alias("pe_number"), F.concat("p_name", F.lit(" follows "), F.concat(F.lpad((F.col("p_partkey") + 1).cast("string"), 7, "0"), F.lit("A")), F.lit(" and "), _pe("p_partkey"), F.lit(" not 9999999ZZ")).alias("text"))
 
 
-@on_table("en04_references", "part", f"""WITH {_REFS} SELECT a.pe_number AS source, b.pe_number AS referenced, 'explicit_pe_ref' AS link_type, 0.95 AS confidence
+@on_table("en04_references", "part", f"""WITH {_REFS} SELECT a.pe_number AS source, b.pe_number AS referenced, 'explicit_pe_ref' AS link_type, 0.95::DOUBLE AS confidence
 FROM t a JOIN t b ON contains(a.text, b.pe_number || ' and')
 WHERE a.pe_number <> b.pe_number AND CAST(substring(b.pe_number, 1, 7) AS INT) = CAST(substring(a.pe_number, 1, 7) AS INT) + 1""")
 def _(df):
@@ -83,7 +83,7 @@ def _(df):
 @on_tables("en04_title_links", "documents benchmark", r"""WITH b AS (SELECT 'B' || item_id AS k, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:5], ' ') AS title
 FROM benchmark), d AS (SELECT 'D' || doc_id AS k, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents
 WHERE length(text) >= 200)
-SELECT d.k AS source, b.k AS referenced, 'name_match' AS link_type, 0.6 AS confidence FROM b, d WHERE contains(t, ' ' || title || ' ')
+SELECT d.k AS source, b.k AS referenced, 'name_match' AS link_type, 0.6::DOUBLE AS confidence FROM b, d WHERE contains(t, ' ' || title || ' ')
 QUALIFY row_number() OVER (PARTITION BY d.k ORDER BY b.k) <= 3""")
 def _(docs, items):
     texts = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("pe_number"), "text")
@@ -102,7 +102,7 @@ def _(df):
     return E.projects(df.select("p_partkey", _project_text().alias("text")), "p_partkey", "text")
 
 
-@on_table("en06_project_tags", "part", """SELECT p_brand, 'round' AS tag, 'project' AS tag_source, 0.85 AS confidence FROM part GROUP BY 1
+@on_table("en06_project_tags", "part", """SELECT p_brand, 'round' AS tag, 'project' AS tag_source, 0.85::DOUBLE AS confidence FROM part GROUP BY 1
 HAVING bool_or(contains(' ' || p_name || ' ', ' ring '))""")
 def _(df):
     found = E.projects(df.select("p_brand", _project_text().alias("text")).where("text IS NOT NULL"), "p_brand", "text")
@@ -120,7 +120,7 @@ def _(df):
     return E.line_item_index(df)
 
 
-@on_facts("en08_line_item_tags", f", {_ITEMS} SELECT bli_key, 'round' AS tag, 'keyword' AS tag_source, 0.9 AS confidence FROM i WHERE contains(' ' || line_item_title || ' ', ' ring ')", _ITEM_COLUMNS)
+@on_facts("en08_line_item_tags", f", {_ITEMS} SELECT bli_key, 'round' AS tag, 'keyword' AS tag_source, 0.9::DOUBLE AS confidence FROM i WHERE contains(' ' || line_item_title || ' ', ' ring ')", _ITEM_COLUMNS)
 def _(df):
     return E.keyword_tags(E.line_item_index(df), "bli_key", F.col("line_item_title"), [("round", r"\bring\b", 0.9)], "keyword")
 
@@ -177,7 +177,7 @@ def _(parts, lines):
     return E.filled_programs(rows, _mined(parts)).select("l_orderkey", "l_linenumber", "pe_number")
 
 
-@on_table("en13_page_facts", "part", """SELECT p_partkey, '16' || p_partkey AS code, p_retailprice * 1000 AS amount_fy1998, CAST(NULL AS DOUBLE) AS amount_fy1999, 2500.0 AS amount_fy2000
+@on_table("en13_page_facts", "part", """SELECT p_partkey, '16' || p_partkey AS code, p_retailprice * 1000 AS amount_fy1998, CAST(NULL AS DOUBLE) AS amount_fy1999, 2500.0::DOUBLE AS amount_fy2000
 FROM part WHERE p_partkey < 9000 UNION ALL SELECT p_partkey, 'DD7', NULL, 4000.0, NULL FROM part WHERE p_partkey < 9000""")
 def _(df):
     from ledgerspark.catalog.explorer import _pages as cost_pages
@@ -189,7 +189,7 @@ def _(df):
 
 @on_table("en14_project_blocks", "conversations", """WITH m AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c
 FROM conversations), r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
-SELECT conv_id, role, min(run) AS run FROM r GROUP BY 1, 2""")
+SELECT conv_id, role, CAST(min(run) AS BIGINT) AS run FROM r GROUP BY 1, 2""")
 def _(df):
     blocks = R.runs(df.select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
     return blocks.groupBy("conv_id", "role").agg(F.min("run").alias("run"))  # of blocks of one project the first counts

@@ -177,7 +177,7 @@ def _(df):
     return g.select("account", change_percent(F.col("c"), before, 1).alias("pct"))
 
 
-@on_table("ma03_amount_tokens", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size + 0.25 END AS amount FROM part")
+@on_table("ma03_amount_tokens", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size + 0.25 AS DOUBLE) END AS amount FROM part")
 def _(df):
     k = F.col("p_size") % 3
     token = F.when(k == 0, F.concat(F.col("p_size").cast("string"), F.lit(".25**"))).when(k == 1, "-").otherwise("Continuing")

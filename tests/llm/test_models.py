@@ -101,7 +101,7 @@ def test_every_code_point_is_encoded_as_by_the_library():
     tokenizer.no_padding()
     encoder = bpe.Encoder(bpe.BpeModel(queries.TOKENIZER), tuple, "tuples")
     points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
-    texts = points + ["a" + c + "B" for c in points[:0x20000]]
+    texts = points + ["a" + c + "B" for c in points[:0x3000]]
     for i in range(0, len(texts), 100_000):
         part = texts[i : i + 100_000]
         mine = [[t for chunk in parts for t in chunk] for parts in encoder.batch(part)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, labelled, licenses, line_dedup, ngram_join, packing, quality, token_files, toxicity, vector_search
+from ledgerspark.llm import bpe, conversations, exact_dedup, fill_in_middle, labelled, licenses, line_dedup, ngram_join, packing, quality, token_files, toxicity, vector_search
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TOXIC_FROM, GOOD_FROM = 0.7, 0.5
@@ -65,6 +65,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.rebuild(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(read(spark, sf_dir, "conversations"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_toxicity, op2_bpe, op3_packing, op4_line_dedup, op5_exact_top_k, op6_ann, op7_ngram_join, op8_licenses, op9_token_counts, op10_quality]
+    ops = [op1_toxicity, op2_bpe, op3_packing, op4_line_dedup, op5_exact_top_k, op6_ann, op7_ngram_join, op8_licenses, op9_token_counts, op10_quality, op11_fill_in_middle, op12_conversation_repair, op13_exact_dedup]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -87,4 +101,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op5_exact_top_k": _TOP_K_SQL}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op5_exact_top_k": _TOP_K_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL, "op13_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -77,15 +77,15 @@ def _(df):
     return df.select("doc_id", T.organization_of_source(F.col("source"), F.col("text"), [("RC1", "One"), ("rc2", "Two")], [("the ", "The"), ("eaux", "Eaux")]).alias("organization"))
 
 
-@on_table("st08_project_titles", "part", r"""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CASE p_size % 5 WHEN 1 THEN CAST(p_partkey + 1 AS VARCHAR) WHEN 2 THEN CAST(p_partkey + 1 AS VARCHAR) WHEN 3 THEN 'DD' || CAST((p_partkey % 900000) AS VARCHAR) END END AS code,
-CASE WHEN p_size % 5 <> 0 THEN p_name END AS title FROM part WHERE p_partkey < 900000""")
+@on_table("st08_project_titles", "part", r"""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CASE p_size % 5 WHEN 1 THEN CAST(p_partkey % 900000 + 1 AS VARCHAR) WHEN 2 THEN CAST(p_partkey % 900000 + 1 AS VARCHAR) WHEN 3 THEN 'DD' || CAST((p_partkey % 900000) AS VARCHAR) END END AS code,
+CASE WHEN p_size % 5 <> 0 THEN p_name END AS title FROM part""")
 def _(df):
-    key = (F.col("p_partkey") + 1).cast("string")
+    key = (F.col("p_partkey") % 900000 + 1).cast("string")
     raw = F.when(F.col("p_size") % 5 == 0, "Total PE Cost 12.345 -").when(F.col("p_size") % 5 == 1, F.concat(key, F.lit(": "), "p_name", F.lit(" 4,439.845 101.694 - *")))
     raw = raw.when(F.col("p_size") % 5 == 2, F.concat(F.lit("E"), key, F.lit(" "), "p_name", F.lit(" (GDI)")))
-    raw = raw.when(F.col("p_size") % 5 == 3, F.concat(F.lit("DD"), F.col("p_partkey").cast("string"), F.lit(".: "), "p_name", F.lit(" -"))).otherwise(F.concat("p_name", F.lit(" **")))
+    raw = raw.when(F.col("p_size") % 5 == 3, F.concat(F.lit("DD"), (F.col("p_partkey") % 900000).cast("string"), F.lit(".: "), "p_name", F.lit(" -"))).otherwise(F.concat("p_name", F.lit(" **")))
     found = T.project_title(raw)
-    return df.where("p_partkey < 900000").select("p_partkey", found["code"].alias("code"), found["title"].alias("title"))
+    return df.select("p_partkey", found["code"].alias("code"), found["title"].alias("title"))
 
 
 @on_table("st09_project_codes", "part", r"""WITH t AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'E' || p_partkey WHEN 1 THEN '000' || p_partkey || 'C' WHEN 2 THEN 'MED-' || p_partkey WHEN 3 THEN 'DX' || p_partkey ELSE '' END AS t, p_size % 5 AS k
@@ -138,7 +138,10 @@ def _(df):
 @on_table("st17_clean_narratives", "documents", r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(13) || chr(10))) AS digest
 FROM documents""")
 def _(df):
-    marked = F.concat(F.lit("\nUNCLASSIFIED\n"), F.coalesce("text", F.lit("")), F.lit("\nUNCLASSIFIED\nVolume 3 - 355"))
+    before = ["", "PE 0601234A: A Name\nof two lines\nB. Accomplishments/Planned Programs ($ in Millions) FY 2024 FY 2025\n", "", "Appropriation/Budget Activity\n3600 / 2\nProject (Number/Name)\n(12 / Name\n\n", " UNCLASSIFIED\t\n", "Title: Some Thing 12.345 6.789 -\n", "Volume 3 - 355\n"]
+    behind = ["", "\n\n\n", "\n\nExhibit R-2A, RDT&E Project Justification: PB 2025\n(of Air Force)", "", "\n\nUNCLASSIFIED", "\nTitle: Other 1.000 0.5", "\nDefense-Wide Page 5 of 70 R-1 Line #12"]
+    of = lambda kinds: F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 7 + 1).cast("int"))
+    marked = F.concat(of(before), F.coalesce("text", F.lit("")), of(behind))
     return df.select("doc_id", F.md5(T.clean_narrative(marked)).alias("digest"))
 
 

@@ -10,6 +10,7 @@ from ledgerspark.operators import aggregates as A
 from ledgerspark.operators import quality_checks as Q
 from ledgerspark.operators import relations as R
 from ledgerspark.operators import summaries as S
+from ledgerspark.operators.near_text import fuzzy_terms, same_titles
 from ledgerspark.plans.stored import shared_folder
 from ledgerspark.registry import YEARS, on_facts, on_table, on_tables, ysum
 from ledgerspark.sources import files
@@ -201,11 +202,20 @@ def _(df):
     return df.select("p_partkey", F.inline(T.sections(text, ["Mission", "Plans"]))).select("p_partkey", "header", F.length("text").alias("n"))
 
 
-@on_table("ud03_order_dependent_groups", "part", "SELECT p_brand, count(DISTINCT p_name) AS n_titles FROM part GROUP BY 1")
+@on_table("ud03_order_dependent_groups", "part", """WITH t AS (SELECT p_type, p_brand, p_partkey, substring(md5(p_brand), 1, 10 + p_partkey % 20) AS title FROM part)
+SELECT p_partkey, title, first(title) OVER (PARTITION BY p_type, p_brand ORDER BY length(title) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cluster FROM t""")
 def _(df):
-    from ledgerspark.operators.explorer import same_titles
+    """Cut titles: each is the beginning of the others of its brand, whatever their order."""
+    title = F.expr("substring(md5(p_brand), 1, CAST(10 + p_partkey % 20 AS INT))")
+    return same_titles(df.select("p_type", "p_partkey", title.alias("title")), ["p_type"], "title", ["p_partkey"]).select("p_partkey", "title", "cluster")
 
-    # words of ten letters and more apart: every title is a cluster of its own
-    spread = F.concat(F.sha2("p_name", 256), "p_name")
-    rows = df.select("p_brand", spread.alias("title"), "p_partkey")
-    return same_titles(rows, ["p_brand"], "title", ["p_partkey"]).groupBy("p_brand").agg(F.countDistinct("cluster").alias("n_titles"))
+
+@on_tables("st14_near_vocabulary", "documents part", """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents),
+w AS (SELECT DISTINCT unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS word FROM part)
+SELECT word, term, levenshtein(word, term) AS edits FROM w JOIN v ON levenshtein(word, term) <= CASE WHEN length(word) <= 4 THEN 1 WHEN length(word) <= 8 THEN 2 ELSE 3 END
+WHERE length(word) >= 3 AND length(term) >= 3""")
+def _(docs, parts):
+    """Every word of the documents near a word of the parts' names and types."""
+    terms = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).distinct()
+    words = parts.select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("word")).distinct()
+    return fuzzy_terms(terms, words)

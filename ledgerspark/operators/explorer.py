@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +11,6 @@ from ledgerspark.functions import fixed_values as V
 from ledgerspark.functions import text as T
 from ledgerspark.functions.expressions import any_of, contains_any
 
-#: Titles of one project are the same if they differ in less than this share of the shorter one.
-CLOSE_TITLES = 0.20
-
 
 def validated(words: list[str], most: int = 50, size: tuple[int, int] = (2, 100)) -> list[str]:
     """The words, trimmed and each once; an error if there are none, too many, or one of a wrong length or sign."""
@@ -84,48 +80,6 @@ def mined(pages: DataFrame, text: str, words: list[str]) -> DataFrame:
     return rows.select(*[c for c in pages.columns if c != text], F.col("_t")["code"].alias("code"), F.col("_t")["title"].alias("title"), matched.alias("matched"), F.inline(F.col("_row")["amounts"]))
 
 
-def same_titles(rows: DataFrame, keys: list[str], title: str, order: list[str]) -> DataFrame:
-    """Rows with `cluster`, the title that stands for theirs: within a key, in this order, a row joins the first cluster
-    whose title begins with its own, or the other way round, or differs in less than CLOSE_TITLES; the longest title stands
-    for a cluster from then on.
-
-    The outcome depends on the order, so a key is one group; a key is one project of one program, so groups are small.
-    """
-
-    def edits(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    def alike(a: str, b: str) -> bool:
-        shorter = min(len(a), len(b))
-        if not shorter:
-            return False
-        if a.startswith(b) or b.startswith(a):
-            return True
-        return abs(len(a) - len(b)) <= shorter * CLOSE_TITLES and edits(a, b) / shorter < CLOSE_TITLES
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        names, of, known = [], [], {}
-        for t in group[title]:
-            if t not in known:  # equal titles meet the same clusters, or their own
-                hit = next((i for i, n in enumerate(names) if alike((t or "").lower(), n.lower())), None)
-                if hit is None:
-                    hit = len(names)
-                    names.append(t or "")
-                elif len(t) > len(names[hit]):
-                    names[hit], known = t, {}
-                known[t] = hit
-            of.append(known[t])
-        return group.assign(cluster=[names[i] for i in of])
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{rows.schema.simpleString()[7:-1]}, cluster: string".replace(":", " "))
-
-
 def inherited(rows: DataFrame, summary: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Missing or Unknown values taken from the summary row of the same key."""
     parent = summary.groupBy(key).agg(*[F.max(F.when(F.col(c) != "Unknown", F.col(c))).alias(f"_{c}") for c in columns])

@@ -133,7 +133,7 @@ def test_fuzzy_and_whole_word_matches(spark):
 
 
 def test_same_titles_joins_in_order(spark):
-    from ledgerspark.operators.explorer import same_titles
+    from ledgerspark.operators.near_text import same_titles
 
     rows = [("p", 1, "Advanced Radar"), ("p", 2, "Advanced Radar System"), ("p", 3, "Advanced Rador Systen"), ("p", 4, "Mk4A"), ("p", 5, "Other thing")]
     out = same_titles(spark.createDataFrame(rows, "pe string, n int, title string"), ["pe"], "title", ["n"]).orderBy("n")

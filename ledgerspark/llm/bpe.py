@@ -19,6 +19,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -34,6 +35,8 @@ from tokenizers.pre_tokenizers import Split
 #: is full the older goes, so words that keep coming stay. Some 200 bytes each.
 CACHE_WORDS = 250_000
 NO_PARENT = 1 << 40
+#: Words of more bytes are proposed for from every place at once, and merged one by one where the proposal fails.
+LONG_WORD = 64
 
 
 class _HashTable:
@@ -135,6 +138,10 @@ class BpeModel:
             final[at] = t
         self.trie = _HashTable(np.fromiter(nodes.keys(), np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
         self.final = np.array(final, np.int32)
+        pairs = np.arange(1 << 18, dtype=np.int64)
+        self.one = self.trie.get(pairs[:512])  # the nodes of one and of two symbols, without hashing
+        first = self.one[pairs >> 9].astype(np.int64)
+        self.two = np.where(first >= 0, self.trie.get(np.maximum(first, 0) << 9 | pairs & 511), -1)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: lowest rank first, leftmost first among equals."""
@@ -177,53 +184,97 @@ class BpeModel:
             at, a, b, over_a, over_b = at[go], a[go], b[go], over_a[go], over_b[go]
         return good
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of every word (none may be empty)."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        ends = np.cumsum(lens)
-        text[ends - 1] += 256
-        end_of = np.repeat(ends, lens)
-        best, length, state = np.full(len(text), -1, np.int32), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-        at, depth = np.arange(len(text)), 0
-        while at.size:  # the longest token from every position
-            node = self.trie.get(state[at] << 9 | text[at + depth])
-            at, node = at[node >= 0], node[node >= 0]
-            state[at] = node
+    def _longest(self, text: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token from each place, and its length; a byte is always one."""
+        best, length = self.final[self.one[text[at]]], np.ones(len(at), np.int64)
+        who = np.flatnonzero(at + 1 < stop)
+        node, depth = self.two[text[at[who]] << 9 | text[at[who] + 1]], 2
+        while True:
+            who, node = who[node >= 0], node[node >= 0].astype(np.int64)
             token = self.final[node]
-            found = token >= 0
-            best[at[found]], length[at[found]] = token[found], depth + 1
+            found = who[token >= 0]
+            best[found], length[found] = token[token >= 0], depth
+            more = at[who] + depth < stop[who]
+            who, node = who[more], node[more]
+            if not who.size:
+                return best, length
+            node = self.trie.get(node << 9 | text[at[who] + depth])
             depth += 1
-            at = at[at + depth < end_of[at]]
-        starts, cur, stop = np.zeros(len(text), bool), ends - lens, ends
-        while cur.size:  # speculate: from token to token, all words at once
-            starts[cur] = True
+
+    def _proposed(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match in stretches of the text, all at once: (place, token) of each token, in order."""
+        found, cur, stop = [], starts, ends
+        while cur.size:
+            best, length = self._longest(text, cur, stop)
+            found.append((cur, best))
+            cur = cur + length
+            more = cur < stop
+            cur, stop = cur[more], stop[more]
+        at, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], ids[order]
+
+    def _proposed_in_long(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where stretches are long: the longest token from every place first."""
+        lens = ends - starts
+        places = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+        best, length = self._longest(text, places, np.repeat(ends, lens))
+        taken, cur, stop = np.zeros(len(places), bool), np.cumsum(lens) - lens, np.cumsum(lens)
+        while cur.size:
+            taken[cur] = True
             cur = cur + length[cur]
             more = cur < stop
             cur, stop = cur[more], stop[more]
-        at = np.flatnonzero(starts)
-        ids, word = best[at], np.repeat(np.arange(len(words)), lens)[at]
+        return places[taken], best[taken]
+
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has (none may be empty)."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum(lens)
+        text[ends - 1] += 256
+        long = lens > LONG_WORD
+        parts = [f(text, (ends - lens)[which], ends[which]) for f, which in ((self._proposed, ~long), (self._proposed_in_long, long)) if which.any()]
+        at, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.argsort(at, kind="stable")
+            at, ids = at[order], ids[order]
+        word = np.repeat(np.arange(len(words)), lens)[at]
         pair = np.flatnonzero(word[1:] == word[:-1])
         wrong = np.zeros(len(words), bool)
         wrong[word[pair[~self.compatible(ids[pair], ids[pair + 1])]]] = True
-        flat, to, out = ids.tolist(), 0, []
-        for n in np.bincount(word, minlength=len(words)).tolist():
-            out.append(flat[to : to + n])
-            to += n
-        long = wrong & (lens > 200)
-        for w in np.flatnonzero(long).tolist():
-            symbols = list(words[w])
-            symbols[-1] += 256
-            out[w] = self.merge(self.base[symbols].tolist())
-        short = np.flatnonzero(wrong & ~long)
-        if short.size:
-            for w, x in zip(short.tolist(), self._merge_all(self.base[text[np.repeat(wrong & ~long, lens)]], lens[short]), strict=True):
-                out[w] = x
-        return out
+        if wrong.any():
+            merged = []
+            for w in np.flatnonzero(wrong & long).tolist():
+                symbols = list(words[w])
+                symbols[-1] += 256
+                out = self.merge(self.base[symbols].tolist())
+                merged.append((np.full(len(out), w), np.array(out, np.int64)))
+            short = np.flatnonzero(wrong & ~long)
+            if short.size:
+                name, out = self._merge_all(self.base[text[np.repeat(wrong & ~long, lens)]], lens[short])
+                merged.append((short[name], out))
+            right = ~wrong[word]
+            word, ids = (np.concatenate(x) for x in zip((word[right], ids[right]), *merged, strict=True))
+            order = np.argsort(word, kind="stable")
+            word, ids = word[order], ids[order]
+        return ids, np.bincount(word, minlength=len(words))
 
-    def _merge_all(self, ids: np.ndarray, lens: np.ndarray) -> list[list[int]]:
-        """Exact merging of many short words side by side, one merge a word in each round."""
-        out: list = [None] * len(lens)
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of every word (none may be empty)."""
+        ids, counts = self.encode_flat(words)
+        flat, to = ids.tolist(), np.cumsum(counts).tolist()
+        return [flat[a:b] for a, b in zip([0, *to], to, strict=False)]
+
+    def encode_bytes(self, words: list[bytes]) -> list[bytes]:
+        """The ids of every word as unsigned 32-bit numbers in the machine's order."""
+        ids, counts = self.encode_flat(words)
+        flat, to = ids.astype(np.uint32).tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *to], to, strict=False)]
+
+    def _merge_all(self, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many short words side by side, one merge a word in each round: (word, id) of each token."""
+        done: list[tuple] = []
         name, ids = np.arange(len(lens)), ids.astype(np.int64)
         while name.size:
             ends = np.cumsum(lens)
@@ -234,19 +285,20 @@ class BpeModel:
             rank = np.where(made >= 0, self.rank[made], NO_PARENT)
             least = np.minimum.reduceat(rank, starts)
             over = least == NO_PARENT
+            of_over = np.repeat(over, lens)
             if over.any():
-                for w, a, b in zip(name[over].tolist(), starts[over].tolist(), ends[over].tolist(), strict=True):
-                    out[w] = ids[a:b].tolist()
-            hit = np.flatnonzero((rank == np.repeat(least, lens)) & np.repeat(~over, lens))
+                done.append((np.repeat(name[over], lens[over]), ids[of_over]))
+            hit = np.flatnonzero((rank == np.repeat(least, lens)) & ~of_over)
             word = np.repeat(np.arange(len(lens)), lens)
             first = np.ones(len(hit), bool)
             first[1:] = word[hit[1:]] != word[hit[:-1]]
             hit = hit[first]
             ids[hit] = made[hit]
-            stay = np.repeat(~over, lens)
+            stay = ~of_over
             stay[hit + 1] = False
             ids, name, lens = ids[stay], name[~over], lens[~over] - 1
-        return out
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return word, ids
 
 
 #: White space as Unicode defines it; str.split() also splits at the four separators 1C to 1F.
@@ -312,6 +364,11 @@ def remembered(path: str, kind: str) -> Recent:
     return _REMEMBERED.setdefault((path, kind), Recent())
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit numbers in the machine's order."""
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Encodes batches of texts, remembering `render(ids)` of chunks as long as the Python worker lives.
 
@@ -338,18 +395,29 @@ class Encoder:
         chunk = chunk.lower()
         return [chunk.encode()] if chunk.isalpha() else [x.encode() for x in self.find_ascii(chunk)]
 
+    def _remember(self, new: list[str]) -> None:
+        """Render new chunks. Most are one word of ASCII letters: those are lower-cased and cut in one stretch."""
+        plain = [c for c in new if c.isalpha() and c.isascii()]
+        rest = [c for c in new if not (c.isalpha() and c.isascii())]
+        single = "\n".join(plain).lower().encode().split(b"\n") if plain else []
+        words = [self._words(c) for c in rest]
+        flat = list(dict.fromkeys(chain(single, chain.from_iterable(words))).keys() - self.marked.keys())
+        if self.render is as_bytes:
+            units = self.model.encode_bytes(flat) if flat else []
+            of = {k: as_bytes(v) for k, v in self.marked.items()} | dict(zip(flat, units, strict=True))
+            self.recent.known.update(zip(plain, map(of.__getitem__, single), strict=True))
+            self.recent.known.update((c, of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])) for c, ws in zip(rest, words, strict=True))
+        else:
+            of = self.marked | (dict(zip(flat, self.model.encode_words(flat), strict=True)) if flat else {})
+            self.recent.known.update(zip(plain, map(self.render, map(of.__getitem__, single)), strict=True))
+            self.recent.known.update((c, self.render([t for w in ws for t in of[w]])) for c, ws in zip(rest, words, strict=True))
+
     def batch(self, texts: list) -> list[list]:
         """For each text the rendered chunks, in order."""
         split = [chunks_of(x) if x else [] for x in texts]
-        new = self.recent.missing(set(chain.from_iterable(split)))
-        known = self.recent.known
-        if new:
-            words = [self._words(c) for c in new]
-            flat = list(dict.fromkeys(chain.from_iterable(words)).keys() - self.marked.keys())
-            of = self.marked | (dict(zip(flat, self.model.encode_words(flat), strict=True)) if flat else {})
-            for c, ws in zip(new, words, strict=True):
-                known[c] = self.render(of[ws[0]] if len(ws) == 1 else [t for w in ws for t in of[w]])
-        get = known.__getitem__
+        if new := self.recent.missing(set(chain.from_iterable(split))):
+            self._remember(new)
+        get = self.recent.known.__getitem__
         return [list(map(get, x)) for x in split]
 
 

@@ -14,7 +14,6 @@ empty table gives no pieces; a null doc_id is kept.
 from __future__ import annotations
 
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ledgerspark.llm.bpe import Encoder, broadcast_model, small_batches
+from ledgerspark.llm.bpe import Encoder, as_bytes, broadcast_model, small_batches
 from ledgerspark.llm.shared import materialize
 
 #: Bins to a problem, islands to a problem, solutions to an island, generations to an epoch, epochs.
@@ -40,8 +39,8 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     model = broadcast_model(docs.sparkSession, path)
 
     def run(batches):
-        encoder = Encoder(model.value, lambda ids: array("I", ids).tobytes(), "bytes")
-        end = array("I", [end_id]).tobytes()
+        encoder = Encoder(model.value, as_bytes, "bytes")
+        end = as_bytes([end_id])
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for at, parts in enumerate(encoder.batch(b.column(1).to_pylist())):

@@ -26,14 +26,13 @@ def _mode(table: str, key: str, c: str) -> str:
     return f"(SELECT {key}, {c}, count(*) AS k FROM {table} WHERE {c} IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {c}) = 1)"
 
 
-@on_tables("en01_program_index", "facts documents", f""", {_PAGES}, f AS (SELECT * FROM facts
-WHERE fiscal_year = '2001'), k AS (SELECT pe_number, max(line_item_title) AS title, string_agg(DISTINCT fiscal_year, ','
+@on_tables("en01_program_index", "facts documents", f""", {_PAGES}, f AS (SELECT * FROM facts), k AS (SELECT pe_number, max(line_item_title) AS title, string_agg(DISTINCT fiscal_year, ','
 ORDER BY fiscal_year) AS years, string_agg(DISTINCT exhibit_type, ',' ORDER BY exhibit_type) AS exhibits FROM f GROUP BY 1)
 SELECT pe_number, title, years, exhibits, organization_name, 'lines' AS found_in FROM k
 LEFT JOIN {_mode('f', 'pe_number', 'organization_name')} USING (pe_number)
 UNION ALL SELECT pe_number, min(title), NULL, NULL, min(source), 'pages' FROM n WHERE pe_number NOT IN (SELECT pe_number FROM k) GROUP BY 1""")
 def _(df, docs):
-    return E.program_index(df.where("fiscal_year = '2001'"), _pages(docs))
+    return E.program_index(df, _pages(docs))
 
 
 @on_table("en02_narratives", "conversations", """SELECT conv_id, role, min(turn) AS page_start, max(turn) AS page_end, CAST(NULL AS VARCHAR) AS header, md5(substring(string_agg(text, chr(10)
@@ -169,21 +168,21 @@ def _(df):
 
 @on_tables("en11_filled_programs", "part lineitem", f"""WITH {_MINED_PAGES}, b AS (SELECT bli_key, min(pe) AS pe FROM g WHERE p_partkey % 2 = 1 GROUP BY 1)
 SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN b.pe ELSE '' END AS pe_number FROM lineitem JOIN part p ON p.p_partkey = l_partkey
-LEFT JOIN b ON bli_key = p_brand || ':L' || p_size WHERE l_partkey < 100""")
+LEFT JOIN b ON bli_key = p_brand || ':L' || p_size""")
 def _(parts, lines):
-    rows = lines.where("l_partkey < 100").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     flag = F.col("l_returnflag") == "A"
     rows = rows.select("l_orderkey", "l_linenumber", F.when(flag, "p1").otherwise("r1").alias("exhibit_type"), F.col("p_brand").alias("account"), F.concat(F.lit("L"), F.col("p_size").cast("string")).alias("line_item"), F.when(~flag, "").alias("pe_number"))
     return E.filled_programs(rows, _mined(parts)).select("l_orderkey", "l_linenumber", "pe_number")
 
 
-@on_table("en13_page_facts", "part", """SELECT p_partkey, '16' || p_partkey AS code, p_retailprice * 1000 AS amount_fy1998, CAST(NULL AS DOUBLE) AS amount_fy1999, 2500.0::DOUBLE AS amount_fy2000
-FROM part WHERE p_partkey < 9000 UNION ALL SELECT p_partkey, 'DD7', NULL, 4000.0, NULL FROM part WHERE p_partkey < 9000""")
+@on_table("en13_page_facts", "part", """SELECT p_partkey, '16' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS code, p_retailprice * 1000 AS amount_fy1998, CAST(NULL AS DOUBLE) AS amount_fy1999, 2500.0::DOUBLE AS amount_fy2000
+FROM part UNION ALL SELECT p_partkey, 'DD7', NULL, 4000.0, NULL FROM part""")
 def _(df):
     from ledgerspark.catalog.explorer import _pages as cost_pages
     from ledgerspark.operators.explorer import mined
 
-    rows = mined(cost_pages(df.where("p_partkey < 9000")), "text", ["ring"])
+    rows = mined(cost_pages(df), "text", ["ring"])
     return E.wide_costs(rows, ["p_partkey", "code"], ["1998", "1999", "2000"])
 
 

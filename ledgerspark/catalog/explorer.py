@@ -17,10 +17,18 @@ def _narratives(docs):
     return docs.select("doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("A")).alias("pe_number"), "source", "text")
 
 
-@on_table("kx01_keyword_set", "region", "SELECT DISTINCT sha256('fast ring,small') AS id, 2 AS n FROM region")
+#: Keywords as typed, by the part's number: fine ones, one too short, a bad sign, none, too many.
+_TYPED = ["{name}, {upper} ,, {type}", "{name},x", "{name};,{type}", " , ,", ",".join(f"w{i}" for i in range(60))]
+
+
+@on_table("kx01_keyword_set", "part", """SELECT p_partkey, [CAST(NULL AS VARCHAR), 'length', 'sign', 'count', 'count'][p_partkey % 5 + 1] AS problem, [2, 2, 2, 0, 60][p_partkey % 5 + 1] AS n,
+CASE WHEN p_partkey % 5 = 0 THEN sha256(CASE WHEN p_name < lower(p_type) THEN p_name || ',' || lower(p_type) ELSE lower(p_type) || ',' || p_name END) END AS id FROM part""")
 def _(df):
-    words = K.validated([" small", "Fast Ring", "SMALL"])
-    return df.select(T.set_key(F.array(*map(F.lit, words))).alias("id"), F.lit(len(words)).alias("n")).distinct()
+    typed = F.element_at(F.array(*map(F.lit, _TYPED)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    for name, value in {"{name}": F.col("p_name"), "{upper}": F.upper("p_name"), "{type}": F.col("p_type")}.items():
+        typed = F.replace(typed, F.lit(name), value)
+    checked = K.checked_keywords(F.split(typed, ","))
+    return df.select("p_partkey", checked["problem"].alias("problem"), F.size(checked["words"]).alias("n"), F.when(checked["problem"].isNull(), T.set_key(checked["words"])).alias("id"))
 
 
 @on_tables("kx03_discovered_programs", "facts documents", f""", {_NARRATIVES}, b AS (SELECT DISTINCT pe_number FROM facts
@@ -48,25 +56,25 @@ def _(df):
 
 
 def _pages(parts):
-    key = F.col("p_partkey").cast("string")
+    key = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")  # a code has six digits
     price = F.format_number("p_retailprice", 2)
     text = F.concat(F.lit("Exhibit R-2 PE 0602123A: x\nCOST ($ in Millions) FY 1998 FY 1999 FY 2000\nTotal PE 1.0 2.0 3.0\n16"), key, F.lit(": "), "p_name", F.lit(" "), price, F.lit(" - 2.5*\nDD7 "), "p_type", F.lit(" TBD 4.0\n\nA. Mission\nzz 1 2 3"))
     return parts.select("p_partkey", text.alias("text"))
 
 
-_COSTS = """SELECT p_partkey, '16' || p_partkey AS code, p_name AS title, contains(' ' || p_name || ' ', ' ring ') AS matched, y AS year, CASE y WHEN '1998' THEN p_retailprice * 1000 WHEN '2000' THEN 2500.0 END AS amount FROM part, (SELECT unnest(['1998', '1999', '2000']) AS y) WHERE p_partkey < 9000
-UNION ALL SELECT p_partkey, 'DD7', p_type, false, y, CASE y WHEN '1999' THEN 4000.0 END FROM part, (SELECT unnest(['1998', '1999']) AS y) WHERE p_partkey < 9000"""
+_COSTS = """SELECT p_partkey, '16' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS code, p_name AS title, contains(' ' || p_name || ' ', ' ring ') AS matched, y AS year, CASE y WHEN '1998' THEN p_retailprice * 1000 WHEN '2000' THEN 2500.0 END AS amount FROM part, (SELECT unnest(['1998', '1999', '2000']) AS y)
+UNION ALL SELECT p_partkey, 'DD7', p_type, false, y, CASE y WHEN '1999' THEN 4000.0 END FROM part, (SELECT unnest(['1998', '1999']) AS y)"""
 
 
 @on_table("kx06_mined_rows", "part", _COSTS)
 def _(df):
-    return K.mined(_pages(df.where("p_partkey < 9000")), "text", ["ring"])
+    return K.mined(_pages(df), "text", ["ring"])
 
 
-@on_table("kx07_cost_tables", "part", """SELECT p_partkey, '16' || p_partkey || ': ' || p_name AS label, 3 AS n FROM part WHERE p_partkey < 9000 UNION ALL
-SELECT p_partkey, 'DD7 ' || p_type, 2 FROM part WHERE p_partkey < 9000""")
+@on_table("kx07_cost_tables", "part", """SELECT p_partkey, '16' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || ': ' || p_name AS label, 3 AS n FROM part UNION ALL
+SELECT p_partkey, 'DD7 ' || p_type, 2 FROM part""")
 def _(df):
-    pages = _pages(df.where("p_partkey < 9000"))
+    pages = _pages(df)
     return pages.select("p_partkey", F.explode(K.cost_table(F.col("text"))).alias("r")).select("p_partkey", "r.label", F.size("r.amounts").alias("n"))
 
 
@@ -119,11 +127,10 @@ def _(df):
 _WORDS = "array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])license([^a-z0-9_]|$)') THEN 'license' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])error([^a-z0-9_]|$)') THEN 'error' END], lambda x: x IS NOT NULL), ',')"
 
 
-@on_table("kx12_first_narratives", "documents", f"""WITH h AS (SELECT source, doc_id, {_WORDS} AS words FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT source, words FROM h
+@on_table("kx12_first_narratives", "documents", f"""WITH h AS (SELECT source, doc_id, {_WORDS} AS words FROM documents) SELECT source, words FROM h
 WHERE words <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""")
 def _(df):
-    plain = df.where(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
-    return K.narrative_keywords(plain, "source", "text", "doc_id", ["license", "error"]).select("source", F.array_join("words", ",").alias("words"))
+    return K.narrative_keywords(df, "source", "text", "doc_id", ["license", "error"]).select("source", F.array_join("words", ",").alias("words"))
 
 
 @on_facts("kx13_longest_titles", """, g AS (SELECT account, line_item_title, max(CASE WHEN fiscal_year = '2000' AND quantity > 40 THEN amount END) AS fy2000, max(CASE WHEN fiscal_year = '2001' AND quantity > 49 THEN amount END) AS fy2001
@@ -147,12 +154,11 @@ def _(df, docs):
     return K.with_stubs(rows, n.select("pe_number").distinct(), "pe_number", n.where("source = 'src1'").select("pe_number", F.col("source").alias("title")).distinct())
 
 
-@on_table("kx15_lineage_notes", "part", """WITH t AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS pe, lower(p_name || ' ' || p_size) AS n FROM part
-WHERE p_brand = 'Brand#7'), g AS (SELECT a.pe, string_agg(DISTINCT b.pe, ', ' ORDER BY b.pe) AS o FROM t a JOIN t b ON a.n = b.n AND a.pe <> b.pe
+@on_table("kx15_lineage_notes", "part", """WITH t AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS pe, lower(p_name || ' ' || p_size || ' ' || p_brand) AS n FROM part), g AS (SELECT a.pe, string_agg(DISTINCT b.pe, ', ' ORDER BY b.pe) AS o FROM t a JOIN t b ON a.n = b.n AND a.pe <> b.pe
 GROUP BY 1)
 SELECT pe, 'Also in PE ' || o AS note FROM g""")
 def _(df):
-    rows = df.where("p_brand = 'Brand#7'").select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("A")).alias("pe"), F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")).alias("title"))
+    rows = df.select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("A")).alias("pe"), F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit("), "), "p_brand").alias("title"))
     return K.lineage_notes(rows, "pe", "title")
 
 

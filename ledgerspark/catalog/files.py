@@ -91,10 +91,12 @@ def _(docs, labels):
     return docs.sparkSession.createDataFrame([(x,) for x in files.report_text(checks.report()).splitlines()], "line string")
 
 
-@on_tables("sk11_data_dictionary", "region nation", "SELECT unnest(['## region', '| r_regionkey | int |', '| r_name | string |', '## nation', '| n_nationkey | int |', '| n_name | string |', '| n_regionkey | int |']) AS line")
-def _(region, nation):
-    lines = files.dictionary_text({"region": region, "nation": nation}).splitlines()
-    return region.sparkSession.createDataFrame([(x,) for x in lines if x and "---" not in x and "column" not in x], "line string")
+_DESCRIBED = {"customer": ["c_custkey:bigint", "c_name:string", "c_nationkey:int", "c_acctbal:double", "c_mktsegment:string"], "supplier": ["s_suppkey:bigint", "s_name:string", "s_nationkey:int", "s_acctbal:double"]}
+
+
+@on_tables("sk11_data_dictionary", "customer supplier", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c.split(':')[0]}' AS column_name, '{c.split(':')[1]}' AS type, count(*) AS n_rows, count({c.split(':')[0]}) AS n_filled, count(DISTINCT {c.split(':')[0]}) AS n_distinct FROM {t}" for t, columns in _DESCRIBED.items() for c in columns))
+def _(customers, suppliers):
+    return files.described({"customer": customers, "supplier": suppliers})
 
 
 @on_table("in02_resumed_ingestion", "customer", "SELECT c_custkey, c_mktsegment FROM customer")
@@ -165,9 +167,9 @@ def _(df):
     return df.select(T.year_key(F.concat(F.lit("FY "), F.year("o_orderdate").cast("string"), F.lit(" (est)"))).alias("k")).distinct()
 
 
-@on_table("dt06_stamps", "region", "SELECT r_name, true AS stamped FROM region")
+@on_table("dt06_stamps", "events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, true AS past FROM events")
 def _(df):
-    return df.select("r_name", (F.current_timestamp() > F.lit("2020-01-01").cast("timestamp")).alias("stamped"))  # the stamp itself differs each time
+    return df.select("event_id", T.stamp(F.col("ts")).alias("stamp"), (T.stamp(F.col("ts")) < T.stamp(F.current_timestamp())).alias("past"))
 
 
 @on_facts("ma01_changes", f""", g AS (SELECT account, CAST({ysum('2001')} AS DOUBLE) AS c, CASE WHEN account = 'Brand#3' THEN 0 ELSE CAST({ysum('2000')} AS DOUBLE) END AS p

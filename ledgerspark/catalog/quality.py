@@ -14,6 +14,7 @@ from ledgerspark.operators import repair as P
 from ledgerspark.operators import summaries as S
 from ledgerspark.operators import text_index as I
 from ledgerspark.plans.facts import read
+from ledgerspark.operators.searches import query_terms
 from ledgerspark.registry import ORACLES, QUERIES, YEARS, on_facts, on_table, on_tables
 
 # checks
@@ -475,9 +476,11 @@ def _(df):
     return I.hits(spark, folder, ["the"]).select("key", "frequency")
 
 
-@on_table("ft04_plain_terms", "region", "SELECT DISTINCT 'missile,r&d,x' AS terms FROM region")
+@on_table("ft04_plain_terms", "documents", r"""WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(translate(coalesce(text, '') || ' "x*" AND (--) NOT', '"()*:^+', '       '), '[\s\x0b]+', ' ', 'g')), ' '), lambda t: ltrim(t, '-') <> '' AND upper(t) NOT IN ('AND', 'OR', 'NOT', 'NEAR')) AS terms FROM documents)
+SELECT doc_id, CAST(len(terms) AS INTEGER) AS n, md5(array_to_string(terms, ' ')) AS digest FROM t""")
 def _(df):
-    return df.select(F.lit(",".join(T.query_terms('Missile AND "r&d" (-- NOT x*)')).lower()).alias("terms")).distinct()
+    terms = query_terms(F.concat(F.coalesce("text", F.lit("")), F.lit(' "x*" AND (--) NOT')))
+    return df.select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 _RANKED = ["the", "license", "error"]
@@ -561,9 +564,9 @@ def _(df):
 # files and manifests
 
 
-@on_table("sc17_first_source_wins", "pages", "SELECT lower(regexp_extract(url, '/([^/]*)$', 1)) AS name, min(page_id) AS page_id FROM pages WHERE page_id % 9 <> 0 GROUP BY 1")
+@on_table("sc17_first_source_wins", "pages", "SELECT lower(regexp_extract(url, '/([^/]*)$', 1)) AS name, min(page_id) AS page_id FROM pages GROUP BY 1")
 def _(df):
-    files = df.where("page_id % 9 <> 0").select("page_id", F.regexp_extract("url", r"/([^/]*)$", 1).alias("file"))
+    files = df.select("page_id", F.regexp_extract("url", r"/([^/]*)$", 1).alias("file"))
     return files.groupBy(F.lower("file").alias("name")).agg(F.min("page_id").alias("page_id"))
 
 

@@ -9,6 +9,7 @@ from ledgerspark.functions import text as T
 from ledgerspark.functions.expressions import change_percent, contains_any
 from ledgerspark.operators import filters as L
 from ledgerspark.operators import relations as R
+from ledgerspark.operators import searches as Z
 from ledgerspark.operators import summaries as S
 from ledgerspark.registry import LATEST, PREVIOUS, YEARS, on_facts, on_table, on_tables, ysum
 
@@ -40,6 +41,44 @@ def _(df):
     return df.select("p_partkey", T.is_program(pe).alias("strict"), T.is_program(pe, any_case=True).alias("loose"))
 
 
+#: Saved searches, one a supplier: what is typed differs by the supplier's number.
+_TYPED = {0: "pe:{pe} fy:2000 FY:1999", 1: "org:\"Europe\" year:1998 amount>=50000 amount > 90000 amount<=95000", 2: "Type:p1 approp:'building' \"ring\" amount<=20000.5", 3: "small AND ring (amount>60000) service:asia", 4: "\"small ring\" pe:{pe} pe:0000000A"}
+_SEARCHES = "q AS (SELECT s_suppkey AS id, s_suppkey % 5 AS k, lpad(CAST(s_suppkey AS VARCHAR), 7, '0') || 'A' AS pe FROM supplier)"
+
+
+def _searches(suppliers):
+    pe = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 7, "0"), F.lit("A"))
+    text = F.lit(_TYPED[0])
+    for k, v in _TYPED.items():
+        text = F.when(F.col("s_suppkey") % 5 == k, v).otherwise(text)
+    return suppliers.select(F.col("s_suppkey").alias("id"), F.replace(text, F.lit("{pe}"), pe).alias("typed"))
+
+
+@on_table("fi10_search_parts", "supplier", f"""WITH {_SEARCHES}, p AS (SELECT id, unnest(CASE k WHEN 0 THEN ['pe_number=' || pe, 'fiscal_year=2000', 'fiscal_year=1999']
+WHEN 1 THEN ['organization_name=Europe', 'fiscal_year=1998', 'least=50000', 'least=90000', 'most=95000'] WHEN 2 THEN ['exhibit_type=p1', 'appropriation_code=building', 'phrase=ring', 'most=20000.5']
+WHEN 3 THEN ['word=small', 'word=AND', 'word=ring', 'word=(amount>60000)', 'organization_name=asia'] ELSE ['phrase=small ring', 'pe_number=' || pe, 'pe_number=0000000A'] END) AS part FROM q) SELECT id, part FROM p""")
+def _(df):
+    return _searches(df).select("id", F.explode(Z.search_parts(F.col("typed"))).alias("p")).select("id", F.concat_ws("=", "p.kind", "p.value").alias("part"))
+
+
+@on_tables("fi11_saved_searches", "supplier facts", f""", {_SEARCHES}, h AS (SELECT q.id, f.amount FROM q JOIN facts f ON CASE k WHEN 0 THEN pe_number = pe AND fiscal_year IN ('2000', '1999')
+WHEN 1 THEN organization_name = 'EUROPE' AND fiscal_year = '1998' AND amount BETWEEN 90000 AND 95000
+WHEN 2 THEN exhibit_type = 'p1' AND appropriation_code = 'BUILDING' AND ' ' || line_item_title || ' ' LIKE '% ring %' AND amount <= 20000.5
+WHEN 3 THEN organization_name = 'ASIA' AND ' ' || line_item_title || ' ' LIKE '% small %' AND ' ' || line_item_title || ' ' LIKE '% ring %' AND line_item_title LIKE '%amount%60000%'
+ELSE pe_number IN (pe, '0000000A') AND line_item_title = 'small ring' END)
+SELECT id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM h GROUP BY 1""")
+def _(suppliers, df):
+    lines = df.select("pe_number", "organization_name", "exhibit_type", "fiscal_year", "appropriation_code", "line_item_title", "amount")
+    found = Z.matching_lines(_searches(suppliers), lines, "id", "typed", ["line_item_title"])
+    return found.groupBy("id").agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total"))
+
+
+@on_facts("fi11_typed_search", " SELECT order_key, line_item, pe_number FROM facts WHERE exhibit_type IN ('r1', 'r2') AND fiscal_year = '1999' AND amount BETWEEN 20000 AND 80000 AND line_item_title = 'small ring'")
+def _(df):
+    found = Z.where_search(df, 'exhibit:r1 type:R2 fy:1999 amount>20000 amount>10000 "Small Ring" amount<80000 ring', ["line_item_title"], {"exhibit_type": ["p1", "r1", "r2"]})
+    return found.select("order_key", "line_item", "pe_number")
+
+
 @on_facts("fi12_results_page", """ SELECT order_key, line_item, pe_number, CAST(amount AS DOUBLE) AS amount FROM facts
 WHERE fiscal_year IN ('2001') AND amount >= 50000 AND contains(lower(line_item_title), 'ring')
 ORDER BY amount DESC, order_key, line_item LIMIT 20 OFFSET 20""", ["order_key", "line_item", "pe_number", "amount", "fiscal_year", "line_item_title"])
@@ -329,11 +368,9 @@ def _(df):
     return df.groupBy("pe_number").agg(F.max(F.when(F.col("exhibit_type") == "r1", F.col("line_item_title"))).alias("title"), F.count_if(F.col("exhibit_type") == "p1").alias("n_p1"), F.count("*").alias("n"))
 
 
-@on_facts("ag25_active_years", " SELECT fiscal_year FROM facts WHERE account = 'Brand#7' GROUP BY 1 HAVING max(amount) IS NOT NULL", ["account", "fiscal_year", "amount"])
+@on_facts("ag25_active_years", " SELECT account, fiscal_year FROM facts GROUP BY 1, 2 HAVING max(CASE WHEN quantity > 10 THEN amount END) IS NOT NULL", ["account", "fiscal_year", "amount", "quantity"])
 def _(df):
-    years = [str(y) for y in range(1990, 2010)]
-    one = df.where("account = 'Brand#7'").agg(*[F.max(F.when(F.col("fiscal_year") == y, F.col("amount").isNotNull())).alias(y) for y in years])
-    return one.unpivot([], years, "fiscal_year", "active").where("active").select("fiscal_year")
+    return S.active_years(df.withColumn("amount", F.when(F.col("quantity") > 10, F.col("amount"))), "account")
 
 
 @on_table("ag28_modes", "lineitem", """WITH c AS (SELECT l_partkey, l_shipdate, l_suppkey, l_returnflag FROM lineitem), f AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM c

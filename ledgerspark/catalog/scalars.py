@@ -127,12 +127,11 @@ def _(df):
     return df.where(X.contains_any(["p_name"], T.expanded(["SR", "red widget"], _ACRONYMS))).select("p_name").distinct()
 
 
-@on_table("st16_whole_words", "documents", r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^\w])license([^\w]|$)') THEN 'License' END,
-CASE WHEN regexp_matches(lower(text), '(^|[^\w])the([^\w]|$)') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '(^|[^\w])error([^\w]|$)') THEN 'error' END], lambda x: x IS NOT NULL), ',') AS words
-FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*')""")
+@on_table("st16_whole_words", "documents", r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])license([^a-z0-9_]|$)') THEN 'License' END,
+CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])the([^a-z0-9_]|$)') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])error([^a-z0-9_]|$)') THEN 'error' END], lambda x: x IS NOT NULL), ',') AS words
+FROM documents""")
 def _(df):
-    ascii_only = df.where((F.col("lang") == "en") & F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
-    return ascii_only.select("doc_id", F.array_join(T.keywords_in([F.col("text")], ["License", "the", "error"]), ",").alias("words"))
+    return df.select("doc_id", F.array_join(T.keywords_in([F.col("text")], ["License", "the", "error"]), ",").alias("words"))
 
 
 @on_table("st17_clean_narratives", "documents", r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(13) || chr(10))) AS digest
@@ -210,10 +209,10 @@ def _(df):
     return df.select("p_partkey", T.truncated(F.concat("p_name", "p_type"), 12).alias("short"), T.percent_text(F.col("p_size") / 100).alias("share"))
 
 
-@on_table("st28_file_names", "pages", r"""SELECT page_id, substring(regexp_replace(url, '[<>:"/\\|?*\s]+', '_', 'g'), 1, 200) AS name, CASE WHEN strlen(html) >= 1024 THEN format('{:.1f} KB', strlen(html) / 1024.0) ELSE format('{:.1f} B', strlen(html) * 1.0) END AS size
-FROM pages WHERE strlen(html) < 900000""")
+@on_table("st28_file_names", "pages", r"""SELECT page_id, substring(regexp_replace(url, '[<>:"/\\|?*\s]+', '_', 'g'), 1, 200) AS name, CASE WHEN strlen(html) >= 1048576 THEN format('{:.1f} MB', strlen(html) / 1048576.0) WHEN strlen(html) >= 1024 THEN format('{:.1f} KB', strlen(html) / 1024.0) ELSE format('{:.1f} B', strlen(html) * 1.0) END AS size
+FROM pages""")
 def _(df):
-    return df.where(F.octet_length("html") < 900000).select("page_id", T.file_name(F.col("url")).alias("name"), T.bytes_text(F.octet_length("html")).alias("size"))
+    return df.select("page_id", T.file_name(F.col("url")).alias("name"), T.bytes_text(F.octet_length("html")).alias("size"))
 
 
 @on_table("st29_set_keys", "part", """SELECT DISTINCT p_brand, sha256(CASE WHEN lower(p_brand) < 'z ring' THEN lower(p_brand) || ',z ring' ELSE 'z ring,' || lower(p_brand) END) AS id

@@ -169,6 +169,11 @@ def program_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]+", " "), r"\s+", " "))
 
 
+def stamp(c: Column) -> Column:
+    """A time as text, to the second: texts are in the order of the times."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
 # keywords
 
 
@@ -187,9 +192,10 @@ def expanded(words: list[str], acronyms: dict[str, str]) -> list[str]:
 
 
 def keywords_in(columns: list[Column], words: list[str]) -> Column:
-    """The words that occur as whole words in any of the texts, in their order."""
+    """The words that occur as whole words in any of the texts, in their order; a word ends where no ASCII
+    letter, digit or underscore follows."""
     text = F.lower(F.concat_ws(" ", *columns))
-    tests = [F.when(F.rlike(text, F.lit(rf"(?<!\w){literal_pattern(w.lower().strip())}(?!\w)")), F.lit(w)) for w in words if w.strip()]
+    tests = [F.when(F.rlike(text, F.lit(rf"(?<![a-z0-9_]){literal_pattern(w.lower().strip())}(?![a-z0-9_])")), F.lit(w)) for w in words if w.strip()]
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
 
 
@@ -201,12 +207,6 @@ def fuzzy_match(c: Column, word: str) -> Column:
     return out.when(close, "fuzzy") if len(w) >= 3 else out
 
 
-def query_terms(query: str) -> list[str]:
-    """The plain terms of what a user typed: no signs or words of query syntax, nothing that is only dashes."""
-    plain = query.translate(str.maketrans(V.QUERY_SIGNS, " " * len(V.QUERY_SIGNS)))
-    return [t for t in plain.split() if t.upper() not in V.QUERY_WORDS and t.strip("-")]
-
-
 # narrative text
 
 

@@ -23,6 +23,16 @@ def validated(words: list[str], most: int = 50, size: tuple[int, int] = (2, 100)
     return out
 
 
+def checked_keywords(typed: Column, most: int = 50, size: tuple[int, int] = (2, 100)) -> Column:
+    """struct(words, problem) of array<string>: the words as `validated` has them, and what is wrong: count, length, sign or null."""
+    words = F.filter(F.transform(typed, lambda w: F.btrim(w, F.lit(" \t\r\n"))), lambda w: w != "")
+    lower = F.transform(words, F.lower)
+    first = F.filter(words, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+    problem = F.when(~F.size(first).between(1, most), "count").when(F.exists(first, lambda w: ~F.length(w).between(*size)), "length")
+    problem = problem.when(F.exists(first, lambda w: ~F.rlike(w, F.lit(r"^[\p{L}\p{N}_\s.,&/()'-]+$"))), "sign")
+    return F.struct(first.alias("words"), problem.alias("problem"))
+
+
 def discovered(lines: DataFrame, narratives: DataFrame, words: list[str], columns: list[str], within_narratives: list[str]) -> DataFrame:
     """(pe_number, found_in): programs by number or by a keyword in a line, and others by a narrative only."""
     numbers = [w.upper() for w in words if re.fullmatch(rf"[0-9]{{7}}{V.PE_LETTERS}", w.upper())]

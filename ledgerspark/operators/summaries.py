@@ -61,6 +61,11 @@ def with_more(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return head.orderBy(*order).limit(limit).join(F.broadcast(more))
 
 
+def active_years(df: DataFrame, key: str, year: str = "fiscal_year", amount: str = "amount") -> DataFrame:
+    """(key, year) for the years in which a key has an amount, whatever the years are."""
+    return df.where(F.col(amount).isNotNull()).select(key, year).distinct()
+
+
 def coverage(df: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFrame:
     """The number of keys and, per part, how many of them it has and their percentage: one row."""
     keys = df.select(key).distinct()

@@ -84,6 +84,16 @@ def dictionary_text(tables: dict[str, DataFrame]) -> str:
     return "\n".join(out)
 
 
+def described(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table and column its type and how many rows there are, are filled, and differ; one pass a table."""
+    out = None
+    for name, df in tables.items():
+        counts = [F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("type"), F.count(c).alias("n_filled"), F.countDistinct(c).alias("n_distinct")) for c, kind in df.dtypes]
+        one = df.agg(F.count("*").alias("n_rows"), F.array(*counts).alias("columns")).select(F.lit(name).alias("table_name"), "n_rows", F.inline("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def select_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Paths below a folder, without `_display` twins of a file that is there and without `*a.xlsx` alternates."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

@@ -8,7 +8,9 @@ back best-fit. After an epoch each island's best solution migrates to the next i
 filled bins of all problems are pooled and packed once more.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each; an
-empty table gives no pieces; a null doc_id is kept.
+empty table gives no pieces; a null doc_id is kept; a text of any length is cut whole; bins that fill
+alike are told apart by their number, so ties only decide where a piece lies; other columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from ledgerspark.llm.shared import materialize
 
 #: Bins to a problem, islands to a problem, solutions to an island, generations to an epoch, epochs.
 PROBLEM_BINS, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 400, 2, 6, 6, 2
+#: Pieces to a problem at most, about: texts of a few tokens would otherwise come by the million.
+PROBLEM_PIECES = 50_000
 #: A bin with more than this share free is packed again with those of other problems.
 LOOSE = 1 / 256
 
@@ -147,8 +151,8 @@ def _epoch(state: DataFrame, size: int, last: bool) -> DataFrame:
 
 def _solve(pieces: DataFrame, size: int) -> DataFrame:
     """(pid, length) -> (pid, length, problem, bin): the best island's best solution of each problem."""
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    problems = max(1, round(total / size / PROBLEM_BINS))
+    total, n = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    problems = max(1, round(total / size / PROBLEM_BINS), n // PROBLEM_PIECES)
     state = pieces.withColumn("problem", F.pmod(F.xxhash64("pid"), F.lit(problems)).cast("int"))
     state = state.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).withColumn("solutions", F.array().cast("array<int>"))
     for epoch in range(EPOCHS):

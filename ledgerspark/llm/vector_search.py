@@ -33,6 +33,8 @@ MAX_CELLS = 4096
 SAMPLE, CELL_SAMPLE = 20_000, 16
 #: Rows to a cell at least; bands of distance that a large cell is split into, and cells solved first, in the exact join.
 CELL_ROWS, BANDS, HOME_CELLS = 1024, 16, 3
+#: Rows whose distances to all centres are held at once when centres are fitted (32 MB for MAX_CELLS centres).
+KMEANS_BLOCK = 1024
 #: Queries scored at once in a group, pairs reranked at once, and what rounding may add to a score.
 RERANK_QUERIES, RERANK_PAIRS, ROUNDING = 64, 1 << 15, 1e-9
 
@@ -96,7 +98,8 @@ def asking(data: DataFrame, every: int) -> DataFrame:
 def kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = rows[rng.permutation(len(rows))[: min(k, len(rows))]].copy()
     for _ in range(rounds):
-        near = ((centres**2).sum(1)[None, :] - 2 * rows @ centres.T).argmin(axis=1)
+        own = (centres**2).sum(1)[None, :]
+        near = np.concatenate([(own - 2 * rows[a : a + KMEANS_BLOCK] @ centres.T).argmin(axis=1) for a in range(0, len(rows), KMEANS_BLOCK)])
         sums, counts = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
         np.add.at(sums, near, rows)
         full = counts > 0

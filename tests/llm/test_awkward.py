@@ -198,3 +198,17 @@ def test_shared_folder_is_required_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match=re.escape("spark.checkpoint.dir")):
         shared.shared_dir(Session())
+
+
+def test_very_many_tiny_pieces_are_dealt_into_bounded_problems(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PROBLEM_PIECES", 500)
+    pieces = spark.range(6000).select("id", (F.col("id") % 3 + 1).alias("length"))
+    solved = packing._solve(pieces.withColumnRenamed("id", "pid"), 4096).groupBy("problem").agg(F.count("*").alias("n"), F.max("bin").alias("bins")).collect()
+    assert len(solved) == 12 and sum(r["n"] for r in solved) == 6000 and max(r["n"] for r in solved) < 700
+
+
+def test_centres_do_not_depend_on_the_block(monkeypatch):
+    rows = np.random.default_rng(3).normal(size=(3000, 8))
+    want = vector_search.kmeans(rows, 20, np.random.default_rng(1))
+    monkeypatch.setattr(vector_search, "KMEANS_BLOCK", 7)
+    assert np.allclose(vector_search.kmeans(rows, 20, np.random.default_rng(1)), want)

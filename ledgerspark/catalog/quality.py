@@ -11,10 +11,12 @@ from ledgerspark.operators import headers as H
 from ledgerspark.operators import quality_checks as Q
 from ledgerspark.operators import relations as R
 from ledgerspark.operators import repair as P
+from ledgerspark.operators import substring_index as N
 from ledgerspark.operators import summaries as S
 from ledgerspark.operators import text_index as I
-from ledgerspark.plans.facts import read
 from ledgerspark.operators.searches import query_terms
+from ledgerspark.plans.facts import read
+from ledgerspark.plans.stored import shared_folder
 from ledgerspark.registry import ORACLES, QUERIES, YEARS, on_facts, on_table, on_tables
 
 # checks
@@ -106,8 +108,8 @@ def _(df):
 @on_tables("dq17_index_in_step", "documents", "SELECT count(*) AS n_documents, count(*) AS n_indexed, true AS in_step FROM documents")
 def _(df):
     spark = df.sparkSession
-    folder = _document_index(spark, df)
-    indexed = spark.read.parquet(f"{folder}/totals").select(F.col("n").alias("n_indexed"))
+    folder = I.stored_index(df, "dq17", "doc_id", ["text"])
+    indexed = I.live_keys(spark, folder).agg(F.count("*").alias("n_indexed"))
     return df.agg(F.count("*").alias("n_documents")).join(indexed).withColumn("in_step", F.col("n_documents") == F.col("n_indexed"))
 
 
@@ -439,13 +441,29 @@ def _(df):
 # full-text search
 
 
-def _document_index(spark, docs, name: str = ""):
-    return I.stored_index(spark, name or docs.inputFiles()[0], lambda folder: I.build_index(docs, "doc_id", ["text"], folder))
+def _document_index(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return I.stored_index(docs, f"{sf_dir}/documents", "doc_id", ["text"])
 
 
 def _on_index(name: str, sql: str):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(spark, _document_index(spark, read(spark, sf_dir, "documents"), f"{sf_dir}/documents"), read(spark, sf_dir, "documents"))
+        QUERIES[name] = lambda spark, sf_dir: f(spark, _document_index(spark, sf_dir), read(spark, sf_dir, "documents"))
+        ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _on_stored(name: str, table: str, sql: str, make):
+    """Register a query of a folder that `make(df)` gives, and the table."""
+
+    def add(f):
+        def run(spark, sf_dir):
+            df = read(spark, sf_dir, table)
+            return f(spark, make(df, f"{sf_dir}/{table}"), df)
+
+        QUERIES[name] = run
         ORACLES[name] = sql
         return f
 
@@ -460,19 +478,32 @@ def _(spark, folder, docs):
     return I.hits(spark, folder, ["License", "error"]).select("key", "term", "frequency", "size")
 
 
-@on_table("ft02_page_index", "pages", r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(lower(url || ' ' || html), '[\p{L}\p{N}]+')) AS term FROM pages)
-SELECT page_id AS key, count(*) AS frequency FROM u WHERE term = 'html' GROUP BY 1""")
-def _(df):
-    spark = df.sparkSession
-    folder = I.stored_index(spark, df.inputFiles()[0], lambda f: I.build_index(df, "page_id", ["url", "html"], f))
+@_on_stored("ft02_page_index", "pages", r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(lower(url || ' ' || html), '[\p{L}\p{N}]+')) AS term FROM pages)
+SELECT page_id AS key, count(*) AS frequency FROM u WHERE term = 'html' GROUP BY 1""", lambda df, name: I.stored_index(df, name, "page_id", ["url", "html"]))
+def _(spark, folder, df):
     return I.hits(spark, folder, ["html"]).select("key", "frequency")
 
 
-@on_table("ft03_narrative_index", "conversations", r"""WITH u AS (SELECT conv_id * 1000 + turn AS k, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations)
-SELECT k AS key, count(*) AS frequency FROM u WHERE term = 'the' GROUP BY 1""")
-def _(df):
-    spark, keyed = df.sparkSession, df.withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
-    folder = I.stored_index(spark, df.inputFiles()[0], lambda f: I.build_index(keyed, "k", ["text"], f))
+def _changed_conversations(df, name):
+    """An index of half of the turns, with other texts for some, brought up to the table; then merged."""
+    keyed = df.withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    known = (df.sparkSession.sparkContext.applicationId, name)
+    if known not in _CHANGED:
+        _CHANGED[known] = folder = shared_folder(df.sparkSession, "text-index")
+        old = keyed.where("k % 2 = 0").withColumn("text", F.when(F.col("k") % 6 == 0, "the the other text").otherwise(F.col("text")))
+        more = old.where("k % 10 = 0").withColumn("k", -F.col("k") - 1)
+        I.build_index(old.unionByName(more), "k", ["text"], folder)
+        I.update_index(keyed, "k", ["text"], folder)
+        I.merge_segments(df.sparkSession, folder)
+    return _CHANGED[known]
+
+
+_CHANGED: dict[tuple, str] = {}
+
+
+@_on_stored("ft03_narrative_index", "conversations", r"""WITH u AS (SELECT conv_id * 1000 + turn AS k, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM conversations)
+SELECT k AS key, count(*) AS frequency FROM u WHERE term = 'the' GROUP BY 1""", _changed_conversations)
+def _(spark, folder, df):
     return I.hits(spark, folder, ["the"]).select("key", "frequency")
 
 
@@ -504,9 +535,26 @@ def _(spark, folder, docs):
     return I.ranked(spark, folder, _RANKED).join(kept, "key", "left_semi").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@_on_index("ft07_ordered_substrings", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed under') ORDER BY source, doc_id LIMIT 50")
+def _substrings(key, text, columns=None):
+    def make(df, name):
+        known = (df.sparkSession.sparkContext.applicationId, name, text, I.files_fingerprint(df))
+        if known not in _CHANGED:
+            folder = shared_folder(df.sparkSession, "substring-index")
+            N.build_substring_index(df, key, text, folder, columns)
+            _CHANGED[known] = folder
+        return _CHANGED[known]
+
+    return make
+
+
+@_on_stored("ft07_ordered_substrings", "documents", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed under') ORDER BY source, doc_id LIMIT 50", _substrings("doc_id", "text", ["source"]))
 def _(spark, folder, docs):
-    return docs.where(contains_any(["text"], ["Licensed under"])).orderBy("source", "doc_id").limit(50).select("doc_id", "source")
+    return N.rows_with(spark, folder, "doc_id", "text", "Licensed under").orderBy("source", "doc_id").limit(50).select("doc_id", "source")
+
+
+@_on_stored("ft07_stored_substrings", "part", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'all r')", _substrings("p_partkey", "p_name"))
+def _(spark, folder, parts):
+    return N.rows_with(spark, folder, "p_partkey", "p_name", "ALL R").select("p_partkey", "p_name")
 
 
 @on_tables("ft08_unified_search", "documents part", r"""SELECT * FROM (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(lower(text), 'license')

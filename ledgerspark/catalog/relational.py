@@ -11,6 +11,8 @@ from ledgerspark.operators import filters as L
 from ledgerspark.operators import relations as R
 from ledgerspark.operators import searches as Z
 from ledgerspark.operators import summaries as S
+from ledgerspark.plans.sorted_copy import read_page, write_sorted
+from ledgerspark.plans.stored import shared_folder
 from ledgerspark.registry import LATEST, PREVIOUS, YEARS, on_facts, on_table, on_tables, ysum
 
 # filters
@@ -561,6 +563,14 @@ def _(df):
     return S.page_of(df.select("o_orderkey"), [F.asc("o_orderkey")], 100, 50)
 
 
+@on_table("so02_deep_pages", "orders", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 1000")
+def _(df):
+    """The fiftieth page from a sorted copy: the files that hold it are known by their numbers of rows."""
+    folder = shared_folder(df.sparkSession, "orders-by-date")
+    write_sorted(df.select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], folder)
+    return read_page(df.sparkSession, folder, ["o_orderdate", "o_orderkey"], 50, 20).select("o_orderkey", "o_orderdate")
+
+
 @on_table("so03_has_more", "customer", "SELECT c_custkey, (SELECT count(*) FROM customer) > 30 AS has_more FROM customer ORDER BY c_custkey LIMIT 30")
 def _(df):
     return S.with_more(df.select("c_custkey"), [F.asc("c_custkey")], 30)

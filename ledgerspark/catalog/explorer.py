@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import text as T
+from ledgerspark.functions.expressions import words_of
 from ledgerspark.operators import explorer as K
 from ledgerspark.operators import summaries as S
+from ledgerspark.operators.keyword_search import keyword_hits, word_runs
 from ledgerspark.operators.near_text import same_titles
 from ledgerspark.registry import YEARS, on_facts, on_table, on_tables
 
@@ -133,6 +135,19 @@ def _(df):
     return K.narrative_keywords(df, "source", "text", "doc_id", ["license", "error"]).select("source", F.array_join("words", ",").alias("words"))
 
 
+@on_tables("kx12_keywords_at_once", "documents benchmark part", r"""WITH b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), c AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b),
+k AS (SELECT DISTINCT w[i] AS word FROM c UNION SELECT w[i] || ' ' || w[i + 1] FROM c WHERE i < len(w) UNION SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM c WHERE i + 1 < len(w) UNION SELECT p_name FROM part),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+r AS (SELECT doc_id, w[i] AS word FROM e UNION SELECT doc_id, w[i] || ' ' || w[i + 1] FROM e WHERE i < len(w) UNION SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM e WHERE i + 1 < len(w))
+SELECT word, count(*) AS n_documents, min(doc_id) AS first_document FROM k JOIN r USING (word) GROUP BY 1""")
+def _(docs, benchmark, parts):
+    """Some thousands of keywords: the words, pairs and triples of the benchmark's texts and the parts' names."""
+    words = words_of(F.col("text"))
+    runs = benchmark.select(F.explode(F.concat(*[word_runs(words, n) for n in (1, 2, 3)])).alias("word"))
+    found = keyword_hits(docs, "doc_id", "text", runs.unionByName(parts.select(F.col("p_name").alias("word"))).distinct(), "word")
+    return found.groupBy("word").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
 @on_facts("kx13_longest_titles", """, g AS (SELECT account, line_item_title, max(CASE WHEN fiscal_year = '2000' AND quantity > 40 THEN amount END) AS fy2000, max(CASE WHEN fiscal_year = '2001' AND quantity > 49 THEN amount END) AS fy2001
 FROM facts GROUP BY 1, 2)
 SELECT account, first(line_item_title ORDER BY length(line_item_title) DESC, line_item_title) AS line_item_title, CAST(first(fy2000

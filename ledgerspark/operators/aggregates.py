@@ -78,7 +78,7 @@ def best_by_year(df: DataFrame, key: str, years: list[str], ranks: list[str]) ->
 
 
 def most_frequent(df: DataFrame, key: str, column: str) -> DataFrame:
-    """The mode of a column, of equally frequent values the least: two aggregations, no sort."""
+    """The mode of a column, of equally frequent values the least: counts are made by hashing, and only they are sorted for the best."""
     counts = df.groupBy(key, column).agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("m"), column))
     return counts.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b")[column].alias(column), (-F.col("_b.m")).alias("n"))

@@ -45,12 +45,12 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 def one_row_a_line(df: DataFrame) -> DataFrame:
     """Of rows of the same line the one whose file is of its own year, then the last file, then the least key.
 
-    A minimum by group: rows are combined before the shuffle, and no group is sorted.
+    One sort: Spark keeps the first row of each line in every task before the shuffle, so a line with very
+    many rows does not meet in one task.
     """
     own = F.when(fiscal_year_of_path(F.col("source_file")) == F.col("fiscal_year"), 0).otherwise(1)
-    files = df.groupBy(*LINE_KEY, "source_file").agg(F.min(F.struct("order_key", "line_item", "amount")).alias("_v"))
-    best = files.groupBy(*LINE_KEY).agg(F.min(own).alias("_own"), F.max(F.struct(-own, "source_file", "_v")).alias("_b"))
-    return best.select(*LINE_KEY, "_b.source_file", "_b._v.order_key", "_b._v.line_item", "_b._v.amount")
+    best = first_by(df, LINE_KEY, [own.asc(), F.desc("source_file"), F.asc("order_key"), F.asc("line_item"), F.asc("amount")])
+    return best.select(*LINE_KEY, "source_file", "order_key", "line_item", "amount")
 
 
 def canonical_titles(df: DataFrame, key: str, title: str) -> DataFrame:

@@ -18,7 +18,8 @@ COLUMNS = (
     "order_key fiscal_year organization_name office source_file exhibit_type appropriation_code budget_activity_title account "
     "line_item_title pe_number line_item amount quantity amount_type"
 ).split()
-#: Which tables a column needs besides lineitem; a line has one order, customer, nation, region and part.
+#: Which tables a column needs besides lineitem. A line has at most one order, customer, nation, region and part; one
+#: that lacks them stays, with nulls, so the view's rows do not depend on the columns that are asked for.
 NEEDS = {
     "organization_name": {"customer", "nation", "region"},
     "office": {"customer", "nation"},
@@ -57,13 +58,13 @@ def facts(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
     if "customer" in needed:
         customers = t("customer")
         if "nation" in needed:
-            customers = customers.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            customers = customers.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         if "region" in needed:
-            customers = customers.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        orders = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            customers = customers.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        orders = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "part" in needed:
-        rows = rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return rows.select(*[every[c].alias(c) for c in columns])
 
 
@@ -73,7 +74,7 @@ FACTS_SQL = """facts AS (
     'FY' || CAST(year(l_shipdate) AS VARCHAR) || '/' || n_name || '.xlsx' AS source_file,
     CASE l_returnflag WHEN 'A' THEN 'p1' WHEN 'N' THEN 'r1' ELSE 'r2' END AS exhibit_type,
     c_mktsegment AS appropriation_code, p_type AS budget_activity_title, p_brand AS account, p_name AS line_item_title,
-    lpad(CAST(p_partkey AS VARCHAR), 7, '0') || 'A' AS pe_number, CAST(l_linenumber AS VARCHAR) AS line_item,
+    lpad(CAST(l_partkey AS VARCHAR), 7, '0') || 'A' AS pe_number, CAST(l_linenumber AS VARCHAR) AS line_item,
     CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_quantity AS DECIMAL(18,2)) AS quantity, l_linestatus AS amount_type
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey)"""

@@ -15,13 +15,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _named(sql: str | None) -> list[str] | None:
+    return [c for c in COLUMNS if re.search(rf"\b{c}\b", sql)] if sql else None
+
+
 def on_facts(name: str, sql: str | None = None, columns: list[str] | None = None):
     """Register a query of the fact view; its SQL continues after `WITH facts AS (...)`.
 
-    columns: those it uses, so that only their tables are joined; by default those that its SQL names.
+    columns: those it uses, so that only their tables are joined; by default those that its SQL names. The view has
+    the same rows whatever its columns are.
     """
-    if columns is None and sql:
-        columns = [c for c in COLUMNS if re.search(rf"\b{c}\b", sql)]
+    columns = columns or _named(sql)
 
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(facts(spark, sf_dir, columns))
@@ -42,12 +46,13 @@ def on_table(name: str, table: str, sql: str | None = None):
     return add
 
 
-def on_tables(name: str, tables: str, sql: str | None = None):
-    """Register a query of several tables (`facts` is the fact view), passed in this order."""
+def on_tables(name: str, tables: str, sql: str | None = None, columns: list[str] | None = None):
+    """Register a query of several tables (`facts` is the fact view with these columns), passed in this order."""
+    columns = columns or _named(sql)
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*[facts(spark, sf_dir) if t == "facts" else read(spark, sf_dir, t) for t in tables.split()])
+            return f(*[facts(spark, sf_dir, columns) if t == "facts" else read(spark, sf_dir, t) for t in tables.split()])
 
         QUERIES[name] = run
         if sql:

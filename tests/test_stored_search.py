@@ -109,7 +109,7 @@ def test_substrings_by_trigrams(spark, part):
     out = substring_index.rows_with(spark, folder, "id", "text", part)
     assert {r["id"] for r in out.collect()} == {k for k, t in rows.items() if t is not None and part.lower() in t.lower()}
     if part == "éÜ r":
-        assert len(out.inputFiles()) <= 1
+        assert len([f for f in out.inputFiles() if "/rows/" in f]) == 1
 
 
 def test_typed_search_reaches_the_scan(spark):

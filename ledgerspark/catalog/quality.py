@@ -18,6 +18,7 @@ from ledgerspark.operators.searches import query_terms
 from ledgerspark.plans.facts import read
 from ledgerspark.plans.stored import shared_folder
 from ledgerspark.registry import ORACLES, QUERIES, YEARS, on_facts, on_table, on_tables
+from ledgerspark.streaming import store
 
 # checks
 
@@ -305,10 +306,14 @@ def _(df):
     return rows.select("p_partkey", P.filled_organization(F.when(k == 0, F.col("p_name")).otherwise(" "), F.col("path"), [("us_army", "Army")]).alias("organization"))
 
 
-@on_table("rp17_upserted", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_nationkey END AS c_nationkey FROM customer")
+@on_table("rp17_upserted", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_nationkey END AS c_nationkey, c_custkey % 10 = 0 AS fresh FROM customer")
 def _(df):
-    rows = df.select("c_custkey", "c_nationkey")
-    return R.upsert(rows, rows.where("c_custkey % 10 = 0").withColumn("c_nationkey", F.lit(0)), ["c_custkey"])
+    """Two batches into a store, the second one twice."""
+    folder, rows = shared_folder(df.sparkSession, "store"), df.select("c_custkey", "c_nationkey", F.lit(1).alias("at"))
+    fresh = rows.where("c_custkey % 10 = 0").withColumn("c_nationkey", F.lit(0).cast(df.schema["c_nationkey"].dataType)).withColumn("at", F.lit(2))
+    for batch, part in ((0, rows), (1, fresh), (1, fresh.withColumn("at", F.lit(3)))):
+        store.upsert(df.sparkSession, folder, "customer", part, ["c_custkey"], "at", batch)
+    return store.read_store(df.sparkSession, folder, "customer").select("c_custkey", "c_nationkey", (F.col("at") == 2).alias("fresh"))
 
 
 @on_facts("rc01_against_the_total", """, p AS (SELECT exhibit_type, fiscal_year, sum(amount) AS x FROM facts GROUP BY 1, 2), t AS (SELECT exhibit_type, fiscal_year, sum(amount) AS y
@@ -668,20 +673,24 @@ def _(docs):
     return changed_files(before, at(F.lit(0.0))).select(F.col("path").cast("long").alias("doc_id"))
 
 
-@on_tables("in03_removed_files", "documents labels", "SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@on_tables("in03_removed_files", "documents labels", """SELECT 'documents' AS table_name, doc_id FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT 'labels', doc_id FROM labels WHERE doc_id % 3 <> 0""")
 def _(docs, labels):
-    from ledgerspark.streaming.incremental import without_removed
-
-    return without_removed(labels, docs.where("doc_id % 2 = 0"), "doc_id").select("doc_id")
+    """Removed documents take their labels with them, in one commit."""
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "store")
+    store.replace_sources(spark, folder, {"documents": docs.select("doc_id", "source"), "labels": labels}, "doc_id")
+    store.replace_sources(spark, folder, {}, "doc_id", gone=docs.where("doc_id % 3 = 0"))
+    of = lambda name: store.read_store(spark, folder, name).select(F.lit(name).alias("table_name"), "doc_id")
+    return of("documents").unionByName(of("labels"))
 
 
 @on_facts("in08_replaced_sources", " SELECT source_file, CASE WHEN fiscal_year = '2001' THEN -1 ELSE count(*) END AS n FROM facts GROUP BY source_file, fiscal_year", ["source_file", "fiscal_year"])
 def _(df):
-    from ledgerspark.streaming.incremental import replace_by_source
-
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "store")
     counts = df.groupBy("source_file", "fiscal_year").agg(F.count("*").alias("n"))
-    fresh = counts.where("fiscal_year = '2001'").withColumn("n", F.lit(-1).cast("long"))
-    return replace_by_source(counts, fresh).select("source_file", "n")
+    store.replace_sources(spark, folder, {"counts": counts})
+    store.replace_sources(spark, folder, {"counts": counts.where("fiscal_year = '2001'").withColumn("n", F.lit(-1).cast("long"))})
+    return store.read_store(spark, folder, "counts").select("source_file", "n")
 
 
 @on_table("ud04_exploded_lists", "part", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")

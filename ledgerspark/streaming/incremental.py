@@ -23,13 +23,3 @@ def changed_files(manifest: DataFrame, found: DataFrame, tolerance: float = 1.0)
     old = manifest.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
     same = found.join(old, "path").where((F.col("size") == F.col("_size")) & (F.abs(F.col("mtime") - F.col("_mtime")) <= tolerance))
     return found.join(same.select("path"), "path", "left_anti")
-
-
-def without_removed(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
-    """Rows of files that are still there."""
-    return rows.join(files.select(key).distinct(), key, "left_semi")
-
-
-def replace_by_source(old: DataFrame, new: DataFrame, source: str = "source_file") -> DataFrame:
-    """Rows of reprocessed files take the place of all their old rows."""
-    return old.join(new.select(source).distinct(), source, "left_anti").unionByName(new)

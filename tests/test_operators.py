@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions import expressions as X
 from ledgerspark.operators import filters, quality_checks, relations, search
 from ledgerspark.sources.files import read_staged, write_staged
-from ledgerspark.streaming.incremental import changed_files, ingest_new_files, replace_by_source
+from ledgerspark.streaming.incremental import changed_files, ingest_new_files
 
 
 def values(df, c):
@@ -50,11 +50,10 @@ def test_matching_either_and_fill(spark):
     assert sorted(map(tuple, relations.fill_from_unambiguous(rows, ["t"], "pe").select("t", "pe").collect()), key=repr) == [("t", "p"), ("t", "p"), ("u", "p"), ("u", "q"), ("u", None)]
 
 
-def test_upsert_and_replace(spark):
+def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, source_file string")
     new = spark.createDataFrame([(2, "c")], "k int, source_file string")
     assert sorted(relations.upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "c")]
-    assert replace_by_source(old, spark.createDataFrame([(9, "a")], "k int, source_file string")).count() == 2
 
 
 def test_missing_years(spark):

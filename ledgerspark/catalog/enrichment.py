@@ -41,6 +41,18 @@ def _(df):
     return E.narratives(df, ["conv_id", "role"], "turn", "text", ["No such header"]).select("conv_id", "role", "page_start", "page_end", "header", F.md5("text").alias("digest"))
 
 
+@on_table("en02_sections", "conversations", """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, turn AS page_start, turn AS page_end, CAST(NULL AS VARCHAR) AS header, md5(substring(t, 1, 4000)) AS digest FROM t WHERE conv_id % 3 = 0
+UNION ALL SELECT conv_id, turn, turn, 'Mission', md5(trim(t, ' ' || chr(9) || chr(13) || chr(10))) FROM t WHERE conv_id % 3 <> 0 AND length(trim(t, ' ' || chr(9) || chr(13) || chr(10))) >= 20
+UNION ALL SELECT conv_id, turn, turn, 'Plans', md5('the plan of turn ' || turn || ' and after') FROM t WHERE conv_id % 3 <> 0""")
+def _(df):
+    t = F.coalesce("text", F.lit(""))
+    whole = F.concat(F.lit("front\nMission:\n"), t, F.lit("\n Plans \nthe plan of turn "), F.col("turn").cast("string"), F.lit(" and after"))
+    pages = df.select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, t).otherwise(whole).alias("page_text")).withColumn("page_of", F.col("turn"))
+    found = E.narratives(pages, ["conv_id", "page_of"], "turn", "page_text", ["Mission", "Plans"])
+    return found.select("conv_id", "page_start", "page_end", "header", F.md5("text").alias("digest"))
+
+
 @on_tables("en02_fallback_narratives", "facts documents", f""", {_PAGES}, k AS (SELECT DISTINCT pe_number FROM n WHERE text IS NOT NULL)
 SELECT pe_number, line_item_title || ' — ' || budget_activity_title || ' — ' || appropriation_code AS text FROM facts
 WHERE pe_number NOT IN (SELECT pe_number FROM k) QUALIFY row_number() OVER (PARTITION BY pe_number
@@ -124,14 +136,15 @@ def _(df):
     return E.keyword_tags(E.line_item_index(df), "bli_key", F.col("line_item_title"), [("round", r"\bring\b", 0.9)], "keyword")
 
 
-@on_tables("en09_line_item_narratives", "facts documents", """, i AS (SELECT DISTINCT account || ':' || line_item AS bli_key FROM facts WHERE exhibit_type = 'p1' AND account = 'Brand#7') SELECT doc_id, bli_key
-FROM documents JOIN i ON bli_key = 'Brand#7:' || (doc_id % 11) WHERE text IS NOT NULL""")
+@on_tables("en09_line_item_narratives", "facts documents", """, i AS (SELECT DISTINCT account || ':' || line_item AS bli_key FROM facts WHERE exhibit_type = 'p1') SELECT doc_id, bli_key
+FROM documents JOIN i ON bli_key = 'Brand#' || (doc_id % 29) || ':' || (doc_id % 11) WHERE text IS NOT NULL AND doc_id % 13 <> 0""", ["account", "line_item", "exhibit_type"])
 def _(df, docs):
-    known = df.where("exhibit_type = 'p1' AND account = 'Brand#7'").select(E.line_item_key(F.col("account"), F.col("line_item")).alias("bli_key")).distinct()
-    page = docs.where("text IS NOT NULL").select("doc_id", F.concat(F.lit("P-1 Line Item "), F.lit("Brand#7 / "), (F.col("doc_id") % 11).cast("string"), F.lit("\n"), "text").alias("t"))
-    head = F.substring("t", 1, E.HEAD)
-    key = F.concat(F.regexp_extract(head, r"Line Item (\S+) / ([0-9]+)", 1), F.lit(":"), F.regexp_extract(head, r"Line Item (\S+) / ([0-9]+)", 2))
-    return page.select("doc_id", key.alias("bli_key")).join(known, "bli_key", "left_semi")
+    """A page's head names a line item; every thirteenth names it too late."""
+    items = df.where("exhibit_type = 'p1'").select(E.line_item_key(F.col("account"), F.col("line_item")).alias("bli_key"))
+    header = F.concat(F.lit("P-1 Line Item Brand#"), (F.col("doc_id") % 29).cast("string"), F.lit(" / "), (F.col("doc_id") % 11).cast("string"), F.lit("\n"))
+    page = F.when(F.col("doc_id") % 13 == 0, F.concat(F.repeat(F.lit("- "), E.HEAD // 2), header)).otherwise(F.concat(header, "text"))
+    found = E.line_item_narratives(docs.where("text IS NOT NULL").select("doc_id", page.alias("page")), "page", r"Line Item (\S+) / ([0-9]+)", items)
+    return found.select("doc_id", "bli_key")
 
 
 _BA = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ACTIVITIES.items())
@@ -186,12 +199,28 @@ def _(df):
     return E.wide_costs(rows, ["p_partkey", "code"], ["1998", "1999", "2000"])
 
 
-@on_table("en14_project_blocks", "conversations", """WITH m AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c
-FROM conversations), r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
-SELECT conv_id, role, CAST(min(run) AS BIGINT) AS run FROM r GROUP BY 1, 2""")
+#: Turns as pages: one goes on with the page before, one has a head of its own before the cut, one names two
+#: projects, one none.
+_EXHIBIT = "'Exhibit R-2A x' || chr(10) || 'Project (Number/Name)' || chr(10)"
+
+
+@on_table("en14_project_blocks", "conversations", f"""WITH k AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS k, coalesce(text, '') AS t FROM conversations),
+p AS (SELECT conv_id, turn, unnest(CASE k WHEN 0 THEN [t] WHEN 1 THEN ['head ' || turn || chr(10), {_EXHIBIT} || 'A' || turn // 3 || '0 / Name ' || turn || chr(10) || t]
+WHEN 2 THEN [{_EXHIBIT} || 'A' || turn // 3 || '0 / Name ' || turn || chr(10) || t || chr(10), {_EXHIBIT} || 'B7 / Other'] ELSE ['Exhibit R-2A without'] END) AS part,
+unnest(CASE k WHEN 1 THEN [0, 1] WHEN 2 THEN [1, 2] ELSE [0] END) AS nth, k FROM k),
+n AS (SELECT *, k = 3 OR nth > 0 AS m, CASE WHEN nth > 0 AND NOT (k = 2 AND nth = 2) THEN 'A' || turn // 3 || '0' WHEN nth = 2 THEN 'B7' END AS num FROM p),
+l AS (SELECT *, lag(coalesce(num, '-' || turn)) OVER (PARTITION BY conv_id ORDER BY turn, nth) AS prev FROM n WHERE m),
+s AS (SELECT n.*, CASE WHEN n.m AND (n.num IS NULL OR l.prev IS NULL OR l.prev <> n.num) THEN 1 ELSE 0 END AS b FROM n LEFT JOIN l USING (conv_id, turn, nth)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY turn, nth) AS run FROM s),
+g AS (SELECT conv_id, run, min_by(num, (turn, nth)) AS num, min_by(turn, (turn, nth)) AS first_page, count(*) AS n_parts, first(nth ORDER BY turn, nth) AS fn, string_agg(trim(part, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn, nth) AS text, bool_and(num IS NULL) AS none FROM r WHERE run > 0 AND (part <> '') GROUP BY 1, 2)
+SELECT conv_id, num AS number, CASE WHEN num = 'B7' THEN 'Other' ELSE 'Name ' || first_page END AS title, first_page, CAST(n_parts AS INTEGER) AS n_parts, md5(text) AS digest FROM g WHERE NOT none
+QUALIFY row_number() OVER (PARTITION BY conv_id, num ORDER BY run) = 1""")
 def _(df):
-    blocks = R.runs(df.select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
-    return blocks.groupBy("conv_id", "role").agg(F.min("run").alias("run"))  # of blocks of one project the first counts
+    k, t, turn = (F.col("conv_id") + F.col("turn")) % 4, F.coalesce("text", F.lit("")), F.col("turn").cast("string")
+    exhibit = lambda named: F.concat(F.lit("Exhibit R-2A x\nProject (Number/Name)\n"), named)
+    own = exhibit(F.concat(F.lit("A"), F.expr("CAST(turn DIV 3 AS STRING)"), F.lit("0 / Name "), turn, F.lit("\n"), t))
+    text = F.when(k == 0, t).when(k == 1, F.concat(F.lit("head "), turn, F.lit("\n"), own)).when(k == 2, F.concat(own, F.lit("\n"), exhibit(F.lit("B7 / Other")))).otherwise("Exhibit R-2A without")
+    return E.project_texts(df.select("conv_id", "turn", text.alias("page_text")), ["conv_id"], "turn", "page_text", 3).select("conv_id", "number", "title", "first_page", "n_parts", F.md5("text").alias("digest"))
 
 
 @on_table("en15_missions", "conversations", """SELECT conv_id, md5(string_agg(substring(text, 1, 50), chr(10) ORDER BY turn)) AS digest FROM conversations

@@ -18,6 +18,7 @@ from ledgerspark.operators.searches import query_terms
 from ledgerspark.plans.facts import read
 from ledgerspark.plans.stored import shared_folder
 from ledgerspark.registry import ORACLES, QUERIES, YEARS, on_facts, on_table, on_tables
+from ledgerspark.sources import files
 from ledgerspark.streaming import store
 
 # checks
@@ -291,11 +292,11 @@ def _(df):
     return df.select("p_partkey", P.plausible_organization(org, F.concat(F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("A"))).alias("organization"))
 
 
-@on_tables("rp15_deduplicated_and_counted", "lineitem", """SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_kept, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_dropped
-FROM lineitem""")
+@on_facts("rp15_deduplicated_and_counted", f""", k AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(Q.LINE_KEY)} ORDER BY CASE WHEN source_file LIKE '%FY' || fiscal_year || '%' THEN 0 ELSE 1 END, source_file DESC, order_key, line_item, facts.amount) AS r FROM facts)
+SELECT fiscal_year, exhibit_type, count(*) AS n_rows, count(*) FILTER (r = 1) AS n_kept, count(*) FILTER (r > 1) AS n_dropped, CAST(sum(amount) FILTER (r = 1) AS DOUBLE) AS kept_amount FROM k GROUP BY 1, 2""", [*Q.LINE_KEY, "source_file", "order_key", "line_item", "amount"])
 def _(df):
-    groups = df.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
-    return groups.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_kept"), (F.sum("n") - F.count("*")).alias("n_dropped"))
+    kept = Q.one_row_a_line(df)
+    return P.counts_before_and_after(df, kept, ["fiscal_year", "exhibit_type"], "amount")
 
 
 @on_table("rp16_fixed_rows", "part", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Army' ELSE 'Unspecified' END AS organization FROM part WHERE p_partkey % 5 <> 0")
@@ -617,15 +618,43 @@ def _(df):
 # files and manifests
 
 
-@on_table("sc17_first_source_wins", "pages", "SELECT lower(regexp_extract(url, '/([^/]*)$', 1)) AS name, min(page_id) AS page_id FROM pages GROUP BY 1")
+_SITE = "regexp_extract(url, 'example[.]([a-z]+)', 1)"
+
+
+@on_table("sc14_pending_entries", "pages", "SELECT page_id FROM pages WHERE page_id % 3 = 0 OR page_id < 20")
+def _(df):
+    manifest = df.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "failed").otherwise("ok").alias("status"), F.col("page_id").alias("at"))
+    return files.pending(manifest, F.lit(20)).select("page_id")
+
+
+@on_table("sc15_manifest_summary", "pages", f"""SELECT {_SITE} AS source, page_id % 4 + 2020 AS year, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'size' WHEN page_id % 11 = 0 THEN 'digest' ELSE 'ok' END AS state, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes
+FROM pages GROUP BY 1, 2, 3""")
+def _(df):
+    """A manifest of all pages against what is found: some are missing, some of another size or content."""
+    k, digest = F.col("page_id"), F.sha2("html", 256)
+    manifest = df.select("page_id", k.cast("string").alias("url"), F.regexp_extract("url", "example[.]([a-z]+)", 1).alias("source"), (k % 4 + 2020).alias("year"), F.octet_length("html").alias("size"), digest.alias("digest"))
+    found = df.where(k % 5 != 0).select(k.cast("string").alias("url"), F.when(k % 7 == 0, -1).otherwise(F.octet_length("html")).alias("size"), F.when(k % 11 == 0, "other").otherwise(digest).alias("digest"))
+    return files.verified(manifest, found).groupBy("source", "year", "state").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@on_table("sc17_first_source_wins", "pages", f"""WITH f AS (SELECT page_id, {_SITE} AS source, page_id % 4 AS year, CASE WHEN page_id % 2 = 0 THEN upper(url) ELSE url END AS file FROM pages),
+n AS (SELECT *, lower(regexp_extract(file, '/([^/]*)$', 1)) AS name, CASE source WHEN 'org' THEN 1 WHEN 'com' THEN 2 ELSE 3 END AS place FROM f)
+SELECT year, name, source, min(page_id) AS page_id FROM (SELECT *, rank() OVER (PARTITION BY year, name ORDER BY place) AS r FROM n WHERE (year, name) NOT IN (SELECT (year, name) FROM n WHERE page_id % 10 = 3)) WHERE r = 1 GROUP BY 1, 2, 3""")
+def _(df):
+    """Files of three sites by year and name, without those that are there: every tenth page's."""
+    url = F.when(F.col("page_id") % 2 == 0, F.upper("url")).otherwise(F.col("url"))
+    found = df.select(F.regexp_extract("url", "example[.]([a-z]+)", 1).alias("source"), (F.col("page_id") % 4).alias("year"), F.regexp_extract(url, "/([^/]*)$", 1).alias("file"), "page_id")
+    return files.first_source_wins(found, ["org", "com"], found.where("page_id % 10 = 3")).select("year", F.lower("file").alias("name"), "source", "page_id")
+
+
+@on_table("so10_dropped_tables", "events", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 50")
 def _(df):
-    files = df.select("page_id", F.regexp_extract("url", r"/([^/]*)$", 1).alias("file"))
-    return files.groupBy(F.lower("file").alias("name")).agg(F.min("page_id").alias("page_id"))
+    return files.beyond_newest(df.select("event_id", "ts"), "event_id", "ts").select("event_id")
 
 
-@on_table("sc15_manifest_summary", "pages", "SELECT regexp_extract(url, '^(https?)', 1) AS scheme, page_id % 3 = 0 AS pending, count(*) AS n FROM pages GROUP BY 1, 2")
+@on_table("hm11_added_columns", "part", "SELECT p_partkey, p_name, CAST(NULL AS DOUBLE) AS amount_fy2027, CAST(NULL AS VARCHAR) AS note FROM part")
 def _(df):
-    return df.groupBy(F.regexp_extract("url", r"^(https?)", 1).alias("scheme"), (F.col("page_id") % 3 == 0).alias("pending")).agg(F.count("*").alias("n"))
+    return files.with_absent(df.select("p_partkey", "p_name"), {"P_NAME": "int", "amount_fy2027": "double", "note": "string"})
 
 
 @on_facts("sc18_exhibit_inventory", " SELECT exhibit_type, count(DISTINCT source_file) AS n_files, count(*) AS n_rows FROM facts GROUP BY 1", ["exhibit_type", "source_file"])
@@ -657,11 +686,14 @@ def _(df):
 SELECT 'conv_' || c.conv_id || '/page_' || turn || '.txt' AS file, md5(coalesce(text, '')) AS digest
 FROM conversations c JOIN r ON c.conv_id = r.conv_id AND turn BETWEEN s AND e""")
 def _(turns):
-    from ledgerspark.sources.files import page_files
+    """Written by file to a shared folder and read back."""
+    from ledgerspark.sources.files import page_files, read_pages, write_pages
 
     ranges = turns.groupBy("conv_id").agg((F.min("turn") + 1).alias("s"), F.max("turn").alias("e"))
-    pages = R.in_ranges(turns.select("conv_id", "turn", "text"), ranges, "conv_id", "turn", "s", "e")
-    return page_files(pages, F.concat(F.lit("conv_"), F.col("conv_id").cast("string")), "turn", "text").select("file", F.md5("text").alias("digest"))
+    pages = R.in_ranges(turns.select("conv_id", "turn", "text"), ranges, "conv_id", "turn", "s", "e", 4)
+    folder = shared_folder(turns.sparkSession, "pages")
+    write_pages(page_files(pages, F.concat(F.lit("conv_"), F.col("conv_id").cast("string")), "turn", "text"), folder)
+    return read_pages(turns.sparkSession, folder).select("file", F.md5("text").alias("digest"))
 
 
 @on_tables("in01_changed_files", "documents", "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")

@@ -117,6 +117,59 @@ def projects(texts: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "number").agg(F.min_by("title", "place").alias("title"), F.min("place").alias("place"))
 
 
+def line_item_narratives(pages: DataFrame, text: str, header: str, items: DataFrame) -> DataFrame:
+    """Pages with bli_key: the account and line item that a header (a pattern with both) in the page's head names, where
+    items (bli_key) have it."""
+    head = F.substring(text, 1, HEAD)
+    account, item = F.regexp_extract(head, header, 1), F.regexp_extract(head, header, 2)
+    named = pages.withColumn("bli_key", F.when(account != "", line_item_key(account, item)))
+    return named.join(items.select("bli_key").distinct(), "bli_key", "left_semi")
+
+
+#: Where a page of a project's exhibit begins, and how it names its project.
+EXHIBIT_PAGE = "(?i)(?=Exhibit R-2A)"
+PROJECT_HEADER = r"(?i)Project\s*(?:\(Number/Name\))?\s*:?\s*([A-Z0-9]{2,8})\s*[/:-]\s*([^\n]+)"
+#: Pages to a block: what a task orders at once.
+BLOCK_PAGES = 1000
+
+
+def project_texts(pages: DataFrame, keys: list[str], page: str, text: str, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """(keys, number, title, first_page, n_parts, text): the first text of each project of a key.
+
+    Pages of a key, in order, are one text. It is cut where an exhibit page begins; what stands before the
+    first cut of a page goes on with the page before, and before the first cut of a key it is left out.
+    Parts in a row with the same project number are one project; a part without a number stands alone
+    and names none. A project may go over any number of pages, and a key over any number of blocks of
+    pages: each block reports its first and last number and how many projects begin in it, reports are
+    added up in order, and each block starts from what came before it. `page` is a number, one row each.
+    """
+    from pyspark.sql.window import Window
+
+    parts = pages.where(F.col(text).isNotNull()).select(*keys, F.col(page).alias("_page"), F.posexplode(F.split(text, EXHIBIT_PAGE)).alias("_nth", "_part")).where("_part <> ''")
+    found = F.regexp_extract("_part", PROJECT_HEADER, 1)
+    marker = F.rlike("_part", F.lit("(?i)^Exhibit R-2A"))
+    parts = parts.withColumn("_block", F.floor(F.col("_page") / block_pages)).withColumn("_m", F.when(marker, F.struct(F.when(found != "", found).alias("number"))))
+    within = Window.partitionBy(*keys, "_block").orderBy("_page", "_nth")
+    before = F.last("_m", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    same = lambda a, b: F.coalesce(a["number"] == b["number"], F.lit(False))  # noqa: E731  a missing number equals none
+    parts = parts.withColumn("_before", before).withColumn("_first", F.col("_m").isNotNull() & F.col("_before").isNull())
+    begins = (F.col("_m").isNotNull() & F.col("_before").isNotNull() & ~same(F.col("_m"), F.col("_before"))).cast("long")
+    parts = parts.withColumn("_begun", F.sum(begins).over(within)).withColumn("_after", F.max(F.col("_first").cast("int")).over(within))
+    reports = parts.groupBy(*keys, "_block").agg(F.max(F.when(F.col("_first"), F.struct("_m"))).alias("_f"), F.max_by("_m", F.when(F.col("_m").isNotNull(), F.struct("_page", "_nth"))).alias("_l"), F.max("_begun").alias("_n"))
+    across = Window.partitionBy(*keys).orderBy("_block")  # a row a block
+    carried = F.last("_l", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    reports = reports.withColumn("_c", carried).withColumn("_opens", (F.col("_f").isNotNull() & (F.col("_c").isNull() | ~same(F.col("_f")["_m"], F.col("_c")))).cast("long"))
+    reports = reports.withColumn("_offset", F.coalesce(F.sum(F.col("_n") + F.col("_opens")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    offsets = reports.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_opens", "_offset")
+    numbered = parts.join(offsets, [*on, F.col("_block") == F.col("_b")]).withColumn("_run", F.col("_offset") + F.col("_begun") + F.col("_after") * F.col("_opens")).where("_run > 0")
+    piece = F.struct("_page", "_nth", "_part")
+    runs = numbered.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(piece)).alias("_p"))
+    runs = runs.select(*keys, "_run", F.regexp_extract(F.col("_p")[0]["_part"], PROJECT_HEADER, 1).alias("number"), F.trim(F.regexp_extract(F.col("_p")[0]["_part"], PROJECT_HEADER, 2)).alias("title"), F.col("_p")[0]["_page"].alias("first_page"), F.size("_p").alias("n_parts"), F.array_join(F.transform("_p", lambda x: F.btrim(x["_part"], F.lit(" \n"))), "\n\n").alias("text"))
+    firsts = runs.where("number <> ''").groupBy(*keys, "number").agg(F.min("_run").alias("_run"))
+    return runs.join(firsts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("number").alias("_num"), F.col("_run").alias("_r")), [*on, F.col("number") == F.col("_num"), F.col("_run") == F.col("_r")], "left_semi").drop("_run")
+
+
 def page_header(text: Column) -> Column:
     """struct(activity, appropriation) that the head of a page names."""
     head = F.substring(text, 1, 800)

@@ -21,10 +21,15 @@ def having_all(df: DataFrame, key: str, column: str, values: list[str]) -> DataF
     return df.where(F.col(column).isin(values)).groupBy(key).agg(F.countDistinct(column).alias("n")).where(F.col("n") == len(set(values))).select(key)
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Points inside ranges of the same key: an equi join with the bounds as its residual condition."""
-    r = ranges.withColumnRenamed(key, "_key")
-    return points.join(r, (F.col(key) == F.col("_key")) & F.col(at).between(F.col(start), F.col(end))).drop("_key")
+def in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, first: str, last: str, size: int = 256) -> DataFrame:
+    """Points within a range of their key, both ends included.
+
+    A range has a row for each stretch of `size` numbers that it touches and meets points by key and
+    stretch, so a key with very many points or a range over all of them is dealt over many tasks.
+    """
+    stretch = lambda c: F.floor(F.col(c) / size)
+    touched = ranges.where(F.col(first) <= F.col(last)).withColumn("_stretch", F.explode(F.sequence(stretch(first), stretch(last))))
+    return points.withColumn("_stretch", stretch(at)).join(touched, [key, "_stretch"]).where(F.col(at).between(F.col(first), F.col(last))).drop("_stretch")
 
 
 def matching_either(left: DataFrame, right: DataFrame, key: str, first: str, second: str) -> DataFrame:

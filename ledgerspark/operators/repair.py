@@ -75,3 +75,11 @@ def raw_submissions(wide: DataFrame, keys: list[str]) -> DataFrame:
     named = [c for c in wide.columns if T.amount_column(c)]
     cells = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[F.col(c).cast("double") for c in named])), lambda _, v: F.coalesce(v, F.lit(0.0)) != 0)
     return wide.select(*keys, F.to_json(cells).alias("raw_amounts"))
+
+
+def counts_before_and_after(rows: DataFrame, kept: DataFrame, keys: list[str], amount: str) -> DataFrame:
+    """Per key how many rows there were, stay and went, and the amount that stays."""
+    before = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    after = kept.groupBy(*keys).agg(F.count("*").alias("n_kept"), F.sum(amount).cast("double").alias("kept_amount"))
+    both = before.join(after, keys, "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+    return both.select(*keys, "n_rows", "n_kept", (F.col("n_rows") - F.col("n_kept")).alias("n_dropped"), "kept_amount")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerspark.functions.expressions import change_percent
+from ledgerspark.operators.relations import first_by
 
 
 def read_staged(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +66,13 @@ def page_files(pages: DataFrame, folder: Column, page: str, text: str) -> DataFr
 
 
 def write_pages(files: DataFrame, target: str) -> None:
-    """One folder a file: page texts by name, written in parallel."""
-    files.write.partitionBy("file").mode("overwrite").text(target)
+    """Page texts (file, text) by file, written in parallel: a folder a file, whose name the reader gives back."""
+    files.repartition("file").write.partitionBy("file").text(target, lineSep="\x1e")
+
+
+def read_pages(spark: SparkSession, target: str) -> DataFrame:
+    """(file, text) as they were written."""
+    return spark.read.text(target, wholetext=True).select("file", F.regexp_replace("value", "\x1e$", "").alias("text"))
 
 
 def report_text(checks: DataFrame) -> str:
@@ -94,6 +100,40 @@ def described(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def pending(manifest: DataFrame, since: Column) -> DataFrame:
+    """Entries (url, status, at) that are still to be fetched: not ok, or ok before `since`."""
+    return manifest.where((F.col("status") != "ok") | F.col("at").isNull() | (F.col("at") < since))
+
+
+def verified(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (url, size, digest) with state: ok, missing, or what of the file found (url, size, digest) differs."""
+    there = found.select(F.col("url").alias("_url"), F.col("size").alias("_size"), F.col("digest").alias("_digest"))
+    joined = manifest.join(there, F.col("url") == F.col("_url"), "left")
+    state = F.when(F.col("_url").isNull(), "missing").when(F.col("size") != F.col("_size"), "size").when(F.col("digest") != F.col("_digest"), "digest").otherwise("ok")
+    return joined.withColumn("state", state).drop("_url", "_size", "_digest")
+
+
+def first_source_wins(files: DataFrame, order: list[str], there: DataFrame) -> DataFrame:
+    """Of files (source, year, file, ...) with the same year and name, whatever the case, the one of the source that comes
+    first in order, of equal ones the least name; none that is there already (year, file)."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("source")), F.lit(0))
+    named = files.withColumn("_name", F.lower("file")).withColumn("_place", F.when(place == 0, len(order) + 1).otherwise(place))
+    new = named.join(there.select("year", F.lower("file").alias("_name")).distinct(), ["year", "_name"], "left_anti")
+    return first_by(new, ["year", "_name"], [F.asc("_place"), F.asc("file")]).select(*files.columns)
+
+
+def with_absent(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The columns of df and those wanted (name, type) that it lacks, as nulls; names are told apart without regard to case."""
+    have = {c.lower() for c in df.columns}
+    return df.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in wanted.items() if c.lower() not in have])
+
+
+def beyond_newest(entries: DataFrame, key: str, made: str, most: int = 50) -> DataFrame:
+    """Entries that are not among the newest, of equal times the larger keys: what a cache of so many drops."""
+    newest = entries.orderBy(F.desc(made), F.desc(key)).limit(most).select(key)
+    return entries.join(newest, key, "left_anti")
+
+
 def select_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Paths below a folder, without `_display` twins of a file that is there and without `*a.xlsx` alternates."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

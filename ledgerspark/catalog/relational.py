@@ -10,9 +10,10 @@ from ledgerspark.functions.expressions import change_percent, contains_any
 from ledgerspark.operators import filters as L
 from ledgerspark.operators import relations as R
 from ledgerspark.operators import searches as Z
+from ledgerspark.operators import sketches as K
 from ledgerspark.operators import summaries as S
 from ledgerspark.plans.sorted_copy import read_page, write_sorted
-from ledgerspark.plans.stored import shared_folder
+from ledgerspark.plans.stored import shared_folder, stored
 from ledgerspark.registry import LATEST, PREVIOUS, YEARS, on_facts, on_table, on_tables, ysum
 
 # filters
@@ -319,6 +320,25 @@ def _(df):
     return _typed(df).groupBy("budget_type").agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total"))
 
 
+@on_facts("ag05_sketched_counts", " SELECT count(*) AS n_rows, count(DISTINCT pe_number) AS programs, count(DISTINCT order_key) AS orders, true AS near FROM facts", ["fiscal_year", "pe_number", "order_key"])
+def _(df):
+    """Years' stored sketches put together: within five percent of the exact counts."""
+    kept = stored(K.sketched(df, ["fiscal_year"], ["pe_number", "order_key"], []), "sketches")
+    rough = K.distinct_counts(kept, [], ["pe_number", "order_key"]).select("n_rows", F.col("pe_number").alias("_p"), F.col("order_key").alias("_o"))
+    both = rough.join(df.agg(F.countDistinct("pe_number").alias("programs"), F.countDistinct("order_key").alias("orders")))  # a row each
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    return both.select("n_rows", "programs", "orders", (off("_p", "programs") & off("_o", "orders")).alias("near"))
+
+
+@on_facts("ag11_sketched_medians", " SELECT exhibit_type, count(*) AS n, true AS near FROM facts WHERE amount IS NOT NULL GROUP BY 1", ["fiscal_year", "exhibit_type", "amount"])
+def _(df):
+    """Exhibits' medians from years' sketches: the share of amounts up to each lies within 0.04 of a half."""
+    kept = stored(K.sketched(df, ["fiscal_year", "exhibit_type"], [], ["amount"]), "sketches")
+    rough = K.quantiles(kept, ["exhibit_type"], "amount", [0.5])
+    shares = df.where("amount IS NOT NULL").join(rough, "exhibit_type").groupBy("exhibit_type").agg(F.count("*").alias("n"), F.avg((F.col("amount") <= F.col("q50")).cast("double")).alias("_share"))
+    return shares.select("exhibit_type", "n", F.col("_share").between(0.46, 0.54).alias("near"))
+
+
 @on_facts("ag08_packed_sections", """, y AS (SELECT fiscal_year, count(*) AS n FROM facts GROUP BY 1), e AS (SELECT exhibit_type, count(*) AS n FROM facts GROUP BY 1)
 SELECT 'years' AS section, '[' || string_agg('{"value":"' || fiscal_year || '","n":' || n || '}', ',' ORDER BY fiscal_year) || ']' AS body FROM y
 UNION ALL SELECT 'exhibits', '[' || string_agg('{"value":"' || exhibit_type || '","n":' || n || '}', ',' ORDER BY exhibit_type) || ']' FROM e""", ["fiscal_year", "exhibit_type"])

@@ -184,3 +184,56 @@ def test_fact_rows_do_not_depend_on_the_columns(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     for columns in (None, ["amount"], ["organization_name"], ["account", "office"], COLUMNS):
         assert facts(spark, str(tmp_path), columns).count() == n + 2
+
+
+def test_sketches_of_parts_are_near_the_whole(spark):
+    from ledgerspark.operators import sketches
+
+    df = spark.range(100_000).select((F.col("id") % 9).alias("part"), (F.col("id") * 13 % 20_011).alias("v"), F.col("id").cast("double").alias("a"))
+    kept = sketches.sketched(df, ["part"], ["v"], ["a"])
+    one = sketches.distinct_counts(kept, [], ["v"]).first()
+    assert one["n_rows"] == 100_000 and abs(one["v"] - 20_011) < 0.05 * 20_011
+    q = sketches.quantiles(kept, [], "a", [0.1, 0.5, 0.99]).first()
+    assert all(abs(q[f"q{int(100 * x)}"] / 100_000 - x) < 0.03 for x in (0.1, 0.5, 0.99))
+    with_null = sketches.sketched(df.where("part = 1").withColumn("v", F.lit(None).cast("long")), ["part"], ["v"], ["a"])
+    assert sketches.distinct_counts(with_null, ["part"], ["v"]).first()["v"] == 0
+
+
+def plain_projects(pages):
+    """Pages (key, page, text) one after the other: the first text of each number of a key."""
+    import re
+
+    out = {}
+    for key in {k for k, _, _ in pages}:
+        runs, last = [], None
+        for _, page, text in sorted(p for p in pages if p[0] == key and p[2] is not None):
+            for part in re.split("(?=Exhibit R-2A)", text):
+                if not part:
+                    continue
+                found = re.search(r"Project \(Number/Name\)\s*([A-Z0-9]{2,8})\s*/\s*([^\n]+)", part)
+                number = found and found[1]
+                if part.startswith("Exhibit R-2A") and not (last is not None and number and number == last[0]):
+                    runs.append((number, page, []))
+                if part.startswith("Exhibit R-2A"):
+                    last = (number,)
+                if runs:
+                    runs[-1][2].append(part.strip(" \n"))
+        for number, page, parts in runs:
+            if number and (key, number) not in out:
+                out[key, number] = (page, len(parts), "\n\n".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_projects_over_pages_and_blocks(spark, block):
+    import random
+
+    from ledgerspark.operators.enrichment import project_texts
+
+    rng, pages = random.Random(block), []
+    for key in ("a", "b", None):
+        for page in range(40):
+            text = "".join(rng.choice(["tail ", "\n", f"Exhibit R-2A\nProject (Number/Name)\nP{rng.randrange(3)}0 / Name\nx ", "Exhibit R-2A none "]) for _ in range(rng.randrange(4)))
+            pages.append((key, page, rng.choice([text, text, None])))
+    out = project_texts(spark.createDataFrame(pages, "pe string, page long, text string").repartition(3), ["pe"], "page", "text", block).collect()
+    assert {(r["pe"], r["number"]): (r["first_page"], r["n_parts"], r["text"]) for r in out} == plain_projects([p for p in pages if p[2]])

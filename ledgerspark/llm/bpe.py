@@ -8,7 +8,8 @@ is compatible: no merge across their border would have happened before the merge
 Tokens that do not encode to themselves are left out of the proposals.
 
 Defined results: a null or empty text has no tokens and decodes to the empty string; a null id stays
-null; repeated rows are encoded each; further columns are carried along only where asked for.
+null; repeated rows are encoded each; an empty table gives no rows; texts of any length are encoded
+whole, and words of any length too; further columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Defined results: units that reach the threshold and overlap are one match, the o
 times shared bigrams is largest (so a notice is not taken for the shorter one inside it), then the
 kind in the order above, the first place, the template first in TEMPLATES; n_matches counts these. The
 best match is that of the largest coefficient, the first of equals. A null or empty text has no unit
-and no licence; units of one word have no bigrams and match nothing; repeated rows are scanned each.
+and no licence; units of one word have no bigrams and match nothing; repeated rows are scanned each;
+an empty table gives no rows and a null doc_id stays null; texts of any length are scanned whole, one at
+a time; further columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from ledgerspark.llm.bpe import small_batches
 
 #: Public licence notices, short licence texts and, from license_texts, full ones.
-#: AGPL-3.0 there is the GPL-3.0 with the AGPL's names and section 13; it was not compared with the official text.
+#: Of the AGPL-3.0 and the Creative Commons licences only notices are there, not the full texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),

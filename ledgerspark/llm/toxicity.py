@@ -17,6 +17,7 @@ empty table gives no rows; without labelled rows of both kinds no word scores.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -194,6 +195,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> To
     counts = materialize(_frequencies(sample))
     words, left_out = _log_odds(counts)
     model = ToxicModel(words, left_out=left_out)
+    if left_out:
+        warnings.warn(f"{left_out} words of the labelled sample have no weight: the model keeps {MAX_WORDS}", stacklevel=2)
     release(counts)
     if max(words.values(), default=0.0) <= DRIFT:
         release(sample)

@@ -133,3 +133,18 @@ def test_hot_and_other_lines_are_dropped_alike(spark):
     want = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
     for hot_lines in (0, 3, 1000):
         assert sorted(map(tuple, line_dedup.dedup_lines(docs, hot_lines=hot_lines).collect())) == want
+
+
+def test_samples_of_many_labels_and_of_labels_given_twice(spark, monkeypatch):
+    from ledgerspark.llm import labelled
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    whole = labelled.training_texts(docs, labels, "toxic")
+    assert whole.count() == labels.where(~labelled.held_out(F.col("doc_id"))).count()
+    some = labelled.training_texts(docs, labels, "toxic", 200)
+    assert 120 < some.count() < 300 and {r["y"] for r in some.collect()} == {0, 1}
+    assert labelled.training_texts(docs, labels, "toxic", 2).count() < 15
+    twice = labels.unionByName(labels.where("doc_id < 100").withColumn("toxic", F.lit(1))).unionByName(labels.where("doc_id < 50").withColumn("toxic", F.lit(None).cast("int")))
+    known = {r["text"]: r["y"] for r in labelled.training_texts(docs, twice, "toxic").collect()}
+    assert len(known) == whole.count() and all(y == 1 for t, y in known.items() if int(t.split()[1]) < 100)

@@ -2,6 +2,13 @@
 
 Each stage works on all rows that the one before kept; all but the last return the columns of
 documents. Stages are written as Parquet and read again, so a lost executor costs one stage at most.
+
+Defined results: a null text counts as an empty one; rows without a label are scored like all others;
+rows with equal texts are scored alike, and of their group one stays, that of the least doc_id; rows
+that share a doc_id are told apart by their texts in line dedup, and near duplicates keep all or none
+of them; a row with a null doc_id goes through all stages and is never a near duplicate; texts of any
+length are worked on whole; columns of any other name are carried to the last stage, which returns
+pieces; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -365,6 +365,11 @@ def remembered(path: str, kind: str) -> Recent:
     return _REMEMBERED.setdefault((path, kind), Recent())
 
 
+def forget_words() -> None:
+    """Other operators' tasks give back what this worker remembers of words: some 100 MB when it is full."""
+    _REMEMBERED.clear()
+
+
 def as_bytes(ids: list[int]) -> bytes:
     """Ids as unsigned 32-bit numbers in the machine's order."""
     return array("I", ids).tobytes()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ledgerspark.llm.bpe import small_batches
+from ledgerspark.llm.bpe import forget_words, small_batches
 from ledgerspark.llm.shared import materialize, release
 
 #: Size of the table that counts documents by shingle hash, whatever the corpus: fixed memory.
@@ -196,6 +196,7 @@ def _fingerprints(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, n_shingles, cls, sketch) and, with a bucket, of document counts by bucket."""
 
     def run(batches):
+        forget_words()
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
             sets = shingle_sets(b.column(1), n)
@@ -222,6 +223,7 @@ def _entries(docs: DataFrame, n: int, percent: int, counts: np.ndarray, limit: i
     shared = docs.sparkSession.sparkContext.broadcast((counts, long))  # BUCKETS numbers, and a bounded list
 
     def run(batches):
+        forget_words()
         known: set[int] = set()
         counts, long = shared.value
         for b in batches:
@@ -253,6 +255,7 @@ def _long_lists(docs: DataFrame, rows: int, n: int, percent: int, counts: np.nda
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
+        forget_words()
         for b in batches:
             sets = [s for s in shingle_sets(b.column(0), n) if len(s)]
             if sets:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.bpe import CACHE_WORDS, small_batches
+from ledgerspark.llm.bpe import CACHE_WORDS, forget_words, small_batches
 from ledgerspark.llm.labelled import training_texts
 from ledgerspark.llm.shared import free_name, materialize, release
 
@@ -245,6 +245,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, score: str = "toxic_score
 
     @F.pandas_udf("struct<toxic_score: double, toxic_passages: array<struct<start: int, end: int, score: double, p: double>>>")
     def scored(series: pd.Series) -> pd.DataFrame:
+        forget_words()
         m, known = shared.value, _known
         if len(known) > CACHE_WORDS:
             known.clear()

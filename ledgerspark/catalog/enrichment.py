@@ -113,6 +113,14 @@ def _(df):
     return E.projects(df.select("p_partkey", _project_text().alias("text")), "p_partkey", "text")
 
 
+@on_table("en05_program_level", "part", """SELECT p_partkey, 'AB' || p_partkey AS number, p_name AS title FROM part WHERE p_partkey % 3 <> 0 UNION ALL
+SELECT p_partkey, CAST(p_partkey + 1000 AS VARCHAR), p_type FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, NULL, p_brand FROM part WHERE p_partkey % 3 = 0""")
+def _(df):
+    """Every third part has a text without projects and stands for itself."""
+    found = E.projects(df.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "No project of its own").otherwise(_project_text()).alias("text")), "p_partkey", "text")
+    return E.with_program_level(found, df, "p_partkey", "p_brand").select("p_partkey", "number", "title")
+
+
 @on_table("en06_project_tags", "part", """SELECT p_brand, 'round' AS tag, 'project' AS tag_source, 0.85::DOUBLE AS confidence FROM part GROUP BY 1
 HAVING bool_or(contains(' ' || p_name || ' ', ' ring '))""")
 def _(df):

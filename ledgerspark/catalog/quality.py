@@ -195,6 +195,29 @@ def _(df):
     return counts.join(F.broadcast(whole)).select("fiscal_year", "n", (F.col("n") * 4 < F.col("m")).alias("thin"))
 
 
+_VALIDATED = "fiscal_year organization_name source_file exhibit_type pe_number line_item amount_type amount".split()
+
+
+@on_facts("dq32_validations", f""", v AS (SELECT fiscal_year, CASE WHEN fiscal_year = '1998' AND organization_name <> 'ASIA' THEN NULL ELSE organization_name END AS organization_name, source_file, exhibit_type, pe_number, CASE WHEN line_item = '7' THEN 'seven' ELSE line_item END AS line_item, amount_type, CASE WHEN quantity > 20 THEN NULL ELSE amount END AS amount FROM facts),
+e AS (SELECT source_file, count(*) + CASE WHEN source_file LIKE '%FRANCE%' THEN 1 ELSE 0 END AS n FROM v WHERE source_file NOT LIKE '%CHINA%' GROUP BY 1 UNION ALL SELECT 'absent.xlsx', 3),
+f AS (SELECT source_file, count(*) AS n FROM v GROUP BY 1), o AS (SELECT count(DISTINCT organization_name) AS a FROM v)
+SELECT 'rows' AS "check", exhibit_type AS subject, count(*)::DOUBLE AS value, false AS failed FROM v GROUP BY 2
+UNION ALL SELECT 'unknown_exhibit', exhibit_type, count(*), true FROM v WHERE exhibit_type = 'r2' GROUP BY 2
+UNION ALL SELECT 'duplicate_keys', 'pe_number,fiscal_year,exhibit_type', count(*), count(*) > 0 FROM (SELECT 1 FROM v GROUP BY pe_number, fiscal_year, exhibit_type HAVING count(*) > 1)
+UNION ALL {' UNION ALL '.join(f"SELECT 'null_share', '{c}', round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END), 4), avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) > 0.5 FROM v" for c in _VALIDATED)}
+UNION ALL SELECT 'out_of_range', 'amount', count(*), count(*) > 0 FROM v WHERE abs(amount) > 30000
+UNION ALL SELECT 'row_count', coalesce(f.source_file, e.source_file), coalesce(f.n, 0) - coalesce(e.n, 0), true FROM f FULL JOIN e ON f.source_file = e.source_file WHERE coalesce(f.n, 0) <> coalesce(e.n, 0)
+UNION ALL SELECT 'organizations', fiscal_year, count(DISTINCT organization_name), count(DISTINCT organization_name) < 0.25 * max(a) FROM v, o GROUP BY 2
+UNION ALL SELECT 'not_a_number', 'line_item', count(*), count(*) > 0 FROM v WHERE line_item = 'seven'""", [*_VALIDATED, "quantity"])
+def _(df):
+    """All eight checks over a table with planted faults: missing organizations and amounts, a word for a number, other row counts."""
+    far = (F.col("fiscal_year") == "1998") & (F.col("organization_name") != "ASIA")
+    lines = df.withColumn("organization_name", F.when(~far | far.isNull(), F.col("organization_name"))).withColumn("line_item", F.when(F.col("line_item") == "7", "seven").otherwise(F.col("line_item"))).withColumn("amount", F.when(F.col("quantity") <= 20, F.col("amount"))).select(*_VALIDATED)
+    named = F.contains("source_file", F.lit("FRANCE")).cast("int")
+    expected = lines.where(~F.contains("source_file", F.lit("CHINA"))).groupBy("source_file").agg((F.count("*") + F.max(named)).alias("n_rows")).unionByName(df.sparkSession.createDataFrame([("absent.xlsx", 3)], "source_file string, n_rows long"))
+    return Q.validations(lines, expected, ["p1", "r1"], ["pe_number", "fiscal_year", "exhibit_type"], ["line_item"], 30000)
+
+
 @on_table("dq33_empty_tables", "documents", """SELECT source, count(*) FILTER (contains(text, '|')) AS with_tables, count(*) FILTER (regexp_matches(text, '\\|\\s*\\|')) AS empty_cells
 FROM documents GROUP BY 1""")
 def _(df):
@@ -657,9 +680,12 @@ def _(df):
     return files.with_absent(df.select("p_partkey", "p_name"), {"P_NAME": "int", "amount_fy2027": "double", "note": "string"})
 
 
-@on_facts("sc18_exhibit_inventory", " SELECT exhibit_type, count(DISTINCT source_file) AS n_files, count(*) AS n_rows FROM facts GROUP BY 1", ["exhibit_type", "source_file"])
+@on_facts("sc18_exhibit_inventory", """, h AS (SELECT DISTINCT exhibit_type, source_file, account || '/' || amount_type AS header FROM facts), s AS (SELECT exhibit_type, source_file, string_agg(header, '|' ORDER BY header) AS headers FROM h GROUP BY 1, 2),
+n AS (SELECT exhibit_type, source_file, count(*) AS n FROM facts GROUP BY 1, 2)
+SELECT exhibit_type, md5(headers) AS headers, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_rows, min(source_file) AS first_file FROM s JOIN n USING (exhibit_type, source_file) GROUP BY 1, 2""", ["exhibit_type", "source_file", "account", "amount_type"])
 def _(df):
-    return df.groupBy("exhibit_type").agg(F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_rows"))
+    found = files.inventory(df.select("exhibit_type", "source_file", F.concat_ws("/", "account", "amount_type").alias("header")), "exhibit_type", "source_file", "header")
+    return found.withColumn("headers", F.md5(F.array_join("headers", "|")))
 
 
 @on_table("sc19_header_signatures", "part", """SELECT exhibit, header, min(p_partkey) AS first_seen, count(*) AS n

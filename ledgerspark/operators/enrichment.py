@@ -117,6 +117,12 @@ def projects(texts: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "number").agg(F.min_by("title", "place").alias("title"), F.min("place").alias("place"))
 
 
+def with_program_level(found: DataFrame, programs: DataFrame, key: str, title: str) -> DataFrame:
+    """The projects and, for programs without one, the program itself as a project without a number."""
+    missing = programs.join(found.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.max(title).alias("title"))
+    return found.unionByName(missing.select(key, F.lit(None).cast("string").alias("number"), "title", F.lit(None).cast("int").alias("place")))
+
+
 def line_item_narratives(pages: DataFrame, text: str, header: str, items: DataFrame) -> DataFrame:
     """Pages with bli_key: the account and line item that a header (a pattern with both) in the page's head names, where
     items (bli_key) have it."""

@@ -131,3 +131,33 @@ class Checks:
         """(name, severity, n, failed), a row a check."""
         one = lambda name, severity, rows: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), "n", (F.col("n") > 0).alias("failed"))
         return reduce(DataFrame.unionByName, [one(n, s, r) for n, (s, r) in self.checks.items() if n not in skip])
+
+
+def validations(lines: DataFrame, expected: DataFrame, known: list[str], key: list[str], numeric: list[str], most: float = 1e9, null_share: float = 0.5, org_share: float = 0.25) -> DataFrame:
+    """(check, subject, value, failed): the eight checks of a fact table, each a row a subject.
+
+    rows of each exhibit; keys with several rows; shares of nulls; exhibits that are not known; amounts
+    beyond a range; files whose rows are not as many as expected (source_file, n_rows) says, missing ones
+    and unexpected ones too; years with few of all organizations; text columns that should be numbers.
+    """
+    row = lambda check, subject, value, failed: [F.lit(check).alias("check"), subject.cast("string").alias("subject"), value.cast("double").alias("value"), failed.alias("failed")]
+    n = F.col("n")
+    counted = lambda c: lines.groupBy(c).agg(F.count("*").alias("n"))
+    exhibits = counted("exhibit_type")
+    out = [exhibits.select(*row("rows", F.col("exhibit_type"), n, n == 0))]
+    out.append(exhibits.where(~F.coalesce(F.col("exhibit_type").isin(known), F.lit(False))).select(*row("unknown_exhibit", F.col("exhibit_type"), n, F.lit(True))))
+    repeated = lines.groupBy(*key).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    out.append(repeated.select(*row("duplicate_keys", F.lit(",".join(key)), n, n > 0)))
+    nulls = lines.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in lines.columns]).unpivot([], lines.columns, "column_name", "n")
+    out.append(nulls.select(*row("null_share", F.col("column_name"), F.round("n", 4), n > null_share)))
+    out.append(lines.agg(F.count_if(F.abs("amount") > most).alias("n")).select(*row("out_of_range", F.lit("amount"), n, n > 0)))
+    files = counted("source_file").withColumnRenamed("source_file", "_file")
+    both = files.join(expected, files["_file"].eqNullSafe(expected["source_file"]), "full")
+    off = F.coalesce(n, F.lit(0)) - F.coalesce("n_rows", F.lit(0))
+    out.append(both.where(off != 0).select(*row("row_count", F.coalesce("_file", "source_file"), off, F.lit(True))))
+    orgs = lines.agg(F.countDistinct("organization_name").alias("_all"))
+    years = lines.groupBy("fiscal_year").agg(F.countDistinct("organization_name").alias("n")).join(orgs)  # one row
+    out.append(years.select(*row("organizations", F.col("fiscal_year"), n, n < org_share * F.col("_all"))))
+    bad = lines.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in numeric]).unpivot([], numeric, "column_name", "n")
+    out.append(bad.select(*row("not_a_number", F.col("column_name"), n, n > 0)))
+    return reduce(DataFrame.unionByName, out)

@@ -134,6 +134,13 @@ def beyond_newest(entries: DataFrame, key: str, made: str, most: int = 50) -> Da
     return entries.join(newest, key, "left_anti")
 
 
+def inventory(rows: DataFrame, exhibit: str, file: str, header: str) -> DataFrame:
+    """(exhibit, headers, n_files, n_rows, first_file): which files of an exhibit have the same headers, from a row a
+    line with its header; headers of a file are few."""
+    per_file = rows.groupBy(exhibit, file).agg(F.array_sort(F.collect_set(header)).alias("headers"), F.count("*").alias("_n"))
+    return per_file.groupBy(exhibit, "headers").agg(F.count("*").alias("n_files"), F.sum("_n").alias("n_rows"), F.min(file).alias("first_file"))
+
+
 def select_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Paths below a folder, without `_display` twins of a file that is there and without `*a.xlsx` alternates."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

@@ -14,9 +14,10 @@ ORGANIZATIONS = {
 }
 # Agencies that go by one name.
 AGENCIES = (
-    "DISA DLA MDA DHA NGB DARPA NSA DIA NRO NGA DTRA DCSA WHS DCMA DFAS DODEA DPAA TJS DSCA DECA OSD DAU DTIC DHRA DLSA DTSA OTE CYBER CMP DEPS "
-    "DEPSDDR DMACT OLDCC CAAF CBDP SDA BTA DEFW DEFR OEA UNDD DPMO DSS IG TMA NDU"
-).split()
+    "DISA", "DLA", "MDA", "DHA", "NGB", "DARPA", "NSA", "DIA", "NRO", "NGA", "DTRA", "DCSA", "WHS", "DCMA", "DFAS", "DODEA", "DPAA", "TJS", "DSCA",
+    "DECA", "OSD", "DAU", "DTIC", "DHRA", "DLSA", "DTSA", "OTE", "CYBER", "CMP", "DEPS", "DEPSDDR", "DMACT", "OLDCC", "CAAF", "CBDP", "SDA", "BTA",
+    "DEFW", "DEFR", "OEA", "UNDD", "DPMO", "DSS", "IG", "TMA", "NDU",
+)
 # Names of the past, where case does not count.
 RENAMED = {"dss": "DCSA", "dhp": "DHA", "tma": "DHA", "dpmo": "DPAA"}
 
@@ -62,8 +63,8 @@ KEYWORD_CODES = [
     ("military personnel", "MILPERS"), ("military construction", "MILCON"), ("mil con", "MILCON"), ("milcon", "MILCON"),
     ("revolving fund", "RFUND"), ("working capital fund", "RFUND"), ("sealift fund", "RFUND"), ("family housing", "FHSG"), ("fam hsg", "FHSG"),
     ("national guard and reserve", "NGRE"), ("chemical agents", "CHEM"), ("chem agents", "CHEM"), ("defense production act", "DPA"),
-    ("environmental restoration", "ER"), ("drug interdiction", "DRUG"), ("defense health program", "DHP"), ("defense health", "DHP"),
-    ("brac", "MILCON"), ("procurement", "PROC"), ("procurement of ammunition", "AMMO"), ("cooperative threat reduction", "O&M"),
+    ("environmental restoration", "ER"), ("drug interdiction", "DRUG"), ("defense health", "DHP"),
+    ("brac", "MILCON"), ("procurement", "PROC"), ("cooperative threat reduction", "O&M"),
     ("inspector general", "O&M"), ("court of appeals", "O&M"), ("overseas humanitarian", "O&M"), ("acquisition workforce", "O&M"),
     ("sporting competitions", "O&M"), ("counter isis", "O&M"), ("improvised explosive device", "O&M"), ("afghanistan security", "O&M"),
     ("lease of dod", "O&M"), ("disposal of dod", "O&M"), ("operational test", "O&M"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import expressions as X
+from ledgerspark.functions import text as T
 from ledgerspark.operators import filters, quality_checks, relations, search
 from ledgerspark.sources.files import read_staged, write_staged
 from ledgerspark.streaming.incremental import changed_files, ingest_new_files
@@ -89,7 +90,6 @@ def test_changed_files(spark):
 
 
 def test_normalized_names_and_codes(spark):
-    from ledgerspark.functions import text as T
 
     rows = [("AF", "Air Force", "Air Force"), ("usn", "usn", "Navy"), ("DSS", "DSS", "DCSA"), ("Unknown Org", "Unknown Org", "Unknown Org"), (None, None, None)]
     df = spark.createDataFrame([(r[0],) for r in rows], "c string")
@@ -106,7 +106,6 @@ def test_normalized_names_and_codes(spark):
 
 
 def test_project_titles(spark):
-    from ledgerspark.functions import text as T
 
     titles = {
         "1662: F/A-18 Improvement 4,439.845 101.694 -": ("1662", "F/A-18 Improvement"),
@@ -122,7 +121,6 @@ def test_project_titles(spark):
 
 
 def test_fuzzy_and_whole_word_matches(spark):
-    from ledgerspark.functions import text as T
 
     df = spark.createDataFrame([("hypersonic glide",), ("hypersonik glide",), ("nothing",)], "c string")
     assert values(df.select(T.fuzzy_match(F.col("c"), "Hypersonic").alias("m")), "m") == ["exact", "fuzzy", None]
@@ -237,3 +235,30 @@ def test_projects_over_pages_and_blocks(spark, block):
             pages.append((key, page, rng.choice([text, text, None])))
     out = project_texts(spark.createDataFrame(pages, "pe string, page long, text string").repartition(3), ["pe"], "page", "text", block).collect()
     assert {(r["pe"], r["number"]): (r["first_page"], r["n_parts"], r["text"]) for r in out} == plain_projects([p for p in pages if p[2]])
+
+
+def test_each_title_and_keyword_has_its_code(spark):
+    """Every fixed rule decides some title: none is hidden by an earlier one."""
+    from ledgerspark.functions import fixed_values as V
+
+    titles = {t: code for code, ts in V.TITLE_CODES.items() for t in ts}
+    words = {f"Zz {w} zz": code for w, code in V.KEYWORD_CODES}
+    df = spark.createDataFrame([(t,) for t in [*titles, *words]], "title string")
+    got = {r["title"]: r["code"] for r in df.select("title", T.appropriation(F.col("title"))["code"].alias("code")).collect()}
+    assert got == titles | words
+    assert all(not any(a in b for a, _ in V.KEYWORD_CODES[:i]) or dict(V.KEYWORD_CODES)[b] == next(c for a, c in V.KEYWORD_CODES if a in b) for i, (b, _) in enumerate(V.KEYWORD_CODES))
+    assert {r["o"] for r in spark.createDataFrame([(a,) for a in V.AGENCIES], "o string").select(T.organization(F.col("o")).alias("o")).collect()} <= {*V.AGENCIES, *V.RENAMED.values()}
+
+
+def test_titles_of_table_rows(spark):
+    rows = {
+        "1662: F/A-18 Improvement 4,439.845 101.694 -": ("1662", "F/A-18 Improvement"), "E1662 F/A-18 Improvements": ("1662", "F/A-18 Improvements"), "D549 2.75 Inch Anti-Air TD": ("D549", "2.75 Inch Anti-Air TD"),
+        "Total PE": None, "Total PE Cost 12.345 *": None, "": None, "   ": None, "R-1 SHOPPING LIST": None, "** ": None, "0004: Title (MIP)": ("0004", "Title"), "MED-01: x": (None, "MED-01: x"),
+        "DD4.: Spaced   title ** 1.00": ("DD4", "Spaced   title"), "ABCD12 too many letters": (None, "ABCD12 too many letters"), "1234567 too many digits": (None, "1234567 too many digits"), "(GDI)": (None, "(GDI)"), "12.345": (None, "12.345"), "Plain title*": (None, "Plain title"), "12:": (None, "12:"),
+    }
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = {r["t"]: tuple(r["p"]) if r["p"] else None for r in df.select("t", T.project_title(F.col("t")).alias("p")).collect()}
+    assert got == rows
+    codes = {"E1662": "1662", "j0951": "951", "S0004": "4", "0004C": "4", "000": "000", "E000": "000", "MED-01": "MED01", "DX7": "DX7", "X12": "X12", "": None, None: None}
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    assert {r["c"]: r["p"] for r in df.select("c", T.project_code(F.col("c")).alias("p")).collect()} == codes

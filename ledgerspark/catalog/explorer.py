@@ -59,8 +59,10 @@ def _(df):
 
 def _pages(parts):
     key = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")  # a code has six digits
+    heads = ["COST ($ in Millions) FY 1998 FY 1999 FY 2000", "COST ($ in Millions)\nFY 1998 FY 1999 FY 2000\nComplete", "Cost ($ in millions) FY98 FY99 FY00\n\nYears follow", "1998 1999 2000\nCOST ($ in Millions)"]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("p_size") % 4 + 1).cast("int"))  # years on its line, the next, of two digits, before it
     price = F.format_number("p_retailprice", 2)
-    text = F.concat(F.lit("Exhibit R-2 PE 0602123A: x\nCOST ($ in Millions) FY 1998 FY 1999 FY 2000\nTotal PE 1.0 2.0 3.0\n16"), key, F.lit(": "), "p_name", F.lit(" "), price, F.lit(" - 2.5*\nDD7 "), "p_type", F.lit(" TBD 4.0\n\nA. Mission\nzz 1 2 3"))
+    text = F.concat(F.lit("Exhibit R-2 PE 0602123A: x\n"), head, F.lit("\nTotal PE 1.0 2.0 3.0\n16"), key, F.lit(": "), "p_name", F.lit(" "), price, F.lit(" - 2.5*\nDD7 "), "p_type", F.lit(" TBD 4.0\n\nA. Mission\nzz 1 2 3"))
     return parts.select("p_partkey", text.alias("text"))
 
 

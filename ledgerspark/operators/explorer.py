@@ -56,20 +56,32 @@ def by_year(lines: DataFrame, keys: list[str], years: list[str], kinds: list[str
     return lines.where(F.col("fiscal_year").try_cast("int") >= int(min(years))).groupBy(*keys).agg(*columns)
 
 
+#: Fixed value: how the line of a cost table's header reads.
+COST_HEADER = r"(?i)COST \(\$ in (?:Millions|Thousands)\)"
+
+
 def cost_table(text: Column, rows: int = 20) -> Column:
     """array<struct(label, amounts)> of a page's cost table: amounts are array<struct(year, amount)>, in thousands.
 
-    The table begins behind the line with `COST ($ in ...)`, whose years name its columns, and ends at
-    a section letter. A row is a label and behind it amounts or words that stand for none.
+    The table begins behind the line with `COST ($ in ...)`. The years of this line and of its neighbours name
+    the columns: of four digits, else of two, else bare ones. It ends at a section letter, or after `rows`
+    lines. A row is a label and behind it, as far as they go from the right, amounts or words for none.
     """
     words = "|".join(T.literal_pattern(w) for w in sorted(V.NO_AMOUNT, key=len, reverse=True))
     cell = rf"(?:\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?[*#]*|(?:{words})[*#]*)"
-    head = F.regexp_extract(text, r"(?im)^(.*COST \(\$ in (?:Millions|Thousands)\).*)$", 1)
+    every = F.split(text, "\n")
+    at = F.array_position(F.transform(every, lambda x: F.rlike(x, F.lit(COST_HEADER))), F.lit(True)).cast("int")
+    head = F.coalesce(F.when(at > 0, F.try_element_at(every, at)), F.lit(""))
     unit = F.when(F.contains(F.lower(head), F.lit("million")), 1000.0).otherwise(1.0)
-    four = F.regexp_extract_all(head, F.lit(r"(?i)FY\s*([0-9]{4})"), 1)
-    two = F.transform(F.regexp_extract_all(head, F.lit(r"(?i)FY\s*([0-9]{2})(?![0-9])"), 1), lambda y: T.full_year(y).cast("string"))
-    years = F.when(F.size(four) > 0, four).otherwise(two)
-    lines = F.transform(F.slice(F.split(F.split_part(text, head, F.lit(2)), "\n"), 2, rows), lambda x: F.trim(x))
+    area = F.array_join(F.slice(every, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 3).otherwise(2)), " ")
+    four = F.regexp_extract_all(area, F.lit(r"(?i)FY\s*([0-9]{4})"), 1)
+    two = F.transform(F.regexp_extract_all(area, F.lit(r"(?i)FY\s*([0-9]{2})(?![0-9])"), 1), lambda y: T.full_year(y).cast("string"))
+    bare = F.filter(F.regexp_extract_all(area, F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), 1), lambda y: y.between("1990", "2035"))
+    years = F.when(F.size(four) > 0, four).when(F.size(two) > 0, two).otherwise(bare)
+    below = F.transform(F.slice(every, at + 1, 1 << 30), lambda x: F.trim(x))
+    more_head = lambda x: F.rlike(x, F.lit(r"(?i)^(?:Complete(?: Cost)?|Years .*|(?:FY\s*[0-9]{2,4}\s*)+|(?:(?:19|20)[0-9]{2}\s*)+)?$"))
+    start = F.array_position(F.transform(below, lambda x: ~more_head(x)), F.lit(True)).cast("int")
+    lines = F.when(start > 0, F.slice(below, F.greatest(start, F.lit(1)), rows)).otherwise(F.slice(below, 1, 0))
     last = F.array_position(F.transform(lines, lambda x: x.rlike(r"^(?:[A-E]\.|Note|R-1 Line)")), F.lit(True))
     body = F.when(last > 0, F.slice(lines, 1, F.greatest(last.cast("int") - 1, F.lit(0)))).otherwise(lines)
     label = lambda x: F.trim(F.regexp_extract(x, rf"^(.*?)((?:\s+{cell})+)$", 1))

@@ -153,7 +153,7 @@ def _(df):
 LEFT JOIN region ON lower(r_name) = lower(CASE WHEN n_regionkey = 0 THEN 'africa' WHEN n_regionkey = 2 THEN 'Asia' ELSE '?' END)""")
 def _(nation, region):
     key = F.when(F.col("n_regionkey") == 0, "africa").when(F.col("n_regionkey") == 2, "Asia").otherwise("?")
-    return nation.join(F.broadcast(region), F.lower(key) == F.lower("r_name"), "left").select("n_name", "r_name")
+    return nation.join(region, F.lower(key) == F.lower("r_name"), "left").select("n_name", "r_name")
 
 
 @on_tables("jo04_titles_of_links", "lineitem part", "SELECT l_suppkey, l_partkey, min(p_name) AS title FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 GROUP BY 1, 2")
@@ -220,7 +220,7 @@ def _(customers, nation):
 SELECT n_name, CAST(sum(n) AS BIGINT) AS n FROM nation JOIN u ON k = n_nationkey GROUP BY 1""")
 def _(customers, suppliers, nation):
     both = customers.groupBy(F.col("c_nationkey").alias("k")).count().unionByName(suppliers.groupBy(F.col("s_nationkey").alias("k")).count())
-    return both.groupBy("k").agg(F.sum("count").alias("n")).join(F.broadcast(nation), F.col("k") == F.col("n_nationkey")).select("n_name", "n")
+    return both.groupBy("k").agg(F.sum("count").alias("n")).join(nation, F.col("k") == F.col("n_nationkey")).select("n_name", "n")
 
 
 @on_tables("jo16_derived_key", "part lineitem", "SELECT p_partkey, count(*) AS n FROM part JOIN lineitem ON p_partkey = l_partkey AND l_linenumber = p_size % 7 + 1 GROUP BY 1")

@@ -99,7 +99,7 @@ def tag_counts(tags: DataFrame, key: str, least: float, most_share: float) -> Da
 def shared_tags(tags: DataFrame, key: str, of, limit: int) -> DataFrame:
     """The keys that share most tags with one, with the tags."""
     own = tags.where(F.col(key) == of).select("tag").distinct()
-    return tags.where(F.col(key) != of).join(F.broadcast(own), "tag").groupBy(key).agg(F.countDistinct("tag").alias("n_shared"), joined_list("tag").alias("shared")).orderBy(F.desc("n_shared"), key).limit(limit)
+    return tags.where(F.col(key) != of).join(own, "tag").groupBy(key).agg(F.countDistinct("tag").alias("n_shared"), joined_list("tag").alias("shared")).orderBy(F.desc("n_shared"), key).limit(limit)
 
 
 def best_of_each(df: DataFrame, group: str, order: list[Column], over_fetch: int, limit: int) -> DataFrame:

@@ -262,3 +262,11 @@ def test_titles_of_table_rows(spark):
     codes = {"E1662": "1662", "j0951": "951", "S0004": "4", "0004C": "4", "000": "000", "E000": "000", "MED-01": "MED01", "DX7": "DX7", "X12": "X12", "": None, None: None}
     df = spark.createDataFrame([(c,) for c in codes], "c string")
     assert {r["c"]: r["p"] for r in df.select("c", T.project_code(F.col("c")).alias("p")).collect()} == codes
+
+
+def test_project_numbers_of_any_length(spark):
+    from ledgerspark.operators.enrichment import project_texts, projects
+
+    texts = spark.createDataFrame([(1, 1, "x\nProject AB1000000: ring\nProject ABCDEFGH12345 / bolt"), (2, 1, "Exhibit R-2A\nProject: AB1000000 / ring\nbody")], "pe int, page int, text string")
+    assert sorted(projects(texts, "pe", "text").where("pe = 1").collect()) == [(1, "AB1000000", "ring", 1), (1, "ABCDEFGH12345", "bolt", 2)]
+    assert [r["number"] for r in project_texts(texts.where("pe = 2"), ["pe"], "page", "text").collect()] == ["AB1000000"]

@@ -664,10 +664,10 @@ def _(df):
 n AS (SELECT *, lower(regexp_extract(file, '/([^/]*)$', 1)) AS name, CASE source WHEN 'org' THEN 1 WHEN 'com' THEN 2 ELSE 3 END AS place FROM f)
 SELECT year, name, source, min(page_id) AS page_id FROM (SELECT *, rank() OVER (PARTITION BY year, name ORDER BY place) AS r FROM n WHERE (year, name) NOT IN (SELECT (year, name) FROM n WHERE page_id % 10 = 3)) WHERE r = 1 GROUP BY 1, 2, 3""")
 def _(df):
-    """Files of three sites by year and name, without those that are there: every tenth page's."""
+    """Files of three sites by year and name, without those that are there: every tenth page's; of one site's the first page."""
     url = F.when(F.col("page_id") % 2 == 0, F.upper("url")).otherwise(F.col("url"))
     found = df.select(F.regexp_extract("url", "example[.]([a-z]+)", 1).alias("source"), (F.col("page_id") % 4).alias("year"), F.regexp_extract(url, "/([^/]*)$", 1).alias("file"), "page_id")
-    return files.first_source_wins(found, ["org", "com"], found.where("page_id % 10 = 3")).select("year", F.lower("file").alias("name"), "source", "page_id")
+    return files.first_source_wins(found, ["org", "com"], found.where("page_id % 10 = 3"), "page_id").select("year", F.lower("file").alias("name"), "source", "page_id")
 
 
 @on_table("so10_dropped_tables", "events", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 50")

@@ -270,3 +270,14 @@ def test_project_numbers_of_any_length(spark):
     texts = spark.createDataFrame([(1, 1, "x\nProject AB1000000: ring\nProject ABCDEFGH12345 / bolt"), (2, 1, "Exhibit R-2A\nProject: AB1000000 / ring\nbody")], "pe int, page int, text string")
     assert sorted(projects(texts, "pe", "text").where("pe = 1").collect()) == [(1, "AB1000000", "ring", 1), (1, "ABCDEFGH12345", "bolt", 2)]
     assert [r["number"] for r in project_texts(texts.where("pe = 2"), ["pe"], "page", "text").collect()] == ["AB1000000"]
+
+
+def test_first_page_of_names_that_differ_by_case(spark):
+    from ledgerspark.queries import QUERIES
+
+    urls = ["http://a.example.org/x/n.html", "http://b.example.org/x/N.HTML", "http://c.example.net/x/n.html"]
+    rows = [(1 + 4 * i, url, "") for i, url in enumerate(urls)] + [(20, "http://a.example.org/x/m", "")]
+    folder = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/case"
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    out = QUERIES["sc17_first_source_wins"](spark, folder)
+    assert sorted(map(tuple, out.select("name", "page_id").collect())) == [("m", 20), ("n.html", 1)]

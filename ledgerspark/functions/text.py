@@ -289,8 +289,13 @@ def amount_text(thousands: Column) -> Column:
     return F.coalesce(scaled.when(thousands.isNotNull(), F.concat(F.lit("$"), F.format_number(thousands, 0), F.lit("K"))), F.lit("-"))
 
 
+def _plain_number(c: Column, digits: int) -> Column:
+    """Rounded as format_number does, without signs between thousands."""
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
+
+
 def percent_text(share: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_number(share * 100, digits), F.lit("%"))
+    return F.concat(_plain_number(share * 100, digits), F.lit("%"))
 
 
 def file_name(c: Column, most: int = 200) -> Column:
@@ -301,9 +306,9 @@ def file_name(c: Column, most: int = 200) -> Column:
 def bytes_text(c: Column) -> Column:
     out = None
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        text = F.concat(F.format_number(c / float(1024**power), 1), F.lit(f" {unit}"))
+        text = F.concat(_plain_number(c / float(1024**power), 1), F.lit(f" {unit}"))
         out = (F.when if out is None else out.when)(c >= 1024**power, text)
-    return out.otherwise(F.concat(F.format_number(c.cast("double"), 1), F.lit(" B")))
+    return out.otherwise(F.concat(_plain_number(c.cast("double"), 1), F.lit(" B")))
 
 
 def set_key(words: Column) -> Column:

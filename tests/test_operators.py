@@ -281,3 +281,9 @@ def test_first_page_of_names_that_differ_by_case(spark):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     out = QUERIES["sc17_first_source_wins"](spark, folder)
     assert sorted(map(tuple, out.select("name", "page_id").collect())) == [("m", 20), ("n.html", 1)]
+
+
+def test_sizes_and_shares_without_thousands_signs(spark):
+    df = spark.createDataFrame([(999,), (1000,), (1023,), (1024,), (1023 * 1024,), (None,)], "n long")
+    assert values(df, T.bytes_text(F.col("n"))) == ["999.0 B", "1000.0 B", "1023.0 B", "1.0 KB", "1023.0 KB", None]
+    assert values(df.where("n = 1000"), T.percent_text(F.col("n") / 10)) == ["10000.0%"]

@@ -72,8 +72,11 @@ ELSE pe_number IN (pe, '0000000A') AND line_item_title = 'small ring' END)
 SELECT id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM h GROUP BY 1""")
 def _(suppliers, df):
     lines = df.select("pe_number", "organization_name", "exhibit_type", "fiscal_year", "appropriation_code", "line_item_title", "amount")
-    found = Z.matching_lines(_searches(suppliers), lines, "id", "typed", ["line_item_title"])
-    return found.groupBy("id").agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total"))
+    searches = _searches(suppliers)
+    members = Z.search_classes(searches, "id", "typed")
+    one_each = searches.join(members.where("id = same_as").select("id"), "id", "left_semi")
+    found = Z.matching_lines(one_each, lines, "id", "typed", ["line_item_title"]).withColumnRenamed("id", "same_as")
+    return members.join(found.groupBy("same_as").agg(F.count("*").alias("n"), S.money(F.sum("amount")).alias("total")), "same_as").select("id", "n", "total")
 
 
 @on_facts("fi11_typed_search", " SELECT order_key, line_item, pe_number FROM facts WHERE exhibit_type IN ('r1', 'r2') AND fiscal_year = '1999' AND amount BETWEEN 20000 AND 80000 AND line_item_title = 'small ring'")

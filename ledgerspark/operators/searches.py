@@ -19,6 +19,8 @@ from ledgerspark.operators.filters import where_lines
 FIELDS = {"pe": "pe_number", "service": "organization_name", "exhibit": "exhibit_type", "fy": "fiscal_year", "tag": "tag", "year": "fiscal_year", "type": "exhibit_type", "org": "organization_name", "approp": "appropriation_code"}
 #: Columns in the order in which a search is looked up by them: what few lines have in common comes first.
 LOOKED_UP = ["pe_number", "appropriation_code", "tag", "exhibit_type", "organization_name", "fiscal_year"]
+#: A column with at most so many values asked for: lines with another value are not dealt out by it.
+FEW = 1000
 NAME, QUOTED = "(?:" + "|".join(FIELDS) + "):", "\"[^\"]+\"|'[^']+'"
 BOUND = r"amount\s*([<>]=?)\s*([0-9]+(?:\.[0-9]+)?)"
 
@@ -62,23 +64,37 @@ def _lookup(s: Column, columns: list[str]) -> Column:
     return out
 
 
+def search_classes(searches: DataFrame, search: str, text: str) -> DataFrame:
+    """(search, same_as): searches with the same conditions find the same lines, and stand for each other by the least of them."""
+    s = merged_search(F.col(text))
+    canonical = F.struct(*[F.array_sort(s[c]).alias(c) for c in [*LOOKED_UP, "words", "phrases"]], s["least"].alias("least"), s["most"].alias("most"))
+    asked = searches.select(search, F.sha2(F.to_json(canonical), 256).alias("_c"))
+    return asked.join(asked.groupBy("_c").agg(F.min(search).alias("same_as")), "_c").select(search, "same_as")
+
+
 def matching_lines(searches: DataFrame, lines: DataFrame, search: str, text: str, titles: list[str]) -> DataFrame:
     """(search, the columns of lines) for every saved search and line that it finds.
 
     Words are whole words of the titles, phrases words in a row; case is ignored. A search of amounts
     only, or an empty one, finds lines by no equality: it takes all lines, which are its result but
-    for the bounds. A search on a column that lines lack finds nothing.
+    for the bounds. A search on a column that lines lack finds nothing. Where many searches are the
+    same, pass one of each class (`search_classes`).
     """
     columns = [c for c in LOOKED_UP if c in lines.columns]
     asked = searches.select(F.col(search).alias("_search"), merged_search(F.col(text)).alias("_s"))
     asked = asked.where(all_of(F.size(F.col("_s")[c]) == 0 for c in LOOKED_UP if c not in columns)).withColumn("_by", F.explode(_lookup(F.col("_s"), columns)))
-    used = {r[0] for r in asked.select(F.substring_index("_by", "=", 1)).distinct().collect()}  # as many as there are columns
+    values = asked.select(F.substring_index("_by", "=", 1).alias("c"), "_by").distinct()
+    used = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count("*").alias("n")).collect()}  # as many as there are columns
+    few = [c for c, n in used.items() if n <= FEW]
+    listed = {c: [r["_by"] for r in values.where(F.col("c").isin(few)).collect() if r["_by"].startswith(f"{c}=")] for c in few}  # at most FEW a column
+    asked_for = lambda c, k: k.isin(listed[c]) if c in listed else F.lit(True)
     tokens = words_of(F.concat_ws(" ", *titles))
-    keys = [F.array(F.concat(F.lit(f"{c}="), F.lower(c))) for c in columns if c in used]
-    keys += [F.transform(F.array_distinct(F.col("_tokens")), lambda t: F.concat(F.lit("word="), t))] * ("word" in used) + [F.array(F.lit("="))] * ("" in used)
+    key_of = lambda c: F.concat(F.lit(f"{c}="), F.lower(c))
+    keys = [F.array(F.when(asked_for(c, key_of(c)), key_of(c))) for c in columns if c in used]
+    keys += [F.filter(F.transform(F.array_distinct(F.col("_tokens")), lambda t: F.concat(F.lit("word="), t)), lambda k: asked_for("word", k))] * ("word" in used) + [F.array(F.lit("="))] * ("" in used)
     if not keys:
         return asked.select(F.col("_search").alias(search)).join(lines, F.lit(False))
-    by_key = lines.withColumn("_tokens", tokens).withColumn("_by", F.explode(F.concat(*keys) if len(keys) > 1 else keys[0]))
+    by_key = lines.withColumn("_tokens", tokens).withColumn("_by", F.explode(F.array_compact(F.concat(*keys) if len(keys) > 1 else keys[0])))
     s = F.col("_s")
     holds = [(F.size(s[c]) == 0) | F.array_contains(s[c], F.lower(c)) for c in columns]
     holds += [s["least"].isNull() | (F.col("amount") >= s["least"]), s["most"].isNull() | (F.col("amount") <= s["most"])]

@@ -287,3 +287,17 @@ def test_sizes_and_shares_without_thousands_signs(spark):
     df = spark.createDataFrame([(999,), (1000,), (1023,), (1024,), (1023 * 1024,), (None,)], "n long")
     assert values(df, T.bytes_text(F.col("n"))) == ["999.0 B", "1000.0 B", "1023.0 B", "1.0 KB", "1023.0 KB", None]
     assert values(df.where("n = 1000"), T.percent_text(F.col("n") / 10)) == ["10000.0%"]
+
+
+def test_same_searches_meet_the_lines_once(spark, monkeypatch):
+    from ledgerspark.operators import searches as Z
+    from ledgerspark.queries import QUERIES
+
+    typed = spark.createDataFrame([(3, 'org:asia ring fy:2000 fy:1999'), (2, 'FY:1999 Ring service:"Asia" year:2000'), (1, "ring org:asia"), (4, None), (5, "")], "id int, typed string")
+    assert sorted(map(tuple, Z.search_classes(typed, "id", "typed").collect())) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 4)]
+    plain, met = Z.matching_lines, []
+    monkeypatch.setattr(Z, "matching_lines", lambda searches, *more: (met.append(searches), plain(searches, *more))[1])
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/supplier.parquet").count()
+    assert QUERIES["fi11_saved_searches"](spark, folder).count() > 0
+    assert met[0].count() == n - 3 * (n // 5 - 1)  # three of five kinds are the same for all suppliers

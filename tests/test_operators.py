@@ -301,3 +301,15 @@ def test_same_searches_meet_the_lines_once(spark, monkeypatch):
     n = spark.read.parquet(f"{folder}/supplier.parquet").count()
     assert QUERIES["fi11_saved_searches"](spark, folder).count() > 0
     assert met[0].count() == n - 3 * (n // 5 - 1)  # three of five kinds are the same for all suppliers
+
+
+def test_words_of_pages_are_never_broadcast(spark):
+    from ledgerspark.operators.enrichment import mined_programs
+
+    rows = [(1, "P-5 Brand#7 L2 PE 0000001A"), (2, "P-5 Brand#7 L3, Brand#8 L2 PE 0000001A 0000002B"), (3, "Brand#7 L2"), (4, None)]
+    pages = spark.createDataFrame(rows, "k long, text string")
+    items = spark.createDataFrame([("Brand#7", "L2", "Brand#7:L2"), ("Brand#7", "L3", "Brand#7:L3"), ("Brand#9", "L2", "Brand#9:L2"), ("Brand#8", "", "Brand#8:")], "account string, line_item string, bli_key string")
+    out = mined_programs(pages, "k", "text", items)
+    assert sorted(map(tuple, out.collect())) == [("Brand#7:L2", "0000001A", 0.9), ("Brand#7:L2", "0000002B", 0.6), ("Brand#7:L3", "0000001A", 0.6), ("Brand#7:L3", "0000002B", 0.6)]
+    joins = [line for line in mined_programs(pages, "k", "text", items.repartition(3))._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and all("LeftSemi" in j for j in joins)

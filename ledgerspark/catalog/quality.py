@@ -16,7 +16,7 @@ from ledgerspark.operators import summaries as S
 from ledgerspark.operators import text_index as I
 from ledgerspark.operators.searches import query_terms
 from ledgerspark.plans.facts import read
-from ledgerspark.plans.stored import shared_folder
+from ledgerspark.plans.stored import shared_folder, spread
 from ledgerspark.registry import ORACLES, QUERIES, YEARS, on_facts, on_table, on_tables
 from ledgerspark.sources import files
 from ledgerspark.streaming import store
@@ -399,7 +399,7 @@ def _(df):
 def _sheets(df):
     header = F.array(F.lit("Account"), F.lit("PE / BLI"), F.lit("Line Item\nTitle"), F.lit("FY 2025"), F.lit("FY2026"), F.lit("Quantity FY 2026"), F.lit("Authorization Amount"), F.lit("Account"))
     below = F.when(F.col("p_size") % 2 == 0, F.array(F.lit(""), F.lit(None).cast("string"), F.lit(""), F.lit("Enacted"), F.lit("Disc Request"), F.lit("Total"), F.lit(""), F.lit(""))).otherwise(F.array(*[F.lit("1")] * 8))
-    return df.select("p_partkey", F.lit("r1").alias("exhibit"), F.lit("2026").alias("year"), H.merged_header(header, below).alias("header"))
+    return spread(df).select("p_partkey", F.lit("r1").alias("exhibit"), F.lit("2026").alias("year"), H.merged_header(header, below).alias("header"))
 
 
 @on_table("hm01_merged_headers", "part", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'FY 2025 Enacted|FY2026 Disc Request|Quantity FY 2026 Total' ELSE 'FY 2025|FY2026|Quantity FY 2026' END AS header

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import text as T
-from ledgerspark.functions.expressions import any_of
+from ledgerspark.functions.expressions import any_of, let
 
 # Header texts and the field they name; of a sheet's columns of one field the first counts.
 FIELDS = [
@@ -48,8 +48,11 @@ def merged_header(header: Column, below: Column) -> Column:
 
 def field_of(header: Column, exhibit: Column, year: Column) -> Column:
     """The field that a header names, null for none: a year's amount or quantity, else by the exhibit, else by the text."""
-    h = F.lower(F.trim(F.regexp_replace(header, r"\s+", " ")))
-    fy = F.regexp_extract(h, r"fy\s*([0-9]{4})", 1)
+    text = F.lower(F.trim(F.regexp_replace(header, r"\s+", " ")))
+    return let(text, lambda h: let(F.regexp_extract(h, r"fy\s*([0-9]{4})", 1), lambda fy: _field(h, fy, exhibit, year)))
+
+
+def _field(h: Column, fy: Column, exhibit: Column, year: Column) -> Column:
     quantity = F.concat(F.lit("quantity_fy"), fy, F.coalesce(T.first_hit(h, QUANTITY_WORDS), F.lit("")))
     amount = F.concat(F.lit("amount_fy"), fy, F.lit("_"), T.first_hit(h, AMOUNT_WORDS))
     dated = F.when(F.contains(h, F.lit("quantity")), quantity).otherwise(amount)
@@ -60,8 +63,9 @@ def field_of(header: Column, exhibit: Column, year: Column) -> Column:
 
 def mapped_columns(sheets: DataFrame, keys: list[str], header: str, exhibit: str, year: str) -> DataFrame:
     """(keys, field, place): the first column of each field of each sheet, places from 0."""
-    each = sheets.select(*keys, exhibit, year, F.posexplode(header).alias("place", "_h"))
-    return each.withColumn("field", field_of(F.col("_h"), F.col(exhibit), F.col(year))).where("field IS NOT NULL").groupBy(*keys, "field").agg(F.min("place").alias("place"))
+    fields = F.transform(header, lambda h, i: F.struct(field_of(h, F.col(exhibit), F.col(year)).alias("field"), i.alias("place")))
+    each = sheets.select(*keys, F.inline(fields)).where("field IS NOT NULL")
+    return each.groupBy(*keys, "field").agg(F.min("place").alias("place"))
 
 
 def catalog_columns(sheets: DataFrame, keys: list[str], header: str, catalog: list[tuple[str, str]]) -> DataFrame:

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, for heavy work on each: a scan has as many tasks as the bytes fill, however much the rows cost."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Written to a shared folder and read again: lineage ends, and numbers given by a scan stay as they are."""
     path = shared_folder(df.sparkSession, name)

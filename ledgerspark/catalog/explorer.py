@@ -10,6 +10,7 @@ from ledgerspark.operators import explorer as K
 from ledgerspark.operators import summaries as S
 from ledgerspark.operators.keyword_search import keyword_hits, word_runs
 from ledgerspark.operators.near_text import same_titles
+from ledgerspark.plans.stored import spread
 from ledgerspark.registry import YEARS, on_facts, on_table, on_tables
 
 _NARRATIVES = "n AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 7, '0') || 'A' AS pe_number, source, text FROM documents)"
@@ -29,8 +30,8 @@ def _(df):
     typed = F.element_at(F.array(*map(F.lit, _TYPED)), (F.col("p_partkey") % 5 + 1).cast("int"))
     for name, value in {"{name}": F.col("p_name"), "{upper}": F.upper("p_name"), "{type}": F.col("p_type")}.items():
         typed = F.replace(typed, F.lit(name), value)
-    checked = K.checked_keywords(F.split(typed, ","))
-    return df.select("p_partkey", checked["problem"].alias("problem"), F.size(checked["words"]).alias("n"), F.when(checked["problem"].isNull(), T.set_key(checked["words"])).alias("id"))
+    checked = spread(df).select("p_partkey", K.checked_keywords(F.split(typed, ",")).alias("c"))
+    return checked.select("p_partkey", "c.problem", F.size("c.words").alias("n"), F.when(F.col("c.problem").isNull(), T.set_key(F.col("c.words"))).alias("id"))
 
 
 @on_tables("kx03_discovered_programs", "facts documents", f""", {_NARRATIVES}, b AS (SELECT DISTINCT pe_number FROM facts
@@ -63,7 +64,7 @@ def _pages(parts):
     head = F.element_at(F.array(*map(F.lit, heads)), (F.col("p_size") % 4 + 1).cast("int"))  # years on its line, the next, of two digits, before it
     price = F.format_number("p_retailprice", 2)
     text = F.concat(F.lit("Exhibit R-2 PE 0602123A: x\n"), head, F.lit("\nTotal PE 1.0 2.0 3.0\n16"), key, F.lit(": "), "p_name", F.lit(" "), price, F.lit(" - 2.5*\nDD7 "), "p_type", F.lit(" TBD 4.0\n\nA. Mission\nzz 1 2 3"))
-    return parts.select("p_partkey", text.alias("text"))
+    return spread(parts).select("p_partkey", text.alias("text"))
 
 
 _COSTS = """SELECT p_partkey, '16' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS code, p_name AS title, contains(' ' || p_name || ' ', ' ring ') AS matched, y AS year, CASE y WHEN '1998' THEN p_retailprice * 1000 WHEN '2000' THEN 2500.0 END AS amount FROM part, (SELECT unnest(['1998', '1999', '2000']) AS y)

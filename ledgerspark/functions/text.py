@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import fixed_values as V
-from ledgerspark.functions.expressions import all_of, any_of
+from ledgerspark.functions.expressions import all_of, any_of, let
 
 _QUOTE = re.compile(r"([\\^$.|?*+()\[\]{}])")
 
@@ -123,15 +123,23 @@ def _is_remark(word: Column) -> Column:
 def _coded(s: Column) -> Column:
     """struct(code, title) of `code title`, `code: title` or `code.: title`, the code up to three letters and
     up to six digits; null for other texts."""
-    head = F.regexp_extract(s, r"^[^\s:]+", 0)
-    behind = F.substr(s, F.length(head) + 1)
-    colon = F.startswith(behind, F.lit(":"))
-    label = F.when(colon, F.regexp_replace(head, "[.]$", "")).otherwise(head)
-    letters = F.regexp_extract(label, "^[A-Za-z]*", 0)
-    digits = F.substr(label, F.length(letters) + 1)
-    title = F.trim(F.when(colon, F.substr(behind, F.lit(2))).otherwise(behind))
-    is_code = (F.length(letters) <= 3) & F.length(digits).between(1, 6) & (F.translate(digits, "0123456789", "") == "")
-    return F.when(is_code & (title != ""), F.struct(project_code(label).alias("code"), title.alias("title")))
+
+    def split_at(x: Column) -> Column:
+        head, behind = x["head"], x["behind"]
+        colon = F.startswith(behind, F.lit(":"))
+        label = F.when(colon, F.regexp_replace(head, "[.]$", "")).otherwise(head)
+        return F.struct(label.alias("label"), F.trim(F.when(colon, F.substr(behind, F.lit(2))).otherwise(behind)).alias("title"))
+
+    def checked(x: Column) -> Column:
+        letters = F.length(F.regexp_extract(x["label"], "^[A-Za-z]*", 0))
+        return let(F.struct(letters.alias("n"), F.substr(x["label"], letters + 1).alias("digits")), lambda d: coded(x, d))
+
+    def coded(x: Column, d: Column) -> Column:
+        is_code = (d["n"] <= 3) & F.length(d["digits"]).between(1, 6) & (F.translate(d["digits"], "0123456789", "") == "")
+        return F.when(is_code & (x["title"] != ""), F.struct(project_code(x["label"]).alias("code"), x["title"].alias("title")))
+
+    parts = let(F.regexp_extract(s, r"^[^\s:]+", 0), lambda head: F.struct(head.alias("head"), F.substr(s, F.length(head) + 1).alias("behind")))
+    return let(let(parts, split_at), checked)
 
 
 def project_title(c: Column) -> Column:
@@ -140,15 +148,22 @@ def project_title(c: Column) -> Column:
     Words are dropped from the right: amounts and marks, then asterisks at the last word, then one
     abbreviation in brackets. The first word always stays.
     """
-    words = F.regexp_extract_all(F.trim(c), F.lit(r"\s*\S+"), F.lit(0))
-    last = F.array_max(F.transform(words, lambda w, i: F.when((i == 0) | ~_is_remark(F.trim(w)), i + 1)))
-    words = F.slice(words, 1, F.coalesce(last, F.lit(0)))
-    bracketed = F.rlike(F.trim(F.rtrim(F.try_element_at(words, F.lit(-1)), F.lit("*"))), F.lit("^[(][A-Z]{2,6}[)]$"))
-    words = F.when(bracketed & (F.size(words) > 1), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(words)
-    s = F.trim(F.rtrim(F.array_join(words, ""), F.lit("*")))
-    bare = F.rtrim(s, F.lit("*- "))
-    junk = s.isin(V.JUNK_TITLES) | bare.isin(V.JUNK_TITLES) | any_of(F.startswith(s, F.lit(x)) for x in V.JUNK_BEGINNINGS)
-    return F.when((s != "") & ~junk, F.coalesce(_coded(s), F.struct(F.lit(None).cast("string").alias("code"), s.alias("title"))))
+
+    def without_remarks(words: Column) -> Column:
+        last = F.array_max(F.transform(words, lambda w, i: F.when((i == 0) | ~_is_remark(F.trim(w)), i + 1)))
+        return F.slice(words, 1, F.coalesce(last, F.lit(0)))
+
+    def without_abbreviation(words: Column) -> Column:
+        bracketed = F.rlike(F.trim(F.rtrim(F.try_element_at(words, F.lit(-1)), F.lit("*"))), F.lit("^[(][A-Z]{2,6}[)]$"))
+        return F.when(bracketed & (F.size(words) > 1), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(words)
+
+    def titled(s: Column) -> Column:
+        bare = F.rtrim(s, F.lit("*- "))
+        junk = s.isin(V.JUNK_TITLES) | bare.isin(V.JUNK_TITLES) | any_of(F.startswith(s, F.lit(x)) for x in V.JUNK_BEGINNINGS)
+        return F.when((s != "") & ~junk, F.coalesce(_coded(s), F.struct(F.lit(None).cast("string").alias("code"), s.alias("title"))))
+
+    words = let(let(F.regexp_extract_all(F.trim(c), F.lit(r"\s*\S+"), F.lit(0)), without_remarks), without_abbreviation)
+    return let(F.trim(F.rtrim(F.array_join(words, ""), F.lit("*"))), titled)
 
 
 def is_project_number(c: Column, labels: list[str] = ("TITLE", "ELEMENT", "NUMBER", "NAME", "PROJECT")) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import fixed_values as V
 from ledgerspark.functions import text as T
-from ledgerspark.functions.expressions import any_of, contains_any
+from ledgerspark.functions.expressions import any_of, contains_any, let
 
 
 def validated(words: list[str], most: int = 50, size: tuple[int, int] = (2, 100)) -> list[str]:
@@ -25,12 +25,17 @@ def validated(words: list[str], most: int = 50, size: tuple[int, int] = (2, 100)
 
 def checked_keywords(typed: Column, most: int = 50, size: tuple[int, int] = (2, 100)) -> Column:
     """struct(words, problem) of array<string>: the words as `validated` has them, and what is wrong: count, length, sign or null."""
+
+    def once(words: Column) -> Column:
+        return let(F.transform(words, F.lower), lambda lower: F.filter(words, lambda w, i: F.array_position(lower, lower[i]) == i + 1))
+
+    def checked(first: Column) -> Column:
+        problem = F.when(~F.size(first).between(1, most), "count").when(F.exists(first, lambda w: ~F.length(w).between(*size)), "length")
+        problem = problem.when(F.exists(first, lambda w: ~F.rlike(w, F.lit(r"^[\p{L}\p{N}_\s.,&/()'-]+$"))), "sign")
+        return F.struct(first.alias("words"), problem.alias("problem"))
+
     words = F.filter(F.transform(typed, lambda w: F.btrim(w, F.lit(" \t\r\n"))), lambda w: w != "")
-    lower = F.transform(words, F.lower)
-    first = F.filter(words, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
-    problem = F.when(~F.size(first).between(1, most), "count").when(F.exists(first, lambda w: ~F.length(w).between(*size)), "length")
-    problem = problem.when(F.exists(first, lambda w: ~F.rlike(w, F.lit(r"^[\p{L}\p{N}_\s.,&/()'-]+$"))), "sign")
-    return F.struct(first.alias("words"), problem.alias("problem"))
+    return let(let(words, once), checked)
 
 
 def discovered(lines: DataFrame, narratives: DataFrame, words: list[str], columns: list[str], within_narratives: list[str]) -> DataFrame:
@@ -69,37 +74,51 @@ def cost_table(text: Column, rows: int = 20) -> Column:
     """
     words = "|".join(T.literal_pattern(w) for w in sorted(V.NO_AMOUNT, key=len, reverse=True))
     cell = rf"(?:\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?[*#]*|(?:{words})[*#]*)"
-    every = F.split(text, "\n")
-    at = F.array_position(F.transform(every, lambda x: F.rlike(x, F.lit(COST_HEADER))), F.lit(True)).cast("int")
-    head = F.coalesce(F.when(at > 0, F.try_element_at(every, at)), F.lit(""))
-    unit = F.when(F.contains(F.lower(head), F.lit("million")), 1000.0).otherwise(1.0)
-    area = F.array_join(F.slice(every, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 3).otherwise(2)), " ")
-    four = F.regexp_extract_all(area, F.lit(r"(?i)FY\s*([0-9]{4})"), 1)
-    two = F.transform(F.regexp_extract_all(area, F.lit(r"(?i)FY\s*([0-9]{2})(?![0-9])"), 1), lambda y: T.full_year(y).cast("string"))
-    bare = F.filter(F.regexp_extract_all(area, F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), 1), lambda y: y.between("1990", "2035"))
-    years = F.when(F.size(four) > 0, four).when(F.size(two) > 0, two).otherwise(bare)
-    below = F.transform(F.slice(every, at + 1, 1 << 30), lambda x: F.trim(x))
+    row = rf"^(.*?)((?:\s+{cell})+)$"
     more_head = lambda x: F.rlike(x, F.lit(r"(?i)^(?:Complete(?: Cost)?|Years .*|(?:FY\s*[0-9]{2,4}\s*)+|(?:(?:19|20)[0-9]{2}\s*)+)?$"))
-    start = F.array_position(F.transform(below, lambda x: ~more_head(x)), F.lit(True)).cast("int")
-    lines = F.when(start > 0, F.slice(below, F.greatest(start, F.lit(1)), rows)).otherwise(F.slice(below, 1, 0))
-    last = F.array_position(F.transform(lines, lambda x: x.rlike(r"^(?:[A-E]\.|Note|R-1 Line)")), F.lit(True))
-    body = F.when(last > 0, F.slice(lines, 1, F.greatest(last.cast("int") - 1, F.lit(0)))).otherwise(lines)
-    label = lambda x: F.trim(F.regexp_extract(x, rf"^(.*?)((?:\s+{cell})+)$", 1))
-    cells = lambda x: F.split(F.trim(F.regexp_extract(x, rf"^(.*?)((?:\s+{cell})+)$", 2)), r"\s+")
-    number = lambda c: F.regexp_replace(c, "[,*#]", "").try_cast("double") * unit
-    pairs = lambda x: F.transform(T.paired(years, F.transform(cells(x), number)), lambda p: F.struct(p["label"].alias("year"), p["amount"].alias("amount")))
-    parsed = F.transform(body, lambda x: F.struct(label(x).alias("label"), pairs(x).alias("amounts")))
     junk = lambda s: s.isin(V.JUNK_TITLES) | any_of(F.startswith(s, F.lit(b)) for b in V.JUNK_BEGINNINGS)
-    real = F.filter(parsed, lambda r: (r["label"] != "") & ~junk(r["label"]) & F.exists(r["amounts"], lambda p: p["amount"].isNotNull()))
-    return F.when((head != "") & (F.size(years) > 0), real).otherwise(F.filter(parsed, lambda r: F.lit(False)))
+
+    def years_of(area: Column) -> Column:
+        four = F.regexp_extract_all(area, F.lit(r"(?i)FY\s*([0-9]{4})"), 1)
+        two = F.transform(F.regexp_extract_all(area, F.lit(r"(?i)FY\s*([0-9]{2})(?![0-9])"), 1), lambda y: T.full_year(y).cast("string"))
+        bare = F.filter(F.regexp_extract_all(area, F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), 1), lambda y: y.between("1990", "2035"))
+        return let(four, lambda f: F.when(F.size(f) > 0, f).otherwise(let(two, lambda t: F.when(F.size(t) > 0, t).otherwise(bare))))
+
+    def lines_below(below: Column) -> Column:
+        start = F.array_position(F.transform(below, lambda x: ~more_head(x)), F.lit(True)).cast("int")
+        return let(start, lambda n: F.when(n > 0, F.slice(below, F.greatest(n, F.lit(1)), rows)).otherwise(F.slice(below, 1, 0)))
+
+    def body_of(lines: Column) -> Column:
+        last = F.array_position(F.transform(lines, lambda x: x.rlike(r"^(?:[A-E]\.|Note|R-1 Line)")), F.lit(True)).cast("int")
+        return let(last, lambda n: F.when(n > 0, F.slice(lines, 1, F.greatest(n - 1, F.lit(0)))).otherwise(lines))
+
+    def parsed(body: Column, years: Column, unit: Column) -> Column:
+        number = lambda c: F.regexp_replace(c, "[,*#]", "").try_cast("double") * unit
+        amounts = lambda x: F.transform(F.split(F.trim(F.regexp_extract(x, row, 2)), r"\s+"), number)
+        pairs = lambda x: F.transform(let(amounts(x), lambda a: T.paired(years, a)), lambda p: F.struct(p["label"].alias("year"), p["amount"].alias("amount")))
+        labelled = F.filter(F.transform(body, lambda x: F.struct(F.trim(F.regexp_extract(x, row, 1)).alias("label"), x.alias("x"))), lambda r: (r["label"] != "") & ~junk(r["label"]))
+        return F.filter(F.transform(labelled, lambda r: F.struct(r["label"].alias("label"), pairs(r["x"]).alias("amounts"))), lambda r: F.exists(r["amounts"], lambda p: p["amount"].isNotNull()))
+
+    def table(every: Column, at: Column) -> Column:
+        unit = F.when(F.contains(F.lower(F.try_element_at(every, at)), F.lit("million")), 1000.0).otherwise(1.0)
+        area = F.array_join(F.slice(every, F.greatest(at - 1, F.lit(1)), F.when(at > 1, 3).otherwise(2)), " ")
+        below = F.transform(F.slice(every, at + 1, 1 << 30), lambda x: F.trim(x))
+        body = lambda b: let(lines_below(b), body_of)
+        return let(let(area, years_of), lambda y: F.when(F.size(y) > 0, let(let(below, body), lambda b: let(unit, lambda u: parsed(b, y, u)))).otherwise(none))
+
+    none = F.array().cast("array<struct<label:string,amounts:array<struct<year:string,amount:double>>>>")
+    header_at = lambda every: F.array_position(F.transform(every, lambda x: F.rlike(x, F.lit(COST_HEADER))), F.lit(True)).cast("int")
+    return let(F.split(text, "\n"), lambda every: let(header_at(every), lambda at: F.when(at > 0, table(every, at)).otherwise(none)))
 
 
 def mined(pages: DataFrame, text: str, words: list[str]) -> DataFrame:
     """Rows of pages' cost tables: code, title, year, amount and whether a keyword is in the title; of equal rows of a
     page's program, code and document year the first."""
-    rows = pages.withColumn("_row", F.explode(cost_table(F.col(text)))).withColumn("_t", T.project_title(F.col("_row")["label"])).where(F.col("_t").isNotNull())
-    matched = F.size(T.keywords_in([F.col("_t")["title"]], words)) > 0
-    return rows.select(*[c for c in pages.columns if c != text], F.col("_t")["code"].alias("code"), F.col("_t")["title"].alias("title"), matched.alias("matched"), F.inline(F.col("_row")["amounts"]))
+    titled = F.transform(cost_table(F.col(text)), lambda r: F.struct(T.project_title(r["label"]).alias("t"), r["amounts"].alias("amounts")))
+    others = [c for c in pages.columns if c != text]
+    rows = pages.select(*others, F.explode(titled).alias("_row")).where("_row.t IS NOT NULL")
+    matched = F.size(T.keywords_in([F.col("_row.t.title")], words)) > 0
+    return rows.select(*others, F.col("_row.t.code").alias("code"), F.col("_row.t.title").alias("title"), matched.alias("matched"), F.inline("_row.amounts"))
 
 
 def inherited(rows: DataFrame, summary: DataFrame, key: str, columns: list[str]) -> DataFrame:

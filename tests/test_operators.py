@@ -313,3 +313,18 @@ def test_words_of_pages_are_never_broadcast(spark):
     assert sorted(map(tuple, out.collect())) == [("Brand#7:L2", "0000001A", 0.9), ("Brand#7:L2", "0000002B", 0.6), ("Brand#7:L3", "0000001A", 0.6), ("Brand#7:L3", "0000002B", 0.6)]
     joins = [line for line in mined_programs(pages, "k", "text", items.repartition(3))._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) == 2 and all("LeftSemi" in j for j in joins)
+
+
+def test_steps_of_a_parse_occur_once(spark):
+    """Catalyst shares nothing inside lambdas, so a step that is written out twice is worked out twice."""
+    from ledgerspark.operators.explorer import checked_keywords, cost_table, mined
+    from ledgerspark.operators.headers import field_of, mapped_columns
+
+    df = spark.createDataFrame([("x", ["a"])], "t string, w array<string>")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    costs, rows = plan(df.select(F.explode(cost_table(F.col("t"))))), plan(mined(df, "t", ["ring"]))
+    assert costs.count("COST ") == 1 and costs.count("R-1 Line") == 1 and rows.count("COST ") == 1 and rows.count("[A-Z]{2,6}") == 1
+    assert plan(df.select(checked_keywords(F.col("w")).alias("c")).select("c.words", "c.problem", F.size("c.words"))).count("trim(") == 1
+    sheets = df.select("t", F.array("t").alias("h"), F.lit("r1").alias("e"), F.lit("2026").alias("y"))
+    assert plan(df.select(field_of(F.col("t"), F.lit("r1"), F.lit("2026")).alias("f"))).count("fy\\s*") == 1
+    assert plan(mapped_columns(sheets, ["t"], "h", "e", "y")).count("fy\\s*") == 1

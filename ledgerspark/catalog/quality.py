@@ -712,7 +712,7 @@ def _(df):
 SELECT 'conv_' || c.conv_id || '/page_' || turn || '.txt' AS file, md5(coalesce(text, '')) AS digest
 FROM conversations c JOIN r ON c.conv_id = r.conv_id AND turn BETWEEN s AND e""")
 def _(turns):
-    """Written by file to a shared folder and read back."""
+    """Written to a shared folder, a row a file, and read back."""
     from ledgerspark.sources.files import page_files, read_pages, write_pages
 
     ranges = turns.groupBy("conv_id").agg((F.min("turn") + 1).alias("s"), F.max("turn").alias("e"))

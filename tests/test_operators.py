@@ -328,3 +328,12 @@ def test_steps_of_a_parse_occur_once(spark):
     sheets = df.select("t", F.array("t").alias("h"), F.lit("r1").alias("e"), F.lit("2026").alias("y"))
     assert plan(df.select(field_of(F.col("t"), F.lit("r1"), F.lit("2026")).alias("f"))).count("fy\\s*") == 1
     assert plan(mapped_columns(sheets, ["t"], "h", "e", "y")).count("fy\\s*") == 1
+
+
+def test_many_pages_to_a_file(spark, tmp_path):
+    from ledgerspark.sources.files import read_pages, write_pages
+
+    rows = [(f"conv_{i // 10}/page_{i % 10}.txt", f"{i}\n\x1e" if i % 2 else "") for i in range(200)] + [("conv_0/page_0.txt", "twice")]
+    write_pages(spark.createDataFrame(rows, "file string, text string").repartition(3), f"{tmp_path}/pages")
+    assert sorted(map(tuple, read_pages(spark, f"{tmp_path}/pages").collect())) == sorted(rows)
+    assert len(list((tmp_path / "pages").rglob("part-*"))) <= 3

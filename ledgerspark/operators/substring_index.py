@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.plans.sorted_copy import bounds_of, read_files, read_values, write_sorted
+from ledgerspark.plans.stored import stored
 
 #: So many of the rarest trigrams are intersected.
 RAREST = 4
@@ -18,10 +19,11 @@ def _grams(c):
 
 def build_substring_index(docs: DataFrame, key: str, text: str, folder: str, columns: list[str] | None = None, rows_per_file: int = 1_000_000) -> None:
     """Postings (gram, key) and counts by gram, and a copy of the columns sorted by key."""
-    grams = docs.where(F.col(text).isNotNull()).select(F.explode(_grams(F.col(text))).alias("gram"), F.col(key).alias("key")).distinct()
+    cut = stored(docs.where(F.col(text).isNotNull()).select(_grams(F.col(text)).alias("g"), F.col(key).alias("key")), "grams")  # the sort samples its input: texts are cut once
+    grams = cut.select(F.explode("g").alias("gram"), "key")  # each gram of a row once: one shuffle, that of the sort
     write_sorted(grams, ["gram", "key"], f"{folder}/postings", rows_per_file)
-    stored = docs.sparkSession.read.parquet(f"{folder}/postings/data")
-    write_sorted(stored.groupBy("gram").agg(F.count("*").alias("n")), ["gram"], f"{folder}/counts")
+    postings = docs.sparkSession.read.parquet(f"{folder}/postings/data")
+    write_sorted(postings.groupBy("gram").agg(F.count("*").alias("n")), ["gram"], f"{folder}/counts")
     write_sorted(docs.select(*dict.fromkeys([key, text, *(columns or [])])), [key], f"{folder}/rows", rows_per_file)
 
 
@@ -32,7 +34,7 @@ def candidates(spark: SparkSession, folder: str, part: str) -> DataFrame:
     if len(counts) < len(wanted):  # some trigram occurs nowhere
         return spark.read.parquet(f"{folder}/postings/data").where(F.lit(False)).select("key")
     rarest = [r["gram"] for r in sorted(counts, key=lambda r: (r["n"], r["gram"]))[:RAREST]]
-    return read_values(spark, f"{folder}/postings", "gram", rarest).groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") == len(rarest)).select("key")
+    return read_values(spark, f"{folder}/postings", "gram", rarest).groupBy("key").agg(F.countDistinct("gram").alias("_n")).where(F.col("_n") == len(rarest)).select("key")
 
 
 def rows_with(spark: SparkSession, folder: str, key: str, text: str, part: str) -> DataFrame:

@@ -16,10 +16,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.expressions import words_of
+from ledgerspark.functions.expressions import counted, words_of
 from ledgerspark.operators.search import K1, B
 from ledgerspark.plans.sorted_copy import read_prefixes, read_values, write_sorted
-from ledgerspark.plans.stored import shared_folder
+from ledgerspark.plans.stored import shared_folder, stored
 
 _KNOWN: dict[tuple, tuple[str, int]] = {}
 
@@ -52,14 +52,14 @@ def _fingerprinted(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def _write_segment(spark: SparkSession, folder: str, docs: DataFrame, gone: DataFrame | None, merged: bool = False) -> None:
     """docs: (key, text, fingerprint). The list's row comes last."""
     name = f"segment-{uuid.uuid4().hex}"
-    rows = docs.select("key", "fingerprint", words_of(F.col("text")).alias("w"))
-    keys = rows.select("key", "fingerprint", F.size("w").alias("size"), F.lit(False).alias("gone"))
+    words = docs.select("key", "fingerprint", words_of(F.col("text")).alias("w"))
+    rows = stored(words.select("key", "fingerprint", F.size("w").alias("size"), counted(F.col("w")).alias("w")), "words")  # the sort samples its input: texts are cut once
+    keys = rows.select("key", "fingerprint", "size", F.lit(False).alias("gone"))
     if gone is not None:
         keys = keys.unionByName(gone.select("key", F.lit(None).cast("long").alias("fingerprint"), F.lit(0).alias("size"), F.lit(True).alias("gone")))
     keys.write.parquet(f"{folder}/{name}/keys")
-    each = rows.select("key", F.size("w").alias("size"), F.explode("w").alias("term"))
-    postings = each.groupBy("term", "key", "size").agg(F.count("*").alias("frequency")).select("term", "key", "frequency", "size")
-    write_sorted(postings, ["term", "key"], f"{folder}/{name}/postings")
+    each = rows.select("key", "size", F.inline("w"))  # counted in the row: one shuffle, that of the sort
+    write_sorted(each.select("term", "key", "frequency", "size"), ["term", "key"], f"{folder}/{name}/postings")
     _listed(spark, folder, name, merged)
 
 

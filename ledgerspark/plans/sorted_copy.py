@@ -18,8 +18,9 @@ def write_sorted(df: DataFrame, keys: list[str], folder: str, rows_per_file: int
     """The rows sorted by keys in `folder/data`, and per file its first and last key and its rows in `folder/bounds`."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{folder}/data")
     data = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/data")
-    place = F.struct(*keys)
-    bounds = data.groupBy(F.input_file_name().alias("file")).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n_rows"))
+    rows = data.select(F.struct(*keys).alias("place"), F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("at"))
+    ends = rows.join(F.broadcast(rows.groupBy("file").agg(F.max("at").alias("end"))), "file").where("at = 0 OR at = end")  # a file is sorted, so its ends are its bounds
+    bounds = ends.groupBy("file").agg(F.min("place").alias("first"), F.max("place").alias("last"), (F.max("at") + 1).alias("n_rows"))
     bounds.coalesce(1).write.parquet(f"{folder}/bounds")  # a row a file
 
 

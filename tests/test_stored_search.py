@@ -118,3 +118,22 @@ def test_typed_search_reaches_the_scan(spark):
 
     out = where_search(facts(spark, "/root/testdata/sf0.001", ["order_key", "appropriation_code", "amount"]), "approp:BUILDING amount>=5000", [], {"appropriation_code": ["BUILDING"]})
     assert "EqualTo(c_mktsegment,BUILDING)" in out._jdf.queryExecution().toString()
+
+
+def test_indexes_are_built_with_one_shuffle(spark, tmp_path, monkeypatch):
+    """What is sorted comes from stored rows, whose words are counted already: nothing is grouped before."""
+    from ledgerspark.functions.expressions import counted
+    from ledgerspark.operators import substring_index, text_index
+
+    words = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "w array<string>").select(counted(F.col("w")).alias("c"))
+    assert [r["c"] and [tuple(x) for x in r["c"]] for r in words.collect()] == [[("a", 1), ("b", 2)], [], None]
+    sorted_ = []
+    for module in (substring_index, text_index):
+        plain = module.write_sorted
+        monkeypatch.setattr(module, "write_sorted", lambda df, keys, *more, plain=plain: (sorted_.append((keys, df)), plain(df, keys, *more))[1])
+    docs = spark.createDataFrame([(1, "b a b ab"), (2, None), (3, "ab")], "k long, t string")
+    text_index.build_index(docs, "k", ["t"], f"{tmp_path}/text")
+    substring_index.build_substring_index(docs, "k", "t", f"{tmp_path}/sub")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for keys, df in sorted_ if len(keys) == 2]
+    assert len(plans) == 2 and not any("Aggregate" in p or "regexp_extract_all" in p for p in plans)
+    assert sorted(map(tuple, text_index.hits(spark, f"{tmp_path}/text", ["b", "ab"]).collect())) == [("ab", 1, 1, 4), ("ab", 3, 1, 1), ("b", 1, 2, 4)]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import expressions as X
 from ledgerspark.functions import text as T
-from ledgerspark.operators import filters, quality_checks, relations, search
+from ledgerspark.operators import aggregates, filters, quality_checks, relations, search
+from ledgerspark.queries import QUERIES
 from ledgerspark.sources.files import read_staged, write_staged
 from ledgerspark.streaming.incremental import changed_files, ingest_new_files
 
@@ -337,3 +338,23 @@ def test_many_pages_to_a_file(spark, tmp_path):
     write_pages(spark.createDataFrame(rows, "file string, text string").repartition(3), f"{tmp_path}/pages")
     assert sorted(map(tuple, read_pages(spark, f"{tmp_path}/pages").collect())) == sorted(rows)
     assert len(list((tmp_path / "pages").rglob("part-*"))) <= 3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subtotals_of_lines_dealt_before_they_are_grouped(spark):
+    lines = spark.createDataFrame(
+        [("1000000A", 10000001, "p1", "1.10"), ("1000000A", 10000002, "p1", "2.20"), ("1000000A", 10000001, "p1", None), ("1000000A", 10000002, "r1", "4.00"), ("0000003A", 3, "p1", None), (None, None, "r2", "5.00")],
+        "pe_number string, part_key long, exhibit_type string, s string",
+    ).withColumn("amount", F.col("s").cast("decimal(18,2)"))
+    titles = spark.createDataFrame([(10000001, "ring"), (10000002, "gear")], "part_key long, line_item_title string")
+    totals = aggregates.line_totals(lines, ["pe_number", "part_key", "exhibit_type"]).join(titles, "part_key", "left")
+    rows = {(r[0], r[1], r[2], r[5]): (r[3], r[4]) for r in aggregates.with_subtotals(totals).collect()}
+    assert rows == {
+        ("1000000A", None, None, 1): (7.3, 4), ("0000003A", None, None, 1): (None, 1), (None, None, None, 1): (5.0, 1), ("1000000A", "ring", "p1", 0): (1.1, 2),
+        ("1000000A", "gear", "p1", 0): (2.2, 1), ("1000000A", "gear", "r1", 0): (4.0, 1), ("0000003A", None, "p1", 0): (None, 1), (None, None, "r2", 0): (5.0, 1),
+    }
+    plan = plan_of(QUERIES["ag18_subtotals"](spark, "/root/testdata/sf0.001"))  # the top comes first: titles meet groups, groups are made of dealt lines
+    assert plan.index("Expand") < plan.index("Join") < plan.rindex("HashAggregate") < plan.index("REBALANCE_PARTITIONS_BY_COL")

@@ -358,3 +358,44 @@ def test_subtotals_of_lines_dealt_before_they_are_grouped(spark):
     }
     plan = plan_of(QUERIES["ag18_subtotals"](spark, "/root/testdata/sf0.001"))  # the top comes first: titles meet groups, groups are made of dealt lines
     assert plan.index("Expand") < plan.index("Join") < plan.rindex("HashAggregate") < plan.index("REBALANCE_PARTITIONS_BY_COL")
+
+
+def test_latest_lines_picked_before_they_are_described(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from ledgerspark.queries import ORACLES
+
+    day = lambda y: datetime.datetime(y, 5, 1)
+    lines = [(1, 1, 1, day(1999)), (2, 1, 1, day(2000)), (3, 1, 1, day(2000)), (1, 2, 2, day(1999)), (2, 3, 2, day(1998)), (3, 4, 9, day(1998)), (9, 5, 1, day(1998)), (1, 6, 1, None), (3, None, 3, day(2001))]
+    lines += [(3, 10000001, 10, day(2001)), (3, 10000002, 2, day(2001)), (None, 10000003, 1, day(2001)), (3, 10000003, 1, day(2000))]  # one program by its first seven digits
+    lines = [(o, p, n, 1.0, 1.0, "N", "O", d) for o, p, n, d in lines]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "orders": ([(1, 1), (2, 2), (3, 3)], "o_orderkey long, o_custkey long"),
+        "customer": ([(1, 0, "A"), (2, 0, "B"), (3, 0, None)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "part": ([(k, f"name {k}", "brand", "type") for k in (1, 2, 3, 5, 6, 10000001, 10000002, 10000003)], "p_partkey long, p_name string, p_brand string, p_type string"),
+        "nation": ([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "documents": ([(2, "said", "s"), (2, None, "s"), (6, None, "s"), (77, "", "s")], "doc_id long, text string, source string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    out = QUERIES["en02_fallback_narratives"](spark, str(tmp_path))
+    rows = sorted(map(tuple, out.select("pe_number", "text").collect()))
+    assert rows == sorted(con.execute(f"SELECT pe_number, text FROM ({ORACLES['en02_fallback_narratives']})").fetchall())
+    assert dict(rows)["0000001A"] == "name 1 — type — B" and dict(rows)["0000004A"] is None
+    plan = plan_of(out)
+    assert plan.index("Join") < plan.index("Window") < plan.index("REBALANCE_PARTITIONS_BY_COL") and "text" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert plan.count("struct<doc_id:bigint") == 1  # documents are read once
+
+
+def test_fallback_keeps_narratives(spark):
+    from ledgerspark.operators.enrichment import with_fallback
+
+    known = spark.createDataFrame([("A", "one"), ("A", "two")], "pe_number string, text string")
+    lines = spark.createDataFrame([("A", "2000", 1, "1", "t", "b", "c"), ("B", "1999", 1, "1", "old", "b", "c"), ("B", "2000", 2, "2", "late", None, "c"), ("B", "2000", 2, "10", "new", None, "c")], "pe_number string, fiscal_year string, order_key long, line_item string, line_item_title string, budget_activity_title string, appropriation_code string")
+    assert sorted(map(tuple, with_fallback(known, lines, "pe_number").collect())) == [("A", "one"), ("A", "two"), ("B", "new — c")]

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ledgerspark.llm.bpe import Encoder, as_bytes, broadcast_model, small_batches
+from ledgerspark.llm.bpe import broadcast_model, small_batches
+from ledgerspark.llm.bpe_blocks import BlockEncoder
 from ledgerspark.llm.shared import materialize
 
 #: Bins to a problem, islands to a problem, solutions to an island, generations to an epoch, epochs.
@@ -43,12 +44,11 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     model = broadcast_model(docs.sparkSession, path)
 
     def run(batches):
-        encoder = Encoder(model.value, as_bytes, "bytes")
-        end = as_bytes([end_id])
+        encoder, end = BlockEncoder(model.value), np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for at, parts in enumerate(encoder.batch(b.column(1).to_pylist())):
-                ids = b"".join(parts) + end
+            for at, ids in enumerate(encoder.batch(b.column(1).to_pylist())):
+                ids += end
                 for k, i in enumerate(range(0, len(ids), 4 * size)):
                     cut = ids[i : i + 4 * size]
                     doc.append(at), piece.append(k), start.append(i // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -29,7 +30,9 @@ SHORT = 23
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _SPACE = re.compile(f"[{SPACES}]")
-_BEYOND_LATIN = re.compile("[Ͱ-\U0010ffff]")
+_BEYOND = "\u0370-\U0010ffff"
+#: A stretch between white space that has a character from Greek on.
+_BEYOND_LATIN = re.compile(f"((?<![^{SPACES}])[^{SPACES}{_BEYOND}]*(?![{SPACES}])[{_BEYOND}][^{SPACES}]*)")
 
 
 class KnownWords:
@@ -128,6 +131,11 @@ class KnownWords:
         return ids, counts
 
 
+def _latin(text: str) -> str:
+    """Composed and lower-cased. Below Greek, Python's tables are those of any later Unicode version."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+
+
 class BlockEncoder:
     """Encodes batches of texts; what it knows of words lives as long as the Python worker."""
 
@@ -136,17 +144,17 @@ class BlockEncoder:
             raise ValueError(f"words are cut by {WORDS} only, not by {model.words}")
         self.model, self.known = model, remembered(model.path, "blocks", KnownWords)
         self.kinds = bytes(model.classes[:128]) + bytes([OTHER]) * 120 + bytes([MARK]) * 8
+        self.common = lru_cache(1 << 15)(model.normalizer.normalize_str)
         self.special = re.compile("(" + "|".join(map(re.escape, model.special)) + ")").split if model.special else None
 
     def _normal(self, text: str) -> bytes:
-        """Composed and lower-cased. Below Greek, Python's tables are those of any later Unicode version."""
+        """Composed and lower-cased; special tokens are marks."""
         if self.special and len(parts := self.special(text)) > 1:
             return b"".join([self.model.marks[x] if x in self.model.marks else self._normal(x) for x in parts])
-        if text.isascii():
-            return text.lower().encode()
-        if _BEYOND_LATIN.search(text):
-            return self.model.normalizer.normalize_str(text).encode()
-        return unicodedata.normalize("NFC", text).lower().encode()
+        parts = [text] if text.isascii() else _BEYOND_LATIN.split(text)
+        parts[::2] = map(_latin, parts[::2])
+        parts[1::2] = [self.common(x) if len(x) <= 64 else self.model.normalizer.normalize_str(x) for x in parts[1::2]]
+        return "".join(parts).encode()
 
     def _cut(self, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the words. The last byte is white space."""
